@@ -518,6 +518,18 @@ SELECT o_orderkey, p.code AS o_orderpriority, s.code AS o_orderstatus FROM order
     "grid_best": ctes(*TO_STAGED, *knn_parts((3, 5, 7)), KNN_CHOICE)
     + f"SELECT ticker, horizon, CAST(k AS BIGINT) AS k, {r('mean_score', 3)} FROM chosen",
     "arima_forecast": ctes(*TO_DENSE, *arima_parts()) + forecast_rows("arima"),
+    "goss_sample": ctes(
+        *TO_STAGED,
+        "changes AS (SELECT ticker, date, y / price - 1 AS residual FROM staged WHERE horizon = 1 AND y IS NOT NULL)",
+        "cut AS (SELECT quantile_disc(abs(residual), 0.8) AS cut FROM changes)",
+        """
+drawn AS (
+  SELECT ticker, date, residual, abs(residual) >= cut AS large,
+    CAST('0x' || substr(md5(concat_ws('|', ticker, CAST(date AS VARCHAR), '321|0')), 1, 8) AS BIGINT) / 4294967296.0 AS u
+  FROM changes, cut
+)""",
+    )
+    + f"SELECT ticker, date, {r('residual')}, CASE WHEN large THEN 1.0::DOUBLE ELSE 8.0::DOUBLE END AS weight FROM drawn WHERE large OR u < 0.1 / 0.8",
     "forecast_metrics": ctes(*TO_DENSE, f"""
 pairs_of AS (
   SELECT d.ticker, h.horizon, t.price AS y, d.price AS y_hat FROM dense d CROSS JOIN (SELECT unnest(range(1, {HORIZON} + 1)) AS horizon) h

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.functions import calendar
-from panelcast.models import arima, elasticnet, knn, linear
+from panelcast.models import arima, elasticnet, goss, knn, linear, trees
 from panelcast.operators import encoders, evaluate, features as feat, indicators, panel, reshape, splits
 from panelcast.plans import forecast, report
 from panelcast.session import scratch_path
@@ -374,6 +374,35 @@ def arima_forecast(spark, folder):
     return _forecast_rows(arima.arima_forecast(frame_of(spark, folder), HORIZON))
 
 
+@query
+def gbt_forecast(spark, folder):
+    frame = frame_of(spark, folder)
+    return _forecast_rows(trees.gbt_forecast(frame, feat.feature_columns(frame), horizon=1, trees=5))
+
+
+@query
+def rf_forecast(spark, folder):
+    frame = frame_of(spark, folder)
+    return _forecast_rows(trees.forest_forecast(frame, feat.feature_columns(frame), horizon=1, trees=20))
+
+
+@query
+def goss_sample(spark, folder):
+    """One-side sample of all labelled rows by the size of their next change."""
+    stepped = feat.with_horizons(dense(spark, folder), 1).where(F.col("y").isNotNull())
+    changes = stepped.select("ticker", "date", (F.col("y") / F.col("price") - 1).alias("residual"))
+    return rounded(goss.goss_sample(changes, "residual", ["ticker", "date"]))
+
+
+@query
+def goss_forecast(spark, folder):
+    frame = frame_of(spark, folder)
+    fitted = goss.goss_forecast(
+        frame, feat.feature_columns(frame), horizon=1, rounds=3, depths=[4], min_rows=[5, 20]
+    )
+    return _forecast_rows(fitted)
+
+
 # --- evaluation and reports ------------------------------------------------
 
 

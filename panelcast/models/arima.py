@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from panelcast.operators.panel import by_date, running
+from panelcast.operators.panel import by_date, running, whole
 
 
 def arima_forecast(frame: DataFrame, horizon: int) -> DataFrame:
@@ -22,14 +22,13 @@ def arima_forecast(frame: DataFrame, horizon: int) -> DataFrame:
         {"d": price - first, "w": price - 2 * first + second}
     )
     before = F.lag("w").over(by_date())
-    whole = Window.partitionBy("ticker")
     fitted = (
         moved.withColumn("w_before", before)
         .withColumns(
             {
                 "up": F.sum(F.col("w") * F.col("w_before")).over(running()),
                 "down": F.sum(F.when(F.col("w").isNotNull(), F.col("w_before") * F.col("w_before"))).over(running()),
-                "last_price": F.max_by("price", "rn").over(whole),
+                "last_price": F.max_by("price", "rn").over(whole()),
             }
         )
         .withColumn("phi", F.try_divide("up", "down"))

@@ -21,12 +21,10 @@ SCHEMA = (
 )
 
 
-def duality_gap(
-    cov: np.ndarray, cross: np.ndarray, y_var: float, soft: np.ndarray, ridge: np.ndarray, w: np.ndarray
-) -> np.ndarray:
+def duality_gap(cov, cross, y_var, soft, ridge, w) -> np.ndarray:
     """How far each row of weights is at most from the optimum of its objective."""
-    along = w @ cov
-    fitted = w @ cross
+    along = np.einsum("pij,pj->pi", cov, w)
+    fitted = (w * cross).sum(axis=1)
     residual = y_var - 2 * fitted + (along * w).sum(axis=1)
     slope = np.abs(cross - along - ridge[:, None] * w).max(axis=1)
     shrink = np.where(slope > soft, soft / np.where(slope > 0, slope, 1.0), 1.0)
@@ -40,42 +38,52 @@ def duality_gap(
 
 
 def coordinate_descent(
-    cov: np.ndarray, cross: np.ndarray, y_var: float, alpha: np.ndarray, ratio: np.ndarray
+    cov: np.ndarray, cross: np.ndarray, y_var: np.ndarray, alpha: np.ndarray, ratio: np.ndarray
 ) -> np.ndarray:
-    """Weights for many (alpha, ratio) pairs on one covariance, all at once.
+    """Weights of many independent problems at once, one per row.
 
-    Minimises half the mean squared error plus ``alpha * ratio`` times the L1
-    norm plus half of ``alpha * (1 - ratio)`` times the squared L2 norm. A pair
-    is done when its weights hardly move and its duality gap is a small share of
-    the label's variance.
+    Each minimises half the mean squared error plus ``alpha * ratio`` times the
+    L1 norm plus half of ``alpha * (1 - ratio)`` times the squared L2 norm. A
+    row is done when its weights hardly move and its duality gap is a small
+    share of the label's variance.
     """
-    width = len(cross)
+    width = cross.shape[1]
     weights = np.zeros((len(alpha), width))
     soft, ridge = alpha * ratio, alpha * (1 - ratio)
     active = np.arange(len(alpha))
-    columns = [j for j in range(width) if cov[j, j] > 0]
     for _ in range(MAX_ITER):
         w = weights[active]
         before = w.copy()
-        for j in columns:
-            partial = cross[j] - w @ cov[:, j] + w[:, j] * cov[j, j]
-            shrunk = np.sign(partial) * np.maximum(np.abs(partial) - soft[active], 0.0)
-            w[:, j] = shrunk / (cov[j, j] + ridge[active])
+        for j in range(width):
+            own = cov[:, j, j]
+            partial = cross[:, j] - (w * cov[:, j]).sum(axis=1) + w[:, j] * own
+            shrunk = np.sign(partial) * np.maximum(np.abs(partial) - soft, 0.0)
+            w[:, j] = np.where(own > 0, shrunk / np.where(own > 0, own + ridge, 1.0), 0.0)
         weights[active] = w
-        moved = np.abs(w - before).max(axis=1, initial=0.0)
-        settled = moved <= TOLERANCE * np.abs(w).max(axis=1, initial=0.0)
+        moved = np.abs(w - before).max(axis=1)
+        settled = moved <= TOLERANCE * np.abs(w).max(axis=1)
         if settled.any():
-            gap = duality_gap(cov, cross, y_var, soft[active], ridge[active], w)
-            active = active[~(settled & (gap <= TOLERANCE * y_var))]
+            gap = duality_gap(cov, cross, y_var, soft, ridge, w)
+            going = ~(settled & (gap <= TOLERANCE * y_var))
+            if not going.all():
+                active, cov, cross, y_var = active[going], cov[going], cross[going], y_var[going]
+                soft, ridge = soft[going], ridge[going]
         if len(active) == 0:
             break
     return weights
 
 
-def _fit(moments: Moments, segment: int, scale: np.ndarray, alpha: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    cov = moments.cov[segment] / np.outer(scale, scale)
-    cross = moments.cross[segment] / scale
-    return coordinate_descent(cov, cross, moments.y_var[segment], alpha, ratio)
+def _fit(moments: Moments, segments: list[int], scale: np.ndarray, alpha: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Weights by segment and grid point."""
+    pick = np.repeat(segments, len(alpha))
+    weights = coordinate_descent(
+        moments.cov[pick] / np.outer(scale, scale),
+        moments.cross[pick] / scale,
+        moments.y_var[pick],
+        np.tile(alpha, len(segments)),
+        np.tile(ratio, len(segments)),
+    )
+    return weights.reshape(len(segments), len(alpha), -1)
 
 
 def _predict(moments: Moments, segment: int, scale: np.ndarray, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -102,18 +110,14 @@ def elasticnet_forecast(
     def fit(batches):
         for row, moments, scored in problems(batches, width):
             train_scale = moments.scale[TRAIN_SEGMENT]
+            folds = [f for f, role in enumerate(FOLD_ROLES) if role in scored and moments.count[f] > 0]
+            if not folds:
+                continue
             errors = np.zeros(len(alpha))
-            folds = 0
-            for segment, role in enumerate(FOLD_ROLES):
-                if role not in scored or moments.count[segment] < 1:
-                    continue
-                x, y = scored[role]
-                weights = _fit(moments, segment, train_scale, alpha, ratio)
-                predicted = _predict(moments, segment, train_scale, weights, x) + row.y_shift
+            for fold, weights in zip(folds, _fit(moments, folds, train_scale, alpha, ratio)):
+                x, y = scored[FOLD_ROLES[fold]]
+                predicted = _predict(moments, fold, train_scale, weights, x) + row.y_shift
                 errors += np.abs(y - predicted)
-                folds += 1
-            if folds == 0:
-                continue
             best = int(np.argmin(errors))
             chosen = alpha[best : best + 1], ratio[best : best + 1]
             out = []
@@ -122,7 +126,7 @@ def elasticnet_forecast(
                     continue
                 x, y = scored[role]
                 scale = moments.scale[segment]
-                weights = _fit(moments, segment, scale, *chosen)
+                weights = _fit(moments, [segment], scale, *chosen)[0]
                 y_hat = _predict(moments, segment, scale, weights, x)[0] + row.y_shift
                 out.append((row.ticker, row.horizon, role, y, y_hat, alpha[best], ratio[best]))
             yield pd.DataFrame(

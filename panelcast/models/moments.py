@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelcast.models.roles import SEGMENTS, staged
+from panelcast.operators.panel import whole
 
 PREDICTION_SCHEMA = "ticker string, horizon int, role string, y double, y_hat double"
 # Variance below which a column counts as constant.
@@ -26,9 +27,8 @@ def moment_rows(frame: DataFrame, features: list[str], horizon: int) -> DataFram
     Values are shifted by the ticker's mean first, which keeps the sums of
     squares accurate. A group holds at most 8 segments and 7 scored rows.
     """
-    whole = Window.partitionBy("ticker")
     shifted = frame.withColumns(
-        {c: F.col(c) - F.avg(c).over(whole) for c in features} | {"y_shift": F.avg("price").over(whole)}
+        {c: F.col(c) - F.avg(c).over(whole()) for c in features} | {"y_shift": F.avg("price").over(whole())}
     )
     rows = staged(shifted, horizon).withColumn("t", F.col("y") - F.col("y_shift"))
     upper = [(i, j) for i in range(len(features)) for j in range(i, len(features))]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from panelcast.operators.panel import by_date, running
+from panelcast.operators.panel import by_date, running, whole
 
 
 def add_obv(panel: DataFrame, ties: str = "add") -> DataFrame:
@@ -141,8 +141,7 @@ def crossover_signal(df: DataFrame, first: str, second: str, patience: int, name
     candidate = F.when((F.col(first) > F.col(second)) & rises, "buy").when(
         (F.col(first) < F.col(second)) & falls, "sell"
     )
-    whole = by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    opening = F.first("_candidate", ignorenulls=True).over(whole)
+    opening = F.first("_candidate", ignorenulls=True).over(whole())
     opposite = F.when(opening == "buy", "sell").when(opening == "sell", "buy")
     held = F.last("_candidate", ignorenulls=True).over(running())
     before_first = F.when(F.row_number().over(by_date()) > 1, opposite)

@@ -32,6 +32,11 @@ def request_date(market: Market) -> dt.date:
     return latest - dt.timedelta(days=max(latest.weekday() - 4, 0))
 
 
+def whole() -> WindowSpec:
+    """All rows of a ticker, in the order the other windows sort by."""
+    return by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def business_day_spine(bars: DataFrame, end: dt.date) -> DataFrame:
     """Every business day from a ticker's first business-day bar to ``end``."""
     first = (
@@ -103,7 +108,7 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
     return kept.withColumns(
         {
             "rn": (F.row_number().over(by_date()) - 1).cast("long"),
-            "n": F.count(F.lit(1)).over(Window.partitionBy("ticker")),
+            "n": F.count(F.lit(1)).over(whole()),
         }
     )
 

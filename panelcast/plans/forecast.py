@@ -13,8 +13,10 @@ from panelcast.functions.errors import error_measures
 from panelcast.functions.scalars import round_half_even
 from panelcast.models.arima import arima_forecast
 from panelcast.models.elasticnet import elasticnet_forecast
+from panelcast.models.goss import goss_forecast
 from panelcast.models.knn import knn_tuned
 from panelcast.models.linear import linear_forecast
+from panelcast.models.trees import forest_forecast, gbt_forecast
 from panelcast.operators.features import feature_columns, model_frame
 from panelcast.operators.panel import build_panel, request_date
 from panelcast.session import materialize
@@ -23,31 +25,13 @@ from panelcast.sources.market import Market
 PREDICTION = ["ticker", "model", "horizon", "role", "y", "y_hat"]
 
 
-def _gbt(frame, features, horizon):
-    from panelcast.models.trees import gbt_forecast
-
-    return gbt_forecast(frame, features, horizon)
-
-
-def _forest(frame, features, horizon):
-    from panelcast.models.trees import forest_forecast
-
-    return forest_forecast(frame, features, horizon)
-
-
-def _goss(frame, features, horizon):
-    from panelcast.models.goss import goss_forecast
-
-    return goss_forecast(frame, features, horizon)
-
-
 MODELS = {
     "Linear": linear_forecast,
     "ElasticNet": elasticnet_forecast,
     "KNN": knn_tuned,
-    "XGB_GBT": _gbt,
-    "LGB_RandomForest": _forest,
-    "LGB_GOSS": _goss,
+    "XGB_GBT": gbt_forecast,
+    "LGB_RandomForest": forest_forecast,
+    "LGB_GOSS": goss_forecast,
     "ARIMA": lambda frame, features, horizon: arima_forecast(frame, horizon),
 }
 

@@ -52,8 +52,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Run ``df`` once and keep it as a reliable checkpoint.
 
-    The copy lives in the shared folder, so a lost executor does not lose it,
-    and it keeps the partitioning of ``df`` for the operators that follow.
+    The copy lives in the shared folder, so a lost executor does not lose it and
+    nothing before it runs again.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
