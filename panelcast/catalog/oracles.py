@@ -399,6 +399,39 @@ SHIFTS = ", ".join(
     f"{plus_days('date', str(n))} AS plus_{n}, {minus_days('date', str(n))} AS minus_{n}" for n in (1, 5, 20, 250)
 )
 
+IMPUTED = ["close", "high", "low", "volume", "kospi", "weekday"]
+
+
+def imputed() -> str:
+    """Every open cell against every donor of its ticker, nearest five kept."""
+    shared = " + ".join(f"CAST(q.{c} IS NOT NULL AND d.{c} IS NOT NULL AS INTEGER)" for c in IMPUTED)
+    square = " + ".join(f"coalesce((q.{c} - d.{c}) * (q.{c} - d.{c}), 0)" for c in IMPUTED)
+    parts = ["known AS (SELECT *, CAST(isodow(date) - 1 AS DOUBLE) AS weekday FROM joined)"]
+    for c in IMPUTED:
+        parts.append(f"""
+near_{c} AS (
+  SELECT q.ticker, q.date, d.{c} AS v, row_number() OVER (PARTITION BY q.ticker, q.date
+    ORDER BY ({square}) * ({len(IMPUTED)}.0::DOUBLE / ({shared})), d.date) AS nth
+  FROM known q JOIN known d ON d.ticker = q.ticker
+  WHERE q.{c} IS NULL AND d.{c} IS NOT NULL AND {shared} > 0
+),
+fill_{c} AS (SELECT ticker, date, avg(v) AS v FROM near_{c} WHERE nth <= 5 GROUP BY ticker, date),
+mean_{c} AS (SELECT ticker, avg({c}) AS m, min({c}) AS lo, max({c}) AS hi FROM known GROUP BY ticker)""")
+    whole = {"volume", "weekday"}
+    shown = []
+    for c in IMPUTED:
+        value = f"coalesce(k.{c}, fill_{c}.v, mean_{c}.m)"
+        if c in whole:
+            value = f"least(greatest(round_even({value}, 0), mean_{c}.lo), mean_{c}.hi)"
+        shown.append(r(value, 6, c))
+    joins = "".join(
+        f"LEFT JOIN fill_{c} ON fill_{c}.ticker = k.ticker AND fill_{c}.date = k.date "
+        f"LEFT JOIN mean_{c} ON mean_{c}.ticker = k.ticker\n"
+        for c in IMPUTED
+    )
+    return ctes(*BASE, JOINED, *parts) + f"SELECT k.ticker, k.date, {', '.join(shown)} FROM known k\n{joins}"
+
+
 ORACLES: dict[str, str] = {
     "scan_listing": f"SELECT * FROM ({CUSTOMER_LISTING}) WHERE market IN ('BUILDING', 'MACHINERY')",
     "listing_union": f"{CUSTOMER_LISTING} UNION ALL {SUPPLIER_LISTING}",
@@ -502,6 +535,7 @@ WHERE rn = n_train - 5 + f.fold OR rn <= n_train - 7 + f.fold""",
     "label_encode": """WITH p AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT o_orderpriority AS v FROM orders)),
 s AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT o_orderstatus AS v FROM orders))
 SELECT o_orderkey, p.code AS o_orderpriority, s.code AS o_orderstatus FROM orders LEFT JOIN p ON p.v = o_orderpriority LEFT JOIN s ON s.v = o_orderstatus""",
+    "knn_impute": imputed(),
     "one_hot": "SELECT event_id, "
     + ", ".join(
         f"CAST(event_type = '{e}' AS BIGINT) AS event_type_{e}" for e in ("click", "error", "purchase", "signup", "view")

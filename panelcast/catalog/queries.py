@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.functions import calendar
 from panelcast.models import arima, elasticnet, goss, knn, linear, trees
-from panelcast.operators import encoders, evaluate, features as feat, indicators, panel, reshape, splits
+from panelcast.operators import encoders, evaluate, features as feat, impute, indicators, panel, reshape, splits
 from panelcast.plans import forecast, report
 from panelcast.session import scratch_path
 from panelcast.sources import listing, market, statements
@@ -320,6 +320,15 @@ def one_hot(spark, folder):
     return as_long(encoded, *[c for c in encoded.columns if c.startswith("event_type_")])
 
 
+@query
+def knn_impute(spark, folder):
+    """Days without a bar filled from the days with the most similar index level and weekday."""
+    joined = panel.spine_join(market.load_market(spark, folder))
+    known = joined.withColumn("weekday", F.weekday("date").cast("double"))
+    columns = ["close", "high", "low", "volume", "kospi", "weekday"]
+    return rounded(impute.knn_impute(known, columns, categorical=["volume", "weekday"]))
+
+
 # --- models ----------------------------------------------------------------
 
 
