@@ -199,9 +199,10 @@ INDEPENDENT = [c for c in FEATURES if c != "mfi_signal_sell"]
 def linear_parts() -> list[str]:
     cols = INDEPENDENT
     p = len(cols)
-    sums = [f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(cols)]
-    sums += [f"corr({cols[i]}, {cols[j]}) AS c{i}{j}" for i in range(p) for j in range(i)]
-    sums += [f"covar_pop({c}, y) / stddev_pop({c}) AS b{i}" for i, c in enumerate(cols)]
+    # A column without spread gets weight zero.
+    sums = [f"avg({c}) AS m{i}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s{i}" for i, c in enumerate(cols)]
+    sums += [f"covar_pop({cols[i]}, {cols[j]}) / (s{i} * s{j}) AS c{i}{j}" for i in range(p) for j in range(i)]
+    sums += [f"covar_pop({c}, y) / s{i} AS b{i}" for i, c in enumerate(cols)]
     lines = []
     for j in range(p):
         dot = "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
@@ -358,13 +359,13 @@ FROM series WINDOW m AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN {average
 
 
 def ewm(table: str, column: str, name: str) -> str:
-    """Direct weighted sums over the last 100 rows, span 5, five known values needed."""
+    """Direct weighted sums over all earlier rows, span 5, five known values needed."""
     return f"""
 {name} AS (
   SELECT a.ticker, a.pos,
     CASE WHEN max(a.known) >= 5 THEN sum(pow(2.0 / 3, a.pos - b.pos) * b.{column}) / sum(pow(2.0 / 3, a.pos - b.pos)) END AS {name}
   FROM (SELECT *, count({column}) OVER (PARTITION BY ticker ORDER BY pos) AS known FROM {table}) a
-  LEFT JOIN {table} b ON b.ticker = a.ticker AND b.pos BETWEEN a.pos - 100 AND a.pos AND b.{column} IS NOT NULL
+  LEFT JOIN {table} b ON b.ticker = a.ticker AND b.pos <= a.pos AND b.{column} IS NOT NULL
   GROUP BY a.ticker, a.pos
 )"""
 
@@ -381,7 +382,7 @@ ON s.ticker = x.ticker AND s.horizon = x.horizon AND s.fit = CASE WHEN x.role IN
 
 CORR_COLUMNS = sorted([*INDEPENDENT, "y"])
 CORR = " UNION ALL ".join(
-    f"SELECT ticker, '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 3) + 0.0 AS corr FROM staged WHERE horizon = 1 AND y IS NOT NULL GROUP BY ticker"
+    f"SELECT ticker, '{a}' AS col_a, '{b}' AS col_b, CASE WHEN var_pop({a}) > 0 AND var_pop({b}) > 0 THEN round(corr({a}, {b}), 3) + 0.0 END AS corr FROM staged WHERE horizon = 1 AND y IS NOT NULL GROUP BY ticker"
     for i, a in enumerate(CORR_COLUMNS)
     for b in CORR_COLUMNS[i + 1 :]
 )
@@ -491,17 +492,17 @@ FROM fast JOIN slow_k USING (ticker, pos) JOIN slow_d USING (ticker, pos)""",
 WINDOW a AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
   b AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
     "breakthrough": ctes(
-        *TO_PANEL,
+        *TO_INDICATED,
         """
 crossed AS (
-  SELECT ticker, date, close, row_number() OVER w AS pos, CASE WHEN count(close) OVER a >= 20 THEN avg(close) OVER a END AS ma20,
+  SELECT ticker, date, close, pos, obv, CASE WHEN count(obv) OVER a >= 20 THEN avg(obv) OVER a END AS ma20,
     lead(close, 1) OVER w AS c1, lead(close, 2) OVER w AS c2
-  FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date),
+  FROM indicated WINDOW w AS (PARTITION BY ticker ORDER BY date),
     a AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
 ),
 cand AS (
-  SELECT *, CASE WHEN close > ma20 AND coalesce(c1 > close, TRUE) AND coalesce(c2 > close, TRUE) THEN 'buy'
-    WHEN close < ma20 AND coalesce(c1 < close, TRUE) AND coalesce(c2 < close, TRUE) THEN 'sell' END AS cand FROM crossed
+  SELECT *, CASE WHEN obv > ma20 AND coalesce(c1 > close, TRUE) AND coalesce(c2 > close, TRUE) THEN 'buy'
+    WHEN obv < ma20 AND coalesce(c1 < close, TRUE) AND coalesce(c2 < close, TRUE) THEN 'sell' END AS cand FROM crossed
 ),
 firsts_of AS (SELECT ticker, arg_min(cand, pos) AS opening FROM cand WHERE cand IS NOT NULL GROUP BY ticker)""",
     )

@@ -215,9 +215,10 @@ def moving_avg(spark, folder):
 
 @query
 def breakthrough(spark, folder):
-    """Close crossing its 20-day mean, confirmed by the two closes after it."""
-    averaged = filled_panel(spark, folder).withColumn("ma20", indicators.moving_average(F.col("close"), 20))
-    found = indicators.crossover_signal(averaged, "close", "ma20", patience=2)
+    """On-balance volume crossing its 20-day mean, confirmed by the two closes after it."""
+    volume = indicators.add_obv(filled_panel(spark, folder))
+    averaged = volume.withColumn("obv_ma", indicators.moving_average(F.col("obv"), 20))
+    found = indicators.crossover_signal(averaged, "obv", "obv_ma", patience=2)
     return found.select("ticker", "date", "close", "signal")
 
 

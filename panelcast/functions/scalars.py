@@ -31,4 +31,4 @@ def horizon_label(horizon: Column) -> Column:
 def null_if_nan(df: DataFrame) -> DataFrame:
     """Replace NaN by NULL in every floating column, as Spark sorts NaN above all numbers."""
     floats = [c for c, t in df.dtypes if t in ("double", "float")]
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in floats})
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)) for c in floats})

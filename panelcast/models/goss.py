@@ -126,7 +126,7 @@ def goss_forecast(
 
         points = [(g, f) for g in range(len(grid)) for f in range(len(FOLD_ROLES))]
         if len(grid) > 1:
-            errors = run_fits([lambda g=g, f=f: fold_error(g, f) for g, f in points])
+            errors = run_fits(frame.sparkSession, [lambda g=g, f=f: fold_error(g, f) for g, f in points])
             best = best_of(grid, dict(zip(points, errors)))
         else:
             best = 0

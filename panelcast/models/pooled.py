@@ -12,7 +12,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.models.roles import FOLD_ROLES, FULL_SEGMENT, TRAIN_SEGMENT, staged
 from panelcast.operators.panel import running
@@ -47,10 +47,10 @@ def scored(rows: DataFrame, role: str) -> DataFrame:
     return rows.where(F.col("role") == role)
 
 
-def run_fits(jobs: list[Callable]) -> list:
+def run_fits(spark: SparkSession, jobs: list[Callable]) -> list:
     """Run independent fits side by side from the driver."""
     with ThreadPool(min(PARALLEL_FITS, len(jobs))) as pool:
-        return pool.map(lambda job: job(), [inheritable_thread_target(job) for job in jobs])
+        return pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs])
 
 
 def rmse(predicted: DataFrame, prediction: str = "prediction") -> float:

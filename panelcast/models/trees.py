@@ -63,7 +63,7 @@ def gbt_forecast(
             return fitted.evaluateEachIteration(scored(data, FOLD_ROLES[fold]), "squared")
 
         points = [(g, f) for g in range(len(min_rows)) for f in range(len(FOLD_ROLES))]
-        losses = run_fits([lambda g=g, f=f: fold_losses(min_rows[g], f) for g, f in points])
+        losses = run_fits(frame.sparkSession, [lambda g=g, f=f: fold_losses(min_rows[g], f) for g, f in points])
         by_point = dict(zip(points, losses))
         best = best_of(min_rows, {p: loss[-1] ** 0.5 for p, loss in by_point.items()})
         iterations = [by_point[best, f].index(min(by_point[best, f])) + 1 for f in range(len(FOLD_ROLES))]
@@ -73,7 +73,7 @@ def gbt_forecast(
             fitted = model(min_rows[best], count).fit(training(data, segment))
             return as_forecast(fitted.transform(scored(data, role)))
 
-        return run_fits([lambda r=r, s=s: phase(r, s) for r, s in PHASES.items()])
+        return run_fits(frame.sparkSession, [lambda r=r, s=s: phase(r, s) for r, s in PHASES.items()])
 
     return reduce(DataFrame.unionByName, [df for h in range(1, horizon + 1) for df in one_step(h)])
 
@@ -102,13 +102,13 @@ def forest_forecast(
             return rmse(fitted.transform(scored(data, FOLD_ROLES[fold])))
 
         points = [(g, f) for g in range(len(depths)) for f in range(len(FOLD_ROLES))]
-        errors = run_fits([lambda g=g, f=f: fold_error(depths[g], f) for g, f in points])
+        errors = run_fits(frame.sparkSession, [lambda g=g, f=f: fold_error(depths[g], f) for g, f in points])
         best = best_of(depths, dict(zip(points, errors)))
 
         def phase(role: str, segment: int) -> DataFrame:
             fitted = model(depths[best]).fit(training(data, segment))
             return as_forecast(fitted.transform(scored(data, role)))
 
-        return run_fits([lambda r=r, s=s: phase(r, s) for r, s in PHASES.items()])
+        return run_fits(frame.sparkSession, [lambda r=r, s=s: phase(r, s) for r, s in PHASES.items()])
 
     return reduce(DataFrame.unionByName, [df for h in range(1, horizon + 1) for df in one_step(h)])

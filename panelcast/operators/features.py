@@ -114,7 +114,15 @@ def scale_split(split: DataFrame, columns: list[str], kind: str) -> DataFrame:
 
 
 def correlation_pairs(frame: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
-    """Rounded correlation of every column pair per ticker, in one aggregation."""
+    """Rounded correlation of every column pair per ticker, in one aggregation.
+
+    A column without spread has no correlation, so its pairs are NULL.
+    """
+
+    def correlation(a: str, b: str):
+        spread = F.stddev_pop(a) * F.stddev_pop(b)
+        return F.try_divide(F.covar_pop(a, b), spread)
+
     pairs = list(combinations(sorted(columns), 2))
     wide = frame.groupBy("ticker").agg(
         F.array(
@@ -122,7 +130,7 @@ def correlation_pairs(frame: DataFrame, columns: list[str], digits: int = 3) ->
                 F.struct(
                     F.lit(a).alias("col_a"),
                     F.lit(b).alias("col_b"),
-                    F.round(F.corr(a, b), digits).alias("corr"),
+                    F.round(correlation(a, b), digits).alias("corr"),
                 )
                 for a, b in pairs
             ]

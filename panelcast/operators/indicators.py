@@ -81,8 +81,9 @@ def ewm_mean(df: DataFrame, column: str, span: int, name: str) -> DataFrame:
     """Exponentially weighted mean with ``min_periods = span``.
 
     Weights fall by a constant factor for every row back, null rows included,
-    and are normalised over the known values. The frame ends where weights no
-    longer reach the last bit, so the state of a row has a fixed size.
+    and are normalised over the known values. A known value weighs one at its own
+    row, so its frame can end where weights no longer reach the last bit. At a
+    null row all weights shrink alike, so the mean stays what it was.
     """
     decay = 1 - 2 / (span + 1)
     lookback = ewm_lookback(span)
@@ -101,14 +102,16 @@ def ewm_mean(df: DataFrame, column: str, span: int, name: str) -> DataFrame:
     return (
         df.withColumn("_pos", position)
         .withColumns({"_recent": recent, "_known": F.count(column).over(running())})
-        .withColumn("_sums", sums)
+        .withColumn("_sums", F.when(F.col(column).isNotNull(), sums))
         .withColumn(
-            name,
+            "_mean",
             F.when(
-                F.col("_known") >= span, F.try_divide(F.col("_sums.xw"), F.col("_sums.w"))
+                F.col(column).isNotNull() & (F.col("_known") >= span),
+                F.col("_sums.xw") / F.col("_sums.w"),
             ),
         )
-        .drop("_pos", "_recent", "_known", "_sums")
+        .withColumn(name, F.last("_mean", ignorenulls=True).over(running()))
+        .drop("_pos", "_recent", "_known", "_sums", "_mean")
     )
 
 

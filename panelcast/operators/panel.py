@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from panelcast.functions.calendar import explode_business_days, is_business_day
+from panelcast.functions.scalars import null_if_nan
 from panelcast.sources.market import Market, bars_between
 
 KEYS = ["ticker", "date"]
@@ -51,16 +52,17 @@ def business_day_spine(bars: DataFrame, end: dt.date) -> DataFrame:
 def spine_join(market: Market, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
     """Left-join bars, flows and index to the spine.
 
-    Weekend bars vanish and days without a bar become null rows. The index has
-    one row per calendar day, whatever the number of trades, so it is broadcast.
+    Weekend bars vanish and days without a bar become null rows. Bars and flows
+    hold at most one row per ticker and day, and NaN counts as null. The index
+    has one row per calendar day, whatever the number of trades, so it is broadcast.
     """
     end = end or request_date(market)
-    bars = bars_between(market.bars, start, end)
+    bars = null_if_nan(bars_between(market.bars, start, end))
     panel = business_day_spine(bars, end).join(bars, KEYS, "left")
     if market.flows is not None:
-        panel = panel.join(market.flows, KEYS, "left")
+        panel = panel.join(null_if_nan(market.flows), KEYS, "left")
     if market.index is not None:
-        panel = panel.join(F.broadcast(market.index), "date", "left")
+        panel = panel.join(F.broadcast(null_if_nan(market.index)), "date", "left")
     values = [c for c in panel.columns if c not in KEYS]
     return panel.select(*KEYS, *values)
 
