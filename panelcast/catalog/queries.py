@@ -10,7 +10,7 @@ from panelcast.functions import calendar
 from panelcast.models import arima, elasticnet, goss, knn, linear, trees
 from panelcast.operators import encoders, evaluate, features as feat, impute, indicators, panel, reshape, splits
 from panelcast.plans import forecast, report
-from panelcast.session import scratch_path
+from panelcast.session import materialize, scratch_path
 from panelcast.sources import listing, market, statements
 from panelcast.sources.tables import read_table
 
@@ -401,6 +401,7 @@ def goss_sample(spark, folder):
     """One-side sample of all labelled rows by the size of their next change."""
     stepped = feat.with_horizons(dense(spark, folder), 1).where(F.col("y").isNotNull())
     changes = stepped.select("ticker", "date", (F.col("y") / F.col("price") - 1).alias("residual"))
+    changes = materialize(changes)
     return rounded(goss.goss_sample(changes, "residual", ["ticker", "date"]))
 
 
@@ -514,7 +515,7 @@ def forecast_request(spark, folder):
 @query
 def stmt_long(spark, folder):
     """Yearly statements spread to one column per year and folded back."""
-    wide = statements.wide_statements(statements.order_statements(spark, folder))
+    wide = statements.wide_statements(materialize(statements.order_statements(spark, folder)))
     return rounded(statements.long_statements(wide), 2)
 
 
@@ -528,7 +529,7 @@ def stmt_roundtrip(spark, folder):
 @query
 def stmt_first_sector(spark, folder):
     """A brand's sales come from the first part type, by name, that has the brand."""
-    table = statements.part_statements(spark, folder)
+    table = materialize(statements.part_statements(spark, folder))
     ranks = encoders.ordinal_codes(table.select(F.lit("sector").alias("col"), F.col("sector").alias("value")))
     sectors = ranks.select(F.col("value").alias("sector"), F.col("code").alias("sector_ord"))
     return rounded(statements.first_sector_statements(table, sectors), 2)

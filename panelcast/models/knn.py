@@ -1,7 +1,8 @@
 """k-nearest-neighbour regression for every ticker and step.
 
-Seven rows per ticker and step are predicted (five folds, validation, test), so
-the join with the training rows grows linearly with the history.
+Seven rows per ticker and step are predicted (five folds, validation, test).
+Every training row carries these seven, so distances grow linearly with the
+history and need neither a join nor a second shuffle.
 """
 
 from __future__ import annotations
@@ -23,42 +24,45 @@ def knn_predictions(frame: DataFrame, features: list[str], horizon: int, ks: lis
     rows for the test row. Equal distances are ordered by position.
     """
     rows = staged(frame, horizon)
-    ranges = rows.groupBy(*KEYS).agg(
-        *[
-            e.alias(f"{c}_{name}_{segment}")
-            for c in features
-            for segment in (TRAIN_SEGMENT, FULL_SEGMENT)
-            for known in [F.when(F.col("segment") <= segment, F.col(c))]
-            for name, e in (("low", F.min(known)), ("high", F.max(known)))
-        ]
-    )
+    group = Window.partitionBy(*KEYS)
 
     def spread(c: str):
+        """Range of the training rows, over the days of one ticker and step."""
+
         def width(segment: int):
-            value = F.col(f"{c}_high_{segment}") - F.col(f"{c}_low_{segment}")
+            known = F.when(F.col("segment") <= segment, F.col(c))
+            value = F.max(known).over(group) - F.min(known).over(group)
             return F.when(value == 0, 1.0).otherwise(value)
 
         return F.when(F.col("role") == "test", width(FULL_SEGMENT)).otherwise(width(TRAIN_SEGMENT))
 
-    queries = (
-        rows.where(F.col("role").isNotNull())
-        .join(ranges, KEYS)
-        .select(
-            *KEYS,
-            "role",
-            F.col("y").alias("actual"),
-            last_train_row(F.col("role")).alias("last_row"),
-            *[F.col(c).alias(f"q_{c}") for c in features],
-            *[spread(c).alias(f"s_{c}") for c in features],
-        )
+    query = F.struct(
+        F.col("role").alias("query"),
+        F.col("y").alias("actual"),
+        last_train_row(F.col("role")).alias("last_row"),
+        *[F.col(c).alias(f"q_{c}") for c in features],
+        *[F.col(f"s_{c}") for c in features],
+    )
+    scaled = rows.withColumns({f"s_{c}": spread(c) for c in features})
+    asked = scaled.withColumn(
+        "queries", F.collect_list(F.when(F.col("role").isNotNull(), query)).over(group)
+    )
+    pairs = (
+        asked.where(F.col("segment").isNotNull())
+        .select(*KEYS, "rn", "y", *features, F.inline("queries"))
+        .where(F.col("rn") <= F.col("last_row"))
     )
-    donors = rows.where(F.col("segment").isNotNull()).select(*KEYS, "rn", "y", *features)
     squares = [F.pow((F.col(f"q_{c}") - F.col(c)) / F.col(f"s_{c}"), F.lit(2)) for c in features]
     near = Window.partitionBy(*KEYS, "role").orderBy("distance", "rn")
     ranked = (
-        queries.join(donors, KEYS)
-        .where(F.col("rn") <= F.col("last_row"))
-        .select(*KEYS, "role", "actual", "rn", "y", sum(squares[1:], squares[0]).alias("distance"))
+        pairs.select(
+            *KEYS,
+            F.col("query").alias("role"),
+            "actual",
+            "rn",
+            "y",
+            sum(squares[1:], squares[0]).alias("distance"),
+        )
         .withColumn("rank", F.row_number().over(near))
         .where(F.col("rank") <= max(ks))
     )

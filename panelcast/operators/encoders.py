@@ -45,7 +45,7 @@ def fit_label_encoder(df: DataFrame, columns: list[str], preset: DataFrame | Non
             *[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in open_columns]
         )
         frames.append(ordinal_codes(df.select(F.inline(pairs))))
-    return reduce(DataFrame.unionByName, frames)
+    return materialize(reduce(DataFrame.unionByName, frames))
 
 
 def apply_label_encoder(df: DataFrame, dictionary: DataFrame, columns: list[str]) -> DataFrame:

@@ -46,16 +46,19 @@ def leaderboard(performance: DataFrame, horizon: int) -> DataFrame:
     deviation is the sample one, NULL for a single step. The best row takes the
     lowest value of every step and -1 as its running time.
     """
-    percent = performance.select(
+    step = Window.partitionBy("ticker", "horizon").orderBy(F.col("score").asc_nulls_last(), "model")
+    ranked = performance.select(
         "ticker", "model", "horizon", (F.col("nmae") * 100).alias("score"), "running_time"
+    ).withColumn("_rank", F.row_number().over(step))
+    # The best row of every step counts twice: for its model and for best_model.
+    own = F.struct("model", "running_time")
+    best = F.struct(F.lit("best_model").alias("model"), F.lit(-1.0).alias("running_time"))
+    counted = F.when(F.col("_rank") == 1, F.array(own, best)).otherwise(F.array(own))
+    rows = ranked.select("ticker", "horizon", "score", F.inline(counted)).withColumn(
+        "gap", horizon_label(F.col("horizon"))
     )
-    best = percent.groupBy("ticker", "horizon").agg(F.min("score").alias("score")).select(
-        "ticker", F.lit("best_model").alias("model"), "horizon", "score", F.lit(-1.0).alias("running_time")
-    )
-    rows = percent.unionByName(best).withColumn("gap", horizon_label(F.col("horizon")))
     gaps = [f"time_gap_{h}" for h in range(1, horizon + 1)]
-    keys = ["ticker", "model"]
-    return rows.groupBy(*keys).agg(
+    return rows.groupBy("ticker", "model").agg(
         *[F.max(F.when(F.col("gap") == gap, F.col("score"))).alias(gap) for gap in gaps],
         F.avg("score").alias("avg"),
         F.stddev_samp("score").alias("std"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from panelcast.functions.scalars import log1p_columns, trading_amount
 from panelcast.operators.encoders import one_hot
@@ -75,42 +75,33 @@ def sequence_windows(frame: DataFrame, features: list[str], length: int = 5) ->
     return frame.withColumn("sequence", steps).where(F.size("sequence") == length)
 
 
-def train_statistics(split: DataFrame, columns: list[str], keys: list[str], kind: str) -> DataFrame:
-    """Centre and scale of every column over the given (training) rows.
-
-    ``standard`` uses mean and population deviation, ``minmax`` minimum and
-    range. A scale of zero becomes one.
-    """
-    exprs = []
-    for c in columns:
-        if kind == "standard":
-            centre, scale = F.avg(c), F.stddev_pop(c)
-        elif kind == "minmax":
-            centre, scale = F.min(c), F.max(c) - F.min(c)
-        else:
-            raise ValueError(f"unknown scaler {kind!r}")
-        exprs += [
-            centre.alias(f"{c}_centre"),
-            F.when(scale == 0, 1.0).otherwise(scale).alias(f"{c}_scale"),
-        ]
-    return split.groupBy(*keys).agg(*exprs)
-
-
-# Each phase is scaled by the rows it is fitted on: (fitted role, applied role).
-PHASES = {"train": ("train", "validation"), "full": ("full", "test")}
+def centre_and_scale(column: Column, kind: str, group: WindowSpec) -> tuple[Column, Column]:
+    """Mean and population deviation, or minimum and range; a scale of zero becomes one."""
+    if kind == "standard":
+        centre, scale = F.avg(column).over(group), F.stddev_pop(column).over(group)
+    elif kind == "minmax":
+        centre = F.min(column).over(group)
+        scale = F.max(column).over(group) - centre
+    else:
+        raise ValueError(f"unknown scaler {kind!r}")
+    return centre, F.when(scale == 0, 1.0).otherwise(scale)
 
 
 def scale_split(split: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    """Scale every role by the statistics of the rows its model is fitted on."""
-    keys = ["ticker", "horizon", "fitted_on"]
-    fitted_on = F.when(F.col("role").isin(*PHASES["train"]), "train").otherwise("full")
+    """Scale every role by the statistics of the rows its model is fitted on.
+
+    ``train`` serves itself and ``validation``, ``full`` itself and ``test``.
+    The statistics are windows over a ticker's days, which already sit together.
+    """
+    fitted_on = F.when(F.col("role").isin("train", "validation"), "train").otherwise("full")
+    group = Window.partitionBy("ticker", "horizon", "fitted_on")
     phased = split.withColumn("fitted_on", fitted_on)
-    fitted = phased.where(F.col("role") == F.col("fitted_on"))
-    statistics = train_statistics(fitted, columns, keys, kind)
-    scaled = {c: (F.col(c) - F.col(f"{c}_centre")) / F.col(f"{c}_scale") for c in columns}
-    return phased.join(statistics, keys).select(
-        "ticker", "date", "horizon", "role", *[expr.alias(c) for c, expr in scaled.items()]
-    )
+    scaled = []
+    for c in columns:
+        fitted = F.when(F.col("role") == F.col("fitted_on"), F.col(c))
+        centre, scale = centre_and_scale(fitted, kind, group)
+        scaled.append(((F.col(c) - centre) / scale).alias(c))
+    return phased.select("ticker", "date", "horizon", "role", *scaled)
 
 
 def correlation_pairs(frame: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:

@@ -277,6 +277,17 @@ def test_job_dates_and_rounding(spark, data):
         assert r["forecast"] == round(r["forecast"]) and r["r2"] is None
 
 
+def test_short_histories_do_not_break_the_job(spark, data):
+    short = random_bars(np.random.default_rng(1), 15, "S")
+    tiny = random_bars(np.random.default_rng(2), 5, "T")
+    market = market_of(spark, pd.concat([data, short, tiny], ignore_index=True))
+    models = ["Linear", "ElasticNet", "KNN", "ARIMA"]
+    rows = forecast.forecast_job(market, models, HORIZON).collect()
+    assert {r["ticker"] for r in rows if r["forecast"] is not None} >= {"A", "B"}
+    long = [r for r in rows if r["ticker"] in "AB"]
+    assert len(long) == 2 * HORIZON * len(models) and all(r["nmae"] is not None for r in long)
+
+
 def test_goss_keeps_the_top_and_stays_unbiased(spark):
     rng = np.random.default_rng(8)
     n = 20_000
