@@ -335,7 +335,7 @@ REQUEST_START = f"(SELECT {minus_days('last_day', '250')} FROM request)"
 REQUEST_SPINE = spine().replace("DATE '0001-01-01'", REQUEST_START)
 REQUEST_PARTS = [
     TRADES, BARS, FLOWS, INDEX, REQUEST_SPINE, JOINED, PANEL, INDICATED, DENSE, FRAME, staged(20), ROLES,
-    *knn_parts((3, 5, 7)), KNN_TUNED, *arima_parts(20),
+    *linear_parts(), *knn_parts((3, 5, 7)), KNN_TUNED, *arima_parts(20),
 ]
 
 FORECASTS = f"""
@@ -424,7 +424,8 @@ mean_{c} AS (SELECT ticker, avg({c}) AS m, min({c}) AS lo, max({c}) AS hi FROM k
         value = f"coalesce(k.{c}, fill_{c}.v, mean_{c}.m)"
         if c in whole:
             value = f"least(greatest(round_even({value}, 0), mean_{c}.lo), mean_{c}.hi)"
-        shown.append(r(value, 6, c))
+        if c != "kospi":
+            shown.append(r(value, 6, c))
     joins = "".join(
         f"LEFT JOIN fill_{c} ON fill_{c}.ticker = k.ticker AND fill_{c}.date = k.date "
         f"LEFT JOIN mean_{c} ON mean_{c}.ticker = k.ticker\n"
@@ -442,7 +443,7 @@ ORACLES: dict[str, str] = {
     "bars_fine": f"""SELECT n_name AS ticker, CAST(o_orderdate AS DATE) AS date, {BAR_COLUMNS}
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""",
     "flows_daily": ctes(TRADES, FLOWS) + "SELECT * FROM flows",
-    "index_daily": ctes(INDEX) + f"SELECT date, {r('kospi')} FROM idx",
+    "index_daily": ctes(INDEX) + "SELECT date, kospi FROM idx",
     "business_days": ctes(TRADES, BARS)
     + """SELECT ticker, date FROM (SELECT ticker, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date
 FROM bars GROUP BY ticker) WHERE isodow(date) < 6""",
@@ -450,8 +451,8 @@ FROM bars GROUP BY ticker) WHERE isodow(date) < 6""",
 shifted AS (SELECT date, {SHIFTS} FROM days)
 SELECT o_orderkey, s.*, strftime(plus_1, '%Y%m%d') AS compact FROM orders JOIN shifted s ON s.date = CAST(o_orderdate AS DATE)""",
     "week_of_month": "SELECT o_orderkey, CAST((day(o_orderdate) + 6) // 7 AS BIGINT) AS week FROM orders",
-    "spine_join": ctes(*BASE, JOINED) + f"SELECT ticker, date, {', '.join(r(c) for c in VALUES)} FROM joined",
-    "ffill": ctes(*TO_PANEL) + f"SELECT ticker, date, {', '.join(r(c) for c in VALUES)} FROM panel",
+    "spine_join": ctes(*BASE, JOINED) + "SELECT * FROM joined",
+    "ffill": ctes(*TO_PANEL) + "SELECT * FROM panel",
     "null_audit": ctes(*BASE, JOINED)
     + "SELECT "
     + ", ".join(f"count(*) - count({c}) AS {c}_nulls" for c in ["ticker", "date", *VALUES])
@@ -555,7 +556,7 @@ SELECT o_orderkey, p.code AS o_orderpriority, s.code AS o_orderstatus FROM order
     "arima_forecast": ctes(*TO_DENSE, *arima_parts()) + forecast_rows("arima"),
     "goss_sample": ctes(
         *TO_STAGED,
-        "changes AS (SELECT ticker, date, y / price - 1 AS residual FROM staged WHERE horizon = 1 AND y IS NOT NULL)",
+        "changes AS (SELECT ticker, date, ln(1 + y) - ln(1 + price) AS residual FROM staged WHERE horizon = 1 AND y IS NOT NULL)",
         "cut AS (SELECT quantile_disc(abs(residual), 0.8) AS cut FROM changes)",
         """
 drawn AS (
@@ -584,7 +585,7 @@ UNION ALL SELECT s_name, s_acctbal, NULL, s_nationkey FROM supplier""",
     "chart_series": ctes(*TO_DENSE, *arima_parts(), FORECASTS) + "," + chart("dense", 20, 20),
     "chart_series_tail": ctes(*TO_DENSE, *arima_parts(), FORECASTS, f"tail AS (SELECT * FROM dense WHERE rn >= n - {HORIZON})") + "," + chart("tail", 5, 5),
     "forecast_job": job(["Linear", "KNN", "ARIMA"], ALL_MODELS, HORIZON),
-    "forecast_request": job(["KNN", "ARIMA"], REQUEST_PARTS, 20),
+    "forecast_request": job(["Linear", "KNN", "ARIMA"], REQUEST_PARTS, 20),
     "stmt_long": STATEMENTS,
     "stmt_roundtrip": STATEMENTS,
     "stmt_first_sector": """WITH sales AS (

@@ -100,7 +100,7 @@ def flows_daily(spark, folder):
 
 @query
 def index_daily(spark, folder):
-    return rounded(market.daily_index(spark, folder))
+    return market.daily_index(spark, folder)
 
 
 # --- calendar --------------------------------------------------------------
@@ -139,12 +139,12 @@ def week_of_month(spark, folder):
 
 @query
 def spine_join(spark, folder):
-    return rounded(panel.spine_join(market.load_market(spark, folder)))
+    return panel.spine_join(market.load_market(spark, folder))
 
 
 @query
 def ffill(spark, folder):
-    return rounded(filled_panel(spark, folder))
+    return filled_panel(spark, folder)
 
 
 @query
@@ -327,7 +327,7 @@ def knn_impute(spark, folder):
     joined = panel.spine_join(market.load_market(spark, folder))
     known = joined.withColumn("weekday", F.weekday("date").cast("double"))
     columns = ["close", "high", "low", "volume", "kospi", "weekday"]
-    return rounded(impute.knn_impute(known, columns, categorical=["volume", "weekday"]))
+    return rounded(impute.knn_impute(known, columns, categorical=["volume", "weekday"]).drop("kospi"))
 
 
 # --- models ----------------------------------------------------------------
@@ -400,7 +400,7 @@ def rf_forecast(spark, folder):
 def goss_sample(spark, folder):
     """One-side sample of all labelled rows by the size of their next change."""
     stepped = feat.with_horizons(dense(spark, folder), 1).where(F.col("y").isNotNull())
-    changes = stepped.select("ticker", "date", (F.col("y") / F.col("price") - 1).alias("residual"))
+    changes = stepped.select("ticker", "date", (F.log1p("y") - F.log1p("price")).alias("residual"))
     changes = materialize(changes)
     return rounded(goss.goss_sample(changes, "residual", ["ticker", "date"]))
 
@@ -505,7 +505,7 @@ def forecast_job(spark, folder):
 def forecast_request(spark, folder):
     """The same job as a request: 250 training days and 20 steps ahead."""
     loaded = market.load_market(spark, folder)
-    job = forecast.forecast_job(loaded, ["KNN", "ARIMA"], horizon=20, train_period=250)
+    job = forecast.forecast_job(loaded, CHECKED_MODELS, horizon=20, train_period=250)
     return rounded(as_long(job, "horizon"), 5)
 
 

@@ -61,13 +61,9 @@ def moment_rows(frame: DataFrame, features: list[str], horizon: int) -> DataFram
             F.col("scored.y").alias("ys"),
         )
     )
-    # The rows are few and short but costly to fit, so they are spread evenly.
-    return collected.repartition(spread_over(frame), "ticker", "horizon")
-
-
-def spread_over(frame: DataFrame) -> int:
-    spark = frame.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The rows are short but costly to fit, so every core gets a share of them.
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return collected.repartition(cores, "ticker", "horizon")
 
 
 @dataclass

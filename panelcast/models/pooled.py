@@ -1,8 +1,8 @@
 """Rows of all tickers in one training set, for tree models.
 
-Trees cannot share a training set of raw prices, so the label is the relative
-change of the price over the step; the forecast is the price times one plus the
-predicted change. One model per step learns from every ticker.
+Trees cannot share a training set of raw prices, so the label is the change of
+the logged price over the step and the forecast adds the predicted change to the
+last one. One model per step learns from every ticker.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def pooled_rows(frame: DataFrame, features: list[str], horizon: int) -> DataFram
     """
     levelled = frame.withColumn("close_level", F.avg("close").over(running()))
     levelled = levelled.withColumn("close_gap", F.col("close") - F.col("close_level"))
-    rows = staged(levelled, horizon).withColumn("label", F.col("y") / F.col("price") - 1)
+    rows = staged(levelled, horizon).withColumn("label", F.log1p("y") - F.log1p("price"))
     vector = VectorAssembler(inputCols=[*features, "close_level", "close_gap"], outputCol="features")
     kept = ["ticker", "date", "horizon", "price", "y", "label", "segment", "role", "features"]
     return materialize(vector.transform(rows).select(*kept))
@@ -71,7 +71,7 @@ def as_forecast(predicted: DataFrame, prediction: str = "prediction") -> DataFra
         F.col("horizon").cast("int").alias("horizon"),
         "role",
         "y",
-        (F.col("price") * (1 + F.col(prediction))).alias("y_hat"),
+        F.expm1(F.log1p("price") + F.col(prediction)).alias("y_hat"),
     )
 
 

@@ -10,9 +10,8 @@ from series import bars, by_ticker, spark_frame
 
 from panelcast import session
 from panelcast.operators import encoders, features, impute, reshape
-from panelcast.plans import report
+from panelcast.plans import company, report
 from panelcast.sources import listing, market, statements
-from panelcast.sources.tables import read_table
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -171,6 +170,20 @@ def test_transpose_keeps_nulls(spark):
     assert got == [("c", "per", None), ("c", "roe", 1.5)]
 
 
+def test_company_pages(spark, tmp_path):
+    store = statements.part_statements(spark, FOLDER)
+    names = [r[0] for r in store.select("sector").distinct().orderBy("sector").collect()]
+    sectors = spark.createDataFrame(list(enumerate(names)), "sector_ord int, sector string")
+    path = str(tmp_path / "published")
+    company.publish_statements(store, sectors, path)
+    shown = company.company_statements(spark, path, "Brand#1")
+    assert {k: v.count() > 0 for k, v in shown.items()} == {"cis": True, "bs": True, "cf": False}
+    assert shown["cis"].select("sector").distinct().count() == 1
+    assert all(t.count() == 0 for t in company.company_statements(spark, path, "nobody").values())
+    metrics = company.company_metrics(statements.order_metrics(spark, FOLDER), "NATION_3").collect()
+    assert {r["company"] for r in metrics} == {"NATION_3"} and len(metrics) == 4
+
+
 @pytest.mark.parametrize("horizon", [1, 6])
 def test_charts(spark, horizon):
     closes = spark_frame(spark, bars(range(1, 41))).select("ticker", "date", "close")
@@ -215,17 +228,57 @@ def test_bar_scan_is_pruned_and_filters_reach_it(spark, tmp_path):
     path = str(tmp_path / "bars")
     market.daily_bars(spark, FOLDER).write.parquet(path)
     stored = spark.read.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     kept = market.bars_between(stored, dt.date(1996, 1, 1), dt.date(1996, 6, 30), ["BUILDING"]).select("close")
     plan = kept._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(date" in plan and "EqualTo(ticker,BUILDING)" in plan
     assert "open" not in plan.split("ReadSchema")[1]
 
 
-def test_one_hot_trade_day_skew(spark):
-    """A ticker with nearly all trades gives the same bars as an even spread would."""
-    orders = read_table(spark, FOLDER, "orders")
-    got = market.daily_bars(spark, FOLDER).agg(F.sum("volume")).first()[0]
-    assert got == orders.join(read_table(spark, FOLDER, "customer"), F.col("o_custkey") == F.col("c_custkey")).count()
+@pytest.fixture
+def shuffled_joins(spark):
+    """No broadcasts, and thresholds small enough for the skew rule to act."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_one_customer_with_half_of_all_trades(spark, tmp_path, shuffled_joins):
+    """The hot customer's join partition is split, and the bars stay whole."""
+    rng = np.random.default_rng(6)
+    n = 200_000
+    orders = pd.DataFrame(
+        {
+            "o_orderkey": np.arange(n),
+            "o_custkey": np.where(rng.random(n) < 0.5, 7, rng.integers(0, 500, n)),
+            "o_totalprice": rng.integers(100, 9999, n) / 100,
+            "o_orderdate": pd.Timestamp("2000-01-03") + pd.to_timedelta(rng.integers(0, 60, n), "D"),
+            "o_orderpriority": rng.choice(["1-URGENT", "5-LOW"], n),
+        }
+    )
+    customer = pd.DataFrame(
+        {"c_custkey": np.arange(500), "c_mktsegment": [f"S{i % 5}" for i in range(500)], "c_nationkey": 0}
+    )
+    spark.createDataFrame(orders).repartition(8).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(customer).write.parquet(str(tmp_path / "customer.parquet"))
+    bars_df = market.daily_bars(spark, str(tmp_path))
+    got = bars_df.toPandas().set_index(["ticker", "date"]).sort_index()
+    assert "skew=true" in bars_df._jdf.queryExecution().executedPlan().toString()
+    joined = orders.merge(customer, left_on="o_custkey", right_on="c_custkey").sort_values("o_orderkey")
+    groups = joined.groupby([joined["c_mktsegment"], joined["o_orderdate"].dt.date])["o_totalprice"]
+    want = groups.agg(["first", "max", "min", "last", "count"])
+    np.testing.assert_array_equal(got.to_numpy(), want.to_numpy().astype(float))
 
 
 def test_shared_dir_follows_the_session(spark):
