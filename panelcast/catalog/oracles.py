@@ -440,6 +440,7 @@ ORACLES: dict[str, str] = {
     "listing_sorted": f"SELECT * FROM ({CUSTOMER_LISTING} UNION ALL {SUPPLIER_LISTING}) ORDER BY name, code",
     "listing_lookup": f"SELECT name, min(code) AS code, arg_min(market, code) AS market FROM ({CUSTOMER_LISTING}) l WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = CAST(l.code AS BIGINT)) GROUP BY name",
     "bars_daily": ctes(TRADES, BARS) + "SELECT * FROM bars",
+    "bars_roundtrip": ctes(TRADES, BARS) + "SELECT * FROM bars",
     "bars_fine": f"""SELECT n_name AS ticker, CAST(o_orderdate AS DATE) AS date, {BAR_COLUMNS}
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""",
     "flows_daily": ctes(TRADES, FLOWS) + "SELECT * FROM flows",
@@ -578,8 +579,8 @@ pairs_of AS (
     "best_models": ctes(*TO_PERFORMANCE) + f"SELECT ticker, horizon, arg_min(model, (nmae, model)) AS model, {r('min(nmae)', 6, 'nmae')} FROM perf GROUP BY ticker, horizon",
     "perf_union": ctes(*TO_STAGED, *knn_parts((3, 5, 7)), KNN_TUNED, *arima_parts(), predictions("ARIMA", "KNN"), PERFORMANCE)
     + f"SELECT ticker, model, horizon, {r('mae', 5)}, {r('mape', 5)}, {r('nmae', 5)}, {r('r2', 5)} FROM perf",
-    "row_concat": """SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, CAST(NULL AS BIGINT) AS nation FROM customer
-UNION ALL SELECT s_name, s_acctbal, NULL, s_nationkey FROM supplier""",
+    "row_concat": """SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS nation FROM customer
+UNION ALL SELECT s_name, s_acctbal, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier""",
     "forecast_round": ctes(*TO_STAGED, *knn_parts((3, 5, 7)), KNN_TUNED)
     + f"SELECT ticker, horizon, {plus_days('last_day', 'horizon')} AS date, round_even(y_hat, 0) AS forecast FROM knn_tuned, request WHERE role = 'test'",
     "chart_series": ctes(*TO_DENSE, *arima_parts(), FORECASTS) + "," + chart("dense", 20, 20),

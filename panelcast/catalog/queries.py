@@ -88,6 +88,14 @@ def bars_daily(spark, folder):
     return market.daily_bars(spark, folder)
 
 
+@query
+def bars_roundtrip(spark, folder):
+    """Bars stored by year and read back."""
+    path = scratch_path(spark, "bars")
+    market.write_bars(market.daily_bars(spark, folder), path)
+    return market.read_bars(spark, path)
+
+
 @query
 def bars_fine(spark, folder):
     return market.daily_bars(spark, folder, by="nation")
@@ -462,7 +470,7 @@ def row_concat(spark, folder):
         F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")
     )
     supplier = read_table(spark, folder, "supplier").select(
-        F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("long").alias("nation")
+        F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("string").alias("nation")
     )
     return reshape.concat_rows(customer, supplier)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +18,8 @@ ALPHAS = np.linspace(1e-3, 1e3, 100)
 RATIOS = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 MAX_ITER = 1000
 TOLERANCE = 1e-4
+# Tickers and steps solved together, which bounds the memory of a task.
+CHUNK = 16
 
 SCHEMA = (
     "ticker string, horizon int, role string, y double, y_hat double, alpha double, l1_ratio double"
@@ -73,21 +78,81 @@ def coordinate_descent(
     return weights
 
 
-def _fit(moments: Moments, segments: list[int], scale: np.ndarray, alpha: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    """Weights by segment and grid point."""
-    pick = np.repeat(segments, len(alpha))
+@dataclass
+class Fit:
+    """One training set of one ticker and step, with the row it is asked to predict."""
+
+    problem: int
+    role: str
+    moments: Moments
+    segment: int
+    scale: np.ndarray
+    x: np.ndarray
+    y: float
+
+    @property
+    def cov(self) -> np.ndarray:
+        return self.moments.cov[self.segment] / np.outer(self.scale, self.scale)
+
+    @property
+    def cross(self) -> np.ndarray:
+        return self.moments.cross[self.segment] / self.scale
+
+    def predict(self, weights: np.ndarray) -> np.ndarray:
+        centred = (self.x - self.moments.x_mean[self.segment]) / self.scale
+        return self.moments.y_mean[self.segment] + weights @ centred
+
+
+def solve(fits: list[Fit], alpha: np.ndarray, ratio: np.ndarray) -> list[np.ndarray]:
+    """Predictions of every fit for each of its (alpha, ratio) pairs, in one descent.
+
+    ``alpha`` and ``ratio`` have one row per fit.
+    """
+    points = alpha.shape[1]
     weights = coordinate_descent(
-        moments.cov[pick] / np.outer(scale, scale),
-        moments.cross[pick] / scale,
-        moments.y_var[pick],
-        np.tile(alpha, len(segments)),
-        np.tile(ratio, len(segments)),
+        np.repeat(np.stack([f.cov for f in fits]), points, axis=0),
+        np.repeat(np.stack([f.cross for f in fits]), points, axis=0),
+        np.repeat([f.moments.y_var[f.segment] for f in fits], points),
+        alpha.ravel(),
+        ratio.ravel(),
     )
-    return weights.reshape(len(segments), len(alpha), -1)
+    return [f.predict(w) for f, w in zip(fits, weights.reshape(len(fits), points, -1))]
+
 
+def _fits(chunk, roles: dict[str, int], train_scale: bool) -> list[Fit]:
+    """The fits of the given roles that have training rows.
 
-def _predict(moments: Moments, segment: int, scale: np.ndarray, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return moments.y_mean[segment] + weights @ ((x - moments.x_mean[segment]) / scale)
+    Folds use the scale of all training rows, other fits that of their own rows.
+    """
+    fits = []
+    for i, (row, moments, scored) in enumerate(chunk):
+        for role, segment in roles.items():
+            if role in scored and moments.count[segment] > 0:
+                scale = moments.scale[TRAIN_SEGMENT if train_scale else segment]
+                x, y = scored[role]
+                y = np.nan if y is None else y - row.y_shift
+                fits.append(Fit(i, role, moments, segment, scale, x, y))
+    return fits
+
+
+def fit_chunk(chunk, alpha: np.ndarray, ratio: np.ndarray) -> pd.DataFrame:
+    """Tune and forecast several tickers and steps together."""
+    folds = _fits(chunk, {role: f for f, role in enumerate(FOLD_ROLES)}, train_scale=True)
+    errors: dict[int, np.ndarray] = {}
+    if folds:
+        grid = np.tile(alpha, (len(folds), 1)), np.tile(ratio, (len(folds), 1))
+        for f, predicted in zip(folds, solve(folds, *grid)):
+            errors[f.problem] = errors.get(f.problem, 0.0) + np.abs(f.y - predicted)
+    best = {i: int(np.argmin(e)) for i, e in errors.items()}
+    final = [f for f in _fits(chunk, FITTED_ON, train_scale=False) if f.problem in best]
+    out = []
+    if final:
+        chosen = np.array([best[f.problem] for f in final])
+        for f, g, predicted in zip(final, chosen, solve(final, alpha[chosen, None], ratio[chosen, None])):
+            row = chunk[f.problem][0]
+            y = None if np.isnan(f.y) else f.y + row.y_shift
+            out.append((row.ticker, row.horizon, f.role, y, predicted[0] + row.y_shift, alpha[g], ratio[g]))
+    return pd.DataFrame(out, columns=["ticker", "horizon", "role", "y", "y_hat", "alpha", "l1_ratio"])
 
 
 def elasticnet_forecast(
@@ -108,29 +173,8 @@ def elasticnet_forecast(
     ratio = np.tile(np.asarray(ratios, dtype=float), len(alphas))
 
     def fit(batches):
-        for row, moments, scored in problems(batches, width):
-            train_scale = moments.scale[TRAIN_SEGMENT]
-            folds = [f for f, role in enumerate(FOLD_ROLES) if role in scored and moments.count[f] > 0]
-            if not folds:
-                continue
-            errors = np.zeros(len(alpha))
-            for fold, weights in zip(folds, _fit(moments, folds, train_scale, alpha, ratio)):
-                x, y = scored[FOLD_ROLES[fold]]
-                predicted = _predict(moments, fold, train_scale, weights, x) + row.y_shift
-                errors += np.abs(y - predicted)
-            best = int(np.argmin(errors))
-            chosen = alpha[best : best + 1], ratio[best : best + 1]
-            out = []
-            for role, segment in FITTED_ON.items():
-                if role not in scored or moments.count[segment] < 1:
-                    continue
-                x, y = scored[role]
-                scale = moments.scale[segment]
-                weights = _fit(moments, [segment], scale, *chosen)[0]
-                y_hat = _predict(moments, segment, scale, weights, x)[0] + row.y_shift
-                out.append((row.ticker, row.horizon, role, y, y_hat, alpha[best], ratio[best]))
-            yield pd.DataFrame(
-                out, columns=["ticker", "horizon", "role", "y", "y_hat", "alpha", "l1_ratio"]
-            )
+        found = problems(batches, width)
+        while chunk := list(islice(found, CHUNK)):
+            yield fit_chunk(chunk, alpha, ratio)
 
     return moment_rows(frame, features, horizon).mapInPandas(fit, SCHEMA)

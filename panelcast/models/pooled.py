@@ -19,7 +19,7 @@ from panelcast.operators.panel import running
 from panelcast.session import materialize
 
 # Fits that wait for each other's small jobs; the cluster interleaves them.
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 
 def pooled_rows(frame: DataFrame, features: list[str], horizon: int) -> DataFrame:

@@ -30,6 +30,8 @@ def running() -> WindowSpec:
 def request_date(market: Market) -> dt.date:
     """Last business day on or before the latest bar: one value comes to the driver."""
     latest = market.bars.agg(F.max("date")).first()[0]
+    if latest is None:
+        raise ValueError("there are no bars")
     return latest - dt.timedelta(days=max(latest.weekday() - 4, 0))
 
 

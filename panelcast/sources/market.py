@@ -113,7 +113,7 @@ def load_market(spark: SparkSession, folder: str, by: str = "segment") -> Market
 
 
 def bars_between(bars: DataFrame, start: dt.date | None, end: dt.date | None, tickers: list[str] | None = None) -> DataFrame:
-    """Bars in ``[start, end]``; both filters reach the scan when ``bars`` is a stored table."""
+    """Bars in ``[start, end]``, both ends included, of the given tickers."""
     if start is not None:
         bars = bars.where(F.col("date") >= F.lit(start))
     if end is not None:
@@ -121,3 +121,25 @@ def bars_between(bars: DataFrame, start: dt.date | None, end: dt.date | None, ti
     if tickers is not None:
         bars = bars.where(F.col("ticker").isin(tickers))
     return bars
+
+
+def write_bars(bars: DataFrame, path: str) -> None:
+    """Store bars by year, so that a date range reads only its years."""
+    stored = bars.withColumn("year", F.year("date"))
+    stored.write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def read_bars(
+    spark: SparkSession,
+    path: str,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    tickers: list[str] | None = None,
+) -> DataFrame:
+    """Stored bars in ``[start, end]``: years prune folders, dates and tickers reach the scan."""
+    stored = spark.read.parquet(path)
+    if start is not None:
+        stored = stored.where(F.col("year") >= start.year)
+    if end is not None:
+        stored = stored.where(F.col("year") <= end.year)
+    return bars_between(stored, start, end, tickers).drop("year")

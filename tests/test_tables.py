@@ -226,14 +226,18 @@ def test_unknown_ticker_grain(spark):
 
 def test_bar_scan_is_pruned_and_filters_reach_it(spark, tmp_path):
     path = str(tmp_path / "bars")
-    market.daily_bars(spark, FOLDER).write.parquet(path)
-    stored = spark.read.parquet(path)
+    table = market.daily_bars(spark, FOLDER)
+    market.write_bars(table, path)
+    start, end = dt.date(1996, 5, 1), dt.date(1997, 6, 30)
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
-    kept = market.bars_between(stored, dt.date(1996, 1, 1), dt.date(1996, 6, 30), ["BUILDING"]).select("close")
-    plan = kept._jdf.queryExecution().executedPlan().toString()
+    kept = market.read_bars(spark, path, start, end, ["BUILDING"])
+    plan = kept.select("close")._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(date" in plan and "EqualTo(ticker,BUILDING)" in plan
+    assert "PartitionFilters: [isnotnull(year" in plan
     assert "open" not in plan.split("ReadSchema")[1]
+    want = table.where(F.col("date").between(start, end) & (F.col("ticker") == "BUILDING"))
+    assert kept.count() == want.count() > 0 and kept.exceptAll(want).count() == 0
 
 
 @pytest.fixture
