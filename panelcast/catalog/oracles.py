@@ -199,31 +199,36 @@ INDEPENDENT = [c for c in FEATURES if c != "mfi_signal_sell"]
 def linear_parts() -> list[str]:
     cols = INDEPENDENT
     p = len(cols)
-    # A column without spread gets weight zero.
+    # A column without spread, or that the ones before it determine, gets weight zero.
     sums = [f"avg({c}) AS m{i}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s{i}" for i, c in enumerate(cols)]
     sums += [f"covar_pop({cols[i]}, {cols[j]}) / (s{i} * s{j}) AS c{i}{j}" for i in range(p) for j in range(i)]
     sums += [f"covar_pop({c}, y) / s{i} AS b{i}" for i, c in enumerate(cols)]
     lines = []
     for j in range(p):
         dot = "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
-        lines.append(f"sqrt(1.0{dot}) AS l{j}{j}")
+        lines.append(f"CASE WHEN 1.0{dot} > 1e-10 THEN sqrt(1.0{dot}) END AS l{j}{j}")
         for i in range(j + 1, p):
             dot = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
-            lines.append(f"(c{i}{j}{dot}) / l{j}{j} AS l{i}{j}")
+            lines.append(f"coalesce((c{i}{j}{dot}) / l{j}{j}, 0) AS l{i}{j}")
     for i in range(p):
         dot = "".join(f" - l{i}{k} * z{k}" for k in range(i))
-        lines.append(f"(b{i}{dot}) / l{i}{i} AS z{i}")
+        lines.append(f"coalesce((b{i}{dot}) / l{i}{i}, 0) AS z{i}")
     for i in reversed(range(p)):
         dot = "".join(f" - l{k}{i} * w{k}" for k in range(i + 1, p))
-        lines.append(f"(z{i}{dot}) / l{i}{i} AS w{i}")
+        lines.append(f"coalesce((z{i}{dot}) / l{i}{i}, 0) AS w{i}")
     predicted = " + ".join(f"w{i} * (x.{c} - m{i}) / s{i}" for i, c in enumerate(cols))
     return [
         f"""
-fitted AS (
+fitted AS MATERIALIZED (
   SELECT ticker, horizon, CASE role WHEN 'train' THEN 'validation' ELSE 'test' END AS role, avg(y) AS my, {', '.join(sums)}
   FROM roles WHERE role IN ('train', 'full') GROUP BY ticker, horizon, 3
 )""",
-        f"solved AS (SELECT *, {', '.join(lines)} FROM fitted)",
+        # One stored step per number, as inlined aliases would grow without end.
+        *[
+            f"solve{i} AS MATERIALIZED (SELECT *, {line} FROM {f'solve{i - 1}' if i else 'fitted'})"
+            for i, line in enumerate(lines)
+        ],
+        f"solved AS (SELECT * FROM solve{len(lines) - 1})",
         f"""
 linear AS (
   SELECT x.ticker, x.horizon, x.role, x.y, my + {predicted} AS y_hat
