@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, chat, decontaminate, language, licenses, quality
+from panelcast.llm import bpe, chat, decontaminate, language, licenses, quality, suffix_dedup
 from panelcast.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +53,14 @@ def license_diagonals(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, folder, "documents"))[0]
 
 
+def suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    rows = suffix_dedup.remove_repeats(docs)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_suffix_repeats": suffix_repeats,
     "op2_chat_rotation": chat_rotation,
     "op3_bpe_tokens": bpe_tokens,
     "op6_quality_outliers": quality_outliers,
