@@ -327,6 +327,8 @@ def join_sets(per_cent: int):
         links: list[tuple[int, int]] = []
         for low, high in zip(starts, [*starts[1:], len(order)], strict=True):
             own = order[low:high]
+            if len(own) == 2 and 100 * size[own[0]] < per_cent * size[own[1]]:
+                continue
             if len(own) > 1:
                 sets = [values[bounds[r] : bounds[r + 1]] for r in own]
                 links += SignatureTree(sets, ids[own], per_cent).join()
@@ -335,6 +337,26 @@ def join_sets(per_cent: int):
     return run
 
 
+def dealt(candidates: DataFrame) -> DataFrame:
+    """Adds the number of tiles of each component (root) of sets of ``n`` elements."""
+    weight = candidates.groupBy("root").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
+    return candidates.join(weight, "root")
+
+
+def link_candidates(sets: DataFrame, per_cent: int, buckets: int) -> DataFrame:
+    """Links (a, b) between the sets (id, component, tiles, set) of each component."""
+    # with several tiles, a set goes to each pair that its own tile is part of
+    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    pairs = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: (t != F.col("tile")) | (F.col("tiles") == 1)),
+        lambda t: F.least(t, F.col("tile")) * F.col("tiles") + F.greatest(t, F.col("tile")),
+    )
+    sets = sets.withColumn("tile", own).withColumn("pair", F.explode(pairs))
+    bucket = F.pmod(F.xxhash64("component", "pair"), F.lit(4 * buckets))
+    dealt_out = sets.select("component", "pair", "id", "set").withColumn("bucket", bucket)
+    return dealt_out.groupBy("bucket").applyInArrow(join_sets(per_cent), "a long, b long").distinct()
+
+
 def similar_documents(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id for every row; links between classes)."""
     spark = docs.sparkSession
@@ -356,22 +378,10 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_
     edges = materialize(keys.groupBy("bucket").applyInArrow(shared_keys, "a long, b long").distinct())
     candidates = components(edges)
     candidates = candidates.join(classes.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node")
-    weight = candidates.groupBy("root").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
-    candidates = candidates.join(weight, "root").select(
-        F.col("node").alias("id"), F.col("root").alias("component"), "tiles"
-    )
+    candidates = dealt(candidates).select(F.col("node").alias("id"), F.col("root").alias("component"), "tiles")
     sets = chosen.join(candidates, "id").select("id", "component", "tiles", "text")
     sets = sets.mapInArrow(send_sets(size), "id long, component long, tiles int, set array<long>")
-    # with several tiles, a set goes to each pair that its own tile is part of
-    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: (t != F.col("tile")) | (F.col("tiles") == 1)),
-        lambda t: F.least(t, F.col("tile")) * F.col("tiles") + F.greatest(t, F.col("tile")),
-    )
-    sets = sets.withColumn("tile", own).withColumn("pair", F.explode(pairs))
-    bucket = F.pmod(F.xxhash64("component", "pair"), F.lit(4 * buckets))
-    links = sets.select("component", "pair", "id", "set").withColumn("bucket", bucket)
-    links = materialize(links.groupBy("bucket").applyInArrow(join_sets(per_cent), "a long, b long").distinct())
+    links = materialize(link_candidates(sets, per_cent, buckets))
 
     # a document with several texts connects their classes
     member = described.join(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, chat, decontaminate, jaccard_join, language, licenses, quality, suffix_dedup
+from panelcast.llm import bpe, chat, decontaminate, jaccard_join, language, licenses, paragraph_dedup, quality, suffix_dedup
 from panelcast.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,12 +63,21 @@ def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_documents(read_table(spark, folder, "documents"))[0]
 
 
+def paragraph_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    rows = paragraph_dedup.remove_similar(docs)
+    return rows.select(
+        "doc_id", "n_paragraphs", "n_removed", "n_removed_words", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_repeats": suffix_repeats,
     "op2_chat_rotation": chat_rotation,
     "op3_bpe_tokens": bpe_tokens,
     "op4_jaccard_components": jaccard_components,
     "op6_quality_outliers": quality_outliers,
+    "op7_paragraph_repeats": paragraph_repeats,
     "op8_language_mixture": language_mixture,
     "op9_spaced_seed_leaks": spaced_seed_leaks,
     "op10_license_diagonals": license_diagonals,
