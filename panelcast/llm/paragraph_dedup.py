@@ -1,8 +1,9 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
 A paragraph is a stretch of words that ends with a line or with a sentence (a word
-ending in ``.``, ``!`` or ``?``): repeated passages are often pasted into the middle
-of a line, and these ends stay where they are. Paragraphs of at least ``MIN_WORDS``
+ending in ``.``, ``!`` or ``?``, at least ``SENTENCE`` words after the mark before):
+repeated passages are often pasted into the middle of a line, and these ends stay
+where they are. Paragraphs of at least ``MIN_WORDS``
 words are compared:
 
 1. Equal paragraphs meet by their hash; all but the first, in order of doc_id and
@@ -43,7 +44,8 @@ from panelcast.session import materialize
 
 SHINGLE = 5
 PER_CENT = 80
-MIN_WORDS = 8
+MIN_WORDS = 10
+SENTENCE = 4  # words from one mark to the next; shorter ones go with what follows
 ROWS = 2
 BANDS = 6
 LAST = 2**63 - 1
@@ -63,9 +65,11 @@ class Paragraphs:
         if not n:
             return
         lines = np.concatenate([[0], np.cumsum(data == 10)])
-        cut = ENDS[data[words.end - 1]]
-        cut[:-1] |= (lines[words.start[1:]] > lines[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])
-        cut[-1] = True
+        line = np.ones(n, bool)
+        line[:-1] = (lines[words.start[1:]] > lines[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])
+        mark = np.flatnonzero(line | ENDS[data[words.end - 1]])
+        cut = line.copy()
+        cut[mark[np.diff(mark, prepend=-1) >= SENTENCE]] = True
         self.last = np.flatnonzero(cut) + 1
         self.first = np.concatenate([[0], self.last[:-1]])
         self.row = words.doc[self.first]
