@@ -14,7 +14,7 @@ gathered and broadcast. Texts are never shuffled.
 Defined cases: a null, empty or letterless text is ``und`` with score 0 and no
 languages; a null id is carried along; ties go to the language that sorts first;
 repeated rows are judged row by row; an empty training table makes every text
-``und``; other columns are ignored whatever their names.
+``und``; other columns come along, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.llm.textbytes import LOWER, byte_class, mix, text_slices
 
@@ -36,7 +37,7 @@ BLOCK = 256  # texts per matrix
 UNKNOWN = "und"
 
 LETTERS = byte_class((ord("a"), ord("z")), (0x80, 0xFF))
-PREDICTED = "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>"
+RESULTS = ("lang_pred", "score", "langs", "shares")
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +145,7 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def predictor(model: Model):
+def predictor(model: Model, columns: list[str]):
     langs, likely = np.array(model.langs, dtype=object), model.likely
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,22 +173,33 @@ def predictor(model: Model):
                 sets = [[k for k in o if s[k] > 0] if ok else [] for o, s, ok in zip(order, shares, known, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(first, rows),
+                        *[batch.column(c).slice(first, rows) for c in columns],
                         pa.array(names, pa.string()),
                         pa.array(score),
                         pa.array([[langs[k] for k in x] for x in sets], pa.list_(pa.string())),
                         pa.array([s[x].tolist() for s, x in zip(shares, sets, strict=True)], pa.list_(pa.float64())),
                     ],
-                    names=["doc_id", "lang_pred", "score", "langs", "shares"],
+                    names=[*columns, *RESULTS],
                 )
 
     return predict
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (share of that language), langs and shares."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(predictor(model), PREDICTED)
+    """The columns of ``docs``, lang_pred, score (share of that language), langs and
+    shares; given columns of these names are replaced."""
+    columns = [c for c in docs.columns if c not in RESULTS]
+    inner = [f"own_{i}" for i in range(len(columns))]
+    own = docs.select(
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(columns, inner, strict=True)],
+        F.col("text").cast("string").alias("text"),
+    )
+    kinds = (T.StringType(), T.DoubleType(), T.ArrayType(T.StringType()), T.ArrayType(T.DoubleType()))
+    schema = T.StructType(
+        [T.StructField(k, own.schema[k].dataType) for k in inner]
+        + [T.StructField(c, kind) for c, kind in zip(RESULTS, kinds, strict=True)]
+    )
+    return own.mapInArrow(predictor(model, inner), schema).toDF(*columns, *RESULTS)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, chat, decontaminate, jaccard_join, language, licenses, paragraph_dedup, quality, suffix_dedup
+from panelcast.llm import bpe, chat, decontaminate, html_extract, jaccard_join, language, licenses, paragraph_dedup, quality, suffix_dedup
 from panelcast.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +34,7 @@ def quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
 def language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     model = language.train(language.training_rows(docs))
-    rows = language.identify(docs, model)
+    rows = language.identify(docs.select("doc_id", "text"), model)
     return rows.select(
         "doc_id",
         F.coalesce(language.held_out(), F.lit(False)).alias("held_out"),
@@ -71,11 +71,16 @@ def paragraph_repeats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def wrapper_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.main_text(read_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_repeats": suffix_repeats,
     "op2_chat_rotation": chat_rotation,
     "op3_bpe_tokens": bpe_tokens,
     "op4_jaccard_components": jaccard_components,
+    "op5_wrapper_text": wrapper_text,
     "op6_quality_outliers": quality_outliers,
     "op7_paragraph_repeats": paragraph_repeats,
     "op8_language_mixture": language_mixture,

@@ -381,7 +381,7 @@ def compare_windows(length: int):
     return run
 
 
-def remove(columns: list[str], length: int):
+def remove(columns: list[str], length: int, characters: bool):
     """Step 3: drops covered bytes; the other columns come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,6 +396,10 @@ def remove(columns: list[str], length: int):
                 np.add.at(depth, np.concatenate([start, offsets[row] + begin]), 1)
                 np.add.at(depth, np.concatenate([stop, offsets[row] + end]), -1)
                 gone = np.cumsum(depth[:-1]) > 0
+                if characters and len(data):
+                    lead = np.flatnonzero((data & 0xC0) != 0x80)
+                    size = np.diff(np.concatenate([lead, [len(data)]]))
+                    gone = np.repeat(np.logical_and.reduceat(gone, lead), size)
                 upto = np.concatenate([[0], np.cumsum(gone)])[offsets]
                 edge = np.zeros(len(data) + 1, bool)
                 edge[offsets] = True
@@ -406,7 +410,7 @@ def remove(columns: list[str], length: int):
                 removed = np.diff(upto)
                 left = np.concatenate([[0], np.cumsum(sizes - removed)]).astype(np.int32)
                 kept = pa.Array.from_buffers(
-                    pa.binary(), high - low, [None, pa.py_buffer(left.tobytes()), pa.py_buffer(data[~gone].tobytes())]
+                    pa.string() if characters else pa.binary(), high - low, [None, pa.py_buffer(left.tobytes()), pa.py_buffer(data[~gone].tobytes())]
                 )
                 own = [batch.column(c).slice(low, high - low) for c in columns]
                 counts = [pa.array(x.astype(np.int64)) for x in (sizes, removed, np.diff(spans))]
@@ -415,9 +419,14 @@ def remove(columns: list[str], length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, seed: int = SEED, characters: bool = False
+) -> DataFrame:
     """The columns of ``docs``, kept (binary: the bytes that stay), n_bytes,
-    n_removed and n_spans (maximal runs removed)."""
+    n_removed and n_spans (maximal runs removed).
+
+    With ``characters``, kept is text: a character goes if all its bytes do.
+    """
     if not 8 <= seed <= length <= seed + 62:
         raise ValueError("a window may be at most 62 bytes longer than its seed, of 8 or more")
     spark = docs.sparkSession
@@ -445,7 +454,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     whole = placed.join(ranges, ["id", "tag"], "left")
     schema = T.StructType(
         [T.StructField(k, rows.schema[k].dataType) for k in inner]
-        + [T.StructField("kept", T.BinaryType())]
+        + [T.StructField("kept", T.StringType() if characters else T.BinaryType())]
         + [T.StructField(k, T.LongType()) for k in RESULTS[1:]]
     )
-    return whole.mapInArrow(remove(inner, length), schema).toDF(*columns, *RESULTS)
+    return whole.mapInArrow(remove(inner, length, characters), schema).toDF(*columns, *RESULTS)
