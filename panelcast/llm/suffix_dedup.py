@@ -8,9 +8,10 @@ window of ``LENGTH`` bytes the one with the smallest hash (of equals the first)
 the window, and neighbouring windows of one owner are a piece. Equal windows have
 equal owners at the same place, so only pieces with the same owner can share one.
 
-1. Every piece sends its owner's hash, a fingerprint and its place to a bucket.
-   There, pieces with a fingerprint that a smaller document has too are repeats as
-   a whole, and owners seen once are done with.
+1. Every piece sends its owner's hash, a fingerprint, a byte of hash for what stands
+   on either side of the owner, and its place to a bucket. There, pieces with a
+   fingerprint that a smaller document has too are repeats as a whole, and pieces
+   that share an owner with no other, or no side of it, are done with.
 2. What is left, the first pieces of each wording of an owner with several wordings,
    sends its bytes. Their windows are sorted as suffixes: merge sort, where two
    suffixes are compared by their common extension, found by binary search over
@@ -20,7 +21,7 @@ equal owners at the same place, so only pieces with the same owner can share one
 3. Repeats go back to their documents, which drop the bytes they cover.
 
 Texts are shuffled once (both steps that need them read the same exchange). Work
-per bucket grows with the pieces that share an owner, one entry of some 17 bytes for
+per bucket grows with the pieces that share an owner, one entry of some 16 bytes for
 each; their number in a bucket is that of the corpus over the shuffle partitions,
 plus, for a passage that very many documents share, one per document.
 
@@ -68,7 +69,7 @@ class Pieces:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: Powers, length: int, seed: int) -> None:
         empty = np.zeros(0, np.int64)
         self.first = self.last = self.owner = self.row = empty
-        self.key = self.print = np.zeros(0, np.uint64)
+        self.key = self.print = self.left = self.right = np.zeros(0, np.uint64)
         starts = len(data) - length + 1
         if starts <= 0:
             return
@@ -98,6 +99,13 @@ class Pieces:
         whole_hash = (prefix[self.last + length] - prefix[self.first]) * down[self.first]
         shape = ((self.owner - self.first) << 8 | (self.last - self.first)).astype(np.uint64)
         self.print = mix(whole_hash + mix(shape + np.uint64(1)) * np.uint64(BASE))
+        # a window holds half of its bytes besides the owner on one side of it at least
+        half = (length - seed) // 2
+        begin, end = self.owner, self.owner + seed
+        far = offsets[self.row + 1]
+        near, stop = np.maximum(begin - half, offsets[self.row]), np.minimum(end + half, far)
+        self.left = mix((prefix[begin] - prefix[near]) * down[near])
+        self.right = mix((prefix[stop] - prefix[end]) * down[end])
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -112,7 +120,16 @@ def unplanes(blob: memoryview, dtype: type, n: int) -> np.ndarray:
 
 #: An entry of a bucket, field by field; the first three are per document.
 DOC_FIELDS = (("id", np.int64), ("tag", np.int32), ("count", np.uint32))
-FIELDS = (("key", np.uint32), ("print", np.uint64), ("first", np.uint32), ("owner", np.uint8), ("span", np.uint8))
+FIELDS = (
+    ("key", np.uint32),
+    ("high", np.uint32),
+    ("low", np.uint16),
+    ("left", np.uint8),
+    ("right", np.uint8),
+    ("first", np.uint32),
+    ("owner", np.uint8),
+    ("span", np.uint8),
+)  # high and low are 48 bits of the fingerprint; with the key's they tell pieces apart
 
 
 def pack_bucket(docs: dict[str, np.ndarray], entries: dict[str, np.ndarray]) -> bytes:
@@ -155,7 +172,10 @@ def announce(buckets: int, length: int, seed: int):
                     docs = {"id": ids[first:last][rows], "tag": tags[first:last][rows], "count": counts}
                     entries = {
                         "key": p.key[own] & np.uint64(0xFFFFFFFF),
-                        "print": p.print[own],
+                        "high": p.print[own] >> np.uint64(32),
+                        "low": p.print[own] & np.uint64(0xFFFF),
+                        "left": p.left[own] & np.uint64(0xFF),
+                        "right": p.right[own] & np.uint64(0xFF),
                         "first": p.first[own] - offsets[p.row[own]],
                         "owner": p.owner[own] - p.first[own],
                         "span": p.last[own] - p.first[own],
@@ -182,22 +202,27 @@ def compare_pieces(table: pa.Table) -> pa.Table:
     parts = [unpack_bucket(b.as_py()) for b in table.column("blob")]
     field = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
     parts.clear()
-    order = np.argsort(field["print"], kind="stable")
-    runs = starts_of(field["print"][order])
+    prints = field.pop("high").astype(np.uint64) << np.uint64(32) | field.pop("low").astype(np.uint64) << np.uint64(16)
+    prints |= field["key"].astype(np.uint64) & np.uint64(0xFFFF)
+    order = np.argsort(prints, kind="stable")
+    runs = starts_of(prints[order])
+    sizes = np.diff(np.concatenate([runs, [len(order)]]))
     smallest = np.minimum.reduceat(field["id"][order], runs)
     own = np.empty(len(order), np.int64)
-    own[order] = np.repeat(smallest, np.diff(np.concatenate([runs, [len(order)]])))
+    own[order] = np.repeat(smallest, sizes)
     whole = field["id"] > own
-    # wordings of an owner; of interest if there are several, of different documents
-    key = field["key"][order[runs]]
-    by_key = np.argsort(key, kind="stable")
-    groups = starts_of(key[by_key])
-    low = np.minimum.reduceat(smallest[by_key], groups)
-    high = np.maximum.reduceat(smallest[by_key], groups)
+    # wordings with the same owner, and the same bytes on one side of it, in
+    # different documents
+    one = order[runs]
     several = np.zeros(len(runs), bool)
-    several[by_key] = np.repeat(low < high, np.diff(np.concatenate([groups, [len(by_key)]])))
+    for side in ("left", "right"):
+        key = field["key"][one].astype(np.int64) << 8 | field[side][one]
+        by_key = np.argsort(key, kind="stable")
+        groups = starts_of(key[by_key])
+        low, high = (f.reduceat(smallest[by_key], groups) for f in (np.minimum, np.maximum))
+        several[by_key] |= np.repeat(low < high, np.diff(np.concatenate([groups, [len(by_key)]])))
     open_ = np.zeros(len(order), bool)
-    open_[order] = np.repeat(several, np.diff(np.concatenate([runs, [len(order)]])))
+    open_[order] = np.repeat(several, sizes)
     open_ &= ~whole
     keep = whole | open_
     place = field["first"].astype(np.int64) << 13 | field["owner"].astype(np.int64) << 7
@@ -444,7 +469,7 @@ def remove_repeats(
     placed = rows.join(places, ["id", "tag"], "left")
 
     pieces = placed.mapInArrow(
-        send_bytes(buckets, length, seed),
+        send_bytes(8 * buckets, length, seed),
         "bucket int, key long, id long, tag int, first long, owner int, bytes binary",
     )
     ranges = pieces.groupBy("bucket").applyInArrow(compare_windows(length), "id long, tag int, start long, stop long")

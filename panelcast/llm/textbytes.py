@@ -2,7 +2,7 @@
 
 Everything here handles one slice of an Arrow batch: the texts' bytes laid end
 to end, and the offsets where each begins. Nulls count as empty texts. Slices
-hold a few megabytes, or one text that is longer, so memory follows the longest
+hold about a megabyte, or one text that is longer, so memory follows the longest
 text and never the table.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 
