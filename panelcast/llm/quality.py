@@ -45,7 +45,7 @@ COVERAGE = 0.75
 #: of the whole by this factor.
 CONSISTENCY = 1.4866
 STEPS = 3
-CUTOFF = 60.0
+CUTOFF = 23.5  # one in ten thousand of a normal with four dimensions
 LEAST = 30
 SALT = 32
 SPREAD = [0.05, 0.15, 0.15, 0.15]
