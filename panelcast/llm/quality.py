@@ -74,7 +74,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         "lang",
         "source",
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).alias("n_symbols"),
-        F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("hash"), F.length(w).alias("size"))).alias("words"),
+        words.alias("words"),
         lines.alias("lines"),
     )
     rows = rows.select(
@@ -83,9 +83,10 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         "source",
         "n_symbols",
         F.size("words").alias("n_words"),
-        F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + w["size"]).alias("word_chars"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.col("words")["hash"].alias("hashes"),
+        # not a mere field: that would be taken apart anew for every window
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
     starts = F.sequence(F.lit(1), F.size("hashes") - WINDOW_WORDS + 1)
     windows = F.when(
@@ -96,7 +97,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     # texts without a repeated window, most of them, are done here
     ordered = F.when(
         F.size(F.array_distinct("windows")) < F.size("windows"),
-        F.array_sort(F.transform("windows", lambda h, j: F.struct(h.alias("hash"), j.alias("at")))),
+        F.sort_array(F.transform("windows", lambda h, j: F.struct(h.alias("hash"), j.alias("at")))),
     )
     rows = rows.withColumn("ordered", ordered).drop("windows")
     same = lambda x, j: (F.get("ordered", j)["hash"] == x["hash"]) & (j >= 0)
@@ -110,7 +111,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         lambda at: at.isNotNull(),
     )
     covered = F.aggregate(
-        F.array_sort(repeated),
+        F.sort_array(repeated),
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda done, at: F.struct(
             (at + WINDOW_WORDS).alias("end"),
