@@ -88,4 +88,40 @@ QUERIES: dict[str, Query] = {
     "op10_license_diagonals": license_diagonals,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_rotation": """
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+                CAST(floor(turn / 64) AS BIGINT) AS part
+            FROM conversations
+        ), speakers AS (
+            SELECT DISTINCT conv_id, role AS speaker FROM turns
+        ), said AS (
+            SELECT t.*, s.speaker, t.role = s.speaker AS mine,
+                CASE WHEN t.role = s.speaker THEN '<|assistant|>' || chr(10)
+                    ELSE '<|user name=' || t.role || '|>' || chr(10) END AS head
+            FROM turns t JOIN speakers s USING (conv_id)
+        ), placed AS (
+            SELECT *, sum(length(head) + length(text) + 1) OVER (
+                PARTITION BY conv_id, speaker, part ORDER BY turn, role, text
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW
+            ) - length(head) - length(text) - 1 AS at
+            FROM said
+        ), parts AS (
+            SELECT conv_id, speaker, part, count(*) AS n_turns,
+                string_agg(head || text || chr(10), '' ORDER BY turn, role, text) AS rendered,
+                coalesce(string_agg(
+                    CAST(CAST(at AS BIGINT) + length(head) AS VARCHAR) || '-'
+                        || CAST(CAST(at AS BIGINT) + length(head) + length(text) AS VARCHAR), ','
+                    ORDER BY turn, role, text
+                ) FILTER (WHERE mine), '') AS mask,
+                CAST(coalesce(sum(length(text)) FILTER (WHERE mine), 0) AS BIGINT) AS n_masked
+            FROM placed GROUP BY ALL
+        )
+        SELECT conv_id, speaker, part, n_turns,
+            CAST(coalesce(sum(length(rendered)) OVER (
+                PARTITION BY conv_id, speaker ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+            ), 0) AS BIGINT) AS starts_at, rendered, mask, n_masked
+        FROM parts
+    """,
+}
