@@ -233,8 +233,8 @@ def frequent_words(rules: Rules, limit: int = LEXICON_WORDS, more: Iterable[str]
 
 def publish(spark: SparkSession, data: bytes) -> str:
     """Puts a file into the shared folder and has Spark hand it to executors."""
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}"
-    place = f"{scratch_path(spark, 'lexicon')}/{name}"
+    place = scratch_path(spark, "lexicon")
+    name = place.rpartition("/")[2]
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
     out.write(bytearray(data))

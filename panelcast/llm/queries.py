@@ -105,14 +105,14 @@ ORACLES: dict[str, str] = {
             SELECT *, sum(length(head) + length(text) + 1) OVER (
                 PARTITION BY conv_id, speaker, part ORDER BY turn, role, text
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW
-            ) - length(head) - length(text) - 1 AS at
+            ) - length(head) - length(text) - 1 AS begins
             FROM said
         ), parts AS (
             SELECT conv_id, speaker, part, count(*) AS n_turns,
                 string_agg(head || text || chr(10), '' ORDER BY turn, role, text) AS rendered,
                 coalesce(string_agg(
-                    CAST(CAST(at AS BIGINT) + length(head) AS VARCHAR) || '-'
-                        || CAST(CAST(at AS BIGINT) + length(head) + length(text) AS VARCHAR), ','
+                    CAST(CAST(begins AS BIGINT) + length(head) AS VARCHAR) || '-'
+                        || CAST(CAST(begins AS BIGINT) + length(head) + length(text) AS VARCHAR), ','
                     ORDER BY turn, role, text
                 ) FILTER (WHERE mine), '') AS mask,
                 CAST(coalesce(sum(length(text)) FILTER (WHERE mine), 0) AS BIGINT) AS n_masked
