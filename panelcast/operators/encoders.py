@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelcast.session import materialize
 
@@ -12,14 +12,15 @@ from panelcast.session import materialize
 def ordinal_codes(values: DataFrame) -> DataFrame:
     """Number the sorted distinct non-null values of ``(col, value)`` from 0 per ``col``.
 
-    Values are range-partitioned and numbered inside their partition; the
+    A column ``key``, if there is one, goes before the value in the order. Values are range-partitioned and numbered inside their partition; the
     partition offsets are then added. No task sees all values of a column.
     """
     distinct = values.where(F.col("value").isNotNull()).distinct()
+    by = ["key", "value"] if "key" in values.columns else ["value"]
     ordered = materialize(
-        distinct.repartitionByRange("col", "value").withColumn("_part", F.spark_partition_id())
+        distinct.repartitionByRange("col", *by).withColumn("_part", F.spark_partition_id())
     )
-    inside = Window.partitionBy("_part", "col").orderBy("value")
+    inside = Window.partitionBy("_part", "col").orderBy(*by)
     sizes = ordered.groupBy("col", "_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy("col").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -32,18 +33,25 @@ def ordinal_codes(values: DataFrame) -> DataFrame:
     )
 
 
+def category(df: DataFrame, name: str) -> Column:
+    """(col, key, value): numbers sort by their key, all else by the value."""
+    number = isinstance(df.schema[name].dataType, T.NumericType)
+    key = F.col(name).cast("double") if number else F.lit(None).cast("double")
+    value = F.when(F.isnan(key), None).otherwise(F.col(name).cast("string")) if number else F.col(name).cast("string")
+    return F.struct(F.lit(name).alias("col"), key.alias("key"), value.alias("value"))
+
+
 def fit_label_encoder(df: DataFrame, columns: list[str], preset: DataFrame | None = None) -> DataFrame:
     """The dictionary ``(col, value, code)``; columns in ``preset`` keep their codes.
 
-    The columns are unpivoted so that all of them are numbered in one job.
+    The columns are unpivoted so that all of them are numbered in one job. Numbers
+    are in order of size, and NaN has no code.
     """
     fixed = {r["col"] for r in preset.select("col").distinct().collect()} if preset is not None else set()
     open_columns = [c for c in columns if c not in fixed]
     frames = [] if preset is None else [preset.select("col", "value", "code")]
     if open_columns:
-        pairs = F.array(
-            *[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in open_columns]
-        )
+        pairs = F.array(*[category(df, c) for c in open_columns])
         frames.append(ordinal_codes(df.select(F.inline(pairs))))
     return materialize(reduce(DataFrame.unionByName, frames))
 
@@ -69,7 +77,7 @@ def fit_one_hot(df: DataFrame, columns: list[str], limit: int = 10_000) -> dict[
         found = df.select(c).where(F.col(c).isNotNull()).distinct().limit(limit + 1).collect()
         if len(found) > limit:
             raise ValueError(f"{c} has over {limit} categories, too many for columns")
-        categories[c] = sorted(str(r[0]) for r in found)
+        categories[c] = [str(v) for v in sorted(r[0] for r in found if r[0] == r[0])]  # NaN is no category
     return categories
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast.operators.panel import by_date, running, whole
 
@@ -71,47 +69,60 @@ def rolling_extreme(value: Column, window: int, kind: str) -> Column:
     return F.when(F.count(value).over(frame) >= window, extreme(value).over(frame))
 
 
-def ewm_lookback(span: int) -> int:
-    """Rows after which a weight falls below 1e-17 and cannot change a double."""
-    decay = 1 - 2 / (span + 1)
-    return math.ceil(math.log(1e-17) / math.log(decay))
+EWM_BLOCK = 64
 
 
 def ewm_mean(df: DataFrame, column: str, span: int, name: str) -> DataFrame:
     """Exponentially weighted mean with ``min_periods = span``.
 
     Weights fall by a constant factor for every row back, null rows included,
-    and are normalised over the known values. A known value weighs one at its own
-    row, so its frame can end where weights no longer reach the last bit. At a
-    null row all weights shrink alike, so the mean stays what it was.
+    and are normalised over the known values. Every row counts, however old: rows
+    are summed within blocks, blocks are carried over to later ones, and a row adds
+    the carry of its block to its own block's sums. At a null row all weights
+    shrink alike, so the mean stays what it was.
     """
-    decay = 1 - 2 / (span + 1)
-    lookback = ewm_lookback(span)
-    frame = by_date().rowsBetween(-lookback, 0)
-    position = F.row_number().over(by_date())
-    recent = F.collect_list(F.struct(F.col("_pos").alias("pos"), F.col(column).alias("x"))).over(frame)
-    known = F.filter("_recent", lambda r: r["x"].isNotNull())
-
-    def weighted(total, row):
-        weight = F.pow(F.lit(decay), F.col("_pos") - row["pos"])
-        return F.struct(
-            (total["xw"] + row["x"] * weight).alias("xw"), (total["w"] + weight).alias("w")
+    decay = F.lit(1 - 2 / (span + 1))
+    inside = Window.partitionBy("ticker", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("ticker").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col(column).isNotNull()
+
+    def decayed(rows: Column, age) -> Column:
+        empty = F.struct(F.lit(0.0).alias("xw"), F.lit(0.0).alias("w"))
+        return F.aggregate(
+            rows,
+            empty,
+            lambda total, r: F.struct(
+                (total["xw"] + r["xw"] * F.pow(decay, age(r))).alias("xw"),
+                (total["w"] + r["w"] * F.pow(decay, age(r))).alias("w"),
+            ),
         )
 
-    sums = F.aggregate(known, F.struct(F.lit(0.0).alias("xw"), F.lit(0.0).alias("w")), weighted)
+    placed = df.withColumn("_pos", F.row_number().over(by_date()) - 1)
+    placed = placed.withColumn("_block", F.floor(F.col("_pos") / EWM_BLOCK))
+    one = F.when(known, F.struct(F.col("_pos").alias("pos"), F.col(column).alias("xw"), F.lit(1.0).alias("w")))
+    placed = placed.withColumns(
+        {"_recent": F.collect_list(one).over(inside), "_known": F.count(column).over(running())}
+    )
+    back = F.pow(decay, (F.col("_block") + 1) * EWM_BLOCK - 1 - F.col("_pos"))
+    blocks = placed.groupBy("ticker", "_block").agg(
+        F.coalesce(F.sum(F.col(column) * back), F.lit(0.0)).alias("xw"),
+        F.coalesce(F.sum(F.when(known, back)), F.lit(0.0)).alias("w"),
+    )
+    before = F.collect_list(F.struct(F.col("_block").alias("block"), "xw", "w")).over(earlier)
+    carried = blocks.withColumn("_before", before).select(
+        "ticker",
+        "_block",
+        decayed(F.col("_before"), lambda r: (F.col("_block") - 1 - r["block"]) * EWM_BLOCK).alias("_carry"),
+    )
+    own = decayed(F.col("_recent"), lambda r: F.col("_pos") - r["pos"])
+    since = F.pow(decay, F.col("_pos") - F.col("_block") * EWM_BLOCK + 1)
+    mean = (F.col("_own.xw") + F.col("_carry.xw") * since) / (F.col("_own.w") + F.col("_carry.w") * since)
     return (
-        df.withColumn("_pos", position)
-        .withColumns({"_recent": recent, "_known": F.count(column).over(running())})
-        .withColumn("_sums", F.when(F.col(column).isNotNull(), sums))
-        .withColumn(
-            "_mean",
-            F.when(
-                F.col(column).isNotNull() & (F.col("_known") >= span),
-                F.col("_sums.xw") / F.col("_sums.w"),
-            ),
-        )
+        placed.join(carried, ["ticker", "_block"])
+        .withColumn("_own", own)
+        .withColumn("_mean", F.when(known & (F.col("_known") >= span), mean))
         .withColumn(name, F.last("_mean", ignorenulls=True).over(running()))
-        .drop("_pos", "_recent", "_known", "_sums", "_mean")
+        .select(*[c for c in df.columns if c != name], name)
     )
 
 

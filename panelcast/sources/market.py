@@ -125,7 +125,7 @@ def bars_between(bars: DataFrame, start: dt.date | None, end: dt.date | None, ti
 
 def write_bars(bars: DataFrame, path: str) -> None:
     """Store bars by year, so that a date range reads only its years."""
-    stored = bars.withColumn("year", F.year("date"))
+    stored = bars.withColumn("year", F.year("date")).repartition("year")
     stored.write.mode("overwrite").partitionBy("year").parquet(path)
 
 

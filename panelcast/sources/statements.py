@@ -51,7 +51,11 @@ def part_statements(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_statements(statements: DataFrame, path: str) -> None:
-    """Store by company and statement, so that a lookup reads only its folder."""
+    """Store by company and statement, so that a lookup reads only its folder.
+
+    A company's rows are brought together first: one file for each folder.
+    """
+    statements = statements.repartition("company", "statement")
     statements.write.mode("overwrite").partitionBy("company", "statement").parquet(path)
 
 

@@ -128,3 +128,9 @@ def test_crossover(spark, patience):
     for ticker, g in data.groupby("ticker"):
         want = crossover_loop(g["fast"].tolist(), g["slow"].tolist(), g["close"].tolist(), patience)
         assert [v if isinstance(v, str) else None for v in got[ticker]["signal"]] == want
+
+
+def test_ewm_forgets_nothing(spark):
+    frame = bars([1e20] + [1.0] * 299)
+    got = by_ticker(indicators.ewm_mean(spark_frame(spark, frame), "close", 5, "ewm"))["A"]
+    same(got["ewm"], frame["close"].ewm(span=5, min_periods=5).mean(), 1e-9)

@@ -290,3 +290,10 @@ def test_shared_dir_follows_the_session(spark):
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
     kept = session.materialize(spark.range(5).withColumn("v", F.col("id") * 2))
     assert kept.agg(F.sum("v")).first()[0] == 20
+
+
+def test_numeric_categories_are_in_order_of_size(spark):
+    df = spark.createDataFrame([(2.0, 2), (10.0, 10), (float("nan"), 10), (None, None)], "x double, k int")
+    codes = {(r["col"], r["value"]): r["code"] for r in encoders.fit_label_encoder(df, ["x", "k"]).collect()}
+    assert codes == {("x", "2.0"): 0, ("x", "10.0"): 1, ("k", "2"): 0, ("k", "10"): 1}
+    assert encoders.fit_one_hot(df, ["x", "k"]) == {"x": ["2.0", "10.0"], "k": ["2", "10"]}
