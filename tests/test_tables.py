@@ -18,9 +18,9 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_listing_csv_keeps_leading_zeros(spark, tmp_path):
     path = tmp_path / "list.csv"
-    path.write_text("종목명,종목코드,상장시장\n삼성전자,005930,KOSPI\n카카오게임즈,293490,KOSDAQ\n", encoding="utf-8")
+    path.write_text("종목명,종목코드,상장시장\n가나전자,000123,KOSPI\n다라게임,456780,KOSDAQ\n", encoding="utf-8")
     rows = listing.read_listing_csv(spark, str(path)).collect()
-    assert [tuple(r) for r in rows] == [("삼성전자", "005930", "KOSPI"), ("카카오게임즈", "293490", "KOSDAQ")]
+    assert [tuple(r) for r in rows] == [("가나전자", "000123", "KOSPI"), ("다라게임", "456780", "KOSDAQ")]
 
 
 def test_listing_lookup_and_sort(spark):
