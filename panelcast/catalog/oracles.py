@@ -86,7 +86,7 @@ indicated AS (
 
 DENSE = """
 dense AS (
-  SELECT ticker, date, close AS price, volume, kospi, obv, mfi_signal,
+  SELECT ticker, date, close AS price, volume, inst, fore, kospi, obv, mfi, mfi_signal,
     row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS rn, count(*) OVER (PARTITION BY ticker) AS n
   FROM indicated
   WHERE close IS NOT NULL AND volume IS NOT NULL AND inst IS NOT NULL AND fore IS NOT NULL
@@ -99,7 +99,7 @@ frame AS (
   SELECT ticker, date, rn, n, price, ln(1 + price) AS close, ln(1 + kospi) AS kospi,
     CASE WHEN mfi_signal = 'buy' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mfi_signal_buy,
     CASE WHEN mfi_signal = 'sell' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mfi_signal_sell,
-    obv, ln(1 + price * volume) AS trading_amount
+    obv, ln(1 + price * volume) AS trading_amount, volume, inst, fore, mfi
   FROM dense
 )"""
 
@@ -255,7 +255,7 @@ ends AS (
   FROM (SELECT DISTINCT ticker, n FROM moved), (SELECT unnest(range(1, {horizon} + 1)) AS h), (VALUES ('test'), ('validation')) AS r(role)
 ),
 phis AS (
-  SELECT e.ticker, e.horizon, e.role, e.last_row, e.n, sum(p.w2 * p.w1) / nullif(sum(p.w1 * p.w1), 0) AS phi
+  SELECT e.ticker, e.horizon, e.role, e.last_row, e.n, sum(2 * p.w2 * p.w1) / nullif(sum(p.w1 * p.w1 + p.w2 * p.w2), 0) AS phi
   FROM ends e JOIN pairs p ON p.ticker = e.ticker AND p.rn <= e.last_row AND p.w1 IS NOT NULL
   GROUP BY ALL
 ),
@@ -385,7 +385,7 @@ ON s.ticker = x.ticker AND s.horizon = x.horizon AND s.fit = CASE WHEN x.role IN
     )
 
 
-CORR_COLUMNS = sorted([*INDEPENDENT, "y"])
+CORR_COLUMNS = sorted([*FEATURES, "volume", "inst", "fore", "mfi", "y"])
 CORR = " UNION ALL ".join(
     f"SELECT ticker, '{a}' AS col_a, '{b}' AS col_b, CASE WHEN var_pop({a}) > 0 AND var_pop({b}) > 0 THEN round(corr({a}, {b}), 3) + 0.0 END AS corr FROM staged WHERE horizon = 1 AND y IS NOT NULL GROUP BY ticker"
     for i, a in enumerate(CORR_COLUMNS)
@@ -405,7 +405,7 @@ SHIFTS = ", ".join(
     f"{plus_days('date', str(n))} AS plus_{n}, {minus_days('date', str(n))} AS minus_{n}" for n in (1, 5, 20, 250)
 )
 
-IMPUTED = ["close", "high", "low", "volume", "kospi", "weekday"]
+IMPUTED = [*VALUES, "weekday"]
 
 
 def imputed() -> str:
@@ -429,8 +429,7 @@ mean_{c} AS (SELECT ticker, avg({c}) AS m, min({c}) AS lo, max({c}) AS hi FROM k
         value = f"coalesce(k.{c}, fill_{c}.v, mean_{c}.m)"
         if c in whole:
             value = f"least(greatest(round_even({value}, 0), mean_{c}.lo), mean_{c}.hi)"
-        if c != "kospi":
-            shown.append(r(value, 6, c))
+        shown.append(r(value, 6, c))
     joins = "".join(
         f"LEFT JOIN fill_{c} ON fill_{c}.ticker = k.ticker AND fill_{c}.date = k.date "
         f"LEFT JOIN mean_{c} ON mean_{c}.ticker = k.ticker\n"
@@ -465,8 +464,8 @@ SELECT o_orderkey, s.*, strftime(plus_1, '%Y%m%d') AS compact FROM orders JOIN s
     + ", "
     + " + ".join(f"count(*) - count({c})" for c in ["ticker", "date", *VALUES])
     + " AS total_nulls FROM joined",
-    "min_history": ctes(*TO_PANEL)
-    + "SELECT ticker, count(*) AS n_days, CAST(1716 AS BIGINT) AS required, count(*) >= 1716 AS enough FROM panel GROUP BY ticker",
+    "min_history": ctes(*BASE[:-1], REQUEST_SPINE, JOINED, PANEL)
+    + "SELECT ticker, count(*) AS n_days, CAST(60 AS BIGINT) AS required, count(*) >= 60 AS enough FROM panel GROUP BY ticker",
     "stride_sample": ctes(*TO_PANEL)
     + """SELECT ticker, date, close, CAST(step AS BIGINT) AS step FROM (
   SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) - 1 AS back FROM panel), (VALUES (5), (20)) AS s(step)
@@ -542,7 +541,10 @@ WHERE rn = n_train - 5 + f.fold OR rn <= n_train - 7 + f.fold""",
     "corr_matrix": ctes(*TO_STAGED) + CORR,
     "label_encode": """WITH p AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT o_orderpriority AS v FROM orders)),
 s AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT o_orderstatus AS v FROM orders))
-SELECT o_orderkey, p.code AS o_orderpriority, s.code AS o_orderstatus FROM orders LEFT JOIN p ON p.v = o_orderpriority LEFT JOIN s ON s.v = o_orderstatus""",
+SELECT o_orderkey, p.code AS o_orderpriority, s.code AS o_orderstatus, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS DOUBLE) AS o_custkey
+FROM orders LEFT JOIN p ON p.v = o_orderpriority LEFT JOIN s ON s.v = o_orderstatus""",
+    "one_hot_long": """SELECT event_id, 'event_type' AS col, dense_rank() OVER (ORDER BY event_type) - 1 AS code FROM events WHERE event_type IS NOT NULL
+UNION ALL SELECT event_id, 'user_id', dense_rank() OVER (ORDER BY user_id) - 1 FROM events WHERE user_id IS NOT NULL""",
     "knn_impute": imputed(),
     "one_hot": "SELECT event_id, "
     + ", ".join(
@@ -563,12 +565,12 @@ SELECT o_orderkey, p.code AS o_orderpriority, s.code AS o_orderstatus FROM order
     "goss_sample": ctes(
         *TO_STAGED,
         "changes AS (SELECT ticker, date, ln(1 + y) - ln(1 + price) AS residual FROM staged WHERE horizon = 1 AND y IS NOT NULL)",
-        "cut AS (SELECT quantile_disc(abs(residual), 0.8) AS cut FROM changes)",
+        "hashed AS (SELECT *, md5(concat_ws('|', ticker, CAST(date AS VARCHAR), '321|0')) AS hash FROM changes)",
         """
 drawn AS (
-  SELECT ticker, date, residual, abs(residual) >= cut AS large,
-    CAST('0x' || substr(md5(concat_ws('|', ticker, CAST(date AS VARCHAR), '321|0')), 1, 8) AS BIGINT) / 4294967296.0 AS u
-  FROM changes, cut
+  SELECT ticker, date, residual, row_number() OVER (ORDER BY abs(residual) DESC, hash) <= greatest(1, CAST(floor(count(*) OVER () * 0.2) AS BIGINT)) AS large,
+    CAST('0x' || substr(hash, 1, 8) AS BIGINT) / 4294967296.0 AS u
+  FROM hashed
 )""",
     )
     + f"SELECT ticker, date, {r('residual')}, CASE WHEN large THEN 1.0::DOUBLE ELSE 8.0::DOUBLE END AS weight FROM drawn WHERE large OR u < 0.1 / 0.8",
@@ -592,7 +594,9 @@ UNION ALL SELECT s_name, s_acctbal, NULL, CAST(s_nationkey AS VARCHAR) FROM supp
     "chart_series_tail": ctes(*TO_DENSE, *arima_parts(), FORECASTS, f"tail AS (SELECT * FROM dense WHERE rn >= n - {HORIZON})") + "," + chart("tail", 5, 5),
     "forecast_job": job(["Linear", "KNN", "ARIMA"], ALL_MODELS, HORIZON),
     "forecast_request": job(["Linear", "KNN", "ARIMA"], REQUEST_PARTS, 20),
-    "stmt_long": STATEMENTS,
+    "stmt_long": f"""WITH stored AS ({STATEMENTS}), periods AS (SELECT DISTINCT period FROM stored),
+labels AS (SELECT DISTINCT sector, company, statement, label FROM stored)
+SELECT l.*, p.period, s.value FROM labels l CROSS JOIN periods p LEFT JOIN stored s USING (sector, company, statement, label, period)""",
     "stmt_roundtrip": STATEMENTS,
     "stmt_first_sector": """WITH sales AS (
   SELECT p_type AS sector, p_brand AS company, CASE WHEN l_returnflag = 'R' THEN 'bs' ELSE 'cis' END AS statement, l_linestatus AS label,

@@ -15,6 +15,10 @@ from panelcast.sources import listing, market, statements
 from panelcast.sources.tables import read_table
 
 HORIZON = 5
+# The request of the queries that read part of the history: training days and steps.
+TRAIN_PERIOD = 250
+REQUEST_HORIZON = 20
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 CHECKED_MODELS = ["Linear", "KNN", "ARIMA"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,7 +167,11 @@ def null_audit(spark, folder):
 
 @query
 def min_history(spark, folder):
-    return panel.min_history(filled_panel(spark, folder), horizon=572)
+    """Whether the days of a request are enough for its steps."""
+    loaded = market.load_market(spark, folder)
+    end = panel.request_date(loaded)
+    days = panel.build_panel(loaded, forecast.training_start(end, TRAIN_PERIOD), end)
+    return panel.min_history(days, REQUEST_HORIZON)
 
 
 @query
@@ -308,16 +316,19 @@ def minmax_scale(spark, folder):
 
 @query
 def corr_matrix(spark, folder):
-    frame = feat.model_frame(filled_panel(spark, folder))
-    names = [c for c in feat.feature_columns(frame) if c != "mfi_signal_sell"]
+    """Every numeric column of the panel with every other and the next close."""
+    others = ["volume", "inst", "fore", "mfi"]
+    frame = feat.model_frame(filled_panel(spark, folder), others)
+    names = [*feat.feature_columns(frame), *others, "y"]
     labelled = feat.with_horizons(frame, 1).where(F.col("y").isNotNull())
-    return feat.correlation_pairs(labelled, [*names, "y"]).withColumn("corr", F.col("corr") + F.lit(0.0))
+    return feat.correlation_pairs(labelled, names).withColumn("corr", F.col("corr") + F.lit(0.0))
 
 
 @query
 def label_encode(spark, folder):
-    orders = read_table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    columns = ["o_orderpriority", "o_orderstatus"]
+    """Two text columns and a number whose values differ in length."""
+    orders = read_table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey")
+    columns = ["o_orderpriority", "o_orderstatus", "o_custkey"]
     dictionary = encoders.fit_label_encoder(orders, columns)
     return encoders.apply_label_encoder(orders, dictionary, columns)
 
@@ -325,17 +336,25 @@ def label_encode(spark, folder):
 @query
 def one_hot(spark, folder):
     events = read_table(spark, folder, "events").select("event_id", "event_type", "user_id")
-    encoded = encoders.one_hot(events, encoders.fit_one_hot(events, ["event_type", "weekday"]))
+    encoded = encoders.one_hot(events, {"event_type": EVENT_TYPES})
     return as_long(encoded, *[c for c in encoded.columns if c.startswith("event_type_")])
 
 
+@query
+def one_hot_long(spark, folder):
+    """The entries of 1 of a wide column with as many categories as there are users."""
+    events = read_table(spark, folder, "events").select("event_id", "event_type", "user_id")
+    dictionary = encoders.fit_label_encoder(events, ["event_type", "user_id"])
+    return as_long(encoders.one_hot_long(events, ["event_id"], dictionary), "code")
+
+
 @query
 def knn_impute(spark, folder):
     """Days without a bar filled from the days with the most similar index level and weekday."""
     joined = panel.spine_join(market.load_market(spark, folder))
     known = joined.withColumn("weekday", F.weekday("date").cast("double"))
-    columns = ["close", "high", "low", "volume", "kospi", "weekday"]
-    return rounded(impute.knn_impute(known, columns, categorical=["volume", "weekday"]).drop("kospi"))
+    columns = ["open", "high", "low", "close", "volume", "inst", "fore", "kospi", "weekday"]
+    return rounded(impute.knn_impute(known, columns, categorical=["volume", "weekday"]))
 
 
 # --- models ----------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""ARIMA(1,2,0) without constant, by conditional least squares."""
+"""ARIMA(1,2,0) without constant, by Burg's estimate of the coefficient."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from panelcast.operators.panel import by_date, running, whole
 def arima_forecast(frame: DataFrame, horizon: int) -> DataFrame:
     """Validation and test forecasts for every step.
 
-    ``w`` is the second difference of the price and phi regresses it on its
-    predecessor. Running sums give phi for every training length at once:
+    ``w`` is the second difference of the price. phi is twice the sum of products
+    of neighbours over the sum of both their squares, which keeps it between -1 and
+    1 on every series. Running sums give phi for every training length at once:
     validation of step h learns from all but the last h rows and is compared
     with the last row; the forecast learns from all rows.
     """
@@ -26,8 +27,8 @@ def arima_forecast(frame: DataFrame, horizon: int) -> DataFrame:
         moved.withColumn("w_before", before)
         .withColumns(
             {
-                "up": F.sum(F.col("w") * F.col("w_before")).over(running()),
-                "down": F.sum(F.when(F.col("w").isNotNull(), F.col("w_before") * F.col("w_before"))).over(running()),
+                "up": F.sum(2 * F.col("w") * F.col("w_before")).over(running()),
+                "down": F.sum(F.col("w") * F.col("w") + F.col("w_before") * F.col("w_before")).over(running()),
                 "last_price": F.max_by("price", "rn").over(whole()),
             }
         )

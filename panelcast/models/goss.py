@@ -28,8 +28,8 @@ DEPTHS = [4, 6]
 MIN_ROWS = [5, 10, 20]
 TOP_SHARE = 0.2
 OTHER_SHARE = 0.1
-# The tree columns of this many rounds are kept as a plan before it is cut.
-ROUNDS_PER_CHECKPOINT = 10
+# Relative accuracy of the sketches that look for the cut; it changes the speed only.
+SKETCH_ACCURACY = 10_000
 
 
 def uniform(keys: list[str], seed: int, turn: int) -> Column:
@@ -38,6 +38,50 @@ def uniform(keys: list[str], seed: int, turn: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
+def tie_order(keys: list[str], seed: int, turn: int) -> Column:
+    """A whole number of 60 bits that only the row's key, the seed and the round decide."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(f"{seed}|{turn}"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def kth_largest(rows: DataFrame, value: str, k: int):
+    """The k-th largest known value, exact, without a sort.
+
+    A sketch puts two bounds around it, counts say on which side of them or between
+    them it lies, and the search goes on in that range. The bounds leave the range
+    each time, so it ends however many ties there are; the driver sees counts only.
+    """
+    v = F.col(value)
+    inside, low, high = rows.agg(F.count(v), F.min(v), F.max(v)).first()
+    if not 1 <= k <= inside:
+        raise ValueError(f"there is no value of rank {k} among {inside}")
+    while low < high:
+        span = rows.where(v.between(F.lit(low), F.lit(high)))
+        at, margin = 1 - k / inside, 2 / SKETCH_ACCURACY
+        shares = [max(at - margin, 0.0), min(at + margin, 1.0)]
+        a, b = span.agg(F.percentile_approx(v, shares, SKETCH_ACCURACY)).first()[0]
+        ranges = [v > F.lit(b), v == F.lit(b), (v > F.lit(a)) & (v < F.lit(b)), (v == F.lit(a)) & (v < F.lit(b)), v < F.lit(a)]
+        part = F.when(ranges[0], 0)
+        for i, held in enumerate(ranges[1:], 1):
+            part = part.when(held, i)
+        counts = span.groupBy(part.alias("part")).agg(F.count(F.lit(1)), F.min(v), F.max(v))
+        for _, inside, low, high in sorted(counts.collect()):
+            if k <= inside:
+                break
+            k -= inside
+    return low
+
+
+def top_rows(rows: DataFrame, size: Column, order: Column, k: int) -> Column:
+    """A condition that holds for exactly the k largest rows; ties go by ``order``, lowest first."""
+    ranked = rows.select(size.alias("size"), order.alias("order"))
+    cut = kth_largest(ranked, "size", k)
+    tied = ranked.where(F.col("size") == F.lit(cut))
+    above = ranked.where(F.col("size") > F.lit(cut)).count()
+    last = -kth_largest(tied.select((-F.col("order")).alias("order")), "order", k - above)
+    return (size > F.lit(cut)) | ((size == F.lit(cut)) & (order <= F.lit(last)))
+
+
 def goss_sample(
     rows: DataFrame,
     residual: str,
@@ -49,15 +93,17 @@ def goss_sample(
 ) -> DataFrame:
     """Keep the rows with the largest residuals and a weighted sample of the rest.
 
-    The top share is cut at a quantile sketch of the absolute residual, so no
-    global sort is needed. Sampled rows weigh ``(1 - top) / other`` so that sums
+    The top share is exact at every size, at least one row: ties at the cut go by
+    a hash of the row's key. Sampled rows weigh ``(1 - top) / other`` so that sums
     stay unbiased. A row's fate depends on its key only, not on its partition.
+    Rows without a residual are left out.
     """
+    rows = rows.where(F.col(residual).isNotNull())
     size = F.abs(F.col(residual))
-    cut = rows.agg(F.percentile_approx(size, 1 - top, 100_000).alias("cut")).first()["cut"]
-    if cut is None:
+    total = rows.count()
+    if total == 0:
         return rows.withColumn("weight", F.lit(1.0))
-    large = size >= F.lit(cut)
+    large = top_rows(rows, size, tie_order(keys, seed, turn), max(1, int(total * top)))
     lucky = uniform(keys, seed, turn) < other / (1 - top)
     weight = F.when(large, 1.0).when(lucky, (1 - top) / other)
     return rows.withColumn("weight", weight).where(F.col("weight").isNotNull())
@@ -68,8 +114,8 @@ def boost(
 ) -> list[DataFrame]:
     """Predictions of ``targets`` after every round.
 
-    Each round fits one weighted tree to the residuals of a fresh sample. Both
-    tables are cut from their lineage every few rounds, so plans stay short.
+    Each round fits one weighted tree to the residuals of a fresh sample. The
+    residuals are kept after each round, so no tree is applied twice to a row.
     """
     start = train.agg(F.avg("label")).first()[0]
     train = train.withColumn("fit", F.lit(start))
@@ -92,8 +138,7 @@ def boost(
             .withColumn("prediction", F.col("prediction") + step_size * F.col("step"))
             .drop("step")
         )
-        if (turn + 1) % ROUNDS_PER_CHECKPOINT == 0:
-            train, targets = materialize(train), materialize(targets)
+        train, targets = materialize(train), materialize(targets)
         stages.append(targets)
     return stages
 

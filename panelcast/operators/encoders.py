@@ -68,22 +68,22 @@ def apply_label_encoder(df: DataFrame, dictionary: DataFrame, columns: list[str]
     return df.select(*order)
 
 
-def fit_one_hot(df: DataFrame, columns: list[str], limit: int = 10_000) -> dict[str, list[str]]:
-    """Sorted categories per column; they become the schema, so too many is an error."""
-    categories = {}
-    for c in columns:
-        if c not in df.columns:
-            continue
-        found = df.select(c).where(F.col(c).isNotNull()).distinct().limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"{c} has over {limit} categories, too many for columns")
-        categories[c] = [str(v) for v in sorted(r[0] for r in found if r[0] == r[0])]  # NaN is no category
-    return categories
+def one_hot_long(df: DataFrame, keys: list[str], dictionary: DataFrame) -> DataFrame:
+    """``(*keys, col, code)`` for every cell whose value ``dictionary`` knows.
+
+    This is the sparse form of :func:`one_hot`: one row per entry of 1, for any
+    number of categories. ``dictionary`` is that of :func:`fit_label_encoder`.
+    """
+    columns = [c for c in df.columns if c not in keys]
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in columns])
+    long = df.select(*keys, F.inline(cells))
+    return long.join(dictionary, ["col", "value"]).select(*keys, "col", "code")
 
 
 def one_hot(df: DataFrame, categories: dict[str, list[str]], labels: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """0/1 columns ``{col}_{value}`` in place of each column of ``categories``.
 
+    The categories become the schema, so the caller names them, in their order.
     Unknown values give zeros everywhere; ``labels`` renames values; columns the
     frame lacks are skipped.
     """

@@ -41,13 +41,17 @@ def feature_frame(dense: DataFrame) -> DataFrame:
     return one_hot(logged, {"mfi_signal": SIGNALS})
 
 
-def model_frame(panel: DataFrame) -> DataFrame:
-    """Keys, position, raw price and features: the input of every model."""
+def model_frame(panel: DataFrame, others: list[str] = ()) -> DataFrame:
+    """Keys, position, raw price and features: the input of every model.
+
+    ``others`` are further columns of the dense frame to keep, those it has.
+    """
     dense = dense_frame(panel)
     logged = log1p_columns(dense, LOGGED)
     encoded = one_hot(logged, {"mfi_signal": SIGNALS})
     features = [F.col(c).cast("double").alias(c) for c in feature_columns(encoded)]
-    return encoded.select("ticker", "date", "rn", "n", "price", *features)
+    kept = [c for c in others if c in encoded.columns and c not in feature_columns(encoded)]
+    return encoded.select("ticker", "date", "rn", "n", "price", *features, *kept)
 
 
 def lead_targets(dense: DataFrame, horizon: int) -> DataFrame:

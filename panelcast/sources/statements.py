@@ -94,10 +94,10 @@ def wide_statements(statements: DataFrame, periods: list[str] | None = None) ->
 
 
 def long_statements(wide: DataFrame) -> DataFrame:
-    """Back to one row per label and year end; empty cells are dropped."""
+    """Back to one row per label and year end; empty cells stay, as NULL."""
     periods = [c for c in wide.columns if c not in STATEMENT_KEYS]
     long = wide.unpivot(STATEMENT_KEYS, periods, "period", "value")
-    return long.where(F.col("value").isNotNull()).withColumn("period", F.to_date("period", "yyyyMMdd"))
+    return long.withColumn("period", F.to_date("period", "yyyyMMdd"))
 
 
 def transpose_metrics(metrics: DataFrame, key: str) -> DataFrame:

@@ -66,8 +66,7 @@ def test_ordinal_codes_over_many_partitions(spark):
 
 def test_one_hot(spark):
     df = spark.createDataFrame([(1, "sell", 5), (2, "buy", 6), (3, None, 7)], "a int, s string, b int")
-    categories = encoders.fit_one_hot(df, ["s", "weekday"])
-    assert categories == {"s": ["buy", "sell"]}
+    categories = {"s": ["buy", "sell"], "weekday": ["mon"]}
     got = encoders.one_hot(df, categories)
     assert got.columns == ["a", "s_buy", "s_sell", "b"]
     assert [tuple(r) for r in got.orderBy("a").collect()] == [(1, 0, 1, 5), (2, 1, 0, 6), (3, 0, 0, 7)]
@@ -75,8 +74,9 @@ def test_one_hot(spark):
     assert {(r["s_buy"], r["s_sell"]) for r in encoders.one_hot(unseen, categories).collect()} == {(0, 0)}
     renamed = encoders.one_hot(df, categories, {"s": {"buy": "long"}})
     assert "s_long" in renamed.columns
-    with pytest.raises(ValueError):
-        encoders.fit_one_hot(df, ["s"], limit=1)
+    long = encoders.one_hot_long(df, ["a"], encoders.fit_label_encoder(df, ["s", "b"]))
+    entries = sorted((r["a"], r["col"], r["code"]) for r in long.collect())
+    assert entries == [(1, "b", 0.0), (1, "s", 1.0), (2, "b", 1.0), (2, "s", 0.0), (3, "b", 2.0)]
 
 
 def impute_by_hand(x, k):
@@ -296,4 +296,3 @@ def test_numeric_categories_are_in_order_of_size(spark):
     df = spark.createDataFrame([(2.0, 2), (10.0, 10), (float("nan"), 10), (None, None)], "x double, k int")
     codes = {(r["col"], r["value"]): r["code"] for r in encoders.fit_label_encoder(df, ["x", "k"]).collect()}
     assert codes == {("x", "2.0"): 0, ("x", "10.0"): 1, ("k", "2"): 0, ("k", "10"): 1}
-    assert encoders.fit_one_hot(df, ["x", "k"]) == {"x": ["2.0", "10.0"], "k": ["2", "10"]}
