@@ -568,7 +568,7 @@ UNION ALL SELECT event_id, 'user_id', dense_rank() OVER (ORDER BY user_id) - 1 F
         "hashed AS (SELECT *, md5(concat_ws('|', ticker, CAST(date AS VARCHAR), '321|0')) AS hash FROM changes)",
         """
 drawn AS (
-  SELECT ticker, date, residual, row_number() OVER (ORDER BY abs(residual) DESC, hash) <= greatest(1, CAST(floor(count(*) OVER () * 0.2) AS BIGINT)) AS large,
+  SELECT ticker, date, residual, row_number() OVER (ORDER BY abs(residual) DESC, md5(concat_ws('|', ticker, CAST(date AS VARCHAR), '321|0|ties'))) <= greatest(1, CAST(floor(count(*) OVER () * 0.2) AS BIGINT)) AS large,
     CAST('0x' || substr(hash, 1, 8) AS BIGINT) / 4294967296.0 AS u
   FROM hashed
 )""",

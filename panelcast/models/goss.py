@@ -39,18 +39,19 @@ def uniform(keys: list[str], seed: int, turn: int) -> Column:
 
 
 def tie_order(keys: list[str], seed: int, turn: int) -> Column:
-    """A whole number of 60 bits that only the row's key, the seed and the round decide."""
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(f"{seed}|{turn}"))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    """A whole number of 52 bits, exact as a double, that only the row's key, the seed and the round decide."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(f"{seed}|{turn}|ties"))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
 def kth_largest(rows: DataFrame, value: str, k: int):
-    """The k-th largest known value, exact, without a sort.
+    """The k-th largest known value, exact, without a sort; values are compared as doubles.
 
     A sketch puts two bounds around it, counts say on which side of them or between
     them it lies, and the search goes on in that range. The bounds leave the range
     each time, so it ends however many ties there are; the driver sees counts only.
     """
+    rows = rows.select(F.col(value).cast("double").alias(value))
     v = F.col(value)
     inside, low, high = rows.agg(F.count(v), F.min(v), F.max(v)).first()
     if not 1 <= k <= inside:
@@ -78,7 +79,7 @@ def top_rows(rows: DataFrame, size: Column, order: Column, k: int) -> Column:
     cut = kth_largest(ranked, "size", k)
     tied = ranked.where(F.col("size") == F.lit(cut))
     above = ranked.where(F.col("size") > F.lit(cut)).count()
-    last = -kth_largest(tied.select((-F.col("order")).alias("order")), "order", k - above)
+    last = -int(kth_largest(tied.select((-F.col("order")).alias("order")), "order", k - above))
     return (size > F.lit(cut)) | ((size == F.lit(cut)) & (order <= F.lit(last)))
 
 
