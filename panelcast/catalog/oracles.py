@@ -343,6 +343,98 @@ REQUEST_PARTS = [
     *linear_parts(), *knn_parts((3, 5, 7)), KNN_TUNED, *arima_parts(20),
 ]
 
+FINE_TRADES = """
+trades AS (
+  SELECT n_name AS ticker, CAST(o_orderdate AS DATE) AS date, o_orderkey, o_totalprice, o_orderpriority
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+)"""
+FINE_PARTS = [
+    FINE_TRADES, BARS, FLOWS, INDEX, REQUEST_SPINE, JOINED, PANEL, INDICATED, DENSE, FRAME, staged(), ROLES,
+    *linear_parts(), *knn_parts((3, 5, 7)), KNN_TUNED, *arima_parts(),
+]
+
+# All trades set the request date; the company's alone make its bars.
+COMPANY_TRADES = """
+all_trades AS (
+  SELECT c_name, lpad(CAST(c_custkey AS VARCHAR), greatest(6, length(CAST(c_custkey AS VARCHAR)))::INTEGER, '0') AS ticker,
+    CAST(o_orderdate AS DATE) AS date, o_orderkey, o_totalprice, o_orderpriority
+  FROM orders JOIN customer ON o_custkey = c_custkey
+),
+trades AS (SELECT * FROM all_trades WHERE c_name = 'Customer#000000003')"""
+COMPANY_SPINE = REQUEST_SPINE.replace("AS last_day FROM bars", "AS last_day FROM all_trades").replace(
+    minus_days("last_day", "250"), minus_days("last_day", "2000")
+)
+COMPANY_PARTS = [
+    COMPANY_TRADES, BARS, FLOWS, INDEX, COMPANY_SPINE, JOINED, PANEL, INDICATED, DENSE, FRAME, staged(), ROLES,
+    *knn_parts((3, 5, 7)), KNN_TUNED, *arima_parts(),
+]
+
+
+def fixed_net(alpha: float, ratio: float, sweeps: int = 300) -> list[str]:
+    """Coordinate descent as a recursive query over the covariances of every fit."""
+    cols, p = FEATURES, len(FEATURES)
+    sums = [f"avg({c}) AS m{i}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s{i}" for i, c in enumerate(cols)]
+    sums += [f"covar_pop({cols[i]}, {cols[j]}) / (s{i} * s{j}) AS c{i}{j}" for i in range(p) for j in range(i + 1)]
+    sums += [f"covar_pop({c}, y) / s{i} AS b{i}" for i, c in enumerate(cols)]
+    body = "SELECT * FROM descent JOIN moments USING (ticker, horizon, role) WHERE sweep < " + str(sweeps)
+    for j in range(p):
+        others = " - ".join([f"b{j}", *(f"c{max(i, j)}{min(i, j)} * w{i}" for i in range(p) if i != j)])
+        shrunk = f"sign({others}) * greatest(abs({others}) - {alpha * ratio}::DOUBLE, 0)"
+        kept = ", ".join(f"w{i}" if i != j else f"CASE WHEN c{j}{j} > 0 THEN {shrunk} / (c{j}{j} + {alpha * (1 - ratio)}::DOUBLE) ELSE 0.0::DOUBLE END AS w{j}" for i in range(p))
+        rest = ", ".join([*(f"c{i}{k}" for i in range(p) for k in range(i + 1)), *(f"b{i}" for i in range(p))])
+        body = f"SELECT ticker, horizon, role, sweep, {kept}, {rest} FROM ({body})"
+    ws = ", ".join(f"w{i}" for i in range(p))
+    start = ", ".join(f"0.0::DOUBLE AS w{i}" for i in range(p))
+    predicted = " + ".join(f"w{i} * (x.{c} - m{i}) / s{i}" for i, c in enumerate(cols))
+    return [
+        f"""
+moments AS MATERIALIZED (
+  SELECT ticker, horizon, CASE role WHEN 'train' THEN 'validation' ELSE 'test' END AS role, avg(y) AS my, {', '.join(sums)}
+  FROM roles WHERE role IN ('train', 'full') GROUP BY ticker, horizon, 3
+)""",
+        f"""
+descent AS (
+  SELECT ticker, horizon, role, 0 AS sweep, {start} FROM moments
+  UNION ALL SELECT ticker, horizon, role, sweep + 1, {ws} FROM ({body})
+)""",
+        f"""
+net AS (
+  SELECT x.ticker, x.horizon, x.role, x.y, my + {predicted} AS y_hat
+  FROM descent d JOIN moments m USING (ticker, horizon, role)
+  JOIN roles x ON x.ticker = d.ticker AND x.horizon = d.horizon AND x.role = d.role WHERE sweep = {sweeps}
+)""",
+    ]
+
+
+METRIC_NAMES = (
+    "yoy_avg_revenue yoy_avg_operating_income yoy_avg_ebitda yoy_avg_eps quick_ratio receivable_turnover_ratio "
+    "asset_turnover_ratio debt_to_equity_ratio icr revenue operating_income operating_margin ebitda ebitda_margin "
+    "roe cfo_to_earnings per shareholder_return"
+).split()
+KNOWN_METRICS = {
+    "yoy_avg_revenue": "avg(g)", "yoy_avg_operating_income": "avg(h)", "revenue": "arg_max(revenue, y)",
+    "operating_income": "arg_max(income, y)", "operating_margin": "arg_max(income, y) / arg_max(revenue, y)",
+}
+METRIC_ROWS = (
+    """
+line_income AS (
+  SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(5,2)))) AS income
+  FROM lineitem GROUP BY 1
+),
+yearly AS (
+  SELECT n_name AS company, year(o_orderdate) AS y, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue, CAST(sum(income) AS DOUBLE) AS income
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN line_income ON l_orderkey = o_orderkey
+  GROUP BY ALL
+),
+grown AS (SELECT *, revenue / lag(revenue) OVER w - 1 AS g, income / lag(income) OVER w - 1 AS h FROM yearly WINDOW w AS (PARTITION BY company ORDER BY y)),
+metric_rows AS ("""
+    + " UNION ALL ".join(
+        f"SELECT company, '{m}' AS metric, {f'round({KNOWN_METRICS[m]}, 4) + 0.0' if m in KNOWN_METRICS else 'CAST(NULL AS DOUBLE)'} AS value FROM grown GROUP BY company"
+        for m in METRIC_NAMES
+    )
+    + ")"
+)
+
 FORECASTS = f"""
 forecasts AS (
   SELECT ticker, {plus_days('last_day', 'horizon')} AS date, round_even(y_hat, 0) AS close
@@ -593,6 +685,19 @@ UNION ALL SELECT s_name, s_acctbal, NULL, CAST(s_nationkey AS VARCHAR) FROM supp
     "chart_series": ctes(*TO_DENSE, *arima_parts(), FORECASTS) + "," + chart("dense", 20, 20),
     "chart_series_tail": ctes(*TO_DENSE, *arima_parts(), FORECASTS, f"tail AS (SELECT * FROM dense WHERE rn >= n - {HORIZON})") + "," + chart("tail", 5, 5),
     "forecast_job": job(["Linear", "KNN", "ARIMA"], ALL_MODELS, HORIZON),
+    "forecast_job_fine": job(["Linear", "KNN", "ARIMA"], FINE_PARTS, HORIZON),
+    "forecast_company": job(["KNN", "ARIMA"], COMPANY_PARTS, HORIZON),
+    "listing_named": f"SELECT * FROM ({CUSTOMER_LISTING}) WHERE name IN ('Customer#000000003', 'Customer#000000007')",
+    "leaderboard_times": ctes(*TO_PERFORMANCE, BOARD.replace(
+        "CAST(NULL AS DOUBLE) AS running_time", "CASE model WHEN 'Linear' THEN 1.5 WHEN 'KNN' THEN 2.25 ELSE 0.5 END::DOUBLE AS running_time"
+    )) + f"SELECT ticker, model, {r('avg')}, running_time FROM board",
+    "elasticnet_fixed": ctes(*TO_STAGED, ROLES, *fixed_net(1.0, 0.5)).replace("WITH", "WITH RECURSIVE", 1)
+    + forecast_rows("net", ", 1.0::DOUBLE AS alpha, 0.5::DOUBLE AS l1_ratio"),
+    "grid_linspace": f"""SELECT ticker, a * 9 + b AS grid_ord, round(0.001::DOUBLE + a * (999.999::DOUBLE / 99), 9) AS alpha, (b + 1) / 10.0::DOUBLE AS l1_ratio
+FROM (SELECT DISTINCT c_mktsegment AS ticker FROM customer JOIN orders ON o_custkey = c_custkey), range(100) g(a), range(9) k(b)""",
+    "company_page": f"""WITH stored AS ({STATEMENTS}), {METRIC_ROWS}
+SELECT company, statement AS part, label, period, value FROM stored WHERE company = (SELECT min(company) FROM stored)
+UNION ALL SELECT company, 'metrics', metric, CAST(NULL AS DATE), value FROM metric_rows WHERE company = (SELECT min(company) FROM stored)""",
     "forecast_request": job(["Linear", "KNN", "ARIMA"], REQUEST_PARTS, 20),
     "stmt_long": f"""WITH stored AS ({STATEMENTS}), periods AS (SELECT DISTINCT period FROM stored),
 labels AS (SELECT DISTINCT sector, company, statement, label FROM stored)
@@ -603,13 +708,5 @@ SELECT l.*, p.period, s.value FROM labels l CROSS JOIN periods p LEFT JOIN store
     make_date(year(l_shipdate), 12, 31) AS period, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS value
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 SELECT * FROM sales s WHERE sector = (SELECT min(sector) FROM sales f WHERE f.company = s.company)""",
-    "metrics_transpose": """WITH yearly AS (
-  SELECT n_name AS company, year(o_orderdate) AS y, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
-grown AS (SELECT *, revenue / lag(revenue) OVER (PARTITION BY company ORDER BY y) - 1 AS growth FROM yearly),
-wide AS (SELECT company, avg(growth) AS yoy_avg_revenue, arg_max(revenue, y) AS revenue, arg_max(growth, y) AS last_growth FROM grown GROUP BY company)
-SELECT company, 'yoy_avg_revenue' AS metric, round(yoy_avg_revenue, 4) + 0.0 AS value FROM wide
-UNION ALL SELECT company, 'revenue', round(revenue, 4) FROM wide
-UNION ALL SELECT company, 'last_growth', round(last_growth, 4) + 0.0 FROM wide
-UNION ALL SELECT company, 'per', NULL FROM wide""",
+    "metrics_transpose": f"WITH {METRIC_ROWS} SELECT company, metric, value FROM metric_rows",
 }

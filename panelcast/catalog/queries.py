@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelcast.functions import calendar
 from panelcast.models import arima, elasticnet, goss, knn, linear, trees
 from panelcast.operators import encoders, evaluate, features as feat, impute, indicators, panel, reshape, splits
-from panelcast.plans import forecast, report
+from panelcast.plans import company, forecast, report
 from panelcast.session import materialize, scratch_path
 from panelcast.sources import listing, market, statements
 from panelcast.sources.tables import read_table
@@ -18,6 +18,10 @@ HORIZON = 5
 # The request of the queries that read part of the history: training days and steps.
 TRAIN_PERIOD = 250
 REQUEST_HORIZON = 20
+# The company of the queries for one, and a history in which it trades often enough.
+COMPANY = "Customer#000000003"
+COMPANY_PERIOD = 2000
+RUNNING_TIMES = {"Linear": 1.5, "KNN": 2.25, "ARIMA": 0.5}
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 CHECKED_MODELS = ["Linear", "KNN", "ARIMA"]
 
@@ -79,6 +83,12 @@ def listing_lookup(spark, folder):
     return listing.names_for_codes(codes, listing.customer_listing(spark, folder))
 
 
+@query
+def listing_named(spark, folder):
+    """The rows of some names."""
+    return listing.codes_for_names(listing.customer_listing(spark, folder), [COMPANY, "Customer#000000007"])
+
+
 @query
 def listing_sorted(spark, folder):
     both = listing.union_listings(
@@ -168,8 +178,7 @@ def null_audit(spark, folder):
 @query
 def min_history(spark, folder):
     """Whether the days of a request are enough for its steps."""
-    loaded = market.load_market(spark, folder)
-    end = panel.request_date(loaded)
+    loaded, end = forecast.load_request(spark, folder, TRAIN_PERIOD)
     days = panel.build_panel(loaded, forecast.training_start(end, TRAIN_PERIOD), end)
     return panel.min_history(days, REQUEST_HORIZON)
 
@@ -383,6 +392,23 @@ def elasticnet_forecast(spark, folder):
     return _forecast_rows(fitted, "alpha", "l1_ratio")
 
 
+@query
+def elasticnet_fixed(spark, folder):
+    """The untuned path: a given penalty and mixing ratio, solved to the last digits."""
+    frame = frame_of(spark, folder)
+    fitted = elasticnet.elasticnet_forecast(
+        frame, feat.feature_columns(frame), HORIZON, alphas=[1.0], ratios=[0.5], tolerance=1e-13
+    )
+    return _forecast_rows(fitted, "alpha", "l1_ratio")
+
+
+@query
+def grid_linspace(spark, folder):
+    """The grid that the elastic net tries for every ticker."""
+    tickers = market.daily_bars(spark, folder).select("ticker").distinct()
+    return rounded(evaluate.linspace_grid(tickers, 1e-3, 1e3, 100, list(map(float, elasticnet.RATIOS))), 9)
+
+
 @query
 def knn_forecast(spark, folder):
     frame = frame_of(spark, folder)
@@ -462,6 +488,13 @@ def leaderboard(spark, folder):
     return rounded(evaluate.leaderboard(scores, HORIZON))
 
 
+@query
+def leaderboard_times(spark, folder):
+    """Mean running times of the models, as the caller measured them."""
+    scores = forecast.performance(_predictions(spark, folder), RUNNING_TIMES)
+    return rounded(evaluate.leaderboard(scores, HORIZON).select("ticker", "model", "avg", "running_time"))
+
+
 @query
 def leaderboard_score(spark, folder):
     """The rows of one model: its score per step, mean and deviation."""
@@ -531,8 +564,26 @@ def forecast_job(spark, folder):
 @query
 def forecast_request(spark, folder):
     """The same job as a request: 250 training days and 20 steps ahead."""
-    loaded = market.load_market(spark, folder)
-    job = forecast.forecast_job(loaded, CHECKED_MODELS, horizon=20, train_period=250)
+    loaded, end = forecast.load_request(spark, folder, TRAIN_PERIOD)
+    job = forecast.forecast_job(loaded, CHECKED_MODELS, REQUEST_HORIZON, end, TRAIN_PERIOD)
+    return rounded(as_long(job, "horizon"), 5)
+
+
+@query
+def forecast_job_fine(spark, folder):
+    """A request for all tickers of the finer grain."""
+    loaded, end = forecast.load_request(spark, folder, TRAIN_PERIOD, by="nation")
+    job = forecast.forecast_job(loaded, CHECKED_MODELS, HORIZON, end, TRAIN_PERIOD)
+    return rounded(as_long(job, "horizon"), 5)
+
+
+@query
+def forecast_company(spark, folder):
+    """A request for one company by name: its code limits what is read."""
+    named = listing.codes_for_names(listing.customer_listing(spark, folder), [COMPANY])
+    codes = [r["code"] for r in named.select("code").collect()]
+    loaded, end = forecast.load_request(spark, folder, COMPANY_PERIOD, by="customer", tickers=codes)
+    job = forecast.forecast_job(loaded, ["KNN", "ARIMA"], HORIZON, end, COMPANY_PERIOD)
     return rounded(as_long(job, "horizon"), 5)
 
 
@@ -567,5 +618,16 @@ def metrics_transpose(spark, folder):
     return rounded(statements.transpose_metrics(statements.order_metrics(spark, folder), "company"), 4)
 
 
+@query
+def company_page(spark, folder):
+    """Statements and metrics of one company, from the published store."""
+    table = materialize(statements.order_statements(spark, folder))
+    ranks = encoders.ordinal_codes(table.select(F.lit("sector").alias("col"), F.col("sector").alias("value")))
+    path = scratch_path(spark, "pages")
+    company.publish_statements(table, ranks.select(F.col("value").alias("sector"), F.col("code").alias("sector_ord")), path)
+    name = table.agg(F.min("company")).first()[0]
+    return rounded(company.company_page(spark, path, statements.order_metrics(spark, folder), name), 4)
+
+
 def registry() -> dict[str, Query]:
     return dict(QUERIES)

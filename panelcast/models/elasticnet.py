@@ -43,7 +43,8 @@ def duality_gap(cov, cross, y_var, soft, ridge, w) -> np.ndarray:
 
 
 def coordinate_descent(
-    cov: np.ndarray, cross: np.ndarray, y_var: np.ndarray, alpha: np.ndarray, ratio: np.ndarray
+    cov: np.ndarray, cross: np.ndarray, y_var: np.ndarray, alpha: np.ndarray, ratio: np.ndarray,
+    tolerance: float = TOLERANCE,
 ) -> np.ndarray:
     """Weights of many independent problems at once, one per row.
 
@@ -66,10 +67,10 @@ def coordinate_descent(
             w[:, j] = np.where(own > 0, shrunk / np.where(own > 0, own + ridge, 1.0), 0.0)
         weights[active] = w
         moved = np.abs(w - before).max(axis=1)
-        settled = moved <= TOLERANCE * np.abs(w).max(axis=1)
+        settled = moved <= tolerance * np.abs(w).max(axis=1)
         if settled.any():
             gap = duality_gap(cov, cross, y_var, soft, ridge, w)
-            going = ~(settled & (gap <= TOLERANCE * y_var))
+            going = ~(settled & (gap <= tolerance * y_var))
             if not going.all():
                 active, cov, cross, y_var = active[going], cov[going], cross[going], y_var[going]
                 soft, ridge = soft[going], ridge[going]
@@ -103,7 +104,7 @@ class Fit:
         return self.moments.y_mean[self.segment] + weights @ centred
 
 
-def solve(fits: list[Fit], alpha: np.ndarray, ratio: np.ndarray) -> list[np.ndarray]:
+def solve(fits: list[Fit], alpha: np.ndarray, ratio: np.ndarray, tolerance: float = TOLERANCE) -> list[np.ndarray]:
     """Predictions of every fit for each of its (alpha, ratio) pairs, in one descent.
 
     ``alpha`` and ``ratio`` have one row per fit.
@@ -115,6 +116,7 @@ def solve(fits: list[Fit], alpha: np.ndarray, ratio: np.ndarray) -> list[np.ndar
         np.repeat([f.moments.y_var[f.segment] for f in fits], points),
         alpha.ravel(),
         ratio.ravel(),
+        tolerance,
     )
     return [f.predict(w) for f, w in zip(fits, weights.reshape(len(fits), points, -1))]
 
@@ -135,20 +137,26 @@ def _fits(chunk, roles: dict[str, int], train_scale: bool) -> list[Fit]:
     return fits
 
 
-def fit_chunk(chunk, alpha: np.ndarray, ratio: np.ndarray) -> pd.DataFrame:
-    """Tune and forecast several tickers and steps together."""
+def fit_chunk(chunk, alpha: np.ndarray, ratio: np.ndarray, tolerance: float = TOLERANCE) -> pd.DataFrame:
+    """Tune and forecast several tickers and steps together; a single point needs no folds."""
+    if len(alpha) == 1:
+        return _forecasts(chunk, dict.fromkeys(range(len(chunk)), 0), alpha, ratio, tolerance)
     folds = _fits(chunk, {role: f for f, role in enumerate(FOLD_ROLES)}, train_scale=True)
     errors: dict[int, np.ndarray] = {}
     if folds:
         grid = np.tile(alpha, (len(folds), 1)), np.tile(ratio, (len(folds), 1))
-        for f, predicted in zip(folds, solve(folds, *grid)):
+        for f, predicted in zip(folds, solve(folds, *grid, tolerance)):
             errors[f.problem] = errors.get(f.problem, 0.0) + np.abs(f.y - predicted)
-    best = {i: int(np.argmin(e)) for i, e in errors.items()}
+    return _forecasts(chunk, {i: int(np.argmin(e)) for i, e in errors.items()}, alpha, ratio, tolerance)
+
+
+def _forecasts(chunk, best: dict[int, int], alpha: np.ndarray, ratio: np.ndarray, tolerance: float) -> pd.DataFrame:
+    """Validation and test predictions of the problems in ``best`` at their grid point."""
     final = [f for f in _fits(chunk, FITTED_ON, train_scale=False) if f.problem in best]
     out = []
     if final:
         chosen = np.array([best[f.problem] for f in final])
-        for f, g, predicted in zip(final, chosen, solve(final, alpha[chosen, None], ratio[chosen, None])):
+        for f, g, predicted in zip(final, chosen, solve(final, alpha[chosen, None], ratio[chosen, None], tolerance)):
             row = chunk[f.problem][0]
             y = None if np.isnan(f.y) else f.y + row.y_shift
             out.append((row.ticker, row.horizon, f.role, y, predicted[0] + row.y_shift, alpha[g], ratio[g]))
@@ -161,9 +169,12 @@ def elasticnet_forecast(
     horizon: int,
     alphas: np.ndarray = ALPHAS,
     ratios: np.ndarray = RATIOS,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """Tune on the training rows, score the validation row, refit and forecast.
 
+    With one alpha and one ratio nothing is tuned.
+
     Columns are scaled by the statistics of all training rows before the folds
     are taken. A fold's score is the error of its one test row; the grid point
     with the lowest mean wins, ties go to the first.
@@ -175,6 +186,6 @@ def elasticnet_forecast(
     def fit(batches):
         found = problems(batches, width)
         while chunk := list(islice(found, CHUNK)):
-            yield fit_chunk(chunk, alpha, ratio)
+            yield fit_chunk(chunk, alpha, ratio, tolerance)
 
     return moment_rows(frame, features, horizon).mapInPandas(fit, SCHEMA)

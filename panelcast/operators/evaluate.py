@@ -24,15 +24,14 @@ def best_grid_point(scores: DataFrame, keys: list[str], order: str, score: str)
     return means.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
 
 
-def linspace_grid(spark, low: float, high: float, points: int, ratios: list[float]) -> DataFrame:
-    """Evenly spaced alphas crossed with mixing ratios; ratios vary fastest."""
+def linspace_grid(df: DataFrame, low: float, high: float, points: int, ratios: list[float]) -> DataFrame:
+    """Every row for each of evenly spaced alphas and each mixing ratio; ratios vary fastest."""
     step = (high - low) / (points - 1)
-    alphas = spark.range(points).select(
-        F.col("id").alias("alpha_ord"), (F.lit(low) + F.col("id") * step).alias("alpha")
-    )
+    alphas = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("alpha_ord"))
     rows = alphas.select("*", F.posexplode(F.array(*map(F.lit, ratios))).alias("ratio_ord", "l1_ratio"))
-    order = F.col("alpha_ord") * len(ratios) + F.col("ratio_ord")
-    return rows.select(order.alias("grid_ord"), "alpha", "l1_ratio")
+    order = F.col("alpha_ord").cast("long") * len(ratios) + F.col("ratio_ord")
+    alpha = F.lit(low) + F.col("alpha_ord") * step
+    return rows.select(*df.columns, order.alias("grid_ord"), alpha.alias("alpha"), "l1_ratio")
 
 
 def union_performance(*tables: DataFrame) -> DataFrame:

@@ -30,6 +30,11 @@ def running() -> WindowSpec:
 def request_date(market: Market) -> dt.date:
     """Last business day on or before the latest bar: one value comes to the driver."""
     latest = market.bars.agg(F.max("date")).first()[0]
+    return business_day_until(latest)
+
+
+def business_day_until(latest: dt.date | None) -> dt.date:
+    """The day itself or the Friday before a weekend."""
     if latest is None:
         raise ValueError("there are no bars")
     return latest - dt.timedelta(days=max(latest.weekday() - 4, 0))
@@ -55,8 +60,9 @@ def spine_join(market: Market, start: dt.date | None = None, end: dt.date | None
     """Left-join bars, flows and index to the spine.
 
     Weekend bars vanish and days without a bar become null rows. Bars and flows
-    hold at most one row per ticker and day, and NaN counts as null. The index
-    has one row per calendar day, whatever the number of trades, so it is broadcast.
+    hold at most one row per ticker and day, and NaN counts as null. The index is
+    brought to one row per day, the highest value of a repeated day, and cut to
+    the days asked for, so what is broadcast is no longer than the calendar.
     """
     end = end or request_date(market)
     bars = null_if_nan(bars_between(market.bars, start, end))
@@ -64,7 +70,11 @@ def spine_join(market: Market, start: dt.date | None = None, end: dt.date | None
     if market.flows is not None:
         panel = panel.join(null_if_nan(market.flows), KEYS, "left")
     if market.index is not None:
-        panel = panel.join(F.broadcast(null_if_nan(market.index)), "date", "left")
+        index = null_if_nan(market.index).where(F.col("date") <= F.lit(end))
+        if start is not None:
+            index = index.where(F.col("date") >= F.lit(start))
+        levels = [F.max(c).alias(c) for c in index.columns if c != "date"]
+        panel = panel.join(F.broadcast(index.groupBy("date").agg(*levels)), "date", "left")
     values = [c for c in panel.columns if c not in KEYS]
     return panel.select(*KEYS, *values)
 

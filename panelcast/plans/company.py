@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.sources import statements
@@ -25,3 +27,22 @@ def company_statements(spark: SparkSession, path: str, company: str) -> dict[str
 def company_metrics(metrics: DataFrame, company: str) -> DataFrame:
     """The company's own metric row as one row per metric."""
     return statements.transpose_metrics(metrics.where(F.col("company") == company), "company")
+
+
+def company_page(spark: SparkSession, path: str, metrics: DataFrame, company: str) -> DataFrame:
+    """A company's three statements and its metrics as one long table.
+
+    ``part`` is the statement or ``metrics``, whose rows have no period.
+    """
+    tables = [
+        table.select("company", F.lit(name).alias("part"), "label", "period", "value")
+        for name, table in company_statements(spark, path, company).items()
+    ]
+    shown = company_metrics(metrics, company).select(
+        "company",
+        F.lit("metrics").alias("part"),
+        F.col("metric").alias("label"),
+        F.lit(None).cast("date").alias("period"),
+        "value",
+    )
+    return reduce(DataFrame.unionByName, [*tables, shown])

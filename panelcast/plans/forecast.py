@@ -6,7 +6,7 @@ import datetime as dt
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.functions.calendar import add_business_days
 from panelcast.functions.errors import error_measures
@@ -18,9 +18,9 @@ from panelcast.models.knn import knn_tuned
 from panelcast.models.linear import linear_forecast
 from panelcast.models.trees import forest_forecast, gbt_forecast
 from panelcast.operators.features import feature_columns, model_frame
-from panelcast.operators.panel import build_panel, request_date
+from panelcast.operators.panel import build_panel, business_day_until, request_date
 from panelcast.session import materialize
-from panelcast.sources.market import Market
+from panelcast.sources.market import Market, latest_day, load_market
 
 PREDICTION = ["ticker", "model", "horizon", "role", "y", "y_hat"]
 
@@ -41,6 +41,14 @@ def training_start(end: dt.date, train_period: int) -> dt.date:
     return np.busday_offset(np.datetime64(end), -train_period, roll="forward").astype(dt.date)
 
 
+def load_request(
+    spark: SparkSession, folder: str, train_period: int, by: str = "segment", tickers: list[str] | None = None
+) -> tuple[Market, dt.date]:
+    """The market of a request and its date: only its days and tickers are read."""
+    end = business_day_until(latest_day(spark, folder, by))
+    return load_market(spark, folder, by, training_start(end, train_period), end, tickers), end
+
+
 def load_frame(market: Market, end: dt.date | None = None, train_period: int | None = None) -> DataFrame:
     """The model frame of a request, run once; every model reads the same copy.
 
@@ -67,12 +75,18 @@ def predict(frame: DataFrame, models: list[str], horizon: int) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def performance(predictions: DataFrame) -> DataFrame:
-    """Scores of the validation rows. The job has no timers, so running times are NULL."""
+def performance(predictions: DataFrame, running_times: dict[str, float] | None = None) -> DataFrame:
+    """Scores of the validation rows.
+
+    The job has no timers: seconds per model come from ``running_times``, else they are NULL.
+    """
+    seconds = F.lit(None).cast("double")
+    for model, taken in (running_times or {}).items():
+        seconds = F.when(F.col("model") == model, float(taken)).otherwise(seconds)
     validation = predictions.where(F.col("role") == "validation")
     measures = [e.alias(c) for c, e in error_measures().items()]
     scored = validation.groupBy("ticker", "model", "horizon").agg(*measures)
-    return scored.withColumn("running_time", F.lit(None).cast("double"))
+    return scored.withColumn("running_time", seconds)
 
 
 def forecast_table(predictions: DataFrame, end: dt.date) -> DataFrame:

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.session import materialize
+from panelcast.sources.listing import padded_code
 from panelcast.sources.tables import read_table
 
 # Order priorities counted as institutional flow; all others count as foreign.
@@ -32,8 +33,26 @@ class Market:
     index: DataFrame | None = None
 
 
-def _trades(spark: SparkSession, folder: str, by: str) -> DataFrame:
-    orders = read_table(spark, folder, "orders").select(
+def _orders(spark: SparkSession, folder: str, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+    """Orders of ``[start, end]``; the range reaches the scan."""
+    orders = read_table(spark, folder, "orders")
+    if start is not None:
+        orders = orders.where(F.col("o_orderdate") >= F.lit(start))
+    if end is not None:
+        orders = orders.where(F.col("o_orderdate") < F.lit(end + dt.timedelta(days=1)))
+    return orders
+
+
+def _trades(
+    spark: SparkSession,
+    folder: str,
+    by: str,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    tickers: list[str] | None = None,
+) -> DataFrame:
+    """Trades with their ticker; the range and the tickers are filtered before the join."""
+    orders = _orders(spark, folder, start, end).select(
         "o_orderkey",
         "o_custkey",
         "o_totalprice",
@@ -48,8 +67,12 @@ def _trades(spark: SparkSession, folder: str, by: str) -> DataFrame:
         owner = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
             "c_custkey", F.col("n_name").alias("ticker")
         )
+    elif by == "customer":
+        owner = customer.select("c_custkey", padded_code(F.col("c_custkey")).alias("ticker"))
     else:
-        raise ValueError(f"unknown ticker grain {by!r}; use 'segment' or 'nation'")
+        raise ValueError(f"unknown ticker grain {by!r}; use 'segment', 'nation' or 'customer'")
+    if tickers is not None:
+        owner = owner.where(F.col("ticker").isin(tickers))
     return orders.join(owner, F.col("o_custkey") == F.col("c_custkey"))
 
 
@@ -79,36 +102,49 @@ def daily_flows(spark: SparkSession, folder: str, by: str = "segment") -> DataFr
     return _trades(spark, folder, by).groupBy("ticker", "date").agg(*_flow_columns())
 
 
-def daily_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean trade price per day; decimal sums do not depend on the row order."""
-    orders = read_table(spark, folder, "orders")
+def daily_index(
+    spark: SparkSession, folder: str, start: dt.date | None = None, end: dt.date | None = None
+) -> DataFrame:
+    """Mean price per day of all orders, with or without a customer.
+
+    Decimal sums do not depend on the row order.
+    """
+    orders = _orders(spark, folder, start, end)
     return orders.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
         (F.sum(F.col("o_totalprice").cast(PRICE)).cast("double") / F.count(F.lit(1))).alias("kospi")
     )
 
 
-def load_market(spark: SparkSession, folder: str, by: str = "segment") -> Market:
-    """Bars, flows and index from one pass over the trades.
+def latest_day(spark: SparkSession, folder: str, by: str = "segment") -> dt.date | None:
+    """The day of the last trade: a scan of two columns, one value to the driver."""
+    return _trades(spark, folder, by).agg(F.max("date")).first()[0]
+
+
+def load_market(
+    spark: SparkSession,
+    folder: str,
+    by: str = "segment",
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    tickers: list[str] | None = None,
+) -> Market:
+    """Bars and flows of the tickers and days asked for, from one pass over the trades.
 
-    The daily table is run once and kept, because the spine, the flows, the
-    index and the request date all read it again.
+    The daily table is run once and kept, because the spine, the flows and the
+    request date all read it again. The index is that of the whole market.
     """
     daily = materialize(
-        _trades(spark, folder, by)
+        _trades(spark, folder, by, start, end, tickers)
         .groupBy("ticker", "date")
         .agg(
             *_bar_columns(),
             *_flow_columns(),
-            F.sum(F.col("o_totalprice").cast(PRICE)).alias("price_sum"),
-            F.count(F.lit(1)).alias("price_count"),
         )
     )
     return Market(
         bars=daily.select("ticker", "date", "open", "high", "low", "close", "volume"),
         flows=daily.select("ticker", "date", "inst", "fore"),
-        index=daily.groupBy("date").agg(
-            (F.sum("price_sum").cast("double") / F.sum("price_count")).alias("kospi")
-        ),
+        index=daily_index(spark, folder, start, end),
     )
 
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelcast.sources.market import PRICE
 from panelcast.sources.tables import read_table
 
 STATEMENT_KEYS = ["sector", "company", "statement", "label"]
 
+# Names of a company's metrics, in page order (fixed values).
+METRICS = [
+    "yoy_avg_revenue", "yoy_avg_operating_income", "yoy_avg_ebitda", "yoy_avg_eps", "quick_ratio",
+    "receivable_turnover_ratio", "asset_turnover_ratio", "debt_to_equity_ratio", "icr", "revenue",
+    "operating_income", "operating_margin", "ebitda", "ebitda_margin", "roe", "cfo_to_earnings", "per",
+    "shareholder_return",
+]
+
 
 def order_statements(spark: SparkSession, folder: str) -> DataFrame:
     """Yearly order value by priority: region is the sector, nation the company."""
@@ -107,20 +115,36 @@ def transpose_metrics(metrics: DataFrame, key: str) -> DataFrame:
 
 
 def order_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """A wide metric row per company from its yearly statements.
+    """The row of metrics per company from its yearly orders; those without a source are NULL.
 
-    Growth is NULL for a company with a single year.
+    Revenue is the order value, operating income the discounted value of the
+    orders' lines. Growth is the mean over the years, NULL for a single year.
     """
-    from pyspark.sql import Window
-
-    yearly = order_statements(spark, folder).groupBy("company", "period").agg(
-        F.sum(F.col("value").cast(PRICE)).cast("double").alias("revenue")
+    customer = read_table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    nation = read_table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("company"))
+    owner = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "company")
+    orders = read_table(spark, folder, "orders").join(owner, F.col("o_custkey") == F.col("c_custkey"))
+    placed = orders.select("o_orderkey", "company", F.year("o_orderdate").alias("year"), F.col("o_totalprice").cast(PRICE).alias("price"))
+    lines = read_table(spark, folder, "lineitem")
+    price, discount = F.col("l_extendedprice").cast(PRICE), F.col("l_discount").cast("decimal(5,2)")
+    earned = lines.groupBy("l_orderkey").agg(F.sum(price * (F.lit(1).cast("decimal(1,0)") - discount)).alias("income"))
+    yearly = (
+        placed.join(earned, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .groupBy("company", "year")
+        .agg(F.sum("price").cast("double").alias("revenue"), F.sum("income").cast("double").alias("operating_income"))
     )
-    by_year = Window.partitionBy("company").orderBy("period")
-    growth = F.try_divide(F.col("revenue"), F.lag("revenue").over(by_year)) - 1
-    return yearly.withColumn("growth", growth).groupBy("company").agg(
-        F.avg("growth").alias("yoy_avg_revenue"),
-        F.max_by("revenue", "period").alias("revenue"),
-        F.max_by("growth", "period").alias("last_growth"),
-        F.lit(None).cast("double").alias("per"),
+    by_year = Window.partitionBy("company").orderBy("year")
+
+    def growth(name: str):
+        return F.try_divide(F.col(name), F.lag(name).over(by_year)) - 1
+
+    grown = yearly.withColumns({f"{name}_growth": growth(name) for name in ("revenue", "operating_income")})
+    margin = F.try_divide(F.max_by("operating_income", "year"), F.max_by("revenue", "year"))
+    known = grown.groupBy("company").agg(
+        F.avg("revenue_growth").alias("yoy_avg_revenue"),
+        F.avg("operating_income_growth").alias("yoy_avg_operating_income"),
+        F.max_by("revenue", "year").alias("revenue"),
+        F.max_by("operating_income", "year").alias("operating_income"),
+        margin.alias("operating_margin"),
     )
+    return known.select("company", *[F.col(m) if m in known.columns else F.lit(None).cast("double").alias(m) for m in METRICS])

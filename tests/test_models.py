@@ -254,7 +254,7 @@ def test_grid_ties_go_to_the_first(spark):
 
 
 def test_linspace_grid(spark):
-    rows = evaluate.linspace_grid(spark, 1e-3, 1e3, 100, [0.1, 0.5, 0.9]).orderBy("grid_ord").collect()
+    rows = evaluate.linspace_grid(spark.range(1), 1e-3, 1e3, 100, [0.1, 0.5, 0.9]).orderBy("grid_ord").collect()
     assert [r["grid_ord"] for r in rows] == list(range(300))
     np.testing.assert_allclose([r["alpha"] for r in rows][::3], np.linspace(1e-3, 1e3, 100))
     assert [r["l1_ratio"] for r in rows[:3]] == [0.1, 0.5, 0.9]

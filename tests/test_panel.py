@@ -185,3 +185,13 @@ def test_partitioning_does_not_change_the_panel(spark):
     many = Market(*(df.orderBy(F.rand(5)).repartition(13) for df in (market.bars, market.flows, market.index)))
     tables = [feat.model_frame(panel.build_panel(m)).toPandas().sort_values(["ticker", "date"]) for m in (one, many)]
     pd.testing.assert_frame_equal(*(t.reset_index(drop=True) for t in tables))
+
+
+def test_a_repeated_index_day_adds_no_rows(spark):
+    pdf = random_bars(np.random.default_rng(4), 20, "A")
+    found = market_of(spark, pdf)
+    index = spark.createDataFrame([(d, v) for d in pdf["date"] for v in (1.0, 2.0)], "date date, kospi double")
+    joined = panel.spine_join(Market(found.bars, None, index), end=pdf["date"].max())
+    rows = joined.collect()
+    assert len({r["date"] for r in rows}) == len(rows)
+    assert {r["kospi"] for r in rows} == {2.0}

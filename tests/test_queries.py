@@ -8,6 +8,9 @@ from compare import duck, duck_rows, spark_rows
 import __spark_entry__ as entry_module
 
 FOLDER = "/root/testdata/sf0.001"
+# At the smallest scale a nation trades on few of the 250 days: its regressions are
+# singular there, and the SQL solver, which drops columns, picks other weights.
+FOLDERS = {"forecast_job_fine": "/root/testdata/sf0.01"}
 ORACLES = entry_module.oracle_sql()
 ROWS_ONLY = sorted(set(entry_module.queries()) - set(ORACLES))
 
@@ -23,8 +26,9 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
-    got, columns = spark_rows(entry_module.queries()[name](spark, FOLDER))
-    want, expected = duck_rows(con, ORACLES[name])
+    folder = FOLDERS.get(name, FOLDER)
+    got, columns = spark_rows(entry_module.queries()[name](spark, folder))
+    want, expected = duck_rows(con if folder == FOLDER else duck(folder), ORACLES[name])
     assert columns == expected
     assert len(got) == len(want)
     assert got == want

@@ -181,7 +181,7 @@ def test_company_pages(spark, tmp_path):
     assert shown["cis"].select("sector").distinct().count() == 1
     assert all(t.count() == 0 for t in company.company_statements(spark, path, "nobody").values())
     metrics = company.company_metrics(statements.order_metrics(spark, FOLDER), "NATION_3").collect()
-    assert {r["company"] for r in metrics} == {"NATION_3"} and len(metrics) == 4
+    assert {r["company"] for r in metrics} == {"NATION_3"} and len(metrics) == 18
 
 
 @pytest.mark.parametrize("horizon", [1, 6])
@@ -296,3 +296,32 @@ def test_numeric_categories_are_in_order_of_size(spark):
     df = spark.createDataFrame([(2.0, 2), (10.0, 10), (float("nan"), 10), (None, None)], "x double, k int")
     codes = {(r["col"], r["value"]): r["code"] for r in encoders.fit_label_encoder(df, ["x", "k"]).collect()}
     assert codes == {("x", "2.0"): 0, ("x", "10.0"): 1, ("k", "2"): 0, ("k", "10"): 1}
+
+
+def test_a_request_reads_its_days_only(spark):
+    start, end = dt.date(2000, 1, 3), dt.date(2000, 6, 30)
+    trades = market._trades(spark, FOLDER, "customer", start, end, ["000003"])
+    plan = trades._jdf.queryExecution().toString()
+    pushed = [line for line in plan.splitlines() if "FileScan" in line and "o_orderdate" in line]
+    assert pushed and all("GreaterThanOrEqual(o_orderdate" in line and "LessThan(o_orderdate" in line for line in pushed)
+    rows = trades.select("date", "ticker").collect()
+    assert rows and all(start <= r["date"] <= end and r["ticker"] == "000003" for r in rows)
+
+
+def test_the_index_counts_orders_without_a_customer(spark, tmp_path):
+    day = dt.datetime(2020, 1, 6)
+    orders = [(1, 1, 10.0, "2-HIGH", day), (2, 99, 30.0, "2-HIGH", day)]
+    names = "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string, o_orderdate timestamp"
+    spark.createDataFrame(orders, names).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "X")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    loaded = market.load_market(spark, str(tmp_path))
+    assert [r["kospi"] for r in loaded.index.collect()] == [20.0]
+    assert [r["kospi"] for r in market.daily_index(spark, str(tmp_path)).collect()] == [20.0]
+
+
+def test_a_stored_null_comes_back(spark):
+    schema = "sector string, company string, statement string, label string, period date, value double"
+    rows = [("s", "c", "cis", "x", dt.date(2020, 12, 31), None), ("s", "c", "cis", "x", dt.date(2021, 12, 31), 5.0)]
+    stored = spark.createDataFrame(rows, schema)
+    back = statements.long_statements(statements.wide_statements(stored))
+    assert sorted((r["period"], r["value"]) for r in back.select("period", "value").collect()) == [(r[4], r[5]) for r in rows]
