@@ -440,13 +440,13 @@ def arima_forecast(spark, folder):
 @query
 def gbt_forecast(spark, folder):
     frame = frame_of(spark, folder)
-    return _forecast_rows(trees.gbt_forecast(frame, feat.feature_columns(frame), horizon=1, trees=5))
+    return _forecast_rows(trees.gbt_forecast(frame, feat.feature_columns(frame), HORIZON, trees=5))
 
 
 @query
 def rf_forecast(spark, folder):
     frame = frame_of(spark, folder)
-    return _forecast_rows(trees.forest_forecast(frame, feat.feature_columns(frame), horizon=1, trees=20))
+    return _forecast_rows(trees.forest_forecast(frame, feat.feature_columns(frame), HORIZON, trees=20))
 
 
 @query

@@ -28,6 +28,8 @@ DEPTHS = [4, 6]
 MIN_ROWS = [5, 10, 20]
 TOP_SHARE = 0.2
 OTHER_SHARE = 0.1
+# The tree columns of this many rounds are kept as a plan before it is cut.
+ROUNDS_PER_CHECKPOINT = 10
 # Relative accuracy of the sketches that look for the cut; it changes the speed only.
 SKETCH_ACCURACY = 10_000
 
@@ -44,8 +46,10 @@ def tie_order(keys: list[str], seed: int, turn: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def kth_largest(rows: DataFrame, value: str, k: int):
-    """The k-th largest known value, exact, without a sort; values are compared as doubles.
+def kth_largest(rows: DataFrame, value: str, k: int) -> tuple[float, int, int]:
+    """The k-th largest known value, its rank among its equals, and their number.
+
+    The value is exact, without a sort; values are compared as doubles.
 
     A sketch puts two bounds around it, counts say on which side of them or between
     them it lies, and the search goes on in that range. The bounds leave the range
@@ -70,16 +74,17 @@ def kth_largest(rows: DataFrame, value: str, k: int):
             if k <= inside:
                 break
             k -= inside
-    return low
+    return low, k, inside
 
 
 def top_rows(rows: DataFrame, size: Column, order: Column, k: int) -> Column:
     """A condition that holds for exactly the k largest rows; ties go by ``order``, lowest first."""
     ranked = rows.select(size.alias("size"), order.alias("order"))
-    cut = kth_largest(ranked, "size", k)
-    tied = ranked.where(F.col("size") == F.lit(cut))
-    above = ranked.where(F.col("size") > F.lit(cut)).count()
-    last = -int(kth_largest(tied.select((-F.col("order")).alias("order")), "order", k - above))
+    cut, wanted, equals = kth_largest(ranked, "size", k)
+    if wanted == equals:
+        return size >= F.lit(cut)
+    tied = ranked.where(F.col("size") == F.lit(cut)).select((-F.col("order")).alias("order"))
+    last = -int(kth_largest(tied, "order", wanted)[0])
     return (size > F.lit(cut)) | ((size == F.lit(cut)) & (order <= F.lit(last)))
 
 
@@ -116,7 +121,8 @@ def boost(
     """Predictions of ``targets`` after every round.
 
     Each round fits one weighted tree to the residuals of a fresh sample. The
-    residuals are kept after each round, so no tree is applied twice to a row.
+    residuals are kept after each round, so no tree is applied twice to a training
+    row; the few rows to predict are cut from their lineage every few rounds.
     """
     start = train.agg(F.avg("label")).first()[0]
     train = train.withColumn("fit", F.lit(start))
@@ -139,7 +145,9 @@ def boost(
             .withColumn("prediction", F.col("prediction") + step_size * F.col("step"))
             .drop("step")
         )
-        train, targets = materialize(train), materialize(targets)
+        train = materialize(train)
+        if (turn + 1) % ROUNDS_PER_CHECKPOINT == 0:
+            targets = materialize(targets)
         stages.append(targets)
     return stages
 
@@ -184,4 +192,5 @@ def goss_forecast(
         test = boost(training(data, PHASES["test"]), scored(data, "test"), count, depth, leaf, step_size, seed)
         return [as_forecast(stages[count - 1]), as_forecast(test[-1])]
 
-    return reduce(DataFrame.unionByName, [df for h in range(1, horizon + 1) for df in one_step(h)])
+    steps = run_fits(frame.sparkSession, [lambda h=h: one_step(h) for h in range(1, horizon + 1)])
+    return reduce(DataFrame.unionByName, [df for step in steps for df in step])

@@ -75,7 +75,8 @@ def gbt_forecast(
 
         return run_fits(frame.sparkSession, [lambda r=r, s=s: phase(r, s) for r, s in PHASES.items()])
 
-    return reduce(DataFrame.unionByName, [df for h in range(1, horizon + 1) for df in one_step(h)])
+    steps = run_fits(frame.sparkSession, [lambda h=h: one_step(h) for h in range(1, horizon + 1)])
+    return reduce(DataFrame.unionByName, [df for step in steps for df in step])
 
 
 def forest_forecast(
@@ -111,4 +112,5 @@ def forest_forecast(
 
         return run_fits(frame.sparkSession, [lambda r=r, s=s: phase(r, s) for r, s in PHASES.items()])
 
-    return reduce(DataFrame.unionByName, [df for h in range(1, horizon + 1) for df in one_step(h)])
+    steps = run_fits(frame.sparkSession, [lambda h=h: one_step(h) for h in range(1, horizon + 1)])
+    return reduce(DataFrame.unionByName, [df for step in steps for df in step])

@@ -319,7 +319,9 @@ def test_kth_largest_is_exact(spark):
         rows = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(5)
         ordered = np.sort(values)[::-1]
         for k in (1, len(values) // 5, len(values) // 2, len(values)):
-            assert goss.kth_largest(rows, "v", k) == ordered[k - 1]
+            value, rank, equals = goss.kth_largest(rows, "v", k)
+            assert value == ordered[k - 1] and equals == (values == value).sum()
+            assert rank == k - (values > value).sum()
 
 
 def test_arima_stays_bounded_on_an_accelerating_series(spark):
