@@ -21,6 +21,9 @@ HEADLINE = [
     "arima_forecast",
     "leaderboard",
     "forecast_job",
+    "forecast_job_fine",
+    "forecast_request",
+    "knn_impute",
     "stmt_long",
 ]
 
