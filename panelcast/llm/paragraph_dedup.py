@@ -1,28 +1,37 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-A paragraph is a stretch of words that ends with a line or with a sentence (a word
-ending in ``.``, ``!`` or ``?``, at least ``SENTENCE`` words after the mark before):
-repeated passages are often pasted into the middle of a line, and these ends stay
-where they are. Paragraphs of at least ``MIN_WORDS``
-words are compared:
-
-1. Equal paragraphs meet by their hash; all but the first, in order of doc_id and
-   place, are repeats.
+Texts are cut into pieces that end with a line or with a sentence (a word ending in
+``.``, ``!`` or ``?``, at least ``SENTENCE`` words after the mark before): repeated
+passages are often pasted into the middle of a line, and these ends stay where they
+are. What is compared are paragraphs, runs of pieces of one text:
+
+- every piece of at least ``MIN_WORDS`` words;
+- for a shorter piece, the shortest run of at least as many words that begins with it,
+  and the shortest that ends with it. They depend on nothing outside of them, so a
+  passage of short lines is found wherever it was pasted;
+- every line, and every block between blank lines, of at least as many words.
+
+1. Equal paragraphs meet by their hash; all but the first, in order of doc_id, text
+   and place, are repeats.
 2. Of each wording left, MinHash signatures of its sets of ``SHINGLE`` words are cut
    into ``BANDS`` bands of ``ROWS`` values (recall 0.998 at a similarity of 0.8, and
    nothing is compared that shares no band); paragraphs that share a band are
    candidates, grouped by connected components.
 3. Within components, exact Jaccard similarity of the sets is verified; the links'
-   components are clusters, of which the first paragraph stays and the others go.
+   components are clusters, of which the first paragraph stays and the others go,
+   except those that overlap with the first in the same text.
+
+The pieces of the paragraphs that go are removed. Whatever goes has its like at an
+earlier place, in the one order of all steps, so the first of all stays.
 
 Texts are shuffled once; the steps that need them read the same exchange. Components
 with very many paragraphs are dealt over tasks in tiles.
 
-Defined cases: null and empty texts have no paragraphs and nothing removed; shorter
-paragraphs always stay; a null id comes after all others; rows with the same id and
+Defined cases: null and empty texts have no paragraphs and nothing removed; a text of
+fewer than ``MIN_WORDS`` words always stays; a null id comes after all others; rows with the same id and
 text remove from each other as one document does from itself: their first copy of a
-paragraph stays in every one of them; ties in order are broken by the place in the
-text; an empty table gives an empty result; the other columns come back as they are,
+paragraph stays in every one of them; different texts of one id come in order of a
+hash; ties in order are broken by the place in the text, then the shorter is first; an empty table gives an empty result; the other columns come back as they are,
 unless they have the name of a result column, which wins.
 """
 
@@ -55,43 +64,89 @@ ENDS = byte_class((ord("."), ord(".")), (ord("!"), ord("!")), (ord("?"), ord("?"
 
 
 class Paragraphs:
-    """The paragraphs of a slice: words first..last, row, number in the row, hash."""
+    """The pieces of a slice: words first..last and row; row r has the pieces
+    begins[r]..begins[r + 1]."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: Powers) -> None:
         words = self.words = Words(LOWER[data], offsets, VISIBLE, table)
         n = len(words.hash)
-        self.first = self.last = self.row = self.number = np.zeros(0, np.int64)
-        self.hash = np.zeros(0, np.uint64)
+        self.table = table
+        self.first = self.last = self.row = self.line = self.block = np.zeros(0, np.int64)
+        self.begins = np.zeros(len(offsets), np.int64)
         if not n:
             return
         lines = np.concatenate([[0], np.cumsum(data == 10)])
-        line = np.ones(n, bool)
-        line[:-1] = (lines[words.start[1:]] > lines[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])
+        other = words.doc[1:] != words.doc[:-1]
+        ends = lines[words.start[1:]] - lines[words.end[:-1]]
+        line, block = np.ones(n, bool), np.ones(n, bool)
+        line[:-1] = (ends > 0) | other
+        block[:-1] = (ends > 1) | other
         mark = np.flatnonzero(line | ENDS[data[words.end - 1]])
         cut = line.copy()
         cut[mark[np.diff(mark, prepend=-1) >= SENTENCE]] = True
         self.last = np.flatnonzero(cut) + 1
         self.first = np.concatenate([[0], self.last[:-1]])
         self.row = words.doc[self.first]
-        begins = np.searchsorted(self.row, np.arange(len(offsets)))
-        self.number = np.arange(len(self.row)) - begins[self.row]
-        up, down = table.upto(n + 1)
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * up[:n], dtype=np.uint64)])
-        total = (prefix[self.last] - prefix[self.first]) * down[self.first]
-        self.hash = mix(total + (self.last - self.first).astype(np.uint64))
+        self.begins = np.searchsorted(self.row, np.arange(len(offsets)))
+        #: pieces after which a line, a block ends
+        self.line, self.block = np.flatnonzero(line[self.last - 1]), np.flatnonzero(block[self.last - 1])
 
     @property
     def sizes(self) -> np.ndarray:
         return self.last - self.first
 
-    def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``which``, hash) of the distinct shingles of some paragraphs."""
-        count = self.sizes[which] - SHINGLE + 1
-        of = np.repeat(np.arange(len(which)), count)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + self.first[which][of]
-        total = np.zeros(len(at), np.uint64)
+    def paragraphs(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first piece, piece after the last) of all paragraphs to be compared, in order."""
+        n = len(self.first)
+        if not n:
+            return self.first, self.first
+        at = np.arange(n)
+        short = at[self.sizes < least]
+        # the least run from a short piece on, and the least one up to it
+        onward = np.searchsorted(self.last, self.first[short] + least) + 1
+        back = np.searchsorted(self.first, self.last[short] - least, "right") - 1
+        from_here = onward <= self.begins[self.row[short] + 1]
+        to_here = back >= self.begins[self.row[short]]
+        first = [at, short[from_here], back[to_here]]
+        after = [at + 1, onward[from_here], short[to_here] + 1]
+        for end in (self.line, self.block):
+            first.append(np.concatenate([[0], end[:-1] + 1]))
+            after.append(end + 1)
+        first, after = np.concatenate(first), np.concatenate(after)
+        whole = self.last[after - 1] - self.first[first] >= least
+        both = np.unique(np.stack([first[whole], after[whole]]), axis=1)
+        return both[0], both[1]
+
+    def names(self, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Paragraphs as numbers: the first piece's place in its row, and the count of pieces."""
+        return first - self.begins[self.row[first]] << 32 | after - first
+
+    def named(self, row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The paragraphs that ``names`` gave."""
+        first = self.begins[row] + (number.astype(np.int64) >> 32)
+        return first, first + (number.astype(np.int64) & 0xFFFFFFFF)
+
+    def hashes(self, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        low, high = self.first[first], self.last[after - 1]
+        n = len(self.words.hash)
+        up, down = self.table.upto(n + 1)
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words.hash * up[:n], dtype=np.uint64)])
+        return mix((prefix[high] - prefix[low]) * down[low] + (high - low).astype(np.uint64))
+
+    def grams(self) -> np.ndarray:
+        """The hash of the shingle that begins with each word."""
+        n = len(self.words.hash)
+        total = np.zeros(max(n - SHINGLE + 1, 0), np.uint64)
         for j in range(SHINGLE):
-            total = mix(total * np.uint64(BASE) + self.words.hash[at + j])
+            total = mix(total * np.uint64(BASE) + self.words.hash[j : j + len(total)])
+        return total
+
+    def shingles(self, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``first``, hash) of the distinct shingles of some paragraphs."""
+        count = self.last[after - 1] - self.first[first] - SHINGLE + 1
+        of = np.repeat(np.arange(len(first)), count)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + self.first[first][of]
+        total = self.grams()[at]
         order = np.lexsort((total, of))
         of, total = of[order], total[order]
         fresh = np.ones(len(of), bool)
@@ -104,30 +159,32 @@ def blobs(keys: np.ndarray, rows: np.ndarray, numbers: np.ndarray, ids: np.ndarr
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((rows, bucket))
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    columns: list[list] = [[], [], [], [], [], []]
+    columns: list[list] = [[] for _ in range(7)]
     for b in np.flatnonzero(np.diff(bounds)):
         own = order[bounds[b] : bounds[b + 1]]
         docs, counts = np.unique(rows[own], return_counts=True)
         parts = (b, ids[docs].tobytes(), tags[docs].tobytes(), counts.astype(np.uint32).tobytes(),
-                 numbers[own].astype(np.uint32).tobytes(), keys[own].tobytes())
+                 (numbers[own] >> 32).astype(np.uint32).tobytes(), numbers[own].astype(np.uint32).tobytes(),
+                 keys[own].tobytes())
         for column, part in zip(columns, parts, strict=True):
             column.append(part)
-    kinds = [pa.int32()] + [pa.binary()] * 5
+    kinds = [pa.int32()] + [pa.binary()] * 6
     arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", "ids", "tags", "counts", "numbers", "keys"])
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "ids", "tags", "counts", "numbers", "pieces", "keys"])
 
 
-BLOB = "bucket int, ids binary, tags binary, counts binary, numbers binary, keys binary"
+BLOB = "bucket int, ids binary, tags binary, counts binary, numbers binary, pieces binary, keys binary"
 
 
 def unblob(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, id, tag, number) of all entries of a bucket, sorted."""
-    kinds = {"ids": np.int64, "tags": np.int32, "counts": np.uint32, "numbers": np.uint32, "keys": np.uint64}
+    kinds = {"ids": np.int64, "tags": np.int32, "counts": np.uint32, "numbers": np.uint32, "pieces": np.uint32, "keys": np.uint64}
     read = {c: [np.frombuffer(x.as_py(), kind) for x in table.column(c)] for c, kind in kinds.items()}
     counts = np.concatenate(read["counts"])
     ids = np.repeat(np.concatenate(read["ids"]), counts)
     tags = np.repeat(np.concatenate(read["tags"]), counts)
-    numbers, keys = np.concatenate(read["numbers"]).astype(np.int64), np.concatenate(read["keys"])
+    numbers = np.concatenate(read["numbers"]).astype(np.int64) << 32 | np.concatenate(read["pieces"])
+    keys = np.concatenate(read["keys"])
     order = np.lexsort((numbers, tags, ids, keys))
     return keys[order], ids[order], tags[order], numbers[order]
 
@@ -141,8 +198,9 @@ def announce(buckets: int, least: int):
             ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
             for low, high, data, offsets in text_slices(batch.column("text")):
                 p = Paragraphs(data, offsets, table)
-                long = p.sizes >= least
-                yield blobs(p.hash[long], p.row[long], p.number[long], ids[low:high], tags[low:high], buckets)
+                first, after = p.paragraphs(least)
+                keys, numbers = p.hashes(first, after), p.names(first, after)
+                yield blobs(keys, p.row[first], numbers, ids[low:high], tags[low:high], buckets)
 
     return run
 
@@ -159,13 +217,13 @@ def equal_paragraphs(table: pa.Table) -> pa.Table:
     return pa.table({"id": ids[again], "tag": tags[again], "number": numbers[again]})
 
 
-def left_over(batch: pa.RecordBatch, low: int, high: int, p: Paragraphs, least: int) -> np.ndarray:
+def left_over(batch: pa.RecordBatch, low: int, high: int, p: Paragraphs, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Paragraphs to be compared that are no repeats of an equal one."""
-    row, number = flat_lists(batch.column("gone"), low, high)
-    begins = np.searchsorted(p.row, np.arange(high - low + 1))
-    keep = p.sizes >= least
-    keep[begins[row] + number] = False
-    return np.flatnonzero(keep)
+    first, after = p.paragraphs(least)
+    gone_first, gone_after = p.named(*flat_lists(batch.column("gone"), low, high))
+    width = len(p.first) + 1
+    keep = ~np.isin(first * width + after, gone_first * width + gone_after)
+    return first[keep], after[keep]
 
 
 def send_bands(buckets: int, least: int, bands: int, rows: int):
@@ -175,20 +233,22 @@ def send_bands(buckets: int, least: int, bands: int, rows: int):
             ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
             for low, high, data, offsets in text_slices(batch.column("text")):
                 p = Paragraphs(data, offsets, table)
-                which = left_over(batch, low, high, p, least)
-                if not len(which):
+                first, after = left_over(batch, low, high, p, least)
+                if not len(first):
                     continue
-                of, shingle = p.shingles(which)
-                starts = np.searchsorted(of, np.arange(len(which)))
+                grams = np.append(p.grams(), np.uint64(0))
+                # from the first shingle of each paragraph up to its last
+                spans = np.stack([p.first[first], p.last[after - 1] - SHINGLE + 1], axis=1).ravel()
                 keys = []
                 for band in range(bands):
-                    total = np.full(len(which), band + 1, np.uint64)
+                    total = np.full(len(first), band + 1, np.uint64)
                     for r in range(rows):
                         salt = np.uint64(BASE * (2 * (band * rows + r) + 3) % (1 << 64))
-                        total = mix(total * np.uint64(BASE) + np.minimum.reduceat(mix(shingle + salt), starts))
+                        total = mix(total * np.uint64(BASE) + np.minimum.reduceat(mix(grams + salt), spans)[::2])
                     keys.append(total)
+                numbers = p.names(first, after)
                 yield blobs(
-                    np.concatenate(keys), np.tile(p.row[which], bands), np.tile(p.number[which], bands),
+                    np.concatenate(keys), np.tile(p.row[first], bands), np.tile(numbers, bands),
                     ids[low:high], tags[low:high], buckets,
                 )
 
@@ -196,29 +256,36 @@ def send_bands(buckets: int, least: int, bands: int, rows: int):
 
 
 def band_edges(table: pa.Table) -> pa.Table:
-    """Edges from the first paragraph in a band to the others."""
+    """Edges from the first paragraph in a band to the others. One that overlaps with
+    the first goes to the next that does not, if there is any."""
     key, ids, tags, numbers = unblob(table)
     runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     head = np.repeat(runs, np.diff(np.concatenate([runs, [len(key)]])))
-    edge = np.flatnonzero(head != np.arange(len(key)))
+    at = np.arange(len(key))
+    overlap = (ids == ids[head]) & (tags == tags[head])
+    overlap &= (numbers >> 32) < (numbers[head] >> 32) + (numbers[head] & 0xFFFFFFFF)
+    group = np.cumsum(head == at) - 1
+    apart = np.full(len(runs), len(key))
+    np.minimum.at(apart, group[~overlap], at[~overlap])
+    head = np.where(overlap, apart[group], head)
+    head = np.where(head < len(key), head, at)
+    edge = np.flatnonzero(head != at)
     columns = {"id": ids, "tag": tags, "number": numbers}
     return pa.table({f"{side}_{c}": v[at] for side, at in (("a", head[edge]), ("b", edge)) for c, v in columns.items()})
 
 
-def send_sets(least: int):
+def send_sets():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
         for batch in batches:
             for low, high, data, offsets in text_slices(batch.column("text")):
                 p = Paragraphs(data, offsets, table)
-                begins = np.searchsorted(p.row, np.arange(high - low + 1))
-                row, number = flat_lists(batch.column("numbers"), low, high)
+                first, after = p.named(*flat_lists(batch.column("numbers"), low, high))
                 wanted = [flat_lists(batch.column(c), low, high)[1] for c in ("nodes", "roots", "tiles")]
-                which = begins[row] + number
-                if not len(which):
+                if not len(first):
                     continue
-                of, shingle = p.shingles(which)
-                counts = np.bincount(of, minlength=len(which))
+                of, shingle = p.shingles(first, after)
+                counts = np.bincount(of, minlength=len(first))
                 bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 sets = pa.ListArray.from_arrays(bounds, pa.array(shingle.view(np.int64)))
                 arrays = [pa.array(x.astype(k)) for x, k in zip(wanted, (np.int64, np.int64, np.int32), strict=True)]
@@ -234,13 +301,13 @@ def remove(columns: list[str]):
             for low, high, data, offsets in text_slices(batch.column("text")):
                 rows = high - low
                 p = Paragraphs(data, offsets, table)
-                begins = np.searchsorted(p.row, np.arange(rows + 1))
-                gone = np.zeros(len(p.row), bool)
+                change = np.zeros(len(p.row) + 1, np.int64)
                 for column in ("gone", "similar"):
-                    row, number = flat_lists(batch.column(column), low, high)
-                    gone[begins[row] + number] = True
-                which = np.flatnonzero(gone)
-                # a paragraph goes with the white space before the next one
+                    first, after = p.named(*flat_lists(batch.column(column), low, high))
+                    np.add.at(change, first, 1)
+                    np.add.at(change, after, -1)
+                which = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+                # a piece goes with the white space before the next one
                 start = p.words.start[p.first[which]]
                 following = np.concatenate([p.words.start, [0]])[p.last[which]]
                 end_of_text = offsets[p.row[which] + 1]
@@ -256,7 +323,7 @@ def remove(columns: list[str]):
                 )
                 removed = np.bincount(p.row[which], minlength=rows)
                 words = np.bincount(p.row[which], weights=p.sizes[which], minlength=rows)
-                counts = [pa.array(x.astype(np.int64)) for x in (np.diff(begins), removed, words)]
+                counts = [pa.array(x.astype(np.int64)) for x in (np.diff(p.begins), removed, words)]
                 own = [batch.column(c).slice(low, rows) for c in columns]
                 yield pa.RecordBatch.from_arrays([*own, kept, *counts], [*columns, *RESULTS])
 
@@ -264,8 +331,8 @@ def remove(columns: list[str]):
 
 
 def remove_similar(docs: DataFrame, per_cent: int = PER_CENT, least: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS):
-    """The columns of ``docs``, kept (string: what stays), n_paragraphs, n_removed and
-    n_removed_words."""
+    """The columns of ``docs``, kept (string: what stays), n_paragraphs (pieces),
+    n_removed (of them) and n_removed_words."""
     if least < SHINGLE:
         raise ValueError(f"paragraphs of fewer than {SHINGLE} words have no shingle")
     spark = docs.sparkSession
@@ -292,18 +359,21 @@ def remove_similar(docs: DataFrame, per_cent: int = PER_CENT, least: int = MIN_W
     ends = [edges.select(*[F.col(f"{s}_{c}").alias(c) for c in ("id", "tag", "number")], F.col(s).alias("node")) for s in "ab"]
     nodes = materialize(ends[0].unionAll(ends[1]).distinct())
     found = components(edges.select("a", "b"))
-    # a sentence or two each: tiles by number of paragraphs, of about 32 shingles
-    candidates = materialize(dealt(nodes.join(found, "node").withColumn("n", F.lit(32))))
+    # tiles by number of pieces, of about 32 shingles
+    pieces = F.col("number").bitwiseAND(0xFFFFFFFF)
+    candidates = materialize(dealt(nodes.join(found, "node").withColumn("n", 32 * pieces)))
     wanted = candidates.groupBy("id", "tag").agg(
         *[F.collect_list(c).alias(f"{c}s" if c != "tiles" else c) for c in ("number", "node", "root", "tiles")]
     )
     sets = texts.join(wanted, ["id", "tag"]).mapInArrow(
-        send_sets(least), "id long, component long, tiles int, set array<long>"
+        send_sets(), "id long, component long, tiles int, set array<long>"
     )
     links = materialize(link_candidates(sets, per_cent, buckets))
     clusters = nodes.join(components(links), "node")
-    first = clusters.groupBy("root").agg(F.min(F.struct("id", "number", "tag")).alias("head"))
-    others = clusters.join(first, "root").where(F.struct("id", "number", "tag") != F.col("head"))
+    first = clusters.groupBy("root").agg(F.min(F.struct("id", "tag", "number")).alias("head"))
+    head_end = F.shiftright("head.number", 32) + F.col("head.number").bitwiseAND(0xFFFFFFFF)
+    apart = (F.col("id") != F.col("head.id")) | (F.col("tag") != F.col("head.tag"))
+    others = clusters.join(first, "root").where(apart | (F.shiftright("number", 32) >= head_end))
     similar = others.groupBy("id", "tag").agg(F.collect_set("number").alias("similar"))
 
     whole = texts.join(similar, ["id", "tag"], "left")

@@ -187,6 +187,35 @@ def test_paragraphs_go_once(docs, empty, spark):
     assert kept[1] == (0, similar) and kept[2] == (1, "") and kept[3][0] == 0
 
 
+def test_passages_of_short_lines_and_whole_blocks_go(spark):
+    rng = random.Random(11)
+    word = iter(f"w{rng.randrange(10**9)}x{i}" for i in range(10**6))
+    run = lambda n: " ".join(next(word) for _ in range(n))
+    lines = "\n".join(run(5) for _ in range(12))
+    speech = " ".join(run(6) + "." for _ in range(9))
+    heading = run(3) + "\n" + run(30)
+    block = [" ".join(run(8) + "." for _ in range(3)) for _ in range(8)]
+    changed = [x.replace(x.split()[12], next(word)) if i < 3 else x for i, x in enumerate(block)]
+    long = run(60) + "\n" + run(4)
+    texts = [
+        run(7) + "\n" + lines + "\n" + run(20),
+        run(3) + "\n" + run(4) + "\n" + lines + "\n" + run(2) + "\n" + run(2),
+        run(30) + "\n" + speech + "\n" + run(3) + "\n" + run(12),
+        run(4) + "\n" + speech + "\n" + run(40),
+        heading + "\n" + run(20),
+        run(20) + "\n" + heading,
+        run(15) + "\n\n" + "\n".join(block) + "\n\n" + run(15),
+        run(16) + "\n\n" + "\n".join(changed) + "\n\n" + run(17),
+        long,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in paragraph_dedup.remove_similar(rows).collect()}
+    for i, text in enumerate(texts):
+        gone = {1: lines, 3: speech, 5: heading, 7: "\n".join(changed)}.get(i, "")
+        left = text.replace(gone, "").split()
+        assert got[i].kept.split() == left and got[i].n_removed_words == len(gone.split()), i
+
+
 def test_bpe_matches_the_library_and_round_trips(docs, empty):
     library = Tokenizer.from_file(tokenizer_path())
     expected, decoded = [], []
