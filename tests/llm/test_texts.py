@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
@@ -143,6 +144,24 @@ def test_jaccard_components_match_brute_force(docs, empty):
     assert jaccard_join.similar_documents(empty)[0].count() == 0
 
 
+def test_near_copies_of_the_pipeline_match_brute_force(spark):
+    rows = [r[:2] for r in ROWS[:-2]]
+    words = [f"w{i}" for i in range(200)]
+    few = [f"x{i}" if i in (30, 80, 120, 170) else w for i, w in enumerate(words)]
+    rows += [(900 + i, " ".join(t)) for i, t in enumerate((words, few, words + [f"y{i}" for i in range(40)]))]
+    sets = [shingles(t, 5) for _, t in rows]
+    group = {i: {i} for i, _ in rows}
+    for (i, _), a in zip(rows, sets, strict=True):
+        for (j, _), b in zip(rows, sets, strict=True):
+            if a and group[i] is not group[j] and 100 * len(a & b) >= 80 * len(a | b):
+                group[i] |= group[j]
+                group.update(dict.fromkeys(group[j], group[i]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.keep_one_of_similar(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted({min(g) for g in group.values()})
+    assert not {r.doc_id for r in kept} & {901, 902}
+
+
 def test_many_near_copies_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 2000)
     rng = random.Random(1)
