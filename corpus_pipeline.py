@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import bpe, decontaminate, jaccard_join, language, suffix_dedup
 from panelcast.llm.queries import tokenizer_path
-from panelcast.session import scratch_path
+from panelcast.session import materialize, scratch_path
 from panelcast.sources.tables import read_table
 
 #: A document needs a language that makes up this share of it.
@@ -19,6 +19,7 @@ MIN_SHARE = 0.5
 #: Near copies: words of a shingle, and the Jaccard similarity of the sets.
 NEAR_WORDS = 5
 NEAR_PER_CENT = 80
+KEY = "row_key"
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +30,32 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links, the one with the smallest doc_id stays.
+    """Of rows connected by links, the one with the smallest doc_id (null comes last,
+    ties in order of a hash) stays.
 
-    Near copies share four fifths of their runs of five words, unlike in op4.
+    Near copies share four fifths of their runs of five words, unlike in op4. Rows are
+    known by doc_id and text, so those with a null or repeated doc_id are judged one by
+    one; of rows with words that are equal in both, one stays.
     """
-    rows, _ = jaccard_join.similar_documents(docs, size=NEAR_WORDS, per_cent=NEAR_PER_CENT)
-    others = rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
-    return docs.join(others.distinct(), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    others = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
+    keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    linked, _ = jaccard_join.similar_documents(
+        keyed.select(F.col(KEY).alias("doc_id"), "text"), size=NEAR_WORDS, per_cent=NEAR_PER_CENT
+    )
+    linked = linked.where("n_shingles > 0").select(F.col("doc_id").alias(KEY), F.col("component_id").alias("group"))
+    rows = keyed.groupBy(KEY).agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min(F.xxhash64(F.lit(0), *others)).alias("rest")
+    )
+    rows = rows.join(linked.distinct(), KEY)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", KEY)
+    first = rows.groupBy("group").agg(F.min(place).alias("first"), F.count("*").alias("size"))
+    first = first.where("size > 1").select("group", F.col(f"first.{KEY}").alias("stays"))
+    rows = rows.join(first, "group", "left")
+    stays = F.col("stays").isNull() | (F.col("stays") == F.col(KEY))
+    judged = materialize(rows.where(~stays | (F.col("n") > 1)).select(KEY, "rest", stays.alias("stays")))
+    single = keyed.join(judged, KEY, "left_anti")
+    repeated = keyed.join(judged.where("stays"), KEY).where(F.xxhash64(F.lit(0), *others) == F.col("rest"))
+    return single.select(docs.columns).unionAll(repeated.dropDuplicates([KEY]).select(docs.columns))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,6 +203,12 @@ def _numbered(docs: DataFrame, seeds) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap with no benchmark item, columns as given."""
-    found = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows that overlap with no benchmark item, columns as given.
+
+    Rows are known by a hash of doc_id and text, as the verdict follows from the text:
+    one row's does not fall on others with a null or the same doc_id.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").cast("string"))
+    rows = docs.select(key.alias("doc_id"), "text")
+    found = contaminated(rows, benchmark).select(F.col("doc_id").alias("found")).distinct()
+    return docs.join(found, key == F.col("found"), "left_anti")

@@ -162,6 +162,25 @@ def test_near_copies_of_the_pipeline_match_brute_force(spark):
     assert not {r.doc_id for r in kept} & {901, 902}
 
 
+def test_rows_without_an_id_of_their_own_are_judged_one_by_one(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    schema = "doc_id long, text string, source string"
+    rows = [
+        (5, text("a"), "s"), (None, text("a"), "s"), (None, text("b"), "s"), (6, text("b"), "s"), (7, text("c"), "s"),
+        (None, text("d"), "t"), (None, text("d"), "s"), (None, text("e"), "s"), (8, text("f"), "s"), (8, text("a"), "s"),
+        (9, text("g"), "s"), (9, text("g"), "s"), (None, None, "s"), (None, "", "s"), (None, "", "s"),
+    ]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    kept = corpus_pipeline.keep_one_of_similar(spark, docs, "")
+    want = [(5, "a"), (6, "b"), (7, "c"), (None, "d"), (None, "e"), (8, "f"), (9, "g")]
+    got = by_text((r.doc_id, r.text) for r in kept.collect())
+    assert got == by_text([(i, text(n)) for i, n in want] + [(None, None), (None, ""), (None, "")])
+    benchmark = spark.createDataFrame([(1, text("e")), (2, text("f"))], "item_id long, text string")
+    left = decontaminate.without_contaminated(docs, benchmark)
+    assert left.columns == docs.columns
+    assert by_text(map(tuple, left.collect())) == by_text(r for r in rows if r[1] not in (text("e"), text("f")))
+
+
 def test_many_near_copies_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 2000)
     rng = random.Random(1)
