@@ -9,18 +9,21 @@ determinant). A row whose squared Mahalanobis distance exceeds ``CUTOFF`` is
 rejected.
 
 Statistics: log of the mean word length; square roots of symbols, repeated lines
-and repeated words per word. ``SPREAD`` is added to each standard deviation:
-differences so small say nothing of quality, and statistics that are zero in
-most rows stay usable.
+and repeated words per word. A standard deviation is at least ``FLOOR``, so statistics
+that are zero in most rows stay usable; a larger one is taken as it is.
+
+Groups of fewer than ``LEAST`` rows that pass take the estimate of their language,
+or if that has fewer too, of all rows: the same steps run at three levels.
 
 Texts are read once and never shuffled; what follows are a few numbers per row.
 Quantiles come from counts of equally wide bins, which combine before the shuffle
 and have a fixed size. Estimates are joined back by group and a salt, so that a
-group with a third of all rows is dealt over ``SALT`` tasks.
+group with a third of all rows is dealt over ``SALT`` tasks, and a level's larger
+groups over ``WIDE_SALT``.
 
 Defined cases: null and empty texts have no words and fail the base rules; null
-and empty lang (source) are one group; a group of fewer than ``LEAST`` rows has
-no estimate and keeps its rows; a null doc_id stays; repeated rows count and are
+and empty lang (source) are one group; a table with fewer than ``LEAST``
+rows that pass has no estimate and keeps them; a null doc_id stays; repeated rows count and are
 judged one by one; ties in distance are all in or all out of a step's subset; an
 empty table gives an empty result; other columns are ignored whatever their
 names.
@@ -48,13 +51,16 @@ STEPS = 3
 CUTOFF = 23.5  # one in ten thousand of a normal with four dimensions
 LEAST = 30
 SALT = 32
-SPREAD = [0.05, 0.15, 0.15, 0.15]
+WIDE_SALT = 256
+FLOOR = [0.02, 0.05, 0.05, 0.05]
 #: Width of a bin of the statistics; distances have BINS bins for each doubling.
 WIDTH = 1 / 256
 BINS = 16
 
 DIMENSIONS = 4
 X = [f"x{i}" for i in range(DIMENSIONS)]
+GROUP = ["level", "lang", "source"]
+ESTIMATE = [f"m{i}" for i in range(DIMENSIONS)] + [f"c{i}{j}" for i in range(DIMENSIONS) for j in range(i + 1)]
 PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
 
 
@@ -144,63 +150,77 @@ def transformed() -> list[Column]:
     ]
 
 
+def levels(rows: DataFrame) -> DataFrame:
+    """Every row three times: in its group, in its language and among all rows."""
+    rows = rows.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return rows.select(
+        "level",
+        F.when(F.col("level") < 2, F.col("lang")).otherwise("").alias("lang"),
+        F.when(F.col("level") < 1, F.col("source")).otherwise("").alias("source"),
+        F.when(F.col("level") < 1, F.col("salt") % SALT).otherwise(F.col("salt")).alias("salt"),
+        *X,
+    )
+
+
+def salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.when(F.col("level") < 1, SALT - 1).otherwise(WIDE_SALT - 1))).alias("salt")
+
+
 def medians(rows: DataFrame) -> DataFrame:
     """Per group: a row count, medians as means m0.., and a diagonal start covariance."""
     long = rows.select(
-        "lang",
-        "source",
+        *GROUP,
         F.posexplode(F.array(*[F.floor(F.col(x) / WIDTH).cast("long") for x in X])).alias("dim", "bin"),
     )
-    bins = long.groupBy("lang", "source", "dim", "bin").agg(F.count("*").alias("n"))
-    group = Window.partitionBy("lang", "source", "dim")
+    bins = long.groupBy(*GROUP, "dim", "bin").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*GROUP, "dim")
     bins = bins.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin")))
-    dims = bins.groupBy("lang", "source", "dim").agg(
+    dims = bins.groupBy(*GROUP, "dim").agg(
         F.max("all").alias("n"),
         ((at(0.5) + 0.5) * WIDTH).alias("middle"),
         ((at(0.75) - at(0.25)) * WIDTH / 1.349).alias("spread"),
     )
     pick = lambda value, i: F.max(F.when(F.col("dim") == i, value))
-    return dims.groupBy("lang", "source").agg(
+    return dims.groupBy(*GROUP).agg(
         F.max("n").alias("n"),
         *[pick(F.col("middle"), i).alias(f"m{i}") for i in range(DIMENSIONS)],
         *[
             (pick(F.col("spread") * F.col("spread"), i) if i == j else F.lit(0.0)).alias(f"c{i}{j}")
             for i, j in PAIRS
         ],
-    ).where(F.col("n") >= LEAST)
+    )
 
 
 def moments(rows: DataFrame) -> DataFrame:
     """Per group: mean and covariance of the rows."""
-    sums = rows.groupBy("lang", "source").agg(
+    sums = rows.groupBy(*GROUP).agg(
         F.count("*").alias("n"),
         *[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)],
         *[F.covar_pop(X[i], X[j]).alias(f"v{i}{j}") for i, j in PAIRS],
     )
     return sums.select(
-        "lang", "source", "n", *[f"m{i}" for i in range(DIMENSIONS)],
+        *GROUP, "n", *[f"m{i}" for i in range(DIMENSIONS)],
         *[(F.col(f"v{i}{j}") * CONSISTENCY).alias(f"c{i}{j}") for i, j in PAIRS],
     )
 
 
 def factor(estimates: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l00.. of each covariance with the least spread."""
+    """Adds the Cholesky factor l00.. of each covariance, with no deviation under ``FLOOR``."""
     for i, j in PAIRS:
         done = [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)]
         rest = F.col(f"c{i}{j}") - reduce(add, done) if done else F.col(f"c{i}{j}")
-        value = F.sqrt(F.greatest(rest, F.lit(0.0)) + SPREAD[i] ** 2) if i == j else rest / F.col(f"l{j}{j}")
+        value = F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}")
         estimates = estimates.withColumn(f"l{i}{j}", value)
     return estimates.select(
-        "lang", "source", *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{j}" for i, j in PAIRS]
+        *GROUP, *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{j}" for i, j in PAIRS]
     )
 
 
 def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """Adds ``d2``, null for groups without an estimate."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
-    spread = factor(estimates).select("*", salts)
-    out = rows.join(spread, ["lang", "source", "salt"], "left")
+    spread = factor(estimates).select("*", salts())
+    out = rows.join(spread, [*GROUP, "salt"], "left")
     for i in range(DIMENSIONS):
         done = [F.col(f"l{i}{k}") * F.col(f"z{k}") for k in range(i)]
         shift = F.col(f"x{i}") - F.col(f"m{i}")
@@ -214,29 +234,42 @@ def inner(rows: DataFrame) -> DataFrame:
     rows = rows.where("d2 IS NOT NULL").withColumn(
         "bin", F.floor(F.log2(F.col("d2") + 1e-6) * BINS).cast("long")
     )
-    bins = rows.groupBy("lang", "source", "bin").agg(F.count("*").alias("n"))
-    group = Window.partitionBy("lang", "source")
+    bins = rows.groupBy(*GROUP, "bin").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*GROUP)
     cut = (
         bins.withColumn("upto", F.sum("n").over(group.orderBy("bin")))
         .withColumn("all", F.sum("n").over(group))
         .where(F.col("upto") >= COVERAGE * F.col("all"))
-        .groupBy("lang", "source")
+        .groupBy(*GROUP)
         .agg(F.min("bin").alias("cut"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        .select("*", salts())
     )
-    return rows.join(cut, ["lang", "source", "salt"]).where(F.col("bin") <= F.col("cut")).drop("bin", "cut", "d2")
+    return rows.join(cut, [*GROUP, "salt"]).where(F.col("bin") <= F.col("cut")).drop("bin", "cut", "d2")
+
+
+def chosen(groups: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Each group's estimate: its own, else its language's, else that of all rows."""
+    out = groups
+    for level, keys in enumerate((["lang", "source"], ["lang"], [])):
+        own = estimates.where(F.col("level") == level).select(*keys, F.struct(*ESTIMATE).alias(f"by{level}"))
+        out = out.join(own, keys, "left") if keys else out.join(own, how="left")
+    out = out.withColumn("by", F.coalesce("by0", "by1", "by2")).where(F.col("by").isNotNull())
+    return out.select(F.lit(0).alias("level"), "lang", "source", "by.*")
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and d2 (null without a verdict)."""
-    stats = base_statistics(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    stats = base_statistics(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(WIDE_SALT)).cast("int"))
     stats = materialize(stats)
-    rows = stats.where(~F.col("base_failed")).select("lang", "source", "salt", *transformed())
-    estimates = materialize(medians(rows))
+    rows = levels(stats.where(~F.col("base_failed")).select("lang", "source", "salt", *transformed()))
+    starts = materialize(medians(rows))
+    groups = starts.where("level = 0").select("lang", "source")
+    estimates = starts.where(F.col("n") >= LEAST)
     for _ in range(steps):
         estimates = materialize(moments(inner(distances(rows, estimates))))
     passed = stats.where(~F.col("base_failed")).select("*", *transformed())
-    judged = distances(passed, estimates).drop(*X)
+    passed = passed.withColumn("level", F.lit(0)).withColumn("salt", F.col("salt") % SALT)
+    judged = distances(passed, chosen(groups, estimates)).drop(*X, "level")
     failed = stats.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
     verdict = F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return (

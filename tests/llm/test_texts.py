@@ -309,6 +309,24 @@ def test_quality_rejects_outliers_and_no_others(spark):
     assert all(out[i] for i in range(100)) and not any(out[i] for i in range(100, 108))
 
 
+def test_quality_rejects_repeats_and_judges_small_groups(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    verse = [prose(3) for _ in range(10)]
+    bad = ["\n".join(rng.sample(verse * 6, 60)), prose(150) + " " + " ".join([prose(10)] * 2) + " " + " ".join([prose(15)] * 2)]
+    symbols = " ".join(word() + "$%&" for _ in range(200))
+    rows = [(i, prose(200), "en", "a") for i in range(100)]
+    rows += [(100 + i, x, "en", "a") for i, x in enumerate(bad)]
+    rows += [(200, symbols, "en", "small"), (201, prose(200), "en", "small"), (202, symbols, "xx", None), (203, prose(200), "xx", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge(table).collect()}
+    assert all(got[i].kept for i in range(100)) and got[201].kept and got[203].kept
+    assert not any(got[i].kept for i in (100, 101, 200, 202))
+    assert not any(got[i].base_failed for i in (100, 101, 200, 202))
+    assert all(r.kept and r.d2 is None for r in quality.judge(table.where("doc_id IN (1, 200)")).collect())
+
+
 def test_language_on_held_out_rows(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.train(language.training_rows(docs))
