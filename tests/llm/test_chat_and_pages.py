@@ -72,6 +72,20 @@ def test_wrappers_find_the_content(spark):
     assert html_extract.main_text(table.limit(0)).count() == 0
 
 
+def test_main_text_is_whole_without_article_tags():
+    body = "<p>" + "</p><p>".join(f"Words of paragraph {i} and more of them." for i in range(9)) + "</p>"
+    want = ["Headline", "A lede.", *(f"Words of paragraph {i} and more of them." for i in range(9))]
+    for outer in ('class="post"', 'class="content has-sidebar"', 'id="no-sidebar"', 'class="sidebar"'):
+        html = (
+            f'<html><body><nav>Home</nav><div {outer}><h1>Headline</h1><p class=lede>A lede.</p><div class=body>{body}</div></div>'
+            '<div class="cookie-notice">We use cookies</div><div class="site-footer">Imprint</div></body></html>'
+        )
+        assert html_extract.extract(html, None).split("\n\n") == want, outer
+        pages = [html_extract.outline(html_extract.parse(html.replace("paragraph", f"page {n}").replace("Headline", f"Headline {n}"))) for n in range(3)]
+        found = html_extract.extract(html.replace("Headline", "Headline 7"), html_extract.induce(pages))
+        assert found.startswith("Headline 7"), outer
+
+
 def test_simple_tree_matching_keeps_order():
     leaf = lambda name, *texts: [name, list(texts), 1, []]
     a = ["body", [], 0, [leaf("nav", "x"), leaf("h1", "a"), leaf("p", "b")]]
