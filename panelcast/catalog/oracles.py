@@ -237,6 +237,52 @@ linear AS (
     ]
 
 
+def pooled_parts() -> list[str]:
+    """The same for all tickers together, on the change of the logged price."""
+    cols = [*INDEPENDENT, "close_level"]
+    p = len(cols)
+    sums = [f"avg({c}) AS m{i}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s{i}" for i, c in enumerate(cols)]
+    sums += [f"covar_pop({cols[i]}, {cols[j]}) / (s{i} * s{j}) AS c{i}{j}" for i in range(p) for j in range(i)]
+    sums += [f"covar_pop({c}, label) / s{i} AS b{i}" for i, c in enumerate(cols)]
+    lines = []
+    for j in range(p):
+        dot = "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
+        lines.append(f"CASE WHEN 1.0{dot} > 1e-10 THEN sqrt(1.0{dot}) END AS l{j}{j}")
+        for i in range(j + 1, p):
+            dot = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            lines.append(f"coalesce((c{i}{j}{dot}) / l{j}{j}, 0) AS l{i}{j}")
+    for i in range(p):
+        dot = "".join(f" - l{i}{k} * z{k}" for k in range(i))
+        lines.append(f"coalesce((b{i}{dot}) / l{i}{i}, 0) AS z{i}")
+    for i in reversed(range(p)):
+        dot = "".join(f" - l{k}{i} * w{k}" for k in range(i + 1, p))
+        lines.append(f"coalesce((z{i}{dot}) / l{i}{i}, 0) AS w{i}")
+    predicted = " + ".join(f"w{i} * (x.{c} - m{i}) / s{i}" for i, c in enumerate(cols))
+    return [
+        """
+levels AS (
+  SELECT *, avg(close) OVER (PARTITION BY ticker, horizon ORDER BY date ROWS UNBOUNDED PRECEDING) AS close_level,
+    ln(1 + y) - ln(1 + price) AS label
+  FROM staged
+)""",
+        ROLES.replace("roles AS", "pooled_roles AS").replace("FROM staged", "FROM levels"),
+        f"""
+fitted AS MATERIALIZED (
+  SELECT horizon, CASE role WHEN 'train' THEN 'validation' ELSE 'test' END AS role, avg(label) AS my, {', '.join(sums)}
+  FROM pooled_roles WHERE role IN ('train', 'full') GROUP BY horizon, 2
+)""",
+        *[
+            f"solve{i} AS MATERIALIZED (SELECT *, {line} FROM {f'solve{i - 1}' if i else 'fitted'})"
+            for i, line in enumerate(lines)
+        ],
+        f"""
+pooled AS (
+  SELECT x.ticker, x.horizon, x.role, x.y, exp(ln(1 + price) + my + {predicted}) - 1 AS y_hat
+  FROM solve{len(lines) - 1} s JOIN pooled_roles x ON x.horizon = s.horizon AND x.role = s.role
+)""",
+    ]
+
+
 # --- ARIMA -----------------------------------------------------------------
 
 
@@ -530,7 +576,45 @@ mean_{c} AS (SELECT ticker, avg({c}) AS m, min({c}) AS lo, max({c}) AS hi FROM k
     return ctes(*BASE, JOINED, *parts) + f"SELECT k.ticker, k.date, {', '.join(shown)} FROM known k\n{joins}"
 
 
+FIRST_SECTORS = """WITH sales AS (
+  SELECT p_type AS sector, p_brand AS company, CASE WHEN l_returnflag = 'R' THEN 'bs' ELSE 'cis' END AS statement, l_linestatus AS label,
+    make_date(year(l_shipdate), 12, 31) AS period, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS value
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+SELECT * FROM sales s WHERE sector = (SELECT min(sector) FROM sales f WHERE f.company = s.company)"""
+
+
+def imputed_table(rows: str, key: str, block: str | None, columns: list[str], whole: set[str] = frozenset()) -> str:
+    """Every open cell of any table against every donor of its block, nearest five kept."""
+    same = f"d.{block} = q.{block}" if block else "TRUE"
+    shared = " + ".join(f"CAST(q.{c} IS NOT NULL AND d.{c} IS NOT NULL AS INTEGER)" for c in columns)
+    square = " + ".join(f"coalesce((q.{c} - d.{c}) * (q.{c} - d.{c}), 0)" for c in columns)
+    parts, shown, joins = [f"known AS ({rows})"], [f"k.{key}", *([f"k.{block}"] if block else [])], ""
+    for c in columns:
+        parts.append(f"""
+near_{c} AS (
+  SELECT q.{key} AS key, d.{c} AS v, row_number() OVER (PARTITION BY q.{key}
+    ORDER BY ({square}) * ({len(columns)}.0::DOUBLE / ({shared})), d.{key}) AS nth
+  FROM known q JOIN known d ON {same} WHERE q.{c} IS NULL AND d.{c} IS NOT NULL AND {shared} > 0
+),
+fill_{c} AS (SELECT key, avg(v) AS v FROM near_{c} WHERE nth <= 5 GROUP BY key),
+mean_{c} AS (SELECT {block or '1'} AS block, avg({c}) AS m, min({c}) AS lo, max({c}) AS hi FROM known GROUP BY 1)""")
+        value = f"coalesce(k.{c}, fill_{c}.v, mean_{c}.m)"
+        if c in whole:
+            value = f"least(greatest(round_even({value}, 0), mean_{c}.lo), mean_{c}.hi)"
+        shown.append(r(value, 6, c))
+        joins += f"LEFT JOIN fill_{c} ON fill_{c}.key = k.{key} LEFT JOIN mean_{c} ON mean_{c}.block = {f'k.{block}' if block else '1'}\n"
+    return ctes(*parts) + f"SELECT {', '.join(shown)} FROM known k\n{joins}"
+
+
 ORACLES: dict[str, str] = {
+    "impute_customers": imputed_table(
+        "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey FROM customer",
+        "c_custkey", "c_mktsegment", ["c_acctbal", "c_nationkey"],
+    ),
+    "impute_parts": imputed_table(
+        "SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_size AS DOUBLE) END AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part",
+        "p_partkey", None, ["p_size", "p_retailprice"], {"p_size"},
+    ),
     "scan_listing": f"SELECT * FROM ({CUSTOMER_LISTING}) WHERE market IN ('BUILDING', 'MACHINERY')",
     "listing_union": f"{CUSTOMER_LISTING} UNION ALL {SUPPLIER_LISTING}",
     "listing_sorted": f"SELECT * FROM ({CUSTOMER_LISTING} UNION ALL {SUPPLIER_LISTING}) ORDER BY name, code",
@@ -648,6 +732,13 @@ UNION ALL SELECT event_id, 'user_id', dense_rank() OVER (ORDER BY user_id) - 1 F
         "one AS (SELECT x.ticker, x.horizon, x.role, x.y, a * x.close + b AS y_hat FROM lines l JOIN roles x ON x.ticker = l.ticker AND x.horizon = l.horizon AND x.role = l.role)")
     + forecast_rows("one"),
     "linear_forecast": ctes(*TO_STAGED, ROLES, *linear_parts()) + forecast_rows("linear"),
+    "linear_pretrained": ctes(*TO_STAGED, ROLES, *linear_parts()) + forecast_rows("linear"),
+    "elasticnet_pretrained": ctes(*TO_STAGED, ROLES, *fixed_net(1.0, 0.5)).replace("WITH", "WITH RECURSIVE", 1)
+    + forecast_rows("net", ", 1.0::DOUBLE AS alpha, 0.5::DOUBLE AS l1_ratio"),
+    "linear_pooled": ctes(*TO_STAGED, *pooled_parts())
+    + f"SELECT ticker, horizon, role, {r('y', 2)}, {r('y_hat', 2)} FROM pooled",
+    "knn_pretrained": ctes(*TO_STAGED, *knn_parts((3, 5, 7)), KNN_TUNED) + forecast_rows("knn_tuned", ", CAST(k AS BIGINT) AS k"),
+    "arima_pretrained": ctes(*TO_DENSE, *arima_parts()) + forecast_rows("arima"),
     "knn_forecast": ctes(*TO_STAGED, *knn_parts((5,)))
     + f"SELECT ticker, horizon, role, {r('y', 3)}, {r('yhat_5', 3, 'y_hat')}, CAST(5 AS BIGINT) AS k FROM knn WHERE role IN ('validation', 'test')",
     "knn_tuned": ctes(*TO_STAGED, *knn_parts((3, 5, 7)), KNN_TUNED) + forecast_rows("knn_tuned", ", CAST(k AS BIGINT) AS k"),
@@ -703,10 +794,8 @@ UNION ALL SELECT company, 'metrics', metric, CAST(NULL AS DATE), value FROM metr
 labels AS (SELECT DISTINCT sector, company, statement, label FROM stored)
 SELECT l.*, p.period, s.value FROM labels l CROSS JOIN periods p LEFT JOIN stored s USING (sector, company, statement, label, period)""",
     "stmt_roundtrip": STATEMENTS,
-    "stmt_first_sector": """WITH sales AS (
-  SELECT p_type AS sector, p_brand AS company, CASE WHEN l_returnflag = 'R' THEN 'bs' ELSE 'cis' END AS statement, l_linestatus AS label,
-    make_date(year(l_shipdate), 12, 31) AS period, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS value
-  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
-SELECT * FROM sales s WHERE sector = (SELECT min(sector) FROM sales f WHERE f.company = s.company)""",
+    "stmt_first_sector": FIRST_SECTORS,
+    "stmt_nested": FIRST_SECTORS,
+    "stmt_published": FIRST_SECTORS + " AND company IN (SELECT min(company) FROM sales UNION SELECT max(company) FROM sales)",
     "metrics_transpose": f"WITH {METRIC_ROWS} SELECT company, metric, value FROM metric_rows",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.functions import calendar
-from panelcast.models import arima, elasticnet, goss, knn, linear, trees
+from panelcast.models import arima, elasticnet, goss, knn, linear, pooled_linear, store, trees
 from panelcast.operators import encoders, evaluate, features as feat, impute, indicators, panel, reshape, splits
 from panelcast.plans import company, forecast, report
 from panelcast.session import materialize, scratch_path
@@ -186,8 +186,7 @@ def min_history(spark, folder):
 @query
 def stride_sample(spark, folder):
     closes = filled_panel(spark, folder).select("ticker", "date", "close")
-    every = [panel.stride_from_end(closes, k).withColumn("step", F.lit(k).cast("long")) for k in (20, 5)]
-    return every[0].unionByName(every[1])
+    return panel.stride_from_end(closes, 20, 5)
 
 
 # --- indicators ------------------------------------------------------------
@@ -273,9 +272,7 @@ def sequence_windows(spark, folder):
     """One row per step of every five-row window, with the label of its last row."""
     frame = feat.model_frame(filled_panel(spark, folder))
     names = feat.feature_columns(frame)
-    labelled = feat.with_horizons(frame, 1).where(F.col("y").isNotNull())
-    # The window is taken before rows without a label are dropped; only the last row lacks one.
-    windows = feat.sequence_windows(labelled, names)
+    windows = feat.sequence_windows(feat.with_horizons(frame, 1), names).where(F.col("y").isNotNull())
     steps = windows.select("ticker", "date", "y", F.posexplode("sequence").alias("step", "x"))
     return rounded(
         steps.select(
@@ -366,6 +363,25 @@ def knn_impute(spark, folder):
     return rounded(impute.knn_impute(known, columns, categorical=["volume", "weekday"]))
 
 
+@query
+def impute_customers(spark, folder):
+    """Open balances of customers from the five nearest of their segment."""
+    customer = read_table(spark, folder, "customer")
+    balance = F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("c_acctbal")
+    rows = customer.select("c_custkey", "c_mktsegment", balance, F.col("c_nationkey").cast("double").alias("c_nationkey"))
+    filled = impute.knn_impute(rows, ["c_acctbal", "c_nationkey"], keys=["c_custkey"], block=["c_mktsegment"])
+    return rounded(filled)
+
+
+@query
+def impute_parts(spark, folder):
+    """Open sizes of parts, which are whole numbers, from the five nearest of all parts."""
+    part = read_table(spark, folder, "part")
+    size = F.when(F.col("p_partkey") % 11 != 0, F.col("p_size")).cast("double").alias("p_size")
+    rows = part.select("p_partkey", size, F.col("p_retailprice").cast("double").alias("p_retailprice"))
+    return rounded(impute.knn_impute(rows, ["p_size", "p_retailprice"], ["p_size"], keys=["p_partkey"], block=[]))
+
+
 # --- models ----------------------------------------------------------------
 
 
@@ -385,6 +401,46 @@ def linear_forecast(spark, folder):
     return _forecast_rows(linear.linear_forecast(frame, feat.feature_columns(frame), HORIZON))
 
 
+def _stored(spark, name) -> store.ModelStore:
+    return store.ModelStore(spark, scratch_path(spark, name))
+
+
+@query
+def linear_pretrained(spark, folder):
+    """Coefficients stored, read back, and joined with the rows to be predicted."""
+    frame = frame_of(spark, folder)
+    models = _stored(spark, "linear")
+    models.fit_linear(frame, feat.feature_columns(frame), HORIZON)
+    return _forecast_rows(models.predict("Linear", frame, HORIZON))
+
+
+@query
+def elasticnet_pretrained(spark, folder):
+    """The same for a given penalty and mixing ratio."""
+    frame = frame_of(spark, folder)
+    models = _stored(spark, "net")
+    models.fit_elasticnet(frame, feat.feature_columns(frame), HORIZON, alphas=[1.0], ratios=[0.5], tolerance=1e-13)
+    return _forecast_rows(models.predict("ElasticNet", frame, HORIZON), "alpha", "l1_ratio")
+
+
+@query
+def knn_pretrained(spark, folder):
+    """Stored rows, ranges and the tuned k, joined with the rows to be predicted."""
+    frame = frame_of(spark, folder)
+    models = _stored(spark, "knn")
+    models.fit_knn(frame, feat.feature_columns(frame), HORIZON)
+    return as_long(_forecast_rows(models.predict("KNN", frame, HORIZON), "k"), "k")
+
+
+@query
+def arima_pretrained(spark, folder):
+    """Stored coefficients of ARIMA, applied to the last rows."""
+    frame = frame_of(spark, folder)
+    models = _stored(spark, "arima")
+    models.fit_arima(frame, feat.feature_columns(frame), HORIZON)
+    return _forecast_rows(models.predict("ARIMA", frame, HORIZON))
+
+
 @query
 def elasticnet_forecast(spark, folder):
     frame = frame_of(spark, folder)
@@ -402,6 +458,13 @@ def elasticnet_fixed(spark, folder):
     return _forecast_rows(fitted, "alpha", "l1_ratio")
 
 
+@query
+def linear_pooled(spark, folder):
+    """One regression per step on the rows of all tickers."""
+    frame = frame_of(spark, folder)
+    return _forecast_rows(pooled_linear.pooled_linear_forecast(frame, feat.feature_columns(frame), HORIZON), digits=2)
+
+
 @query
 def grid_linspace(spark, folder):
     """The grid that the elastic net tries for every ticker."""
@@ -608,9 +671,35 @@ def stmt_roundtrip(spark, folder):
 def stmt_first_sector(spark, folder):
     """A brand's sales come from the first part type, by name, that has the brand."""
     table = materialize(statements.part_statements(spark, folder))
+    return rounded(statements.first_sector_statements(table, _sector_order(table)), 2)
+
+
+def _sector_order(table):
+    """Sectors in order of their names."""
     ranks = encoders.ordinal_codes(table.select(F.lit("sector").alias("col"), F.col("sector").alias("value")))
-    sectors = ranks.select(F.col("value").alias("sector"), F.col("code").alias("sector_ord"))
-    return rounded(statements.first_sector_statements(table, sectors), 2)
+    return ranks.select(F.col("value").alias("sector"), F.col("code").alias("sector_ord"))
+
+
+@query
+def stmt_nested(spark, folder):
+    """The first sector's statements of every brand, from maps of maps that were stored."""
+    table = materialize(statements.part_statements(spark, folder))
+    path = scratch_path(spark, "nested")
+    statements.nest_statements(table, _sector_order(table)).write.parquet(path)
+    long = materialize(statements.unnest_statements(spark.read.parquet(path)))
+    sectors = long.select("sector", "sector_ord").distinct()
+    return rounded(statements.first_sector_statements(long.drop("sector_ord"), sectors), 2)
+
+
+@query
+def stmt_published(spark, folder):
+    """Two companies published in turn; both are there, from their first sectors."""
+    table = materialize(statements.part_statements(spark, folder))
+    order, path = materialize(_sector_order(table)), scratch_path(spark, "published")
+    first, last = table.agg(F.min("company"), F.max("company")).first()
+    for name in (first, last, first):
+        company.publish_company(table, order, path, name)
+    return rounded(statements.read_statements(spark, path), 2)
 
 
 @query
@@ -622,9 +711,8 @@ def metrics_transpose(spark, folder):
 def company_page(spark, folder):
     """Statements and metrics of one company, from the published store."""
     table = materialize(statements.order_statements(spark, folder))
-    ranks = encoders.ordinal_codes(table.select(F.lit("sector").alias("col"), F.col("sector").alias("value")))
     path = scratch_path(spark, "pages")
-    company.publish_statements(table, ranks.select(F.col("value").alias("sector"), F.col("code").alias("sector_ord")), path)
+    company.publish_statements(table, _sector_order(table), path)
     name = table.agg(F.min("company")).first()[0]
     return rounded(company.company_page(spark, path, statements.order_metrics(spark, folder), name), 4)
 

@@ -16,6 +16,12 @@ def arima_forecast(frame: DataFrame, horizon: int) -> DataFrame:
     validation of step h learns from all but the last h rows and is compared
     with the last row; the forecast learns from all rows.
     """
+    return apply_phi(moves(frame, horizon), horizon)
+
+
+def moves(frame: DataFrame, horizon: int) -> DataFrame:
+    """The last rows of every ticker with first and second difference and the phi of
+    all rows up to them."""
     price = F.col("price")
     first = F.lag(price, 1).over(by_date())
     second = F.lag(price, 2).over(by_date())
@@ -23,7 +29,7 @@ def arima_forecast(frame: DataFrame, horizon: int) -> DataFrame:
         {"d": price - first, "w": price - 2 * first + second}
     )
     before = F.lag("w").over(by_date())
-    fitted = (
+    return (
         moved.withColumn("w_before", before)
         .withColumns(
             {
@@ -36,6 +42,27 @@ def arima_forecast(frame: DataFrame, horizon: int) -> DataFrame:
         .where(F.col("rn") >= F.col("n") - 1 - horizon)
         .withColumn("back", (F.col("n") - 1 - F.col("rn")).cast("int"))
     )
+
+
+def coefficients(frame: DataFrame, horizon: int) -> DataFrame:
+    """phi of every ticker, step and phase, as a table."""
+    rows = moves(frame, horizon).select("ticker", "back", "phi")
+    steps = F.sequence(F.lit(1), F.lit(horizon))
+    test = rows.where("back = 0").select("ticker", F.explode(steps).alias("horizon"), F.lit("test").alias("phase"), "phi")
+    own = rows.where("back > 0").select("ticker", F.col("back").alias("horizon"), F.lit("validation").alias("phase"), "phi")
+    return test.unionAll(own)
+
+
+def apply_coefficients(frame: DataFrame, stored: DataFrame, horizon: int) -> DataFrame:
+    """Forecasts from the last rows of ``frame`` with given phi."""
+    rows = moves(frame, horizon).drop("phi")
+    test = stored.where("phase = 'test' AND horizon = 1").select("ticker", F.lit(0).alias("back"), "phi")
+    own = stored.where("phase = 'validation'").select("ticker", F.col("horizon").alias("back"), "phi")
+    return apply_phi(rows.join(test.unionAll(own), ["ticker", "back"]), horizon)
+
+
+def apply_phi(fitted: DataFrame, horizon: int) -> DataFrame:
+    """The last row of a ticker forecasts every step, the row h before it step h."""
     all_steps = F.sequence(F.lit(1), F.lit(horizon))
     steps = F.when(F.col("back") == 0, all_steps).otherwise(F.array("back"))
     spread = fitted.withColumn("horizon", F.explode(steps))

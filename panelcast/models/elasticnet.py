@@ -26,6 +26,12 @@ SCHEMA = (
 )
 
 
+COEFFICIENTS = (
+    "ticker string, horizon int, phase string, intercept double, centres array<double>, "
+    "scales array<double>, weights array<double>, alpha double, l1_ratio double"
+)
+
+
 def duality_gap(cov, cross, y_var, soft, ridge, w) -> np.ndarray:
     """How far each row of weights is at most from the optimum of its objective."""
     along = np.einsum("pij,pj->pi", cov, w)
@@ -137,17 +143,50 @@ def _fits(chunk, roles: dict[str, int], train_scale: bool) -> list[Fit]:
     return fits
 
 
-def fit_chunk(chunk, alpha: np.ndarray, ratio: np.ndarray, tolerance: float = TOLERANCE) -> pd.DataFrame:
-    """Tune and forecast several tickers and steps together; a single point needs no folds."""
+def tuned_points(chunk, alpha: np.ndarray, ratio: np.ndarray, tolerance: float = TOLERANCE) -> dict[int, int]:
+    """The best grid point of several tickers and steps; a single point needs no folds."""
     if len(alpha) == 1:
-        return _forecasts(chunk, dict.fromkeys(range(len(chunk)), 0), alpha, ratio, tolerance)
+        return dict.fromkeys(range(len(chunk)), 0)
     folds = _fits(chunk, {role: f for f, role in enumerate(FOLD_ROLES)}, train_scale=True)
     errors: dict[int, np.ndarray] = {}
     if folds:
         grid = np.tile(alpha, (len(folds), 1)), np.tile(ratio, (len(folds), 1))
         for f, predicted in zip(folds, solve(folds, *grid, tolerance)):
             errors[f.problem] = errors.get(f.problem, 0.0) + np.abs(f.y - predicted)
-    return _forecasts(chunk, {i: int(np.argmin(e)) for i, e in errors.items()}, alpha, ratio, tolerance)
+    return {i: int(np.argmin(e)) for i, e in errors.items()}
+
+
+def fit_chunk(chunk, alpha: np.ndarray, ratio: np.ndarray, tolerance: float = TOLERANCE) -> pd.DataFrame:
+    """Tune and forecast several tickers and steps together."""
+    return _forecasts(chunk, tuned_points(chunk, alpha, ratio, tolerance), alpha, ratio, tolerance)
+
+
+def coefficients_of_chunk(chunk, alpha: np.ndarray, ratio: np.ndarray, tolerance: float = TOLERANCE) -> pd.DataFrame:
+    """Tune several tickers and steps together, and give the weights of both phases."""
+    best = tuned_points(chunk, alpha, ratio, tolerance)
+    final = [
+        (i, phase, segment)
+        for i, (_, moments, _) in enumerate(chunk)
+        for phase, segment in FITTED_ON.items()
+        if i in best and moments.count[segment] > 0
+    ]
+    out = []
+    if final:
+        scales = [chunk[i][1].scale[segment] for i, _, segment in final]
+        chosen = np.array([best[i] for i, _, _ in final])
+        weights = coordinate_descent(
+            np.stack([chunk[i][1].cov[segment] / np.outer(s, s) for (i, _, segment), s in zip(final, scales)]),
+            np.stack([chunk[i][1].cross[segment] / s for (i, _, segment), s in zip(final, scales)]),
+            np.array([chunk[i][1].y_var[segment] for i, _, segment in final]),
+            alpha[chosen],
+            ratio[chosen],
+            tolerance,
+        )
+        for (i, phase, segment), scale, own, g in zip(final, scales, weights, chosen):
+            row, moments, _ = chunk[i]
+            level, centre = moments.y_mean[segment] + row.y_shift, moments.x_mean[segment] + row.x_shift
+            out.append((row.ticker, row.horizon, phase, level, centre, scale, own, alpha[g], ratio[g]))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in COEFFICIENTS.split(", ")])
 
 
 def _forecasts(chunk, best: dict[int, int], alpha: np.ndarray, ratio: np.ndarray, tolerance: float) -> pd.DataFrame:
@@ -179,13 +218,30 @@ def elasticnet_forecast(
     are taken. A fold's score is the error of its one test row; the grid point
     with the lowest mean wins, ties go to the first.
     """
-    width = len(features)
+    fit = in_chunks(fit_chunk, len(features), alphas, ratios, tolerance)
+    return moment_rows(frame, features, horizon).mapInPandas(fit, SCHEMA)
+
+
+def elasticnet_coefficients(
+    frame: DataFrame,
+    features: list[str],
+    horizon: int,
+    alphas: np.ndarray = ALPHAS,
+    ratios: np.ndarray = RATIOS,
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """The same fits as a table of weights per ticker, step and phase."""
+    fit = in_chunks(coefficients_of_chunk, len(features), alphas, ratios, tolerance)
+    return moment_rows(frame, features, horizon, shifts=True).mapInPandas(fit, COEFFICIENTS)
+
+
+def in_chunks(work, width: int, alphas: np.ndarray, ratios: np.ndarray, tolerance: float):
     alpha = np.repeat(np.asarray(alphas, dtype=float), len(ratios))
     ratio = np.tile(np.asarray(ratios, dtype=float), len(alphas))
 
     def fit(batches):
         found = problems(batches, width)
         while chunk := list(islice(found, CHUNK)):
-            yield fit_chunk(chunk, alpha, ratio, tolerance)
+            yield work(chunk, alpha, ratio, tolerance)
 
-    return moment_rows(frame, features, horizon).mapInPandas(fit, SCHEMA)
+    return fit

@@ -1,11 +1,18 @@
-"""Boosting with gradient-based one-side sampling on the pooled panel."""
+"""Boosting with gradient-based one-side sampling on the pooled panel.
+
+A boosting run has a state: the residuals after the last round, the trees so far and
+the error of every round on the rows to be predicted. With a state folder this is
+stored after each round, so a run that was cut goes on from its last whole round and
+ends with the same trees as one that was not.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelcast.models.pooled import (
@@ -20,7 +27,8 @@ from panelcast.models.pooled import (
     training,
 )
 from panelcast.models.roles import FOLD_ROLES, TRAIN_SEGMENT
-from panelcast.session import materialize
+from panelcast.models.trees import Fit, first_best
+from panelcast.session import delete_path, materialize, path_exists
 
 # Grid of the reference model (fixed values): 15 and 63 leaves are depths 4 and
 # 6; minimum rows of a leaf. Shares kept by one-side sampling.
@@ -115,23 +123,81 @@ def goss_sample(
     return rows.withColumn("weight", weight).where(F.col("weight").isNotNull())
 
 
+@dataclass
+class Boosted:
+    """The trees of a run, the value it starts from, and the error after each round."""
+
+    models: list
+    start: float
+    errors: list[float]
+
+    def best(self, patience: int) -> int:
+        """Number of rounds with the lowest error."""
+        return first_best(self.errors, patience) + 1
+
+
+class State:
+    """The rounds of a run below a folder: rows with residuals, trees, and a log.
+
+    A round counts once its line is in the log, which is written last; the rows of the
+    round before are removed then.
+    """
+
+    def __init__(self, train: DataFrame, path: str) -> None:
+        self.spark, self.path = train.sparkSession, path.rstrip("/")
+
+    def resume(self) -> tuple[list, float | None, list[float], DataFrame | None]:
+        """Trees, start, errors and rows after the last whole round."""
+        if not path_exists(self.spark, f"{self.path}/log"):
+            return [], None, [], None
+        log = self.spark.read.parquet(f"{self.path}/log").orderBy("turn").collect()
+        models = [DecisionTreeRegressionModel.load(f"{self.path}/tree-{r['turn']}") for r in log]
+        rows = self.spark.read.parquet(f"{self.path}/rows-{log[-1]['turn']}")
+        return models, log[0]["start"], [r["error"] for r in log], rows
+
+    def keep(self, turn: int, model, start: float, error: float | None, rows: DataFrame) -> DataFrame:
+        model.write().overwrite().save(f"{self.path}/tree-{turn}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/rows-{turn}")
+        line = self.spark.createDataFrame([(turn, start, error)], "turn int, start double, error double")
+        line.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        if turn:
+            delete_path(self.spark, f"{self.path}/rows-{turn - 1}")
+        return self.spark.read.parquet(f"{self.path}/rows-{turn}")
+
+
 def boost(
-    train: DataFrame, targets: DataFrame, rounds: int, depth: int, min_rows: int, step_size: float, seed: int
-) -> list[DataFrame]:
-    """Predictions of ``targets`` after every round.
+    train: DataFrame,
+    targets: DataFrame | None,
+    rounds: int,
+    depth: int,
+    min_rows: int,
+    step_size: float,
+    seed: int,
+    patience: int | None = None,
+    state: str | None = None,
+) -> Boosted:
+    """Rounds of one weighted tree each, fitted to the residuals of a fresh sample.
 
-    Each round fits one weighted tree to the residuals of a fresh sample. The
-    residuals are kept after each round, so no tree is applied twice to a training
-    row; the few rows to predict are cut from their lineage every few rounds.
+    With ``targets`` their error is measured after every round, and ``patience`` rounds
+    without gain end the run. The residuals are kept after each round, in the folder
+    ``state`` if there is one; a run found there is continued.
     """
-    start = train.agg(F.avg("label")).first()[0]
-    train = train.withColumn("fit", F.lit(start))
-    targets = targets.withColumn("prediction", F.lit(start))
-    stages = []
-    for turn in range(rounds):
-        left = train.withColumn("residual", F.col("label") - F.col("fit"))
+    store = State(train, state) if state else None
+    models, start, errors, rows = store.resume() if store else ([], None, [], None)
+    if start is None:
+        start = train.agg(F.avg("label")).first()[0]
+    if rows is None:
+        rows = train.withColumn("fit", F.lit(start))
+    if targets is not None:
+        targets = targets.withColumn("prediction", F.lit(start))
+        for model in models:
+            targets = added(model, targets, "prediction", step_size)
+    for turn in range(len(models), rounds):
+        if patience is not None and errors and turn - 1 - first_best(errors, patience) >= patience:
+            break
+        left = rows.withColumn("residual", F.col("label") - F.col("fit"))
         sample = goss_sample(left, "residual", ["ticker", "date"], seed=seed, turn=turn)
-        tree = DecisionTreeRegressor(
+        model = DecisionTreeRegressor(
             labelCol="residual",
             weightCol="weight",
             predictionCol="step",
@@ -139,20 +205,34 @@ def boost(
             minInstancesPerNode=min_rows,
             seed=seed,
         ).fit(sample)
-        train = tree.transform(train).withColumn("fit", F.col("fit") + step_size * F.col("step")).drop("step")
-        targets = (
-            tree.transform(targets)
-            .withColumn("prediction", F.col("prediction") + step_size * F.col("step"))
-            .drop("step")
-        )
-        train = materialize(train)
-        if (turn + 1) % ROUNDS_PER_CHECKPOINT == 0:
-            targets = materialize(targets)
-        stages.append(targets)
-    return stages
-
-
-def goss_forecast(
+        rows = added(model, rows, "fit", step_size)
+        error = None
+        if targets is not None:
+            targets = added(model, targets, "prediction", step_size)
+            if (turn + 1) % ROUNDS_PER_CHECKPOINT == 0:
+                targets = materialize(targets)
+            error = rmse(targets)
+        rows = store.keep(turn, model, start, error, rows) if store else materialize(rows)
+        models.append(model)
+        errors.append(error)
+    return Boosted(models, start, errors)
+
+
+def added(model: DecisionTreeRegressionModel, rows: DataFrame, name: str, step_size: float) -> DataFrame:
+    """One more tree's share of the prediction."""
+    stepped = model.setPredictionCol("step").transform(rows)
+    return stepped.withColumn(name, F.col(name) + step_size * F.col("step")).drop("step")
+
+
+def apply_fit(rows: DataFrame, fit: Fit) -> DataFrame:
+    """Predictions of the rows of the fit's step and phase by its first trees."""
+    asked = scored(at_step(rows, fit.horizon), fit.phase).withColumn("prediction", F.lit(fit.start))
+    for model in fit.models[: fit.count]:
+        asked = added(model, asked, "prediction", fit.step)
+    return asked
+
+
+def goss_fits(
     frame: DataFrame,
     features: list[str],
     horizon: int,
@@ -160,37 +240,52 @@ def goss_forecast(
     step_size: float = 0.1,
     depths: list[int] = DEPTHS,
     min_rows: list[int] = MIN_ROWS,
+    patience: int = 5,
     seed: int = 321,
-) -> DataFrame:
+    state: str | None = None,
+    rows: DataFrame | None = None,
+) -> list[Fit]:
     """Tune depth and leaf size on the folds, stop early on the validation row, refit.
 
-    The number of rounds is the one with the lowest validation error; the final
-    model uses it with the same learning rate.
+    A run on a fold ends after ``patience`` rounds without gain and counts with its best
+    error. The number of rounds is the one with the lowest validation error; the final
+    model has as many, with the same learning rate. ``state`` is a folder in which every
+    run of every grid point keeps its rounds; a job that was cut continues there.
     """
-    rows = pooled_rows(frame, features, horizon)
+    rows = pooled_rows(frame, features, horizon) if rows is None else rows
     grid = list(product(depths, min_rows))
 
-    def one_step(h: int) -> list[DataFrame]:
+    def place(*names) -> str | None:
+        return "/".join([state, "-".join(map(str, names))]) if state else None
+
+    def one_step(h: int) -> list[Fit]:
         data = at_step(rows, h)
 
         def fold_error(g: int, fold: int) -> float:
-            depth, leaf = grid[g]
             targets = scored(data, FOLD_ROLES[fold])
-            return rmse(boost(training(data, fold), targets, rounds, depth, leaf, step_size, seed)[-1])
+            run = boost(training(data, fold), targets, rounds, *grid[g], step_size, seed, patience, place(h, "fold", g, fold))
+            return min(run.errors)
 
-        points = [(g, f) for g in range(len(grid)) for f in range(len(FOLD_ROLES))]
+        best = 0
         if len(grid) > 1:
+            points = [(g, f) for g in range(len(grid)) for f in range(len(FOLD_ROLES))]
             errors = run_fits(frame.sparkSession, [lambda g=g, f=f: fold_error(g, f) for g, f in points])
             best = best_of(grid, dict(zip(points, errors)))
-        else:
-            best = 0
-        depth, leaf = grid[best]
-        validation = scored(data, "validation")
-        stages = boost(training(data, TRAIN_SEGMENT), validation, rounds, depth, leaf, step_size, seed)
-        errors = [rmse(stage) for stage in stages]
-        count = errors.index(min(errors)) + 1
-        test = boost(training(data, PHASES["test"]), scored(data, "test"), count, depth, leaf, step_size, seed)
-        return [as_forecast(stages[count - 1]), as_forecast(test[-1])]
+        point = [*grid[best], step_size, seed]
+        first = boost(training(data, TRAIN_SEGMENT), scored(data, "validation"), rounds, *point, patience, place(h, "validation"))
+        count = first.best(patience)
+        final = boost(training(data, PHASES["test"]), None, count, *point, state=place(h, "test"))
+        return [
+            Fit(h, "validation", first.models, first.start, step_size, count),
+            Fit(h, "test", final.models, final.start, step_size, count),
+        ]
 
     steps = run_fits(frame.sparkSession, [lambda h=h: one_step(h) for h in range(1, horizon + 1)])
-    return reduce(DataFrame.unionByName, [df for step in steps for df in step])
+    return [fit for step in steps for fit in step]
+
+
+def goss_forecast(frame: DataFrame, features: list[str], horizon: int, **settings) -> DataFrame:
+    """Forecasts of both phases by the trees of ``goss_fits``."""
+    rows = pooled_rows(frame, features, horizon)
+    fits = goss_fits(frame, features, horizon, rows=rows, **settings)
+    return reduce(DataFrame.unionByName, [as_forecast(apply_fit(rows, fit)) for fit in fits])

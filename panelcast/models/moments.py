@@ -21,15 +21,18 @@ PREDICTION_SCHEMA = "ticker string, horizon int, role string, y double, y_hat do
 FLAT = 1e-24
 
 
-def moment_rows(frame: DataFrame, features: list[str], horizon: int) -> DataFrame:
+def moment_rows(frame: DataFrame, features: list[str], horizon: int, shifts: bool = False) -> DataFrame:
     """Per ticker and step: sums by segment and the rows to be predicted.
 
+    With ``shifts`` also ``x_shift``, the means that were taken off the columns.
+
     Values are shifted by the ticker's mean first, which keeps the sums of
     squares accurate. A group holds at most 8 segments and 7 scored rows.
     """
-    shifted = frame.withColumns(
-        {c: F.col(c) - F.avg(c).over(whole()) for c in features} | {"y_shift": F.avg("price").over(whole())}
-    )
+    means = {"y_shift": F.avg("price").over(whole())}
+    if shifts:
+        means["x_shift"] = F.array(*[F.avg(c).over(whole()) for c in features])
+    shifted = frame.withColumns({c: F.col(c) - F.avg(c).over(whole()) for c in features} | means)
     rows = staged(shifted, horizon).withColumn("t", F.col("y") - F.col("y_shift"))
     upper = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
     sums = [
@@ -44,7 +47,7 @@ def moment_rows(frame: DataFrame, features: list[str], horizon: int) -> DataFram
         F.col("role").isNotNull(),
         F.struct("role", F.array(*features).alias("x"), "y"),
     )
-    keys = ["ticker", "horizon", "y_shift"]
+    keys = ["ticker", "horizon", *means]
     by_segment = rows.groupBy(*keys, "segment").agg(
         F.array(*sums).alias("sums"), F.collect_list(scored).alias("scored")
     )

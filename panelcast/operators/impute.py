@@ -1,14 +1,24 @@
-"""Nearest-neighbour imputation within one ticker's history."""
+"""Nearest-neighbour imputation of any table, within blocks of rows.
+
+Rows with an open cell look for their neighbours among the rows of the same block
+(a ticker, a segment, or the whole table). A block is cut into tiles of donors and
+tiles of open rows; a task compares one tile of each, whose sizes are fixed, and gives
+the k nearest donors per open cell. Such lists merge: the nearest of all are among the
+nearest of the tiles. So a block with any share of the rows is spread over many tasks.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelcast.operators.panel import KEYS
+from panelcast.functions.scalars import round_and_clamp
+from panelcast.session import materialize
 
-# Rows compared with all donors at a time, which bounds the distance table.
+# Rows of a tile: donors that a task compares with, and open rows it compares.
+DONORS, OPEN_ROWS = 4096, 2048
+# Open rows compared with a tile of donors at a time, which bounds the distance table.
 CHUNK = 256
 
 
@@ -28,72 +38,124 @@ def _squared_distances(rows: np.ndarray, donors: np.ndarray) -> np.ndarray:
     return np.where(shared > 0, scaled, np.inf)
 
 
-def _nearest_mean(distance: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
-    """Mean value of the k nearest donors; equal distances go to the earlier donor."""
-    fallback = values.mean()
-    means = np.full(len(distance), fallback)
-    for i, row in enumerate(distance):
-        bound = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
-        near = np.flatnonzero((row <= bound) & np.isfinite(row))
-        if len(near):
-            means[i] = values[near[np.argsort(row[near], kind="stable")[:k]]].mean()
-    return means
-
-
-def impute_block(
-    rows: pd.DataFrame, donors: pd.DataFrame, columns: list[str], categorical: list[str], k: int
-) -> pd.DataFrame:
-    """Fill the nulls of one ticker from its donors, both ordered by date."""
-    rows = rows.sort_values("date", ignore_index=True)
-    donors = donors.sort_values("date", ignore_index=True)
-    x = rows[columns].to_numpy(dtype=float)
-    known = donors[columns].to_numpy(dtype=float)
-    filled = x.copy()
-    gaps = np.flatnonzero(np.isnan(x).any(axis=1))
-    for at in range(0, len(gaps), CHUNK):
-        part = gaps[at : at + CHUNK]
-        distance = _squared_distances(x[part], known)
-        for j in range(len(columns)):
-            open_rows = np.isnan(x[part, j])
-            usable = ~np.isnan(known[:, j])
-            if open_rows.any() and usable.any():
-                filled[part[open_rows], j] = _nearest_mean(
-                    distance[np.ix_(open_rows, usable)], known[usable, j], k
-                )
-    for c in categorical:
-        j = columns.index(c)
-        seen = known[:, j][~np.isnan(known[:, j])]
-        if len(seen):
-            filled[:, j] = np.clip(np.rint(filled[:, j]), seen.min(), seen.max())
-    return rows[KEYS].assign(**{c: filled[:, j] for j, c in enumerate(columns)})
+def nearest_of_tiles(names: list[str], k: int):
+    """(row, column, distance, place, value): the k nearest donors of a tile for every
+    open cell of a tile of rows; of equal distances the earlier places."""
+
+    def run(rows: pa.Table, donors: pa.Table) -> pa.Table:
+        if not rows.num_rows or not donors.num_rows:
+            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=fields)
+        known = donors.sort_by([("place", "ascending")])
+        place = known.column("place").to_numpy()
+        ids = rows.column("row").to_numpy()
+        x, d = (np.stack([t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1) for t in (rows, known))
+        parts = []
+        for low in range(0, len(x), CHUNK):
+            distance = _squared_distances(x[low : low + CHUNK], d)
+            for j in range(len(names)):
+                open_rows = np.flatnonzero(np.isnan(x[low : low + CHUNK, j]))
+                usable = np.flatnonzero(~np.isnan(d[:, j]))
+                if not len(open_rows) or not len(usable):
+                    continue
+                own = distance[np.ix_(open_rows, usable)]
+                order = np.argsort(own, axis=1, kind="stable")[:, :k]
+                near = np.take_along_axis(own, order, axis=1)
+                at, rank = np.nonzero(np.isfinite(near))
+                donor = usable[order[at, rank]]
+                parts.append((ids[low + open_rows[at]], np.full(len(at), j), near[at, rank], place[donor], d[donor, j]))
+        columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(len(fields))]
+        return pa.Table.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds)], names=fields)
+
+    fields = ["row", "column", "distance", "place", "value"]
+    kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.float64()]
+    return run
+
+
+def placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """Numbers the rows in the given order: ``place``. Partitions are ranges of the order,
+    so no task sees all rows; the number grows with the order and has gaps."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return spread.withColumn("place", F.monotonically_increasing_id())
+
+
+def tiles(n: Column, size: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
 
 
 def knn_impute(
-    panel: DataFrame,
+    table: DataFrame,
     columns: list[str],
     categorical: list[str] | None = None,
     k: int = 5,
     donors: DataFrame | None = None,
+    keys: list[str] = ("ticker", "date"),
+    block: list[str] = ("ticker",),
+    donor_rows: int = DONORS,
+    open_rows: int = OPEN_ROWS,
 ) -> DataFrame:
-    """Replace nulls by the mean of the k nearest rows that know the column.
+    """Replace nulls of ``columns`` by the mean of the k nearest rows that know the column.
 
-    Neighbours come from the same ticker: from ``donors`` (the fitted rows) if
-    given, else from the panel itself. Categorical columns are rounded and kept
-    inside the range seen. A panel has one row per ticker and business day, so a
-    group is as long as the calendar, and the distance table is built in chunks.
+    ``keys`` tell rows apart and give the order by which equally near donors are taken;
+    ``block`` are the columns whose values a row shares with its donors, none for the
+    whole table. Neighbours come from ``donors`` (the fitted rows) if given, else from the
+    table itself. NaN counts as null. A cell without a comparable donor gets the mean of
+    its block, one of a block without any value stays null. Categorical columns are
+    rounded and kept inside the range their block's donors have.
     """
-    categorical = categorical or []
-    schema = T.StructType(
-        [panel.schema[c] for c in KEYS] + [T.StructField(c, T.DoubleType()) for c in columns]
+    categorical = list(categorical or [])
+    names, block, keys = list(columns), list(block), list(keys)
+    value = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in names]
+    shown = list(dict.fromkeys([*block, *keys]))
+    held = {c: f"_held_{c}" for c in shown}
+    group = F.to_json(F.struct(*[F.col(held[c]) for c in block]), {"ignoreNullFields": "false"}) if block else F.lit("")
+
+    def prepared(df: DataFrame) -> DataFrame:
+        own = df.select(*[F.col(c).alias(h) for c, h in held.items()], *value)
+        return materialize(placed(own, [held[c] for c in keys]).withColumn("group", group))
+
+    rows = prepared(table)
+    fitted = rows.select(*[F.col(c).alias(c) for c in rows.columns]) if donors is None else prepared(donors)
+
+    stats = fitted.groupBy("group").agg(
+        *[f(c).alias(f"{p}_{c}") for c in names for p, f in (("mean", F.avg), ("low", F.min), ("high", F.max))]
     )
-    rows = panel.select(*KEYS, *columns)
-    if donors is None:
-        return rows.groupBy("ticker").applyInPandas(
-            lambda pdf: impute_block(pdf, pdf, columns, categorical, k), schema
-        )
-    fitted = donors.select(*KEYS, *columns)
-    return (
-        rows.groupBy("ticker")
-        .cogroup(fitted.groupBy("ticker"))
-        .applyInPandas(lambda left, right: impute_block(left, right, columns, categorical, k), schema)
+    is_open = F.lit(False)
+    for c in names:
+        is_open = is_open | F.col(c).isNull()
+    gaps = rows.where(is_open)
+    n_open = gaps.groupBy("group").agg(F.count(F.lit(1)).alias("n_open"))
+    n_known = fitted.groupBy("group").agg(F.count(F.lit(1)).alias("n_known"))
+    sizes = n_open.join(n_known, "group").select(
+        "group", tiles(F.col("n_open"), open_rows).alias("row_tiles"), tiles(F.col("n_known"), donor_rows).alias("donor_tiles")
     )
+
+    def dealt(df: DataFrame, own: str, other: str, id_name: str) -> DataFrame:
+        """Each row in its own tile, once for each tile of the other side."""
+        joined = df.join(sizes, "group")
+        mine = F.pmod(F.xxhash64("place"), F.col(f"{own}_tiles")).cast("int")
+        spread = joined.select(
+            "group", mine.alias(f"{own}_tile"), F.col("place").alias(id_name), *names,
+            F.explode(F.sequence(F.lit(0), F.col(f"{other}_tiles") - 1)).alias(f"{other}_tile"),
+        )
+        return spread.select("group", "row_tile", "donor_tile", id_name, *names)
+
+    pair = ["group", "row_tile", "donor_tile"]
+    left = dealt(gaps, "row", "donor", "row").groupBy(*pair)
+    right = dealt(fitted, "donor", "row", "place").groupBy(*pair)
+    near = left.cogroup(right).applyInArrow(
+        nearest_of_tiles(names, k), "row long, column int, distance double, place long, value double"
+    )
+    first = Window.partitionBy("row", "column").orderBy("distance", "place")
+    near = near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k)
+    found = near.groupBy("row").agg(
+        *[F.avg(F.when(F.col("column") == j, F.col("value"))).alias(f"near_{c}") for j, c in enumerate(names)]
+    )
+
+    filled = rows.join(found, F.col("place") == F.col("row"), "left").join(stats, "group", "left")
+    out = []
+    for c in names:
+        cell = F.coalesce(c, f"near_{c}", f"mean_{c}")
+        if c in categorical:
+            cell = F.coalesce(round_and_clamp(cell, F.col(f"low_{c}"), F.col(f"high_{c}")), cell)
+        out.append(cell.alias(c))
+    return filled.select(*[F.col(h).alias(c) for c, h in held.items() if c not in names], *out)

@@ -8,16 +8,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.sources import statements
 
-STATEMENTS = ["cis", "bs", "cf"]
+STATEMENTS = statements.STATEMENTS
 
 
 def publish_statements(store: DataFrame, sectors: DataFrame, path: str) -> None:
-    """Store every company's statements, taken from its first sector, by company."""
-    statements.write_statements(statements.first_sector_statements(store, sectors), path)
+    """Publish the statements of every company in ``store``, taken from its first sector.
+
+    What other companies have published stays.
+    """
+    statements.publish_statements(statements.first_sector_statements(store, sectors), path)
+
+
+def publish_company(store: DataFrame, sectors: DataFrame, path: str, company: str) -> None:
+    """Publish one company's statements, as a request for it does."""
+    publish_statements(store.where(F.col("company") == company), sectors, path)
 
 
 def company_statements(spark: SparkSession, path: str, company: str) -> dict[str, DataFrame]:
-    """The three statements of a company; each read touches its own folder only.
+    """The three statements of a company; each read touches its folder only.
 
     A company that was never published gives empty tables.
     """

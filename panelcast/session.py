@@ -59,3 +59,20 @@ def materialize(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library wrote and needs no more."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)

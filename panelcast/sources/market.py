@@ -11,6 +11,7 @@ business days in a century) however many trades there are.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,11 +27,15 @@ PRICE = "decimal(18,2)"
 
 @dataclass(frozen=True)
 class Market:
-    """The inputs of the panel; flows and index are optional sources."""
+    """The inputs of the panel; flows and index are optional sources.
+
+    ``daily`` has bars and flows as whole rows, for a market that was read so.
+    """
 
     bars: DataFrame
     flows: DataFrame | None = None
     index: DataFrame | None = None
+    daily: DataFrame | None = None
 
 
 def _orders(spark: SparkSession, folder: str, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
@@ -50,8 +55,12 @@ def _trades(
     start: dt.date | None = None,
     end: dt.date | None = None,
     tickers: list[str] | None = None,
+    ownerless: bool = False,
 ) -> DataFrame:
-    """Trades with their ticker; the range and the tickers are filtered before the join."""
+    """Trades with their ticker; the range and the tickers are filtered before the join.
+
+    ``ownerless`` keeps trades whose owner is unknown, without a ticker.
+    """
     orders = _orders(spark, folder, start, end).select(
         "o_orderkey",
         "o_custkey",
@@ -73,7 +82,7 @@ def _trades(
         raise ValueError(f"unknown ticker grain {by!r}; use 'segment', 'nation' or 'customer'")
     if tickers is not None:
         owner = owner.where(F.col("ticker").isin(tickers))
-    return orders.join(owner, F.col("o_custkey") == F.col("c_custkey"))
+    return orders.join(owner, F.col("o_custkey") == F.col("c_custkey"), "left" if ownerless else "inner")
 
 
 def _bar_columns():
@@ -116,7 +125,10 @@ def daily_index(
 
 
 def latest_day(spark: SparkSession, folder: str, by: str = "segment") -> dt.date | None:
-    """The day of the last trade: a scan of two columns, one value to the driver."""
+    """The day of the market's last trade: two columns are scanned, one value comes to the driver.
+
+    A request for a company that stopped trading before has the market's date.
+    """
     return _trades(spark, folder, by).agg(F.max("date")).first()[0]
 
 
@@ -131,20 +143,28 @@ def load_market(
     """Bars and flows of the tickers and days asked for, from one pass over the trades.
 
     The daily table is run once and kept, because the spine, the flows and the
-    request date all read it again. The index is that of the whole market.
+    request date all read it again. The index is that of the whole market; if all
+    tickers are read it comes from the same table, whose rows without a ticker are the
+    trades of unknown owners.
     """
+    everyone = tickers is None
+    price = F.col("o_totalprice").cast(PRICE)
     daily = materialize(
-        _trades(spark, folder, by, start, end, tickers)
+        _trades(spark, folder, by, start, end, tickers, ownerless=everyone)
         .groupBy("ticker", "date")
-        .agg(
-            *_bar_columns(),
-            *_flow_columns(),
-        )
+        .agg(*_bar_columns(), *_flow_columns(), F.sum(price).alias("_paid"))
     )
+    if everyone:
+        paid = F.sum("_paid").cast("double") / F.sum("volume").cast("long")
+        index = daily.groupBy("date").agg(paid.alias("kospi"))
+    else:
+        index = daily_index(spark, folder, start, end)
+    daily = daily.where(F.col("ticker").isNotNull()).drop("_paid")
     return Market(
         bars=daily.select("ticker", "date", "open", "high", "low", "close", "volume"),
         flows=daily.select("ticker", "date", "inst", "fore"),
-        index=daily_index(spark, folder, start, end),
+        index=index,
+        daily=daily,
     )
 
 
@@ -159,12 +179,45 @@ def bars_between(bars: DataFrame, start: dt.date | None, end: dt.date | None, ti
     return bars
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    """Store bars by year, so that a date range reads only its years."""
-    stored = bars.withColumn("year", F.year("date")).repartition("year")
+#: Rows of a stored file, which bounds a task of the writer and what a lookup reads.
+ROWS_PER_FILE = 1 << 20
+
+
+def write_bars(bars: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Store bars in a folder per year, ordered by ticker and day.
+
+    Rows are dealt by ranges of (year, ticker, date), about ``rows_per_file`` to each, so
+    a year of all tickers is as many tasks and files as it needs, and sorted inside. A
+    ticker's rows are next to each other then, and a lookup skips the files and row groups
+    that have others. Years without a date are not stored.
+    """
+    stored = bars.where(F.col("date").isNotNull()).withColumn("year", F.year("date"))
+    files = max(1, -(-stored.count() // rows_per_file))
+    keys = ["year", "ticker", "date"]
+    stored = stored.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
     stored.write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+def stored_years(spark: SparkSession, path: str) -> list[int]:
+    """The years of a bar store, from the names of its folders; no data is read."""
+    files = spark.read.parquet(path).inputFiles()
+    return sorted({int(year) for file in files for year in re.findall(r"/year=(\d+)/", file)})
+
+
+def latest_stored_day(spark: SparkSession, path: str, tickers: list[str] | None = None) -> dt.date | None:
+    """The last day of a bar store, of some tickers if asked for.
+
+    Years are tried from the last one back, so usually one is read; a ticker that stopped
+    trading has the last day of its own.
+    """
+    for year in reversed(stored_years(spark, path)):
+        own = bars_between(spark.read.parquet(path).where(F.col("year") == year), None, None, tickers)
+        latest = own.agg(F.max("date")).first()[0]
+        if latest is not None:
+            return latest
+    return None
+
+
 def read_bars(
     spark: SparkSession,
     path: str,

@@ -1,9 +1,10 @@
-"""Company statements: the long store, its partitioned copy, and lookups."""
+"""Company statements: the long store, its copy in folders, the nested form, and lookups."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from panelcast.session import materialize, path_exists
 from panelcast.sources.market import PRICE
 from panelcast.sources.tables import read_table
 
@@ -58,24 +59,120 @@ def part_statements(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def write_statements(statements: DataFrame, path: str) -> None:
-    """Store by company and statement, so that a lookup reads only its folder.
+#: Folders of a store; a company's rows are in the one its name hashes to.
+BUCKETS = 64
 
-    A company's rows are brought together first: one file for each folder.
+
+def _bucketed(statements: DataFrame, buckets: int) -> DataFrame:
+    bucket = F.pmod(F.xxhash64("company"), F.lit(buckets)).cast("int")
+    return statements.withColumns({"buckets": F.lit(buckets), "bucket": bucket})
+
+
+def write_statements(statements: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Store all companies anew, in ``buckets`` folders and a file for each, so that a million
+    companies make no million files and a lookup reads one folder."""
+    stored = _bucketed(statements, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "company", "statement")
+    stored.write.mode("overwrite").partitionBy("buckets", "bucket").parquet(path)
+
+
+def publish_statements(statements: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Replace the rows of the companies in ``statements`` and of no other.
+
+    Only the folders that these companies hash to are written: their other companies'
+    rows are kept beside the new ones, run once and stored, then the folders are
+    overwritten one by one. The first publication makes the store.
     """
-    statements = statements.repartition("company", "statement")
-    statements.write.mode("overwrite").partitionBy("company", "statement").parquet(path)
+    spark = statements.sparkSession
+    if not path_exists(spark, path):
+        write_statements(statements, path, buckets)
+        return
+    stored = spark.read.parquet(path)
+    buckets = stored.select("buckets").first()[0]
+    new = materialize(_bucketed(statements, buckets))
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+    others = stored.where(F.col("bucket").isin(touched)).join(new.select("company").distinct(), "company", "left_anti")
+    rows = materialize(others.select(*new.columns).unionByName(new))
+    rows = rows.repartition(max(1, len(touched)), "bucket").sortWithinPartitions("bucket", "company", "statement")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("buckets", "bucket").parquet(path)
 
 
 def read_statements(
     spark: SparkSession, path: str, company: str | None = None, statement: str | None = None
 ) -> DataFrame:
+    """Stored statements; those of one company are looked for in its folder only."""
     stored = spark.read.parquet(path)
     if company is not None:
-        stored = stored.where(F.col("company") == company)
+        folder = F.pmod(F.xxhash64(F.lit(company)), F.col("buckets"))
+        stored = stored.where((F.col("bucket") == folder) & (F.col("company") == company))
     if statement is not None:
         stored = stored.where(F.col("statement") == statement)
-    return stored
+    return stored.drop("buckets", "bucket")
+
+
+# --- the nested store -----------------------------------------------------------
+
+STATEMENTS = ["cis", "bs", "cf"]
+_TABLE = "array<struct<label: string, period: date, value: double>>"
+#: sector -> company -> its three statements and its metrics
+NESTED = (
+    "map<string, map<string, struct<"
+    + ", ".join(f"{s}: {_TABLE}" for s in STATEMENTS)
+    + ", metrics: map<string, double>>>>"
+)
+
+
+def nest_statements(statements: DataFrame, sectors: DataFrame, metrics: DataFrame | None = None, parts: int = BUCKETS) -> DataFrame:
+    """``(sector_ord, store)``: statements as maps of maps, a row for some companies of a sector.
+
+    ``sectors`` gives (sector, sector_ord), ``metrics`` (company, metric, value). A sector's
+    companies are dealt to ``parts`` rows by their names, so that no row holds a whole sector.
+    """
+    entry = F.struct("label", "period", "value")
+    tables = [
+        F.array_sort(F.collect_list(F.when(F.col("statement") == s, entry))).alias(s) for s in STATEMENTS
+    ]
+    each = statements.groupBy("sector", "company").agg(*tables)
+    if metrics is None:
+        each = each.withColumn("metrics", F.lit(None).cast("map<string, double>"))
+    else:
+        own = metrics.groupBy("company").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
+        each = each.join(own, "company", "left")
+    part = F.pmod(F.xxhash64("company"), F.lit(parts))
+    companies = F.map_from_entries(F.collect_list(F.struct("company", F.struct(*STATEMENTS, "metrics"))))
+    rows = each.groupBy("sector", part.alias("part")).agg(companies.alias("companies")).join(sectors, "sector")
+    return rows.select("sector_ord", F.create_map("sector", "companies").cast(NESTED).alias("store"))
+
+
+def unnest_statements(nested: DataFrame) -> DataFrame:
+    """The long form of a nested store: one row per sector, company, statement, label and period."""
+    by_sector = nested.select("sector_ord", F.explode("store").alias("sector", "companies"))
+    by_company = by_sector.select("sector_ord", "sector", F.explode("companies").alias("company", "tables"))
+    parts = F.array(*[F.struct(F.lit(s).alias("statement"), F.col(f"tables.{s}").alias("rows")) for s in STATEMENTS])
+    spread = by_company.select("sector_ord", "sector", "company", F.inline(parts))
+    return spread.select("sector_ord", "sector", "company", "statement", F.inline("rows"))
+
+
+def unnest_metrics(nested: DataFrame) -> DataFrame:
+    """The metrics of a nested store, one row per sector, company and metric."""
+    by_sector = nested.select("sector_ord", F.explode("store").alias("sector", "companies"))
+    by_company = by_sector.select("sector_ord", "sector", F.explode("companies").alias("company", "tables"))
+    return by_company.select("sector_ord", "sector", "company", F.explode("tables.metrics").alias("metric", "value"))
+
+
+def company_of_nested(nested: DataFrame, company: str) -> DataFrame:
+    """The statements of one company, from the first sector whose map has its name.
+
+    Only the maps are asked; the tables of others are not unfolded. A company that is
+    nowhere gives no rows.
+    """
+    has = F.filter(F.map_keys("store"), lambda s: F.map_contains_key(F.element_at("store", s), company))
+    held = nested.select("sector_ord", F.explode(has).alias("sector"), "store")
+    held = held.select("sector_ord", "sector", F.element_at(F.element_at("store", F.col("sector")), company).alias("tables"))
+    first = held.orderBy("sector_ord", "sector").limit(1)
+    parts = F.array(*[F.struct(F.lit(s).alias("statement"), F.col(f"tables.{s}").alias("rows")) for s in STATEMENTS])
+    spread = first.select("sector", F.lit(company).alias("company"), F.inline(parts))
+    return spread.select("sector", "company", "statement", F.inline("rows"))
 
 
 def first_sector_statements(statements: DataFrame, sectors: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from series import bars, by_ticker, random_bars, spark_frame
 
 from panelcast.operators import features as feat
 from panelcast.operators import panel, splits
+from panelcast.session import materialize
 from panelcast.sources.market import Market
 
 
@@ -62,8 +63,84 @@ def test_null_audit_and_guard(spark):
     df = spark.createDataFrame([(1, None), (None, None), (3, "x")], "a int, b string")
     row = panel.null_audit(df).first()
     assert (row["a_nulls"], row["b_nulls"], row["total_nulls"]) == (1, 2, 3)
-    with pytest.raises(ValueError):
-        panel.require_no_nulls(df, "listing")
+    with pytest.raises(Exception, match="listing has null values in a, b"):
+        panel.require_no_nulls(df.where("a IS NULL"), "listing").collect()
+    whole = spark.createDataFrame([(1, "x")], "a int, b string")
+    assert panel.require_no_nulls(whole, "listing").collect() == [(1, "x")]
+
+
+def test_the_guard_and_the_audit_run_in_the_job_itself(spark):
+    df = spark.range(5).select(F.col("id").alias("a"), F.when(F.col("id") > 1, "x").alias("b"))
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup
+    spark.sparkContext.setJobGroup("guard", "guard")
+    guarded = panel.require_no_nulls(df, "listing")
+    watched, found = panel.observed_nulls(df, "audit")
+    assert not started("guard")  # planning starts no job
+    with pytest.raises(Exception, match="listing has null values in b"):
+        guarded.collect()
+    assert watched.count() == 5 and len(watched.collect()) == 5
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.get == {"a_nulls": 0, "b_nulls": 2, "total_nulls": 2}
+
+
+def test_the_panel_shuffles_once_and_joins_the_index_only(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.concat([random_bars(rng, 50, t) for t in "ABC"], ignore_index=True)
+    market = market_of(spark, pdf)
+    one_pass = materialize(market.bars.join(market.flows, ["ticker", "date"]))
+    for found in (Market(market.bars), market, Market(one_pass, None, None, one_pass)):
+        bare = Market(found.bars, found.flows, None, found.daily)
+        plan = panel.build_panel(bare, end=pdf["date"].max())._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(ticker") == 1 and plan.count("Exchange") == 1
+        assert "Join" not in plan
+        indexed = panel.build_panel(Market(found.bars, found.flows, market.index, found.daily), end=pdf["date"].max())
+        plan = indexed._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(ticker") == 1 and plan.count("Join") == 1
+
+
+def by_joins(market, start, end):
+    """The panel by the plain definition: a spine, three left joins, and a fill."""
+    frames = [df.toPandas() for df in (market.bars, market.flows, market.index)]
+    bars_pdf, flows, index = frames
+    bars_pdf = bars_pdf[(bars_pdf["date"] >= start) & (bars_pdf["date"] <= end)]
+    out = []
+    for ticker, g in bars_pdf.groupby("ticker"):
+        weekdays = [d for d in g["date"] if d.weekday() < 5]
+        if weekdays:
+            days = pd.DataFrame({"ticker": ticker, "date": [d.date() for d in pd.bdate_range(min(weekdays), end)]})
+            joined = days.merge(g, "left").merge(flows, "left").merge(index, "left")
+            out.append((joined, joined.ffill()))
+    return pd.concat([a for a, _ in out], ignore_index=True), pd.concat([b for _, b in out], ignore_index=True)
+
+
+def test_the_panel_equals_the_plain_joins(spark):
+    rng = np.random.default_rng(21)
+    frames = []
+    for ticker in "ABCD":
+        pdf = random_bars(rng, 40, ticker)
+        pdf["date"] = [dt.date(2021, 1, 2) + dt.timedelta(days=int(d)) for d in sorted(rng.choice(70, 40, replace=False))]
+        pdf.loc[rng.random(40) < 0.2, ["close", "volume"]] = np.nan
+        frames.append(pdf)
+    whole = pd.concat(frames, ignore_index=True)
+    market = market_of(spark, whole)
+    # days with flows alone, before the first bar, and of a ticker without bars
+    extra = [("A", dt.date(2021, 1, 1), 1.0, 2.0), ("E", dt.date(2021, 1, 4), 1.0, 2.0), ("B", dt.date(2021, 3, 17), 3.0, 4.0)]
+    flows = market.flows.where("pmod(hash(ticker, date), 4) <> 0 AND date <> '2021-03-17'")
+    flows = flows.unionByName(spark.createDataFrame(extra, market.flows.schema))
+    index = market.index.where("dayofmonth(date) % 5 <> 0")
+    market = Market(market.bars, flows, index)
+    start, end = dt.date(2021, 1, 12), dt.date(2021, 3, 19)
+    for got, want in zip((panel.spine_join(market, start, end), panel.build_panel(market, start, end)), by_joins(market, start, end)):
+        out = got.toPandas().sort_values(["ticker", "date"], ignore_index=True)
+        assert out.columns.tolist() == want.columns.tolist()
+        pd.testing.assert_frame_equal(out, want.sort_values(["ticker", "date"], ignore_index=True), check_dtype=False)
+
+
+def test_stride_with_several_steps_numbers_once(spark):
+    df = spark_frame(spark, bars(range(12)))
+    got = panel.stride_from_end(df, 5, 3)
+    assert sorted((r["step"], r["close"]) for r in got.collect()) == [(3, 2), (3, 5), (3, 8), (3, 11), (5, 1), (5, 6), (5, 11)]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Window") <= 2
 
 
 def test_dense_frame_drops_rows_with_any_null(spark):

@@ -125,6 +125,53 @@ def test_imputer_with_given_donors(spark):
     assert got["close"].tolist() == [30.0, 5.0]
 
 
+def impute_case(rng, n, share=0.2):
+    x = rng.integers(0, 6, (n, 3)).astype(float)
+    x[rng.random((n, 3)) < share] = np.nan
+    return x
+
+
+def impute_table(spark, x, segments):
+    rows = [(i, s, *[None if np.isnan(v) else float(v) for v in line]) for i, (s, line) in enumerate(zip(segments, x))]
+    return spark.createDataFrame(rows, "id long, seg string, u double, v double, w double")
+
+
+def test_imputer_on_any_table_in_tiles(spark):
+    """Small tiles deal a block over many tasks; the result is that of one tile."""
+    rng = np.random.default_rng(4)
+    x, segments = impute_case(rng, 260), ["hot" if i % 4 else None for i in range(260)]
+    table = impute_table(spark, x, segments).repartition(5)
+    for block in (["seg"], []):
+        want = x.copy()
+        for s in {*segments} if block else {0}:
+            own = [i for i in range(260) if not block or segments[i] == s]
+            want[own] = impute_by_hand(x[own], 3)
+        for sizes in ({}, {"donor_rows": 16, "open_rows": 10}):
+            got = impute.knn_impute(table, ["u", "v", "w"], k=3, keys=["id"], block=block, **sizes)
+            out = got.toPandas().sort_values("id")
+            np.testing.assert_allclose(out[["u", "v", "w"]].to_numpy(), want)
+
+
+def test_imputer_deals_a_block_over_many_tasks(spark):
+    """Of one block of 400 rows no task gets more than a tile of donors and one of open rows."""
+    rng = np.random.default_rng(5)
+    table = impute_table(spark, impute_case(rng, 400), ["one"] * 400)
+    got = impute.knn_impute(table, ["u", "v", "w"], keys=["id"], block=["seg"], donor_rows=50, open_rows=40)
+    assert got.where("u IS NULL OR v IS NULL OR w IS NULL").count() == 0 and got.count() == 400
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(group") and "row_tile" in plan.split("FlatMapCoGroupsInArrow")[1]
+
+
+def test_imputer_odd_cases(spark):
+    rows = [(1, "a", None, None, None), (2, "a", 1.0, float("nan"), 4.0), (3, "b", None, 2.0, None), (4, None, 7.0, 8.0, None)]
+    table = spark.createDataFrame(rows, "id long, seg string, u double, v double, w double")
+    got = {r["id"]: r for r in impute.knn_impute(table, ["u", "v", "w"], ["w"], keys=["id"], block=["seg"]).collect()}
+    assert tuple(got[1])[2:] == (1.0, None, 4.0)  # no comparable donor: the mean of the block, if it has one
+    assert tuple(got[2])[2:] == (1.0, None, 4.0) and tuple(got[3])[2:] == (None, 2.0, None)
+    assert tuple(got[4])[2:] == (7.0, 8.0, None)
+    assert impute.knn_impute(table.limit(0), ["u"], keys=["id"], block=[]).count() == 0
+
+
 def test_concat_rows_aligns_columns(spark):
     a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(3, 4)], "x int, z int")
     rows = sorted(map(tuple, reshape.concat_rows(a, b).select("x", "y", "z").collect()))
@@ -146,10 +193,62 @@ def test_statements_round_trip_prunes_folders(spark, tmp_path):
     one = statements.read_statements(spark, path, company, "cis")
     assert one.count() == table.where(F.col("company") == company).count() > 0
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(company" in plan
+    pruned = plan.split("PartitionFilters: [")[1].split("], PushedFilters")[0]
+    assert "bucket" in pruned and f"EqualTo(company,{company})" in plan
     assert statements.read_statements(spark, path, "nobody").count() == 0
 
 
+def statement_rows(names, value=1.0, sector="s"):
+    return [(sector, c, s, f"l{i}", dt.date(2020, 12, 31), value + i) for c in names for s in ("cis", "bs") for i in range(2)]
+
+
+STATEMENT_SCHEMA = "sector string, company string, statement string, label string, period date, value double"
+
+
+def stored_rows(spark, path):
+    return sorted(map(tuple, statements.read_statements(spark, path).select("sector", "company", "statement", "label", "period", "value").collect()))
+
+
+def parquet_files(path):
+    return [str(f) for f in path.rglob("*.parquet")]
+
+
+def test_publishing_replaces_one_company_only(spark, tmp_path):
+    path = tmp_path / "store"
+    names = [f"c{i}" for i in range(500)]
+    everyone = spark.createDataFrame(statement_rows(names), STATEMENT_SCHEMA)
+    statements.publish_statements(everyone, str(path), buckets=8)
+    assert len(parquet_files(path)) <= 8
+    assert stored_rows(spark, str(path)) == sorted(statement_rows(names))
+    untouched = {f: open(f, "rb").read() for f in parquet_files(path)}
+    for value in (50.0, 70.0):
+        statements.publish_statements(spark.createDataFrame(statement_rows(["c3"], value), STATEMENT_SCHEMA), str(path))
+    statements.publish_statements(spark.createDataFrame(statement_rows(["new"], 9.0), STATEMENT_SCHEMA), str(path))
+    want = statement_rows([n for n in names if n != "c3"]) + statement_rows(["c3"], 70.0) + statement_rows(["new"], 9.0)
+    assert stored_rows(spark, str(path)) == sorted(want)
+    same = [f for f in parquet_files(path) if untouched.get(f) == open(f, "rb").read()]
+    assert len(same) >= 6  # at most two folders were written anew
+    assert statements.read_statements(spark, str(path), "c3", "bs").agg(F.sum("value")).first()[0] == 141.0
+
+
+def test_nested_store_and_back(spark):
+    rows = statement_rows(["a", "b"], 1.0, "s2") + statement_rows(["b", "c"], 5.0, "s1")
+    table = spark.createDataFrame([*rows, ("s1", "c", "cf", "x", None, None)], STATEMENT_SCHEMA)
+    sectors = spark.createDataFrame([("s1", 0), ("s2", 1)], "sector string, sector_ord int")
+    metrics = spark.createDataFrame([("b", "roe", 0.5), ("b", "per", None)], "company string, metric string, value double")
+    nested = statements.nest_statements(table, sectors, metrics, parts=2)
+    assert nested.schema["store"].dataType.simpleString() == statements.NESTED.replace(": ", ":").replace(", ", ",")
+    long = statements.unnest_statements(nested).select(*table.columns)
+    assert sorted(map(str, long.collect())) == sorted(map(str, table.collect()))
+    found = statements.unnest_metrics(nested).select("sector", "company", "metric", "value").collect()
+    assert {tuple(r) for r in found} == {(s, "b", m, v) for s in ("s1", "s2") for m, v in (("roe", 0.5), ("per", None))}
+    one = statements.company_of_nested(nested, "b").select(*table.columns).collect()
+    assert sorted(map(tuple, one)) == sorted(r for r in rows if r[:2] == ("s1", "b"))
+    assert {r["sector"] for r in statements.company_of_nested(nested, "a").collect()} == {"s2"}
+    assert statements.company_of_nested(nested, "nobody").count() == 0
+    assert statements.unnest_statements(nested.limit(0)).count() == 0
+
+
 def test_wide_statements_put_the_newest_year_first(spark):
     wide = statements.wide_statements(statements.order_statements(spark, FOLDER))
     years = [c for c in wide.columns if c not in statements.STATEMENT_KEYS]
@@ -240,6 +339,45 @@ def test_bar_scan_is_pruned_and_filters_reach_it(spark, tmp_path):
     assert kept.count() == want.count() > 0 and kept.exceptAll(want).count() == 0
 
 
+def test_bar_store_is_dealt_by_ranges_and_skips_what_others_hold(spark, tmp_path):
+    path = tmp_path / "bars"
+    table = spark.range(60_000).select(
+        F.concat(F.lit("T"), F.lpad(F.pmod("id", F.lit(200)).cast("string"), 3, "0")).alias("ticker"),
+        F.date_add(F.lit(dt.date(2019, 12, 1)), F.expr("CAST(id DIV 200 AS INT)")).alias("date"),
+        F.col("id").cast("double").alias("close"),
+    )
+    market.write_bars(table.orderBy(F.rand(3)), str(path), rows_per_file=5000)
+    files = parquet_files(path)
+    assert len(files) >= 12 and max(spark.read.parquet(f).count() for f in files) < 12_000
+    for f in files:
+        own = [(r["ticker"], r["date"]) for r in spark.read.parquet(f).collect()]
+        assert own == sorted(own)
+    assert market.stored_years(spark, str(path)) == [2019, 2020]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    kept = market.read_bars(spark, str(path), dt.date(2020, 2, 1), dt.date(2020, 3, 1), ["T007"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(ticker,T007)" in plan and "GreaterThanOrEqual(date" in plan and "PartitionFilters: [isnotnull(year" in plan
+    assert kept.count() == 30
+    holding = [f for f in files if spark.read.parquet(f).where("ticker = 'T007'").count()]
+    assert len(holding) <= 3
+
+
+def test_the_latest_stored_day_reads_one_year(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "bars")
+    rows = [("A", dt.date(2018, 5, 2)), ("A", dt.date(2020, 5, 4)), ("B", dt.date(2019, 1, 7)), ("B", None)]
+    market.write_bars(spark.createDataFrame(rows, "ticker string, date date"), path)
+    read = []
+    plain = market.bars_between
+    monkeypatch.setattr(market, "bars_between", lambda df, *a: read.append(df.inputFiles()) or plain(df, *a))
+    assert market.latest_stored_day(spark, path) == dt.date(2020, 5, 4)
+    assert len(read) == 1
+    plan = spark.read.parquet(path).where(F.col("year") == 2020)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    assert market.latest_stored_day(spark, path, ["B"]) == dt.date(2019, 1, 7)
+    assert market.latest_stored_day(spark, path, ["C"]) is None
+
+
 @pytest.fixture
 def shuffled_joins(spark):
     """No broadcasts, and thresholds small enough for the skew rule to act."""
