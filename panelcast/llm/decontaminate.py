@@ -43,6 +43,9 @@ MIN_WORDS = 5
 REACH = 24
 FILTER_BITS = 1 << 25
 
+#: A name that documents are not expected to have.
+HIT = "hash_of_contaminated_row"
+
 SEEDS = "id long, row int, size long, at long, mask int, hash long, around array<long>"
 
 
@@ -210,5 +213,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").cast("string"))
     rows = docs.select(key.alias("doc_id"), "text")
-    found = contaminated(rows, benchmark).select(F.col("doc_id").alias("found")).distinct()
-    return docs.join(found, key == F.col("found"), "left_anti")
+    found = contaminated(rows, benchmark).select(F.col("doc_id").alias(HIT)).distinct()
+    return docs.join(found, key == F.col(HIT), "left_anti")

@@ -5,23 +5,33 @@ program filled in content. For every host:
 
 1. each page is parsed and reduced to an outline: tags, classes, hashes and lengths
    of texts, with runs of like siblings (the paragraphs of an article) as one node;
-2. the outlines of ``REFERENCES`` pages, those with the smallest of as many hashes of
+2. over all pages of the host, the pages are counted that have a text in an element of
+   the same name. Pages whose ``LONGEST`` longest texts are the same are copies of one
+   article and count once. A text that recurs on a share of ``RECURS`` of the different
+   pages, and on ``RECURS_ON`` at least, is template, wherever it stands and whatever its element is called: a notice in
+   the article, a menu made of <div>, one of two layouts;
+3. the outlines of ``REFERENCES`` pages, those with the smallest of as many hashes of
    their page_id, are aligned pairwise by simple tree matching. Nodes with the same
-   text in all of them are template; the others are slots. The wrapper is the path of
-   the <article> or <main> that holds nearly all slot text, or else of the smallest
-   container that holds all of it, outside of links and of elements that are furniture
-   by their tag, role or class, and the constant texts inside it;
-3. each page is parsed again and gives the blocks below its host's wrapper path,
-   without constant texts and furniture.
+   text in all of them, or with template text only, are template; the others are slots.
+   The wrapper is the path of the <article> or <main> that holds nearly all slot text, or
+   else of the smallest container that holds all of it, outside of links and of elements
+   that are furniture by their tag, role or class, and the template texts;
+4. each page is parsed again and gives the blocks below its host's wrapper path,
+   without template texts and furniture.
 
 A page that lacks its host's path, or a host with one page, is its own reference: all
-its text counts as slot. Only hashes and lengths are shuffled; references combine
-before the shuffle, so a host with a third of all pages sends a few outlines per task.
-Wrappers are broadcast while they take less than ``BROADCAST_BYTES``, else joined.
+its text counts as slot. Only hashes and lengths are shuffled; counts and references
+combine before the shuffle, and are kept by host and text, so a host with a third of all
+pages is spread by its texts and sends a few outlines per task. Wrappers are broadcast
+while they take less than ``BROADCAST_BYTES``, else joined.
 
 A class or id makes furniture if all words of the name are listed (``has-sidebar`` is
 not), unless the element holds most of the text of a page without <article> or <main>.
 
+Elements nested deeper than ``DEPTH`` are laid out in the one at that depth: their texts
+and blocks stay, in order. Pages are read in one pass, whatever they hold; a tag that is
+cut off at the end of the page is no text.
+
 Defined cases: a null or empty html, or one without text, gives an empty text; a null
 url counts as a host of its own; unclosed, misnested and cut off elements end with
 what contains them; repeated page_ids are extracted row by row; ties between paths go
@@ -36,7 +46,7 @@ import html
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,9 +56,14 @@ from panelcast.session import materialize
 
 REFERENCES = 3
 SHARE = 0.75
-#: References that a text inside the content must be constant in to be template.
-CONSTANT_IN = 3
+#: Different pages of a host on which a text of the template recurs: so many, and this share.
+RECURS_ON = 3
+RECURS = 0.3
+#: Texts, outside of furniture, by which copies of one article are told.
+LONGEST = 3
 BROADCAST_BYTES = 32 << 20
+#: Elements in each other, of a page's tree.
+DEPTH = 200
 
 #: Elements by role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,10 +90,8 @@ QUALIFIERS = frozenset(
     "section inner outer links link bar form icons buttons button item items row rail slot unit policy message".split()
 )
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:/?[a-zA-Z][^<]*\Z)",
-    re.DOTALL,
-)
+TOKEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+QUOTE_OR_END = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+")
 
@@ -113,37 +126,77 @@ class Node:
             self.furniture |= named
 
 
+class Tokens:
+    """Tags of a page with their place, each character looked at a bounded number of times."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.missing: set[str] = set()  # quotes that no later place closes
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag, not one in quotes; -1 if there is none."""
+        while found := QUOTE_OR_END.search(self.text, at):
+            mark, at = found[0], found.end()
+            if mark == ">":
+                return found.start()
+            if mark not in self.missing:
+                closing = self.text.find(mark, at)
+                if closing < 0:
+                    self.missing.add(mark)
+                else:
+                    at = closing + 1
+        return -1
+
+
 def parse(text: str) -> Node:
     """The page as a tree; texts are strings among the children."""
     root = Node("html", "")
-    stack, at, size = [root], 0, len(text)
-    while at < size:
-        token = TOKEN.search(text, at)
-        end = token.start() if token else size
-        if end > at:
-            stack[-1].parts.append(text[at:end])
-        if not token:
-            break
-        at = token.end()
-        tag = (token[2] or "").lower()
-        if not tag:
-            continue
+    tokens, stack, flat = Tokens(text), [root], []
+    at = written = 0
+    while token := TOKEN.search(text, at):
+        start, at = token.span()
         if token[1]:
+            end = text.find("-->", at)
+            after = len(text) if end < 0 else end + 3
+        else:
+            end = text.find(">", at) if token[2] else tokens.tag_end(at)
+            after = end + 1
+            if end < 0:  # no tag ends any more: what stands before the last one is text
+                cut = text.rfind("<") if token[4] else len(text)
+                stack[-1].parts.append(text[written:cut])
+                written = len(text)
+                break
+        if start > written:
+            stack[-1].parts.append(text[written:start])
+        at = written = after
+        tag = (token[4] or "").lower()
+        if not tag or (tag == "html" and not token[3]):
+            continue
+        if token[3]:
+            if tag in flat:
+                del flat[len(flat) - 1 - flat[::-1].index(tag) :]
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     del stack[depth:]
+                    flat.clear()
                     break
             continue
-        if tag == "html":
-            continue
-        close(stack, tag)
-        node = Node(tag, token[3])
+        if len(stack) < DEPTH:
+            close(stack, tag)
+        attributes = text[token.end() : end]
+        node = Node(tag, attributes)
         stack[-1].parts.append(node)
         if tag in RAW:
             finish = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(text, at)
-            at = finish.end() if finish else size
-        elif tag not in VOID and not token[3].endswith("/"):
-            stack.append(node)
+            at = written = finish.end() if finish else len(text)
+        elif tag not in VOID and not attributes.endswith("/"):
+            if len(stack) < DEPTH:
+                stack.append(node)
+            elif len(flat) < DEPTH:
+                flat.append(tag)
+    if written < len(text):
+        stack[-1].parts.append(text[written:])
     relieve(root)
     return root
 
@@ -197,15 +250,16 @@ def code(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=6).hexdigest()
 
 
-def blocks(node: Node, path: str = "") -> Iterator[tuple[str, str]]:
-    """(path, text) of the blocks below a node in page order, furniture left out."""
+def blocks(node: Node, path: str = "", everything: bool = False) -> Iterator[tuple[str, str]]:
+    """(path, text) of the blocks below a node in page order; furniture is left out,
+    unless ``everything`` with a text is asked for."""
     run: list[str] = []
 
     def walk(node: Node, path: str, article: bool) -> Iterator[tuple[str, str]]:
         for part in node.parts:
             if isinstance(part, str):
                 run.append(part)
-            elif part.furniture or (part.tag == "header" and not article):
+            elif part.tag in RAW or part.tag == "head" if everything else part.furniture or (part.tag == "header" and not article):
                 continue
             elif part.tag in BLOCKS:
                 if ready := tidy("".join(run)):
@@ -235,7 +289,7 @@ def outline(node: Node, linked: bool = False) -> list:
     for part in node.parts:
         if isinstance(part, str):
             if ready := tidy(part):
-                texts.append(code(ready))
+                texts.append(mark(node.name, ready))
                 length += 0 if linked else len(ready)
         elif not part.furniture:
             child = outline(part, linked or part.tag == "a")
@@ -284,8 +338,9 @@ def match(a: list, b: list) -> tuple[int, list]:
     return best[rows][columns] + 1, pairs
 
 
-def slots(page: list, others: list[list]) -> tuple[dict[int, int], dict[int, set]]:
-    """By node of ``page``: length of its slot text, and texts constant in all."""
+def slots(page: list, others: list[list], template: set[str]) -> dict[int, int]:
+    """By node of ``page``: length of its slot text. A node has none if its texts are
+    constant in all others, or template."""
     constant: dict[int, set] = {}
     for number, other in enumerate(others):
         aligned = {id(x): set(y[1]) for x, y in match(page, other)[1]}
@@ -298,12 +353,12 @@ def slots(page: list, others: list[list]) -> tuple[dict[int, int], dict[int, set
     length: dict[int, int] = {}
 
     def measure(node: list) -> int:
-        fixed = bool(node[1]) and bool(others) and set(node[1]) <= constant.get(id(node), set())
+        fixed = bool(node[1]) and set(node[1]) <= constant.get(id(node), set()) | template
         length[id(node)] = (0 if fixed else node[2]) + sum(map(measure, node[3]))
         return length[id(node)]
 
     measure(page)
-    return length, constant
+    return length
 
 
 def content_path(page: list, length: dict[int, int]) -> str:
@@ -322,26 +377,29 @@ def content_path(page: list, length: dict[int, int]) -> str:
     return path
 
 
-def induce(outlines: list[list]) -> dict:
-    """The wrapper of one host's references: paths, best first, constant texts."""
+def induce(outlines: list[list], template: Iterable[str] = ()) -> dict:
+    """The wrapper of one host: paths by its references, best first, and template texts."""
+    template = set(template)
     distinct = list({json.dumps(o): o for o in outlines}.values())
     votes: Counter[str] = Counter()
-    fixed: set[str] | None = None
     for page in distinct:
-        length, constant = slots(page, [o for o in distinct if o is not page])
+        length = slots(page, [o for o in distinct if o is not page], template)
         if length[id(page)]:
             votes[content_path(page, length)] += 1
-        texts = set().union(*constant.values()) if constant else set()
-        fixed = texts if fixed is None else fixed & texts
     paths = [p for p, _ in sorted(votes.items(), key=lambda v: (-v[1], v[0]))]
-    # pages that share most of their texts are copies of one article
-    few = min((len(all_texts(page)) for page in distinct), default=0)
-    template = len(distinct) >= CONSTANT_IN and 2 * len(fixed or ()) <= few
-    return {"paths": paths, "constant": sorted(fixed or ()) if template else []}
+    return {"paths": paths, "constant": sorted(template)}
+
+
+def mark(name: str, text: str) -> str:
+    """What a text is counted by: its own hash and the name of its element."""
+    return code(f"{name} {text}")
 
 
-def all_texts(page: list) -> set[str]:
-    return set(page[1]).union(*map(all_texts, page[3]))
+def marks(root: Node) -> tuple[list[str], str]:
+    """The marks of all blocks of a page, and the hash of its ``LONGEST`` longest texts."""
+    found = [mark(path.rpartition(">")[2], text) for path, text in blocks(root, root.name, everything=True)]
+    texts = sorted({text for _, text in blocks(root, root.name)}, key=lambda t: (-len(t), t))
+    return list(dict.fromkeys(found)), code("\n".join(texts[:LONGEST]))
 
 
 def find(node: Node, names: list[str]) -> list[Node]:
@@ -363,12 +421,12 @@ def extract(text: str | None, wrapper: dict | None) -> str:
         if found := find(page, path.split(">")):
             break
     else:
-        path = induce([outline(page)])["paths"]
+        path = induce([outline(page)], (wrapper or {}).get("constant", ()))["paths"]
         path = path[0] if path else page.name
         found = find(page, path.split(">"))
-    constant = set((wrapper or {}).get("constant", ()))
-    out = [t for node in found for _, t in blocks(node, path.rpartition(">")[0] + ">" + node.name)]
-    kept = [t for t in out if code(t) not in constant]
+    template = set((wrapper or {}).get("constant", ()))
+    out = [b for node in found for b in blocks(node, path.rpartition(">")[0] + ">" + node.name)]
+    kept = [t for p, t in out if mark(p.rpartition(">")[2], t) not in template]
     return "\n\n".join(kept)
 
 
@@ -377,19 +435,29 @@ def host(url: str) -> F.Column:
 
 
 def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Outline, marks and longest text of every page."""
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
-            made = [json.dumps(outline(parse(h.as_py() or "")), separators=(",", ":")) for h in part.column("html")]
+            roots = [parse(h.as_py() or "") for h in part.column("html")]
+            found = [marks(root) for root in roots]
             yield pa.RecordBatch.from_arrays(
-                [part.column("host"), part.column("page_id"), pa.array(made)], names=["host", "page_id", "outline"]
+                [
+                    part.column("host"),
+                    part.column("page_id"),
+                    pa.array([json.dumps(outline(root), separators=(",", ":")) for root in roots]),
+                    pa.array([m for m, _ in found], pa.list_(pa.string())),
+                    pa.array([longest for _, longest in found]),
+                ],
+                names=["host", "page_id", "outline", "marks", "article"],
             )
 
 
 def induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        wrappers = [json.dumps(induce([json.loads(o) for o in own if o])) for own in batch.column("references").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(wrappers)], names=["host", "wrapper"])
+        given = zip(batch.column("references").to_pylist(), batch.column("template").to_pylist(), strict=True)
+        made = [json.dumps(induce([json.loads(o) for o in own if o], template or ())) for own, template in given]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made)], names=["host", "wrapper"])
 
 
 def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,15 +478,30 @@ def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def templates(drawn: DataFrame) -> DataFrame:
+    """(host, template: marks of the texts that recur on the host's different pages).
+
+    Marks are counted by host, mark and article, then by host and mark, so no task has all
+    texts of a host. A host has at most 1 / ``RECURS`` times the texts of a page.
+    """
+    articles = drawn.groupBy("host").agg(F.countDistinct("article").alias("articles"))
+    seen = drawn.select("host", "article", F.explode("marks").alias("mark")).distinct()
+    counted = seen.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS_ON)
+    often = counted.join(articles, "host").where(F.col("n") >= RECURS * F.col("articles"))
+    return often.groupBy("host").agg(F.sort_array(F.collect_list("mark")).alias("template"))
+
+
 def wrappers(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
-    """(host, wrapper as JSON: paths and constant texts)."""
+    """(host, wrapper as JSON: paths and template texts)."""
     own = pages.select(host("url").alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
-    drawn = own.mapInArrow(outlines, "host string, page_id long, outline string")
+    drawn = own.mapInArrow(outlines, "host string, page_id long, outline string, marks array<string>, article string")
+    drawn = materialize(drawn)
     picked = drawn.groupBy("host").agg(
         F.array(
             *[F.min_by("outline", F.struct(F.xxhash64("page_id", F.lit(r)), "outline")) for r in range(references)]
         ).alias("references")
     )
+    picked = picked.join(templates(drawn), "host", "left")
     return picked.mapInArrow(induced, "host string, wrapper string")
 
 

@@ -5,10 +5,11 @@ them and nothing approximate, are found in three steps:
 
 1. If two sets have a similarity of at least the threshold, their difference has at
    most D elements, which depends on their sizes. Each set is dealt by a hash of the
-   shingle into D + 1 segments, so at least one segment of two linked sets is equal.
-   Sets send a key per segment, for their own range of sizes and the next; sets that
-   share a key are candidates. Segments hold about nine shingles, so a passage that
-   many documents share makes no candidates by itself.
+   shingle into D + 1 + 2e segments, so at least 2e + 1 segments of two linked sets are
+   equal. A set leaves out its e weakest segments, empty ones first and then those of
+   passages that texts of a bounded sample share, and sends a key for each other one, for
+   its own range of sizes and the next. Two linked sets still share a key, whatever they
+   leave out; sets that share a key are candidates.
 2. Candidates are grouped by connected components. A component with more than
    ``TILE`` shingles is dealt into tiles, and every pair of tiles is a task of its
    own, so no task holds more than two tiles.
@@ -31,6 +32,7 @@ result; other columns are ignored whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -47,7 +49,16 @@ SHINGLE = 3
 PER_CENT = 90
 LAST = 2**63 - 1
 TILE = 1 << 21
+#: Sets of a tile: a task compares pairs of them.
+TILE_SETS = 1 << 12
 BITS = 2048
+#: Documents with one key of which every pair is an edge of its own.
+PAIRED = 16
+#: Texts among which frequent shingles are looked for, bits of their filter, and the share
+#: of a text's shingles that may be frequent without any loss of speed.
+SAMPLE = 1 << 14
+FILTER_BITS = 1 << 25
+FREQUENT = 0.25
 FANOUT = 16
 
 
@@ -77,8 +88,18 @@ def sums(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return upto[bounds[1:]] - upto[bounds[:-1]]
 
 
+def bitmaps(row: np.ndarray, value: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A bitmap of each row's shingles, of a power of two of bits, at least twice as many."""
+    width = 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(width >> 3)])
+    bits = np.zeros(begin[-1], np.uint8)
+    bit = (value & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_or.at(bits, begin[row] + (bit >> 3), np.uint8(1) << (bit & 7).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(begin.astype(np.int32).tobytes()), pa.py_buffer(bits.tobytes())])
+
+
 def describe(size: int):
-    """Each row's number of shingles and two independent sums over its set."""
+    """Each row's number of shingles, two independent sums over its set, and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
@@ -94,8 +115,9 @@ def describe(size: int):
                         pa.array(n),
                         pa.array(sums(row, one, last - first).view(np.int64)),
                         pa.array(sums(row, two, last - first).view(np.int64)),
+                        bitmaps(row, value, n),
                     ],
-                    names=["id", "tag", "n", "one", "two"],
+                    names=["id", "tag", "n", "one", "two", "bits"],
                 )
 
     return run
@@ -110,40 +132,112 @@ def ranges(largest: int, share: Fraction) -> np.ndarray:
     return np.array(bounds)
 
 
-def segment_keys(row: np.ndarray, value: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the segments of sorted sets, for the own range and the next."""
+def segments(bounds: np.ndarray, of: int, share: Fraction) -> tuple[int, int]:
+    """(segments, segments a set leaves out) for sets of the range number ``of`` and the one before.
+
+    Of two linked sets of at most ``top`` elements, |difference| <= (a + b)(1 - s) / (1 + s)
+    elements touch as many segments at most. If each set leaves out ``spare``, whichever it
+    likes, 2 * ``spare`` + 1 untouched ones are enough for one that both send. As many are
+    spare as random dealing leaves empty, or with ``FREQUENT`` of the elements' kind only,
+    in the smallest sets of the range.
+    """
+    top, least = int(bounds[of + 1]) - 1, int(bounds[of])
+    touched = 2 * top * (share.denominator - share.numerator) // (share.denominator + share.numerator)
+    spare = int(touched >= 4)
+    while spare < top // 8:
+        parts = touched + 1 + 2 * spare
+        need = math.ceil(parts * (1 - 1 / parts) ** (least * (1 - FREQUENT)) - 0.1)
+        if need <= spare:
+            break
+        spare = min(need, top // 8)
+    return touched + 1 + 2 * spare, spare
+
+
+def segment_keys(
+    row: np.ndarray, value: np.ndarray, share: Fraction, frequent: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the segments of sorted sets, for the own range and the next.
+
+    Each set leaves out the spare number of its weakest segments: empty ones, then those
+    with nothing but shingles that the bit filter ``frequent`` has.
+    """
     if not len(row):
         return row, value
     n = np.bincount(row)
     bounds = ranges(int(n.max()) * 2 + 2, share)
     own = np.searchsorted(bounds, n, "right") - 1
+    rare = np.ones(len(value), bool) if frequent is None else ~is_frequent(value, frequent)
     rows, keys = [], []
     for step in (0, 1):
-        top = bounds[own + step + 1] - 1  # the largest size in the range
-        # of sets of at most ``top`` elements: |difference| <= (a + b)(1 - s) / (1 + s)
-        parts = (2 * top * (share.denominator - share.numerator) // (share.denominator + share.numerator)) + 1
+        shapes = {of: segments(bounds, of, share) for of in {o + step for o in own[n > 0].tolist()}}
+        parts, spare = (np.array([shapes[of + step][k] if size else 0 for of, size in zip(own.tolist(), n.tolist())]) for k in (0, 1))
         segment = (mix(value + np.uint64(BASE)) % parts[row].astype(np.uint64)).astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(parts)])
         slot = begin[row] + segment
         # a set of hashes by its sum; the slot and range tell segments apart
         total = np.zeros(begin[-1], np.uint64)
         np.add.at(total, slot, mix(value))
+        strength = np.zeros(begin[-1], np.int8)
+        strength[slot] = 1
+        strength[slot[rare]] = 2
         of = np.repeat(np.arange(len(n)), parts)
         number = np.arange(begin[-1]) - begin[of]
-        shape = ((own[of] + step) << 40 | number).astype(np.uint64)
-        used = n[of] > 0
-        rows.append(of[used])
-        keys.append(mix(total + mix(shape + np.uint64(1)))[used])
+        weakest = np.lexsort((strength, of))
+        used = np.sort(weakest[number >= spare[of]])
+        of, total = of[used], total[used]
+        shape = ((own[of] + step) << 40 | number[used]).astype(np.uint64)
+        rows.append(of)
+        keys.append(mix(total + mix(shape + np.uint64(1))))
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def send_keys(buckets: int, size: int, share: Fraction):
+def probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each shingle."""
+    bits = np.uint64(FILTER_BITS - 1)
+    return (hashes & bits).astype(np.int64), (hashes >> np.uint64(38) & bits).astype(np.int64)
+
+
+def is_frequent(value: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    one, two = probes(value)
+    return frequent[one] & frequent[two]
+
+
+def single_shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column("text")):
+                value = shingle_sets(data, offsets, table, size)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64))], names=["shingle"])
+
+    return run
+
+
+def frequent_shingles(sample: DataFrame, size: int) -> np.ndarray:
+    """A bit filter of the shingles that two different texts of the sample share.
+
+    It decides which segments a set leaves out, so it changes the number of candidates and
+    no result. Its size is fixed.
+    """
+    shared = sample.mapInArrow(single_shingles(size), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    bits = F.array(F.col("shingle").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("shingle", 38).bitwiseAND(FILTER_BITS - 1))
+    words = shared.select(F.explode(bits).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 31 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 32, np.uint32)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+
+
+def send_keys(buckets: int, size: int, share: Fraction, frequent: np.ndarray | None = None):
+    packed = None if frequent is None else np.packbits(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Powers()
+        known = None if packed is None else np.unpackbits(packed).astype(bool)
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for first, last, data, offsets in text_slices(batch.column("text")):
-                row, key = segment_keys(*shingle_sets(data, offsets, table, size), share)
+                row, key = segment_keys(*shingle_sets(data, offsets, table, size), share, known)
                 bucket = (key % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((row, bucket))
                 bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -172,7 +266,8 @@ def send_keys(buckets: int, size: int, share: Fraction):
 
 
 def shared_keys(table: pa.Table) -> pa.Table:
-    """Edges from the smallest document with a key to every other one."""
+    """Edges between the documents with a key: of up to ``PAIRED`` documents all pairs, each
+    of which can be ruled out by itself; of more, a star around the smallest one."""
     ids, keys = [], []
     for owners, counts, blob in zip(*(table.column(c) for c in ("ids", "counts", "keys")), strict=True):
         own = np.frombuffer(owners.as_py(), np.int64)
@@ -185,10 +280,47 @@ def shared_keys(table: pa.Table) -> pa.Table:
     order = np.lexsort((node, key))
     node, key = node[order], key[order]
     runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    center = np.repeat(node[runs], np.diff(np.concatenate([runs, [len(key)]])))
-    edge = np.flatnonzero(center != node)
-    pairs = np.unique(np.stack([center[edge], node[edge]]), axis=1) if len(edge) else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pairs[0], "b": pairs[1]})
+    sizes = np.diff(np.concatenate([runs, [len(key)]]))
+    large = np.repeat(sizes > PAIRED, sizes)
+    center = np.repeat(node[runs], sizes)
+    found = [(center[large], node[large], True)]
+    ends = np.repeat(runs + sizes, sizes)
+    for step in range(1, PAIRED):
+        at = np.flatnonzero(~large & (np.arange(len(node)) + step < ends))
+        found.append((node[at], node[at + step], False))
+    columns = [np.concatenate([f[k] if k < 2 else np.full(len(f[0]), f[2]) for f in found]) for k in range(3)]
+    columns = [c[columns[0] != columns[1]] for c in columns]
+    pairs = np.unique(np.stack([np.minimum(columns[0], columns[1]), np.maximum(columns[0], columns[1]), columns[2]]), axis=1)
+    return pa.table({"a": pairs[0], "b": pairs[1], "star": pairs[2].astype(bool)})
+
+
+def may_link(per_cent: int):
+    """Edges whose sets may be similar enough by their sizes and bitmaps. Edges of stars,
+    and documents without one bitmap (several sets), stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            star, n_a, n_b = (batch.column(c).to_pylist() for c in ("star", "n_a", "n_b"))
+            keep = []
+            for own, x, y, a, b in zip(star, n_a, n_b, batch.column("bits_a"), batch.column("bits_b"), strict=True):
+                if own or x is None or y is None:
+                    keep.append(True)
+                    continue
+                needed = -(-(x + y) * per_cent // (100 + per_cent))
+                if min(x, y) < needed:
+                    keep.append(False)
+                    continue
+                left, right = (np.frombuffer(v.as_py(), np.uint64) for v in (a, b))
+                while len(left) > len(right):
+                    left = left[: len(left) // 2] | left[len(left) // 2 :]
+                while len(right) > len(left):
+                    right = right[: len(right) // 2] | right[len(right) // 2 :]
+                # an overlap may have as many more as fell on bits that were taken
+                extra = min(x - int(np.bitwise_count(left).sum()), y - int(np.bitwise_count(right).sum()))
+                keep.append(int(np.bitwise_count(left & right).sum()) + extra >= needed)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def send_sets(size: int):
@@ -337,9 +469,11 @@ def join_sets(per_cent: int):
     return run
 
 
-def dealt(candidates: DataFrame) -> DataFrame:
-    """Adds the number of tiles of each component (root) of sets of ``n`` elements."""
-    weight = candidates.groupBy("root").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
+def dealt(candidates: DataFrame, tile_sets: int = TILE_SETS) -> DataFrame:
+    """Adds the number of tiles of each component (root) of sets of ``n`` elements: a tile
+    has about ``TILE`` elements and ``tile_sets`` sets at most."""
+    least = F.greatest(F.ceil(F.sum("n") / TILE), F.ceil(F.count("*") / tile_sets))
+    weight = candidates.groupBy("root").agg(least.cast("int").alias("tiles"))
     return candidates.join(weight, "root")
 
 
@@ -366,17 +500,28 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("tag", F.xxhash64("text"))
-    described = materialize(rows.mapInArrow(describe(size), "id long, tag long, n long, one long, two long"))
-    classes = described.where("n > 0").groupBy("one", "two", "n").agg(F.min(F.struct("id", "tag")).alias("best"))
-    classes = materialize(classes.select("one", "two", "n", "best.id", "best.tag"))
+    described = materialize(rows.mapInArrow(describe(size), "id long, tag long, n long, one long, two long, bits binary"))
+    classes = described.where("n > 0").groupBy("one", "two", "n")
+    classes = classes.agg(F.min(F.struct("id", "tag")).alias("best"), F.min("bits").alias("bits"))
+    classes = materialize(classes.select("one", "two", "n", "best.id", "best.tag", "bits"))
+
+    drawn = classes.orderBy(F.xxhash64("id", "tag"), "id", "tag").limit(SAMPLE).select("id", "tag")
+    frequent = frequent_shingles(rows.join(F.broadcast(drawn), ["id", "tag"]).dropDuplicates(["id", "tag"]).select("text"), size)
 
     # one text for each class
     chosen = rows.join(classes.select("id", "tag").distinct(), ["id", "tag"])
     keys = chosen.select("id", "tag", "text").mapInArrow(
-        send_keys(buckets, size, share), "bucket int, ids binary, counts binary, keys binary"
+        send_keys(buckets, size, share, frequent), "bucket int, ids binary, counts binary, keys binary"
     )
-    edges = materialize(keys.groupBy("bucket").applyInArrow(shared_keys, "a long, b long").distinct())
-    candidates = components(edges)
+    edges = keys.groupBy("bucket").applyInArrow(shared_keys, "a long, b long, star boolean")
+    edges = edges.groupBy("a", "b").agg(F.max("star").alias("star"))
+    single = classes.groupBy("id").agg(F.count("*").alias("sets"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+    single = single.where("sets = 1")
+    for side in "ab":
+        known = single.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+        edges = edges.join(known, side, "left")
+    edges = edges.select("a", "b", "star", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(may_link(per_cent), "a long, b long")
+    candidates = components(materialize(edges))
     candidates = candidates.join(classes.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node")
     candidates = dealt(candidates).select(F.col("node").alias("id"), F.col("root").alias("component"), "tiles")
     sets = chosen.join(candidates, "id").select("id", "component", "tiles", "text")

@@ -14,9 +14,9 @@ are. What is compared are paragraphs, runs of pieces of one text:
 1. Equal paragraphs meet by their hash; all but the first, in order of doc_id, text
    and place, are repeats.
 2. Of each wording left, MinHash signatures of its sets of ``SHINGLE`` words are cut
-   into ``BANDS`` bands of ``ROWS`` values (recall 0.998 at a similarity of 0.8, and
-   nothing is compared that shares no band); paragraphs that share a band are
-   candidates, grouped by connected components.
+   into ``BANDS`` bands of ``ROWS`` values; paragraphs that share a band are candidates,
+   grouped by connected components. Those of a similarity of 0.8 meet with a probability
+   of 0.997, those of 0.2 with 0.06, and nothing is compared that shares no band.
 3. Within components, exact Jaccard similarity of the sets is verified; the links'
    components are clusters, of which the first paragraph stays and the others go,
    except those that overlap with the first in the same text.
@@ -55,8 +55,13 @@ SHINGLE = 5
 PER_CENT = 80
 MIN_WORDS = 10
 SENTENCE = 4  # words from one mark to the next; shorter ones go with what follows
-ROWS = 2
-BANDS = 6
+ROWS = 3
+BANDS = 8
+#: Paragraphs of a tile: a task compares pairs of them.
+TILE_SETS = 1 << 10
+#: Bytes of a key that are sent: all where equal keys mean equal paragraphs, fewer for bands,
+#: whose paragraphs are compared (the bucket stands for some bits more).
+WHOLE_KEY, BAND_KEY = 8, 5
 LAST = 2**63 - 1
 RESULTS = ("kept", "n_paragraphs", "n_removed", "n_removed_words")
 
@@ -154,7 +159,9 @@ class Paragraphs:
         return of[fresh], total[fresh]
 
 
-def blobs(keys: np.ndarray, rows: np.ndarray, numbers: np.ndarray, ids: np.ndarray, tags: np.ndarray, buckets: int):
+def blobs(
+    keys: np.ndarray, rows: np.ndarray, numbers: np.ndarray, ids: np.ndarray, tags: np.ndarray, buckets: int, width: int
+):
     """A batch with a row per bucket: documents, entries of each, places and keys."""
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((rows, bucket))
@@ -165,7 +172,7 @@ def blobs(keys: np.ndarray, rows: np.ndarray, numbers: np.ndarray, ids: np.ndarr
         docs, counts = np.unique(rows[own], return_counts=True)
         parts = (b, ids[docs].tobytes(), tags[docs].tobytes(), counts.astype(np.uint32).tobytes(),
                  (numbers[own] >> 32).astype(np.uint32).tobytes(), numbers[own].astype(np.uint32).tobytes(),
-                 keys[own].tobytes())
+                 (keys[own] >> np.uint64(64 - 8 * width)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
         for column, part in zip(columns, parts, strict=True):
             column.append(part)
     kinds = [pa.int32()] + [pa.binary()] * 6
@@ -176,15 +183,17 @@ def blobs(keys: np.ndarray, rows: np.ndarray, numbers: np.ndarray, ids: np.ndarr
 BLOB = "bucket int, ids binary, tags binary, counts binary, numbers binary, pieces binary, keys binary"
 
 
-def unblob(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unblob(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, id, tag, number) of all entries of a bucket, sorted."""
-    kinds = {"ids": np.int64, "tags": np.int32, "counts": np.uint32, "numbers": np.uint32, "pieces": np.uint32, "keys": np.uint64}
+    kinds = {"ids": np.int64, "tags": np.int64, "counts": np.uint32, "numbers": np.uint32, "pieces": np.uint32, "keys": np.uint8}
     read = {c: [np.frombuffer(x.as_py(), kind) for x in table.column(c)] for c, kind in kinds.items()}
     counts = np.concatenate(read["counts"])
     ids = np.repeat(np.concatenate(read["ids"]), counts)
     tags = np.repeat(np.concatenate(read["tags"]), counts)
     numbers = np.concatenate(read["numbers"]).astype(np.int64) << 32 | np.concatenate(read["pieces"])
-    keys = np.concatenate(read["keys"])
+    wide = np.zeros((len(numbers), 8), np.uint8)
+    wide[:, :width] = np.concatenate(read["keys"]).reshape(-1, width)
+    keys = wide.view(np.uint64).ravel()
     order = np.lexsort((numbers, tags, ids, keys))
     return keys[order], ids[order], tags[order], numbers[order]
 
@@ -200,14 +209,14 @@ def announce(buckets: int, least: int):
                 p = Paragraphs(data, offsets, table)
                 first, after = p.paragraphs(least)
                 keys, numbers = p.hashes(first, after), p.names(first, after)
-                yield blobs(keys, p.row[first], numbers, ids[low:high], tags[low:high], buckets)
+                yield blobs(keys, p.row[first], numbers, ids[low:high], tags[low:high], buckets, WHOLE_KEY)
 
     return run
 
 
 def equal_paragraphs(table: pa.Table) -> pa.Table:
     """All but the first of equal paragraphs."""
-    key, ids, tags, numbers = unblob(table)
+    key, ids, tags, numbers = unblob(table, WHOLE_KEY)
     again = np.zeros(len(key), bool)
     again[1:] = key[1:] == key[:-1]
     # rows that repeat an id and text have the same first paragraph
@@ -243,13 +252,14 @@ def send_bands(buckets: int, least: int, bands: int, rows: int):
                 for band in range(bands):
                     total = np.full(len(first), band + 1, np.uint64)
                     for r in range(rows):
-                        salt = np.uint64(BASE * (2 * (band * rows + r) + 3) % (1 << 64))
-                        total = mix(total * np.uint64(BASE) + np.minimum.reduceat(mix(grams + salt), spans)[::2])
+                        # shingles are mixed already: times an odd number is a new order of them
+                        odd = np.uint64(int(mix(np.array([band * rows + r + 1], np.uint64))[0]) | 1)
+                        total = mix(total * np.uint64(BASE) + np.minimum.reduceat(grams * odd, spans)[::2])
                     keys.append(total)
                 numbers = p.names(first, after)
                 yield blobs(
                     np.concatenate(keys), np.tile(p.row[first], bands), np.tile(numbers, bands),
-                    ids[low:high], tags[low:high], buckets,
+                    ids[low:high], tags[low:high], buckets, BAND_KEY,
                 )
 
     return run
@@ -258,7 +268,7 @@ def send_bands(buckets: int, least: int, bands: int, rows: int):
 def band_edges(table: pa.Table) -> pa.Table:
     """Edges from the first paragraph in a band to the others. One that overlaps with
     the first goes to the next that does not, if there is any."""
-    key, ids, tags, numbers = unblob(table)
+    key, ids, tags, numbers = unblob(table, BAND_KEY)
     runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     head = np.repeat(runs, np.diff(np.concatenate([runs, [len(key)]])))
     at = np.arange(len(key))
@@ -342,16 +352,16 @@ def remove_similar(docs: DataFrame, per_cent: int = PER_CENT, least: int = MIN_W
     own = docs.select(
         *[F.col(f"`{c}`").cast("string").alias(k) if c == "text" else F.col(f"`{c}`").alias(k) for c, k in zip(columns, inner, strict=True)],
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"),
-    ).withColumn("tag", F.hash("text"))
+    ).withColumn("tag", F.xxhash64("text"))
 
     equal = own.select("id", "tag", "text").mapInArrow(announce(buckets, least), BLOB)
-    equal = equal.groupBy("bucket").applyInArrow(equal_paragraphs, "id long, tag int, number long")
+    equal = equal.groupBy("bucket").applyInArrow(equal_paragraphs, "id long, tag long, number long")
     gone = materialize(equal.groupBy("id", "tag").agg(F.collect_set("number").alias("gone")))
     texts = own.join(gone, ["id", "tag"], "left")
 
     banded = texts.mapInArrow(send_bands(buckets, least, bands, rows), BLOB)
     edges = banded.groupBy("bucket").applyInArrow(
-        band_edges, "a_id long, a_tag int, a_number long, b_id long, b_tag int, b_number long"
+        band_edges, "a_id long, a_tag long, a_number long, b_id long, b_tag long, b_number long"
     )
     edges = materialize(edges.distinct())
     place = lambda side: F.xxhash64(f"{side}_id", f"{side}_tag", f"{side}_number")
@@ -361,7 +371,7 @@ def remove_similar(docs: DataFrame, per_cent: int = PER_CENT, least: int = MIN_W
     found = components(edges.select("a", "b"))
     # tiles by number of pieces, of about 32 shingles
     pieces = F.col("number").bitwiseAND(0xFFFFFFFF)
-    candidates = materialize(dealt(nodes.join(found, "node").withColumn("n", 32 * pieces)))
+    candidates = materialize(dealt(nodes.join(found, "node").withColumn("n", 32 * pieces), TILE_SETS))
     wanted = candidates.groupBy("id", "tag").agg(
         *[F.collect_list(c).alias(f"{c}s" if c != "tiles" else c) for c in ("number", "node", "root", "tiles")]
     )

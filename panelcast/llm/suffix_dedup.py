@@ -119,7 +119,7 @@ def unplanes(blob: memoryview, dtype: type, n: int) -> np.ndarray:
 
 
 #: An entry of a bucket, field by field; the first three are per document.
-DOC_FIELDS = (("id", np.int64), ("tag", np.int32), ("count", np.uint32))
+DOC_FIELDS = (("id", np.int64), ("tag", np.int64), ("count", np.uint32))
 FIELDS = (
     ("key", np.uint32),
     ("high", np.uint32),
@@ -461,18 +461,18 @@ def remove_repeats(
     rows = docs.select(
         *[F.col(f"`{c}`").cast("string").alias(k) if c == "text" else F.col(f"`{c}`").alias(k) for c, k in zip(columns, inner, strict=True)],
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"),
-    ).withColumn("tag", F.hash("text"))
+    ).withColumn("tag", F.xxhash64("text"))
 
     entries = rows.select("id", "tag", "text").mapInArrow(announce(buckets, length, seed), "bucket int, blob binary")
-    found = entries.groupBy("bucket").applyInArrow(compare_pieces, "id long, tag int, place long")
+    found = entries.groupBy("bucket").applyInArrow(compare_pieces, "id long, tag long, place long")
     places = materialize(found.groupBy("id", "tag").agg(F.collect_list("place").alias("places")))
     placed = rows.join(places, ["id", "tag"], "left")
 
     pieces = placed.mapInArrow(
         send_bytes(8 * buckets, length, seed),
-        "bucket int, key long, id long, tag int, first long, owner int, bytes binary",
+        "bucket int, key long, id long, tag long, first long, owner int, bytes binary",
     )
-    ranges = pieces.groupBy("bucket").applyInArrow(compare_windows(length), "id long, tag int, start long, stop long")
+    ranges = pieces.groupBy("bucket").applyInArrow(compare_windows(length), "id long, tag long, start long, stop long")
     ranges = ranges.groupBy("id", "tag").agg(
         F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")
     )

@@ -2,8 +2,8 @@
 
 Learning. Of the labelled rows at most ``EXAMPLES`` of each label, chosen by a hash of the
 doc_id, become examples: the bounded sample on which the classifier is fitted. The terms
-whose presence depends on the label (likelihood-ratio test at ``LEAST_G``) are dimensions of
-their own, ``MAX_TERMS`` at most; all other words of a text count as one more term, so a
+whose presence depends on the label (likelihood-ratio test at ``LEAST_G``, and ``LEAST_LIFT``
+times as frequent under one label) are dimensions of their own, ``MAX_TERMS`` at most; all other words of a text count as one more term, so a
 vector still says how much of a text its telling words are. Weights are (1 + ln tf) * idf
 with document frequencies over *all* documents, and vectors have length 1.
 
@@ -53,9 +53,11 @@ from panelcast.session import materialize
 #: Labelled rows of each label that become examples, at most.
 EXAMPLES = 4096
 MAX_TERMS = 512
-#: A term tells labels apart from this likelihood ratio on, and in so many examples.
+#: A term tells labels apart from this likelihood ratio on, in so many different texts,
+#: and if it is so many times as frequent under one label.
 LEAST_G = 24.0
 LEAST_ROWS = 3
+LEAST_LIFT = 3.0
 NEIGHBOURS = 64
 SOFTEN = 0.05
 #: Entries of a block of the index, and documents searched together.
@@ -113,7 +115,10 @@ def terms_by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def telling_terms(texts: DataFrame, max_terms: int) -> list[bytes]:
-    """Terms whose presence depends most on the label, by the likelihood ratio G."""
+    """Terms whose presence depends most on the label, by the likelihood ratio G over
+    different texts. Words that are merely somewhat more frequent under one label, as all
+    of a language's are, are not telling at any sample size."""
+    texts = materialize(texts.select("text", "label").distinct())
     sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     clean, toxic = (float(sizes.get(k, 0)) for k in (0, 1))
     if not clean or not toxic:
@@ -131,7 +136,10 @@ def telling_terms(texts: DataFrame, max_terms: int) -> list[bytes]:
     ratio = F.lit(0.0)
     for name, n in (("clean", clean), ("toxic", toxic)):
         ratio = ratio + part(F.col(name), n * share) + part(n - F.col(name), n * (1 - share))
-    best = held.withColumn("g", F.round(2 * ratio, 6)).where(F.col("g") >= LEAST_G)
+    # half a row is added on each side, so that a term with rows of one label has a lift
+    under = [(F.col(name) + 0.5) / (n + 1) for name, n in (("clean", clean), ("toxic", toxic))]
+    lift = F.greatest(under[0], under[1]) / F.least(under[0], under[1])
+    best = held.withColumn("g", F.round(2 * ratio, 6)).where((F.col("g") >= LEAST_G) & (lift >= LEAST_LIFT))
     return sorted(bytes(r["term"]) for r in best.orderBy(F.desc("g"), "term").limit(max_terms).collect())
 
 

@@ -405,3 +405,76 @@ def test_license_notices_with_changes(spark):
     got = {r.doc_id: (r.labels, r.score) for r in found.collect()}
     assert got[1] == ("apache-2.0", 1.0) and got[2][0] == "bsd" and 0.85 <= got[2][1] < 1 and got[3] == ("", 0.0)
     assert {(r.doc_id, r.first_word) for r in spans.collect()} >= {(1, 0), (2, 500)}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that operators use inside come back as they were given."""
+    names = ["row_key", "rest", "stays", "group", "found", "kept", "key", "own", "id", "tag", "lang_pred", "score", "n", "size"]
+    text = lambda k: " ".join(f"{k}word{i % 97}x{i}" for i in range(80))
+    rows = [(i, text(i % 3), "en" if i else None, "s", 5, *[f"{i}{n}" for n in names]) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    folder = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        got = {r.doc_id: r for r in out.collect()}
+        assert set(got) == ({0, 1, 2} if name == "similar" else set(range(6))), name
+        for r in got.values():
+            assert [r[n] for n in names] == [f"{r.doc_id}{n}" for n in names]
+        assert stage(spark, docs.limit(0), folder).columns == docs.columns
+    assert corpus_pipeline.to_tokens(spark, docs, folder).count() == 6
+
+
+def test_unrelated_texts_make_no_candidates(spark, monkeypatch):
+    """Short sets leave segments empty; these bring no two unrelated texts together."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.randint(5, 120))) for _ in range(300)]
+    seen = []
+    plain = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: seen.append(edges.count()) or plain(edges))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, links = jaccard_join.similar_documents(docs, size=5, per_cent=80)
+    assert seen[0] == 0 and links.count() == 0
+    assert {r.component_id for r in rows.collect()} == set(range(300))
+
+
+@pytest.mark.parametrize("per_cent", [80, 90])
+def test_linked_sets_share_a_segment_whatever_is_frequent(per_cent):
+    rng = np.random.default_rng(per_cent)
+    share = jaccard_join.Fraction(per_cent, 100)
+    linked = 0
+    for _ in range(400):
+        a = rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64)
+        gone = int(rng.integers(0, len(a) * (100 - per_cent) // 100 + 1))
+        b = np.concatenate([a[gone:], rng.integers(0, 2**63, rng.integers(0, gone + 2), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        common = len(np.intersect1d(a, b))
+        if not common or 100 * common < per_cent * (len(a) + len(b) - common):
+            continue
+        linked += 1
+        frequent = np.zeros(jaccard_join.FILTER_BITS, bool)
+        for bit in jaccard_join.probes(a[:: int(rng.integers(1, 4))]):
+            frequent[bit] = True
+        keys = [jaccard_join.segment_keys(np.zeros(len(x), np.int64), x, share, frequent)[1] for x in (a, b)]
+        assert len(np.intersect1d(*keys))
+    assert linked > 100
+
+
+def test_bitmaps_rule_out_no_link():
+    """The bound is at least the overlap, between bitmaps of any two sizes."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) * 9 // 10], rng.integers(0, 2**63, rng.integers(0, 60), dtype=np.uint64)]))
+        rows = {}
+        for side, x in (("a", a), ("b", b)):
+            rows[f"n_{side}"] = pa.array([len(x)])
+            rows[f"bits_{side}"] = jaccard_join.bitmaps(np.zeros(len(x), np.int64), x, np.array([len(x)]))
+        batch = pa.RecordBatch.from_pydict({"a": pa.array([1]), "b": pa.array([2]), "star": pa.array([False]), **rows})
+        kept = sum(out.num_rows for out in jaccard_join.may_link(80)([batch]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            assert kept
