@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, decontaminate, jaccard_join, language, suffix_dedup
+from panelcast.llm import bpe, decontaminate, language, suffix_dedup
+from panelcast.llm.near_copies import keep_one, packed, unpacked
 from panelcast.llm.queries import tokenizer_path
-from panelcast.session import materialize, scratch_path
+from panelcast.session import delete_path, scratch_path
 from panelcast.sources.tables import read_table
 
 #: A document needs a language that makes up this share of it.
@@ -19,58 +20,45 @@ MIN_SHARE = 0.5
 #: Near copies: words of a shingle, and the Jaccard similarity of the sets.
 NEAR_WORDS = 5
 NEAR_PER_CENT = 80
-KEY = "row_key"
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a prevailing language."""
+    """Drops documents without a letter (so null and empty texts) or without a prevailing
+    language; every other row stays as it is."""
     model = language.train(language.training_rows(docs))
-    told = language.identify(docs, model)
-    return told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SHARE)).select(docs.columns)
+    told = language.identify(packed(docs), model)
+    kept = told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SHARE))
+    return unpacked(kept, docs.columns)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows connected by links, the one with the smallest doc_id (null comes last,
-    ties in order of a hash) stays.
+    """Of rows connected by links, the one with the smallest doc_id stays.
 
-    Near copies share four fifths of their runs of five words, unlike in op4. Rows are
-    known by doc_id and text, so those with a null or repeated doc_id are judged one by
-    one; of rows with words that are equal in both, one stays.
+    Near copies share four fifths of their runs of five words, unlike in op4. Odd cases
+    are those of ``near_copies``.
     """
-    others = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
-    keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    linked, _ = jaccard_join.similar_documents(
-        keyed.select(F.col(KEY).alias("doc_id"), "text"), size=NEAR_WORDS, per_cent=NEAR_PER_CENT
-    )
-    linked = linked.where("n_shingles > 0").select(F.col("doc_id").alias(KEY), F.col("component_id").alias("group"))
-    rows = keyed.groupBy(KEY).agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min(F.xxhash64(F.lit(0), *others)).alias("rest")
-    )
-    rows = rows.join(linked.distinct(), KEY)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", KEY)
-    first = rows.groupBy("group").agg(F.min(place).alias("first"), F.count("*").alias("size"))
-    first = first.where("size > 1").select("group", F.col(f"first.{KEY}").alias("stays"))
-    rows = rows.join(first, "group", "left")
-    stays = F.col("stays").isNull() | (F.col("stays") == F.col(KEY))
-    judged = materialize(rows.where(~stays | (F.col("n") > 1)).select(KEY, "rest", stays.alias("stays")))
-    single = keyed.join(judged, KEY, "left_anti")
-    repeated = keyed.join(judged.where("stays"), KEY).where(F.xxhash64(F.lit(0), *others) == F.col("rest"))
-    return single.select(docs.columns).unionAll(repeated.dropDuplicates([KEY]).select(docs.columns))
+    return keep_one(docs, NEAR_WORDS, NEAR_PER_CENT)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out strings of 50 bytes that a document with a smaller id has too.
 
-    Only whole characters go. Documents of which nothing stays have an empty text.
+    Only whole characters go. Documents of which nothing stays have an empty text; null
+    texts stay null.
     """
-    cut = suffix_dedup.remove_repeats(docs, characters=True)
-    cut = cut.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    cut = suffix_dedup.remove_repeats(packed(docs), characters=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length(text).cast("long")
+    return unpacked(cut, docs.columns, changed)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that overlap with an item of ``benchmark``."""
-    return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    """Drops documents that overlap with an item of ``benchmark``; null and empty texts and
+    an empty benchmark overlap with nothing."""
+    rows = decontaminate.without_contaminated(packed(docs), read_table(spark, sf_dir, "benchmark"))
+    return unpacked(rows, docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,10 +79,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each one's rows written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages in order, each one's rows written and read again.
+
+    A stage's folder is removed when the next stage has written its own.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         place = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(place)
         docs = spark.read.parquet(place)
+        if before:
+            delete_path(spark, before)
+        before = place
     return docs
