@@ -776,6 +776,10 @@ UNION ALL SELECT s_name, s_acctbal, NULL, CAST(s_nationkey AS VARCHAR) FROM supp
     "chart_series": ctes(*TO_DENSE, *arima_parts(), FORECASTS) + "," + chart("dense", 20, 20),
     "chart_series_tail": ctes(*TO_DENSE, *arima_parts(), FORECASTS, f"tail AS (SELECT * FROM dense WHERE rn >= n - {HORIZON})") + "," + chart("tail", 5, 5),
     "forecast_job": job(["Linear", "KNN", "ARIMA"], ALL_MODELS, HORIZON),
+    "forecast_job_all": ctes(*TO_STAGED, ROLES)
+    + f"""SELECT ticker, model, horizon, role, {r('y', 3)}, TRUE AS has_forecast
+FROM roles, (VALUES ('Linear'), ('ElasticNet'), ('KNN'), ('XGB_GBT'), ('LGB_RandomForest'), ('LGB_GOSS'), ('ARIMA')) AS m(model)
+WHERE role IN ('validation', 'test')""",
     "forecast_job_fine": job(["Linear", "KNN", "ARIMA"], FINE_PARTS, HORIZON),
     "forecast_company": job(["KNN", "ARIMA"], COMPANY_PARTS, HORIZON),
     "listing_named": f"SELECT * FROM ({CUSTOMER_LISTING}) WHERE name IN ('Customer#000000003', 'Customer#000000007')",

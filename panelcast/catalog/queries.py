@@ -23,7 +23,14 @@ COMPANY = "Customer#000000003"
 COMPANY_PERIOD = 2000
 RUNNING_TIMES = {"Linear": 1.5, "KNN": 2.25, "ARIMA": 0.5}
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+# The models whose forecasts SQL gives as well.
 CHECKED_MODELS = ["Linear", "KNN", "ARIMA"]
+# Fewer trees than the functions' defaults: every tree is several small jobs (README).
+TREE_SETTINGS = {
+    "XGB_GBT": {"trees": 100, "step_size": 0.1},
+    "LGB_RandomForest": {"trees": 20},
+    "LGB_GOSS": {"rounds": 4, "patience": 2, "depths": [4], "min_rows": [5, 20], "step_size": 0.3},
+}
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -503,13 +510,15 @@ def arima_forecast(spark, folder):
 @query
 def gbt_forecast(spark, folder):
     frame = frame_of(spark, folder)
-    return _forecast_rows(trees.gbt_forecast(frame, feat.feature_columns(frame), HORIZON, trees=5))
+    fitted = trees.gbt_forecast(frame, feat.feature_columns(frame), HORIZON, **TREE_SETTINGS["XGB_GBT"])
+    return _forecast_rows(fitted)
 
 
 @query
 def rf_forecast(spark, folder):
     frame = frame_of(spark, folder)
-    return _forecast_rows(trees.forest_forecast(frame, feat.feature_columns(frame), HORIZON, trees=20))
+    fitted = trees.forest_forecast(frame, feat.feature_columns(frame), HORIZON, **TREE_SETTINGS["LGB_RandomForest"])
+    return _forecast_rows(fitted)
 
 
 @query
@@ -524,9 +533,7 @@ def goss_sample(spark, folder):
 @query
 def goss_forecast(spark, folder):
     frame = frame_of(spark, folder)
-    fitted = goss.goss_forecast(
-        frame, feat.feature_columns(frame), horizon=1, rounds=3, depths=[4], min_rows=[5, 20]
-    )
+    fitted = goss.goss_forecast(frame, feat.feature_columns(frame), HORIZON, **TREE_SETTINGS["LGB_GOSS"])
     return _forecast_rows(fitted)
 
 
@@ -624,6 +631,25 @@ def forecast_job(spark, folder):
     return rounded(as_long(job, "horizon"), 5)
 
 
+def _all_predictions(spark, folder):
+    """Forecasts of all seven models for every ticker and step."""
+    return materialize(forecast.predict(frame_of(spark, folder), list(forecast.MODELS), HORIZON, TREE_SETTINGS))
+
+
+@query
+def forecast_job_all(spark, folder):
+    """All seven models: which row each predicted, its label, and whether the forecast is a number."""
+    rows = _all_predictions(spark, folder)
+    known = (F.col("y_hat").isNotNull() & ~F.isnan("y_hat") & (F.abs("y_hat") < 1e9)).alias("has_forecast")
+    return rounded(as_long(rows.select("ticker", "model", "horizon", "role", "y", known), "horizon"), 3)
+
+
+@query
+def leaderboard_all(spark, folder):
+    """The board of all seven models, with the best of them at every step."""
+    return rounded(evaluate.leaderboard(forecast.performance(_all_predictions(spark, folder)), HORIZON))
+
+
 @query
 def forecast_request(spark, folder):
     """The same job as a request: 250 training days and 20 steps ahead."""

@@ -34,6 +34,8 @@ MODELS = {
     "LGB_GOSS": goss_forecast,
     "ARIMA": lambda frame, features, horizon: arima_forecast(frame, horizon),
 }
+#: Settings by model, passed on to its function: numbers of trees, grids, patience.
+Settings = dict[str, dict]
 
 
 def training_start(end: dt.date, train_period: int) -> dt.date:
@@ -60,7 +62,7 @@ def load_frame(market: Market, end: dt.date | None = None, train_period: int | N
     return materialize(model_frame(build_panel(market, start, end)))
 
 
-def predict(frame: DataFrame, models: list[str], horizon: int) -> DataFrame:
+def predict(frame: DataFrame, models: list[str], horizon: int, settings: Settings | None = None) -> DataFrame:
     """Validation and test predictions of the named models."""
     if horizon < 1:
         raise ValueError("horizon must be at least 1")
@@ -69,7 +71,9 @@ def predict(frame: DataFrame, models: list[str], horizon: int) -> DataFrame:
         raise ValueError(f"unknown models {unknown}; choose from {sorted(MODELS)}")
     features = feature_columns(frame)
     tables = [
-        MODELS[name](frame, features, horizon).withColumn("model", F.lit(name)).select(*PREDICTION)
+        MODELS[name](frame, features, horizon, **(settings or {}).get(name, {}))
+        .withColumn("model", F.lit(name))
+        .select(*PREDICTION)
         for name in models
     ]
     return reduce(DataFrame.unionByName, tables)
@@ -106,10 +110,11 @@ def forecast_job(
     horizon: int,
     end: dt.date | None = None,
     train_period: int | None = None,
+    settings: Settings | None = None,
 ) -> DataFrame:
     """Forecast and validation score per ticker, model and step, in one aggregation."""
     end = end or request_date(market)
-    predictions = predict(load_frame(market, end, train_period), models, horizon)
+    predictions = predict(load_frame(market, end, train_period), models, horizon, settings)
     measures = [e.alias(c) for c, e in error_measures().items()]
     is_test = F.col("role") == "test"
     rows = predictions.groupBy("ticker", "model", "horizon").agg(

@@ -13,8 +13,8 @@ FOLDER = "/root/testdata/sf0.001"
 # At the smallest scale a nation trades on few of the 250 days: its regressions are
 # singular there, and the SQL solver, which drops columns, picks other weights.
 FOLDERS = {"forecast_job_fine": "/root/testdata/sf0.01"}
-# Forecasts of tuned models that SQL does not solve.
-ROWS_ONLY = sorted(set(registry()) - set(ORACLES))
+# Forecasts of tuned models that SQL does not solve, and the board of all models.
+ROWS_ONLY = sorted(set(registry()) - set(ORACLES) - {"leaderboard_all"})
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +46,20 @@ def test_model_rows(spark, name):
         assert (row["y"] is None) == (row["role"] == "test")
 
 
+def test_the_board_of_all_models(spark):
+    rows = registry()["leaderboard_all"](spark, FOLDER).collect()
+    by_ticker = {}
+    for r in rows:
+        by_ticker.setdefault(r["ticker"], {})[r["model"]] = r
+    assert len(by_ticker) == 5
+    for board in by_ticker.values():
+        best = board.pop("best_model")
+        assert set(board) == {"Linear", "ElasticNet", "KNN", "XGB_GBT", "LGB_RandomForest", "LGB_GOSS", "ARIMA"}
+        for h in range(1, 6):
+            assert best[f"time_gap_{h}"] == min(r[f"time_gap_{h}"] for r in board.values())
+        assert all(r["avg"] > 0 and r["std"] is not None for r in board.values())
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert {"ticker", "model", "horizon", "date", "forecast", "nmae"} <= set(df.columns)
