@@ -11,16 +11,20 @@ of ``part``, are the whole dialogue, and ``starts_at`` gives where a part begins
 in it. So no task gathers more than a part's turns, and only lengths of parts
 are summed along a conversation.
 
+Markers in a role or a text (``<|`` and ``|>``) are written with a backslash between their
+characters, so nobody's words can open or close a turn; lengths and masks are those of what
+is written. ``speaker`` is the role as given.
+
 Defined cases: a null role speaks as ``unknown``; a null text is empty; turns are
 ordered by number, then by role and text, so repeated turns stay and ties have
 one order; a null turn number makes a part of its own before the others; a null
-conv_id is a conversation; an empty table gives no rows; other columns are
+conv_id is a conversation; texts of any length are rendered whole; an empty table gives no rows; other columns are
 ignored whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = 64
@@ -28,17 +32,22 @@ UNKNOWN = "unknown"
 FIRST = -(2**62)  # the part of turns without a number
 
 
+def escaped(text: Column) -> Column:
+    """Without markers of turns."""
+    return F.replace(F.replace(text, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("\\|>"))
+
+
 def rotate(conversations: DataFrame, part: int = PART) -> DataFrame:
     """conv_id, speaker, part, n_turns, starts_at, rendered, mask, n_masked.
 
     ``mask`` lists ``start-end`` ranges within the part, end excluded.
     """
-    own_head, other_head = "<|assistant|>\n", F.concat(F.lit("<|user name="), F.col("role"), F.lit("|>\n"))
+    own_head, other_head = "<|assistant|>\n", F.concat(F.lit("<|user name="), escaped(F.col("role")), F.lit("|>\n"))
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit(UNKNOWN)).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        escaped(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
     )
     turns = turns.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).withColumn(
         "part", F.coalesce(F.floor(F.col("turn") / part).cast("long"), F.lit(FIRST))
@@ -74,7 +83,7 @@ def rotate(conversations: DataFrame, part: int = PART) -> DataFrame:
     whole = parts.join(starts, ["conv", "part"]).select("*", F.inline("views")).drop("views")
     mine = lambda t: t["role"] == F.col("speaker")
     head = lambda t: F.when(mine(t), own_head).otherwise(
-        F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n"))
+        F.concat(F.lit("<|user name="), escaped(t["role"]), F.lit("|>\n"))
     )
     spans = F.aggregate(
         "turns",

@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars take turns until nothing changes; the number of rounds
     grows with the logarithm of the longest path. Neighbours are never gathered
-    in one row, so a node with very many is spread by the join.
+    in one row; those of a node with very many, two numbers each, meet in one partition of
+    the join, which Spark splits if it is much larger than others (skew join).
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     nodes = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct()

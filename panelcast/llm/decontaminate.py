@@ -13,11 +13,13 @@ no result. Nothing else is broadcast by hint. Documents are read once and their
 texts are never shuffled.
 
 Words are runs of letters and digits, lower-cased (A-Z) ``[0-9a-z\\x80-\\xff]+``.
-An item shorter than the widest mask is looked for as a whole and without
+The masks meet every window of 9 to ``WINDOW`` words with as many substituted words as
+``SIMILARITY`` allows, wherever these are (one of 9 words, two of 10 to 13), so no such
+overlap is missed. An item shorter than the widest mask is looked for as a whole and without
 substitutions; one with fewer than ``MIN_WORDS`` words cannot identify a
 document and matches nothing.
 
-Defined cases: null and empty texts match nothing; a null doc_id is carried
+Defined cases: null and empty texts match nothing; texts of any length are read whole; a null doc_id is carried
 along; repeated rows and ids are judged row by row; repeated items each match;
 empty tables give an empty result; other columns are ignored whatever their
 names.
@@ -36,7 +38,7 @@ from panelcast.llm.textbytes import ALNUM, BASE, LOWER, Powers, Words, mix, text
 from panelcast.session import materialize
 
 #: The masks; 1 marks a word that is hashed.
-MASKS = ["11111", "1101011", "110010111"]
+MASKS = ["11111", "1101011", "110010111", "1100111"]
 WINDOW = 13
 SIMILARITY = 0.8
 MIN_WORDS = 5

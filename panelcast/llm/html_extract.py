@@ -32,7 +32,7 @@ Elements nested deeper than ``DEPTH`` are laid out in the one at that depth: the
 and blocks stay, in order. Pages are read in one pass, whatever they hold; a tag that is
 cut off at the end of the page is no text.
 
-Defined cases: a null or empty html, or one without text, gives an empty text; a null
+Defined cases: pages of any length are read whole; a null or empty html, or one without text, gives an empty text; a null
 url counts as a host of its own; unclosed, misnested and cut off elements end with
 what contains them; repeated page_ids are extracted row by row; ties between paths go
 to the one that more references have, then the first in order of text; an empty table

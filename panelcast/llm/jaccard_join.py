@@ -19,14 +19,17 @@ them and nothing approximate, are found in three steps:
    is too small for their sizes, or all their sets are connected already. What is
    left at the leaves is compared exactly.
 
-The links' connected components give the result. Texts are shuffled once; both
-steps that need them read the same exchange. Shingles are 64-bit hashes of words.
+The links' connected components give the result. Texts are shuffled once, to leave one of
+each class; those of candidates are sent to their tiles as sets of shingles, found among
+all texts by a broadcast of the candidates' ids, or if these take more than
+``BROADCAST_BYTES`` by a second shuffle. Shingles are 64-bit hashes of words.
 
 Defined cases: a text without words (or null) has an empty set and is linked with
 nothing; one with fewer words than a shingle has them all as its only one; rows with
 the same doc_id are one document with several texts, linked through its id; rows with
 a null id are one such document, which comes after all others; ties do not matter,
-as links and components do not depend on order; an empty table gives an empty
+as links and components do not depend on order; texts of any length are shingled whole, one
+at a time; an empty table gives an empty
 result; other columns are ignored whatever their names.
 """
 
@@ -52,6 +55,9 @@ TILE = 1 << 21
 #: Sets of a tile: a task compares pairs of them.
 TILE_SETS = 1 << 12
 BITS = 2048
+#: Candidates are broadcast while they take no more.
+BROADCAST_BYTES = 32 << 20
+CANDIDATE_BYTES = 64
 #: Documents with one key of which every pair is an edge of its own.
 PAIRED = 16
 #: Texts among which frequent shingles are looked for, bits of their filter, and the share
@@ -89,8 +95,8 @@ def sums(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def bitmaps(row: np.ndarray, value: np.ndarray, n: np.ndarray) -> pa.Array:
-    """A bitmap of each row's shingles, of a power of two of bits, at least twice as many."""
-    width = 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    """A bitmap of each row's shingles, of a power of two of bits, at least as many."""
+    width = 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(width >> 3)])
     bits = np.zeros(begin[-1], np.uint8)
     bit = (value & (width[row] - 1).astype(np.uint64)).astype(np.int64)
@@ -517,14 +523,18 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_
     edges = edges.groupBy("a", "b").agg(F.max("star").alias("star"))
     single = classes.groupBy("id").agg(F.count("*").alias("sets"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     single = single.where("sets = 1")
+    pairs = edges = materialize(edges)
     for side in "ab":
         known = single.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-        edges = edges.join(known, side, "left")
-    edges = edges.select("a", "b", "star", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(may_link(per_cent), "a long, b long")
-    candidates = components(materialize(edges))
+        pairs = (pairs if side == "b" else pairs.where(~F.col("star"))).join(known, side, "left")
+    pairs = pairs.select("a", "b", "star", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(may_link(per_cent), "a long, b long")
+    candidates = components(materialize(edges.where("star").select("a", "b").unionAll(pairs)))
     candidates = candidates.join(classes.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node")
     candidates = dealt(candidates).select(F.col("node").alias("id"), F.col("root").alias("component"), "tiles")
-    sets = chosen.join(candidates, "id").select("id", "component", "tiles", "text")
+    candidates = materialize(candidates.join(classes.select("id", "tag").distinct(), "id"))
+    if candidates.count() * CANDIDATE_BYTES <= BROADCAST_BYTES:
+        candidates = F.broadcast(candidates)  # their texts then need no second shuffle
+    sets = rows.join(candidates, ["id", "tag"]).select("id", "component", "tiles", "text")
     sets = sets.mapInArrow(send_sets(size), "id long, component long, tiles int, set array<long>")
     links = materialize(link_candidates(sets, per_cent, buckets))
 

@@ -7,14 +7,15 @@ goes, again and again, as long as the penalised likelihood (log-likelihood minus
 ``PENALTY`` times languages times log of the trigrams) does not fall; what is
 left is the text's language set.
 
-The model has languages x ``BUCKETS`` counts whatever the table holds; at most
-``MAX_LANGUAGES`` labels are accepted (more raise an error), so at most 4 MB are
-gathered and broadcast. Texts are never shuffled.
+The model has languages x ``BUCKETS`` counts however many rows there are: 32 KB for each
+label are gathered, and 16 KB broadcast. A task that has met ``FLUSHED`` labels sends its
+counts and starts anew, so its memory does not grow with the labels. Texts are never
+shuffled.
 
 Defined cases: a null, empty or letterless text is ``und`` with score 0 and no
 languages; a null id is carried along; ties go to the language that sorts first;
 repeated rows are judged row by row; an empty training table makes every text
-``und``; other columns come along, whatever their names.
+``und``; texts of any length are read whole; other columns come along, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from panelcast.llm.textbytes import LOWER, byte_class, mix, text_slices
 
 BUCKETS = 1 << 12
-MAX_LANGUAGES = 256
+FLUSHED = 256
 PENALTY = 4.0
 ROUNDS = 8
 BLOCK = 256  # texts per matrix
@@ -57,25 +58,32 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[whole], bucket
 
 
+def counted(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for name, counts in totals.items():
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(used)), pa.array(used.astype(np.int32)), pa.array(counts[used].astype(np.int64))],
+            names=["lang", "bucket", "n"],
+        )
+
+
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts by language and bucket, all languages of the task at once."""
+    """A task's counts by language and bucket; many languages in several goes."""
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for first, last, data, offsets in text_slices(batch.column("text")):
             names, index = np.unique(np.array(langs[first:last], dtype=object).astype(str), return_inverse=True)
             row, bucket = trigrams(data, offsets)
-            counts = np.bincount(index[row] * BUCKETS + bucket, minlength=len(names) * BUCKETS)
-            for name, own in zip(names.tolist(), counts.reshape(len(names), BUCKETS), strict=True):
+            order = np.argsort(index[row], kind="stable")
+            bounds = np.searchsorted(index[row][order], np.arange(len(names) + 1))
+            for k, name in enumerate(names.tolist()):
+                own = np.bincount(bucket[order[bounds[k] : bounds[k + 1]]], minlength=BUCKETS)
                 totals[name] = totals.get(name, 0) + own
-                if len(totals) > MAX_LANGUAGES:
-                    raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    for name, counts in totals.items():
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * len(used)), pa.array(used.astype(np.int32)), pa.array(counts[used].astype(np.int64))],
-            names=["lang", "bucket", "n"],
-        )
+                if len(totals) >= FLUSHED:
+                    yield from counted(totals)
+                    totals.clear()
+    yield from counted(totals)
 
 
 class Model:
@@ -95,9 +103,7 @@ def train(labelled: DataFrame) -> Model:
         .agg(F.sum("n").alias("n"))
     )
     table = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("own"))
-    found = table.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = table.orderBy("lang").collect()
     matrix = np.zeros((len(found), BUCKETS))
     for own, line in zip(found, matrix, strict=True):
         line[[x["bucket"] for x in own["own"]]] = [x["n"] for x in own["own"]]

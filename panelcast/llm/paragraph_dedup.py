@@ -27,7 +27,7 @@ earlier place, in the one order of all steps, so the first of all stays.
 Texts are shuffled once; the steps that need them read the same exchange. Components
 with very many paragraphs are dealt over tasks in tiles.
 
-Defined cases: null and empty texts have no paragraphs and nothing removed; a text of
+Defined cases: texts of any length are compared whole; null and empty texts have no paragraphs and nothing removed; a text of
 fewer than ``MIN_WORDS`` words always stays; a null id comes after all others; rows with the same id and
 text remove from each other as one document does from itself: their first copy of a
 paragraph stays in every one of them; different texts of one id come in order of a

@@ -2,11 +2,13 @@
 
 Base rules count words, symbols, repeated lines and repeated runs of eight words.
 For every language and source the rows that pass them give a minimum-covariance-
-determinant estimate: starting from medians and quartile ranges of transformed
-statistics, the ``COVERAGE`` of rows with the smallest distances give the next
-mean and covariance, ``STEPS`` times over (each such step can only shrink the
-determinant). A row whose squared Mahalanobis distance exceeds ``CUTOFF`` is
-rejected.
+determinant estimate of transformed statistics. It is looked for from three fixed starts:
+medians and quartile ranges; the covariance of spatial signs around the medians; mean and
+covariance of the half of rows nearest to the medians. From each, the ``COVERAGE`` of rows
+with the smallest distances give the next mean and covariance, until no determinant changes
+any more by ``SETTLED`` (each step can only shrink it) or ``STEPS`` steps are done. Of a
+group's estimates the one with the smallest determinant is taken. A row whose squared
+Mahalanobis distance exceeds ``CUTOFF`` is rejected.
 
 Statistics: log of the mean word length; square roots of symbols, repeated lines
 and repeated words per word. A standard deviation is at least ``FLOOR``, so statistics
@@ -21,7 +23,7 @@ and have a fixed size. Estimates are joined back by group and a salt, so that a
 group with a third of all rows is dealt over ``SALT`` tasks, and a level's larger
 groups over ``WIDE_SALT``.
 
-Defined cases: null and empty texts have no words and fail the base rules; null
+Defined cases: texts of any length are counted whole; null and empty texts have no words and fail the base rules; null
 and empty lang (source) are one group; a table with fewer than ``LEAST``
 rows that pass has no estimate and keeps them; a null doc_id stays; repeated rows count and are
 judged one by one; ties in distance are all in or all out of a step's subset; an
@@ -47,7 +49,9 @@ COVERAGE = 0.75
 #: E(d2) of the inner three quarters of a normal with four dimensions is short
 #: of the whole by this factor.
 CONSISTENCY = 1.4866
-STEPS = 3
+STEPS = 10
+SETTLED = 1e-3  # of the logarithm of a determinant
+HALF = 0.5
 CUTOFF = 23.5  # one in ten thousand of a normal with four dimensions
 LEAST = 30
 SALT = 32
@@ -60,6 +64,7 @@ BINS = 16
 DIMENSIONS = 4
 X = [f"x{i}" for i in range(DIMENSIONS)]
 GROUP = ["level", "lang", "source"]
+RUN = [*GROUP, "start"]
 ESTIMATE = [f"m{i}" for i in range(DIMENSIONS)] + [f"c{i}{j}" for i in range(DIMENSIONS) for j in range(i + 1)]
 PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
 
@@ -193,14 +198,13 @@ def medians(rows: DataFrame) -> DataFrame:
 
 
 def moments(rows: DataFrame) -> DataFrame:
-    """Per group: mean and covariance of the rows."""
-    sums = rows.groupBy(*GROUP).agg(
-        F.count("*").alias("n"),
+    """Per group and start: mean and covariance of the rows."""
+    sums = rows.groupBy(*RUN).agg(
         *[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)],
         *[F.covar_pop(X[i], X[j]).alias(f"v{i}{j}") for i, j in PAIRS],
     )
     return sums.select(
-        *GROUP, "n", *[f"m{i}" for i in range(DIMENSIONS)],
+        *RUN, *[f"m{i}" for i in range(DIMENSIONS)],
         *[(F.col(f"v{i}{j}") * CONSISTENCY).alias(f"c{i}{j}") for i, j in PAIRS],
     )
 
@@ -212,39 +216,93 @@ def factor(estimates: DataFrame) -> DataFrame:
         rest = F.col(f"c{i}{j}") - reduce(add, done) if done else F.col(f"c{i}{j}")
         value = F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}")
         estimates = estimates.withColumn(f"l{i}{j}", value)
-    return estimates.select(
-        *GROUP, *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{j}" for i, j in PAIRS]
-    )
+    keys = [c for c in RUN if c in estimates.columns]
+    return estimates.select(*keys, *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{j}" for i, j in PAIRS])
+
+
+def log_determinants(estimates: DataFrame) -> DataFrame:
+    """Per group and start the logarithm of the covariance's determinant."""
+    size = reduce(add, [2 * F.log(f"l{i}{i}") for i in range(DIMENSIONS)])
+    return factor(estimates).select(*RUN, size.alias("size"))
 
 
-def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Adds ``d2``, null for groups without an estimate."""
+def standardised(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+    """Adds z0.., a row for each start; null for groups without an estimate if they stay."""
     spread = factor(estimates).select("*", salts())
-    out = rows.join(spread, [*GROUP, "salt"], "left")
+    out = rows.join(spread, [*GROUP, "salt"], how)
     for i in range(DIMENSIONS):
         done = [F.col(f"l{i}{k}") * F.col(f"z{k}") for k in range(i)]
         shift = F.col(f"x{i}") - F.col(f"m{i}")
         out = out.withColumn(f"z{i}", (shift - reduce(add, done) if done else shift) / F.col(f"l{i}{i}"))
-    d2 = reduce(add, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIMENSIONS)])
-    return out.select(*rows.columns, d2.alias("d2"))
+    return out
+
+
+def squared() -> Column:
+    return reduce(add, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIMENSIONS)])
+
+
+def distances(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+    """Adds ``d2``, and ``start`` if the estimates have one."""
+    extra = ["start"] if "start" in estimates.columns else []
+    return standardised(rows, estimates, how).select(*rows.columns, *extra, squared().alias("d2"))
+
+
+def signs(rows: DataFrame, middle: DataFrame) -> DataFrame:
+    """Per group the medians, and the covariance of the rows' directions from them."""
+    turned = standardised(rows, middle).withColumn("d2", squared()).where("d2 > 0")
+    keys = [*GROUP, *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{i}" for i in range(DIMENSIONS)]]
+    sums = turned.groupBy(*keys).agg(
+        *[F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("d2")).alias(f"v{i}{j}") for i, j in PAIRS]
+    )
+    return sums.select(
+        *GROUP, *[f"m{i}" for i in range(DIMENSIONS)],
+        *[(DIMENSIONS * F.col(f"v{i}{j}") * F.col(f"l{i}{i}") * F.col(f"l{j}{j}")).alias(f"c{i}{j}") for i, j in PAIRS],
+    )
+
 
+def starts(rows: DataFrame, middle: DataFrame) -> DataFrame:
+    """The estimates that steps begin with, numbered by ``start``."""
+    columns = [*GROUP, *ESTIMATE]
+    first = middle.select(*columns, F.lit(0).alias("start"))
+    turned = signs(rows, middle).select(*columns, F.lit(1).alias("start"))
+    near = distances(rows, middle).withColumn("start", F.lit(2))
+    half = moments(inner(near, HALF)).select(*columns, "start")
+    return first.unionByName(turned).unionByName(half)
 
-def inner(rows: DataFrame) -> DataFrame:
-    """The ``COVERAGE`` of each group's rows with the smallest ``d2``."""
+
+def inner(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """The rows with the smallest ``d2``, a share of ``coverage`` for each group and start."""
     rows = rows.where("d2 IS NOT NULL").withColumn(
         "bin", F.floor(F.log2(F.col("d2") + 1e-6) * BINS).cast("long")
     )
-    bins = rows.groupBy(*GROUP, "bin").agg(F.count("*").alias("n"))
-    group = Window.partitionBy(*GROUP)
+    bins = rows.groupBy(*RUN, "bin").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*RUN)
     cut = (
         bins.withColumn("upto", F.sum("n").over(group.orderBy("bin")))
         .withColumn("all", F.sum("n").over(group))
-        .where(F.col("upto") >= COVERAGE * F.col("all"))
-        .groupBy(*GROUP)
+        .where(F.col("upto") >= coverage * F.col("all"))
+        .groupBy(*RUN)
         .agg(F.min("bin").alias("cut"))
         .select("*", salts())
     )
-    return rows.join(cut, [*GROUP, "salt"]).where(F.col("bin") <= F.col("cut")).drop("bin", "cut", "d2")
+    return rows.join(cut, [*RUN, "salt"]).where(F.col("bin") <= F.col("cut")).drop("bin", "cut", "d2")
+
+
+def smallest(rows: DataFrame, middle: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Per group the estimate of the smallest determinant that the starts lead to."""
+    estimates = materialize(starts(rows, middle))
+    sizes = materialize(log_determinants(estimates))
+    for _ in range(steps):
+        estimates = materialize(moments(inner(distances(rows, estimates))))
+        now = materialize(log_determinants(estimates))
+        change = F.abs(F.col("size") - F.col("before"))
+        before = sizes.withColumnRenamed("size", "before")
+        moved, sizes = now.join(before, RUN).agg(F.max(change)).first()[0], now
+        if moved is None or moved < SETTLED:
+            break
+    ranked = estimates.join(sizes, RUN).groupBy(*GROUP)
+    best = ranked.agg(F.min_by(F.struct(*ESTIMATE), F.struct(F.round("size", 9), "start")).alias("best"))
+    return best.select(*GROUP, "best.*")
 
 
 def chosen(groups: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -262,14 +320,12 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> DataFr
     stats = base_statistics(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(WIDE_SALT)).cast("int"))
     stats = materialize(stats)
     rows = levels(stats.where(~F.col("base_failed")).select("lang", "source", "salt", *transformed()))
-    starts = materialize(medians(rows))
-    groups = starts.where("level = 0").select("lang", "source")
-    estimates = starts.where(F.col("n") >= LEAST)
-    for _ in range(steps):
-        estimates = materialize(moments(inner(distances(rows, estimates))))
+    middle = materialize(medians(rows))
+    groups = middle.where("level = 0").select("lang", "source")
+    estimates = materialize(smallest(rows, middle.where(F.col("n") >= LEAST), steps))
     passed = stats.where(~F.col("base_failed")).select("*", *transformed())
     passed = passed.withColumn("level", F.lit(0)).withColumn("salt", F.col("salt") % SALT)
-    judged = distances(passed, chosen(groups, estimates)).drop(*X, "level")
+    judged = distances(passed, chosen(groups, estimates), "left").drop(*X, "level")
     failed = stats.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
     verdict = F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return (

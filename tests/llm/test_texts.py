@@ -1,6 +1,8 @@
 """Operators on texts against brute force, on small tables with every odd case."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -478,3 +480,88 @@ def test_bitmaps_rule_out_no_link():
         common = len(np.intersect1d(a, b))
         if 100 * common >= 80 * (len(a) + len(b) - common):
             assert kept
+
+
+@pytest.mark.parametrize("window", range(9, 14))
+def test_masks_meet_every_allowed_pattern(window):
+    allowed = window - math.ceil(window * decontaminate.SIMILARITY)
+    for count in range(allowed + 1):
+        for changed in itertools.combinations(range(window), count):
+            whole = [j not in changed for j in range(window)]
+            assert any(
+                all(whole[at + j] for j, bit in enumerate(mask) if bit == "1")
+                for mask in decontaminate.MASKS
+                for at in range(window - len(mask) + 1)
+            ), changed
+
+
+def test_items_of_ten_and_eleven_words_with_two_changes(spark):
+    rng = random.Random(3)
+    docs, items, want = [], [], set()
+    for size in (10, 11):
+        for number, changed in enumerate(itertools.combinations(range(size), 2)):
+            key = 100 * size + number
+            item = [f"w{key}x{j}" for j in range(size)]
+            text = [f"o{key}" if j in changed else w for j, w in enumerate(item)]
+            items.append((key, " ".join(item)))
+            docs.append((key, " ".join(["before"] * rng.randint(0, 5) + text + ["after"])))
+            want.add((key, key))
+    rows = decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    assert {(r.doc_id, r.item_id) for r in rows.collect()} == want
+
+
+def test_any_number_of_languages(spark):
+    rng = random.Random(8)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(300):
+        syllables = ["".join(rng.choices(alphabet, k=3)) for _ in range(6)]
+        for j in range(3):
+            text = " ".join("".join(rng.choices(syllables, k=2)) for _ in range(60))
+            rows.append((3 * k + j, text, f"l{k:03d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = language.train(docs.where("doc_id % 3 <> 2"))
+    assert len(model.langs) == 300
+    asked = docs.where("doc_id % 3 = 2 AND doc_id % 30 = 2")
+    told = language.identify(asked, model).collect()
+    assert sum(r.lang == r.lang_pred for r in told) / len(told) > 0.9
+
+
+def test_many_rows_without_an_id_keep_their_own_bytes(spark):
+    """Rows that share an id (all null ones do) are told apart by 64 bits of their text."""
+    shared = "".join(chr(97 + i % 26) for i in range(60))
+    rows = [(None, f"{i:05d}" + shared if i % 1000 == 0 else f"{i:05d} text of its own") for i in range(20_000)]
+    table = spark.createDataFrame([(1, shared), *rows], "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(table).collect()
+    kept = Counter(bytes(r.kept).decode() for r in got)
+    want = Counter([shared] + [t[:5] if i % 1000 == 0 else t for i, (_, t) in enumerate(rows)])
+    assert kept == want
+
+
+def test_determinant_is_the_smallest_of_all_subsets(spark):
+    """On small groups the search is held against every subset of three quarters of the rows."""
+    rng = np.random.default_rng(12)
+    rows, best = [], {}
+    for group in range(6):
+        x = rng.normal(size=(12, 4)) @ rng.normal(size=(4, 4)) + 3
+        x[9:] += rng.normal(size=4) * 25
+        rows += [(0, "en", f"s{group}", i % quality.SALT, *map(float, line)) for i, line in enumerate(x)]
+        sizes = []
+        for subset in itertools.combinations(range(12), 9):
+            cov = np.cov(x[list(subset)].T, bias=True) * quality.CONSISTENCY
+            sizes.append((np.linalg.slogdet(cov)[1], subset))
+        best[f"s{group}"] = min(sizes)
+    table = spark.createDataFrame(rows, "level int, lang string, source string, salt int, x0 double, x1 double, x2 double, x3 double")
+    middle = quality.medians(table)
+    found = quality.smallest(table, middle).withColumn("start", quality.F.lit(0))
+    sizes = {r.source: r["size"] for r in quality.log_determinants(found).collect()}
+    hits = 0
+    for source, (size, subset) in best.items():
+        assert subset == tuple(range(9))  # the planted rows stay out
+        assert sizes[source] > size - 1e-6
+        hits += abs(sizes[source] - size) < 1e-6
+    assert hits >= 5
+    far = quality.distances(table, found.drop("start")).where("d2 > 100").groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in far} == dict.fromkeys(best, 3)
