@@ -460,6 +460,9 @@ METRIC_NAMES = (
 KNOWN_METRICS = {
     "yoy_avg_revenue": "avg(g)", "yoy_avg_operating_income": "avg(h)", "revenue": "arg_max(revenue, y)",
     "operating_income": "arg_max(income, y)", "operating_margin": "arg_max(income, y) / arg_max(revenue, y)",
+    "quick_ratio": "arg_max_null(settled, y) / nullif(arg_max(revenue, y) - arg_max_null(settled, y), 0)",
+    "receivable_turnover_ratio": "arg_max(revenue, y) / nullif(arg_max_null(open, y), 0)",
+    "cfo_to_earnings": "arg_max_null(cash, y) / nullif(arg_max(income, y), 0)",
 }
 METRIC_ROWS = (
     """
@@ -467,11 +470,20 @@ line_income AS (
   SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(5,2)))) AS income
   FROM lineitem GROUP BY 1
 ),
-yearly AS (
-  SELECT n_name AS company, year(o_orderdate) AS y, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue, CAST(sum(income) AS DOUBLE) AS income
+sold AS (
+  SELECT n_name AS company, year(o_orderdate) AS y, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue, CAST(sum(income) AS DOUBLE) AS income,
+    CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE o_orderstatus = 'O') AS DOUBLE) AS open,
+    CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE o_orderstatus = 'F') AS DOUBLE) AS settled
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN line_income ON l_orderkey = o_orderkey
   GROUP BY ALL
 ),
+flown AS (
+  SELECT n_name AS company, year(l_shipdate) AS y,
+    CAST(sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * (CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(5,2))))) AS DOUBLE) AS cash
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN lineitem ON l_orderkey = o_orderkey
+  GROUP BY ALL
+),
+yearly AS (SELECT * FROM sold LEFT JOIN flown USING (company, y)),
 grown AS (SELECT *, revenue / lag(revenue) OVER w - 1 AS g, income / lag(income) OVER w - 1 AS h FROM yearly WINDOW w AS (PARTITION BY company ORDER BY y)),
 metric_rows AS ("""
     + " UNION ALL ".join(
@@ -533,11 +545,19 @@ CORR = " UNION ALL ".join(
 CUSTOMER_LISTING = """SELECT c_name AS name, lpad(CAST(c_custkey AS VARCHAR), greatest(6, length(CAST(c_custkey AS VARCHAR)))::INTEGER, '0') AS code, c_mktsegment AS market FROM customer"""
 SUPPLIER_LISTING = """SELECT s_name AS name, lpad(CAST(s_suppkey AS VARCHAR), greatest(6, length(CAST(s_suppkey AS VARCHAR)))::INTEGER, '0') AS code, 'SUPPLIER' AS market FROM supplier"""
 
-STATEMENTS = """
-SELECT r_name AS sector, n_name AS company, 'cis' AS statement, o_orderpriority AS label,
+OWNED = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+EARNED = "CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(5,2)))"
+CASH = f"CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * ({EARNED})"
+STATEMENTS = " UNION ALL ".join(
+    f"""
+SELECT r_name AS sector, n_name AS company, '{statement}' AS statement, {label} AS label,
   make_date(year(o_orderdate), 12, 31) AS period, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS value
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-GROUP BY ALL"""
+FROM {OWNED} GROUP BY ALL"""
+    for statement, label in (("cis", "o_orderpriority"), ("bs", "'orders ' || o_orderstatus"))
+) + f"""
+UNION ALL SELECT r_name, n_name, 'cf', CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'shipped' END AS label,
+  make_date(year(l_shipdate), 12, 31) AS period, round(CAST(sum({CASH}) AS DOUBLE), 2)
+FROM {OWNED} JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL"""
 
 SHIFTS = ", ".join(
     f"{plus_days('date', str(n))} AS plus_{n}, {minus_days('date', str(n))} AS minus_{n}" for n in (1, 5, 20, 250)
@@ -790,7 +810,7 @@ WHERE role IN ('validation', 'test')""",
     + forecast_rows("net", ", 1.0::DOUBLE AS alpha, 0.5::DOUBLE AS l1_ratio"),
     "grid_linspace": f"""SELECT ticker, a * 9 + b AS grid_ord, round(0.001::DOUBLE + a * (999.999::DOUBLE / 99), 9) AS alpha, (b + 1) / 10.0::DOUBLE AS l1_ratio
 FROM (SELECT DISTINCT c_mktsegment AS ticker FROM customer JOIN orders ON o_custkey = c_custkey), range(100) g(a), range(9) k(b)""",
-    "company_page": f"""WITH stored AS ({STATEMENTS}), {METRIC_ROWS}
+    "company_page": f"""WITH stored AS ({STATEMENTS.replace(', 2)', ', 4)')}), {METRIC_ROWS}
 SELECT company, statement AS part, label, period, value FROM stored WHERE company = (SELECT min(company) FROM stored)
 UNION ALL SELECT company, 'metrics', metric, CAST(NULL AS DATE), value FROM metric_rows WHERE company = (SELECT min(company) FROM stored)""",
     "forecast_request": job(["Linear", "KNN", "ARIMA"], REQUEST_PARTS, 20),

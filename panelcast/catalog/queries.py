@@ -29,7 +29,14 @@ CHECKED_MODELS = ["Linear", "KNN", "ARIMA"]
 TREE_SETTINGS = {
     "XGB_GBT": {"trees": 100, "step_size": 0.1},
     "LGB_RandomForest": {"trees": 20},
-    "LGB_GOSS": {"rounds": 4, "patience": 2, "depths": [4], "min_rows": [5, 20], "step_size": 0.3},
+    "LGB_GOSS": {"rounds": 2, "patience": 1, "depths": [4], "min_rows": [5, 20], "step_size": 0.3},
+}
+# In the job of all models each of them has one grid point, so no fits on folds but the
+# boosted trees' own, which give their number.
+JOB_SETTINGS = {
+    "XGB_GBT": {"trees": 10, "step_size": 0.3, "min_rows": [3]},
+    "LGB_RandomForest": {"trees": 10, "depths": [4]},
+    "LGB_GOSS": {"rounds": 2, "patience": 1, "depths": [4], "min_rows": [5], "step_size": 0.3},
 }
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -633,7 +640,7 @@ def forecast_job(spark, folder):
 
 def _all_predictions(spark, folder):
     """Forecasts of all seven models for every ticker and step."""
-    return materialize(forecast.predict(frame_of(spark, folder), list(forecast.MODELS), HORIZON, TREE_SETTINGS))
+    return materialize(forecast.predict(frame_of(spark, folder), list(forecast.MODELS), HORIZON, JOB_SETTINGS))
 
 
 @query

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelcast.session import materialize
 
+# Codes of a column that are broadcast, and what a code takes beside its value.
+BROADCAST_BYTES = 32 << 20
+CODE_BYTES = 48
+
 
 def ordinal_codes(values: DataFrame) -> DataFrame:
     """Number the sorted distinct non-null values of ``(col, value)`` from 0 per ``col``.
@@ -57,12 +61,21 @@ def fit_label_encoder(df: DataFrame, columns: list[str], preset: DataFrame | Non
 
 
 def apply_label_encoder(df: DataFrame, dictionary: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace values by codes; values the dictionary lacks become NULL."""
+    """Replace values by codes; values the dictionary lacks become NULL.
+
+    The codes of a column are broadcast while they take less than ``BROADCAST_BYTES``, so a
+    category with most of the rows stays where its rows are. Beyond, the join is left to
+    Spark, which splits the rows of such a category (skew join).
+    """
     order = df.columns
+    size = F.sum(F.octet_length("value") + CODE_BYTES)
+    sizes = {r["col"]: r["size"] for r in dictionary.groupBy("col").agg(size.alias("size")).collect()}
     for c in columns:
         codes = dictionary.where(F.col("col") == c).select(
             F.col("value").alias("_value"), F.col("code").alias("_code")
         )
+        if sizes.get(c, 0) <= BROADCAST_BYTES:
+            codes = F.broadcast(codes)
         df = df.join(codes, df[c].cast("string") == F.col("_value"), "left")
         df = df.drop(c, "_value").withColumnRenamed("_code", c)
     return df.select(*order)

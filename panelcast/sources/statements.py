@@ -19,8 +19,8 @@ METRICS = [
 ]
 
 
-def order_statements(spark: SparkSession, folder: str) -> DataFrame:
-    """Yearly order value by priority: region is the sector, nation the company."""
+def _placed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with the nation and region of their customer as company and sector."""
     orders = read_table(spark, folder, "orders")
     customer = read_table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     places = (
@@ -28,17 +28,54 @@ def order_statements(spark: SparkSession, folder: str) -> DataFrame:
         .join(read_table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("n_nationkey", F.col("n_name").alias("company"), F.col("r_name").alias("sector"))
     )
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
+        places, F.col("c_nationkey") == F.col("n_nationkey")
+    )
+
+
+def _earned():
+    """What a line brings in after its discount."""
+    price, discount = F.col("l_extendedprice").cast(PRICE), F.col("l_discount").cast("decimal(5,2)")
+    return price * (F.lit(1).cast("decimal(1,0)") - discount)
+
+
+def _year_end(day: str):
+    return F.make_date(F.year(day), F.lit(12), F.lit(31)).alias("period")
+
+
+def _cash_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with their company: goods that came back count against what was shipped."""
+    lines = read_table(spark, folder, "lineitem").select("l_orderkey", "l_returnflag", "l_shipdate", _earned().alias("earned"))
+    orders = _placed_orders(spark, folder).select("o_orderkey", "sector", "company")
+    returned = F.col("l_returnflag") == "R"
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "sector",
+        "company",
+        F.when(returned, "returned").otherwise("shipped").alias("label"),
+        "l_shipdate",
+        F.when(returned, -F.col("earned")).otherwise(F.col("earned")).alias("cash"),
+    )
+
+
+def order_statements(spark: SparkSession, folder: str) -> DataFrame:
+    """The three yearly statements: region is the sector, nation the company.
+
+    Income (``cis``): order value by priority. Balance (``bs``): order value by status, what
+    is open or settled of the year's orders. Cash flow (``cf``): discounted value of the
+    lines shipped, and of those that were returned, as a negative number.
+    """
+    placed = _placed_orders(spark, folder)
+    value = F.sum(F.col("o_totalprice").cast(PRICE)).cast("double").alias("value")
+    keys = ["sector", "company"]
+
+    def by(statement: str, label) -> DataFrame:
+        return placed.groupBy(*keys, F.lit(statement).alias("statement"), label.alias("label"), _year_end("o_orderdate")).agg(value)
+
+    cash = _cash_lines(spark, folder).groupBy(*keys, F.lit("cf").alias("statement"), "label", _year_end("l_shipdate"))
     return (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-        .groupBy(
-            "sector",
-            "company",
-            F.lit("cis").alias("statement"),
-            F.col("o_orderpriority").alias("label"),
-            F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31)).alias("period"),
-        )
-        .agg(F.sum(F.col("o_totalprice").cast(PRICE)).cast("double").alias("value"))
+        by("cis", F.col("o_orderpriority"))
+        .unionByName(by("bs", F.concat(F.lit("orders "), F.col("o_orderstatus"))))
+        .unionByName(cash.agg(F.sum("cash").cast("double").alias("value")))
     )
 
 
@@ -71,7 +108,7 @@ def _bucketed(statements: DataFrame, buckets: int) -> DataFrame:
 def write_statements(statements: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Store all companies anew, in ``buckets`` folders and a file for each, so that a million
     companies make no million files and a lookup reads one folder."""
-    stored = _bucketed(statements, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "company", "statement")
+    stored = _bucketed(statements, buckets).repartition("bucket").sortWithinPartitions("bucket", "company", "statement")
     stored.write.mode("overwrite").partitionBy("buckets", "bucket").parquet(path)
 
 
@@ -92,7 +129,7 @@ def publish_statements(statements: DataFrame, path: str, buckets: int = BUCKETS)
     touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
     others = stored.where(F.col("bucket").isin(touched)).join(new.select("company").distinct(), "company", "left_anti")
     rows = materialize(others.select(*new.columns).unionByName(new))
-    rows = rows.repartition(max(1, len(touched)), "bucket").sortWithinPartitions("bucket", "company", "statement")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "company", "statement")
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("buckets", "bucket").parquet(path)
 
@@ -214,34 +251,52 @@ def transpose_metrics(metrics: DataFrame, key: str) -> DataFrame:
 def order_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """The row of metrics per company from its yearly orders; those without a source are NULL.
 
-    Revenue is the order value, operating income the discounted value of the
-    orders' lines. Growth is the mean over the years, NULL for a single year.
+    Revenue is the order value, operating income the discounted value of the orders'
+    lines. Growth is the mean over the years, NULL for a single year. Of the last year
+    with orders: the quick ratio is settled over other order value, receivables turn over
+    by revenue over open order value, and cash flow is what was shipped less returns.
     """
     customer = read_table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     nation = read_table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("company"))
     owner = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "company")
     orders = read_table(spark, folder, "orders").join(owner, F.col("o_custkey") == F.col("c_custkey"))
-    placed = orders.select("o_orderkey", "company", F.year("o_orderdate").alias("year"), F.col("o_totalprice").cast(PRICE).alias("price"))
-    lines = read_table(spark, folder, "lineitem")
-    price, discount = F.col("l_extendedprice").cast(PRICE), F.col("l_discount").cast("decimal(5,2)")
-    earned = lines.groupBy("l_orderkey").agg(F.sum(price * (F.lit(1).cast("decimal(1,0)") - discount)).alias("income"))
+    placed = orders.select(
+        "o_orderkey", "company", "o_orderstatus", F.year("o_orderdate").alias("year"), F.col("o_totalprice").cast(PRICE).alias("price")
+    )
+    earned = read_table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sum(_earned()).alias("income"))
+
+    def paid(status: str):
+        return F.sum(F.when(F.col("o_orderstatus") == status, F.col("price"))).cast("double")
+
+    cash = _cash_lines(spark, folder).groupBy("company", F.year("l_shipdate").alias("year"))
     yearly = (
         placed.join(earned, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .groupBy("company", "year")
-        .agg(F.sum("price").cast("double").alias("revenue"), F.sum("income").cast("double").alias("operating_income"))
+        .agg(
+            F.sum("price").cast("double").alias("revenue"),
+            F.sum("income").cast("double").alias("operating_income"),
+            paid("O").alias("open"),
+            paid("F").alias("settled"),
+        )
+        .join(cash.agg(F.sum("cash").cast("double").alias("cash")), ["company", "year"], "left")
     )
     by_year = Window.partitionBy("company").orderBy("year")
 
     def growth(name: str):
         return F.try_divide(F.col(name), F.lag(name).over(by_year)) - 1
 
+    def last(name: str):
+        return F.max_by(name, "year")
+
     grown = yearly.withColumns({f"{name}_growth": growth(name) for name in ("revenue", "operating_income")})
-    margin = F.try_divide(F.max_by("operating_income", "year"), F.max_by("revenue", "year"))
     known = grown.groupBy("company").agg(
         F.avg("revenue_growth").alias("yoy_avg_revenue"),
         F.avg("operating_income_growth").alias("yoy_avg_operating_income"),
-        F.max_by("revenue", "year").alias("revenue"),
-        F.max_by("operating_income", "year").alias("operating_income"),
-        margin.alias("operating_margin"),
+        F.try_divide(last("settled"), last("revenue") - last("settled")).alias("quick_ratio"),
+        F.try_divide(last("revenue"), last("open")).alias("receivable_turnover_ratio"),
+        last("revenue").alias("revenue"),
+        last("operating_income").alias("operating_income"),
+        F.try_divide(last("operating_income"), last("revenue")).alias("operating_margin"),
+        F.try_divide(last("cash"), last("operating_income")).alias("cfo_to_earnings"),
     )
     return known.select("company", *[F.col(m) if m in known.columns else F.lit(None).cast("double").alias(m) for m in METRICS])

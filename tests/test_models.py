@@ -11,6 +11,7 @@ from panelcast.operators import evaluate
 from panelcast.operators import features as feat
 from panelcast.operators import panel
 from panelcast.plans import forecast
+from panelcast.sources import market
 
 HORIZON = 3
 
@@ -216,6 +217,54 @@ def test_validation_does_not_see_its_label(spark, data):
         assert tables[1][key] == pytest.approx(value, rel=1e-9)
 
 
+def net_weights(x, y, alphas, ratios):
+    """Coordinate descent on the rows' own products, for all penalties at once."""
+    n, p = x.shape
+    gram, cross = x.T @ x / n, x.T @ y / n
+    w = np.zeros((len(alphas), p))
+    for _ in range(3000):
+        before = w.copy()
+        for j in range(p):
+            partial = cross[j] - w @ gram[:, j] + w[:, j] * gram[j, j]
+            shrunk = np.sign(partial) * np.maximum(np.abs(partial) - alphas * ratios, 0)
+            w[:, j] = shrunk / (gram[j, j] + alphas * (1 - ratios)) if gram[j, j] > 1e-12 else 0.0
+        if np.abs(w - before).max() <= 1e-9 * max(np.abs(w).max(), 1e-12):
+            break
+    return w
+
+
+def test_tuned_elastic_net_on_the_given_tables(spark):
+    """The whole grid and all folds of the registered query, from the rows, at sf0.01."""
+    loaded = forecast.load_frame(market.load_market(spark, "/root/testdata/sf0.01"))
+    columns = feat.feature_columns(loaded)
+    got = predicted(elasticnet.elasticnet_forecast(loaded, columns, 3))
+    alphas = np.repeat(elasticnet.ALPHAS, len(elasticnet.RATIOS))
+    ratios = np.tile(elasticnet.RATIOS, len(elasticnet.ALPHAS))
+    for ticker, g in list(by_ticker(loaded).items())[:2]:
+        x, price = g[columns].to_numpy(), g["price"].to_numpy()
+        for h in (1, 3):
+            n = len(g) - 2 * h
+            y = np.append(price[h:], [np.nan] * h)
+            scale = x[:n].std(axis=0)
+            scale = np.where(scale < 1e-12, 1.0, scale)
+            z = x / scale
+            errors = np.zeros(len(alphas))
+            for fold in range(5):
+                rows, at = slice(0, n - 6 + fold), n - 5 + fold
+                centre, level = z[rows].mean(axis=0), y[rows].mean()
+                w = net_weights(z[rows] - centre, y[rows] - level, alphas, ratios)
+                errors += np.abs(y[at] - level - w @ (z[at] - centre)) / 5
+            for role, last, asked in (("validation", n, len(g) - h - 1), ("test", len(g) - h, len(g) - 1)):
+                row = got[ticker, h, role]
+                point = int(np.argmin(np.abs(alphas - row["alpha"]) + np.abs(ratios - row["l1_ratio"])))
+                assert errors[point] <= errors.min() * (1 + 1e-3)
+                own = x[:last].std(axis=0)
+                own = np.where(own < 1e-12, 1.0, own)
+                centre, level = x[:last].mean(axis=0), y[:last].mean()
+                w = net_weights((x[:last] - centre) / own, y[:last] - level, alphas[[point]], ratios[[point]])[0]
+                assert row["y_hat"] == pytest.approx(level + w @ ((x[asked] - centre) / own), rel=1e-4)
+
+
 def test_error_measures(spark):
     rng = np.random.default_rng(5)
     y, p = rng.normal(10, 3, 50), rng.normal(10, 3, 50)

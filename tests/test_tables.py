@@ -191,7 +191,7 @@ def test_statements_round_trip_prunes_folders(spark, tmp_path):
     statements.write_statements(table, path)
     company = table.first()["company"]
     one = statements.read_statements(spark, path, company, "cis")
-    assert one.count() == table.where(F.col("company") == company).count() > 0
+    assert one.count() == table.where((F.col("company") == company) & (F.col("statement") == "cis")).count() > 0
     plan = one._jdf.queryExecution().executedPlan().toString()
     pruned = plan.split("PartitionFilters: [")[1].split("], PushedFilters")[0]
     assert "bucket" in pruned and f"EqualTo(company,{company})" in plan
