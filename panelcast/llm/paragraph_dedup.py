@@ -16,7 +16,7 @@ are. What is compared are paragraphs, runs of pieces of one text:
 2. Of each wording left, MinHash signatures of its sets of ``SHINGLE`` words are cut
    into ``BANDS`` bands of ``ROWS`` values; paragraphs that share a band are candidates,
    grouped by connected components. Those of a similarity of 0.8 meet with a probability
-   of 0.997, those of 0.2 with 0.06, and nothing is compared that shares no band.
+   of 0.995, those of 0.2 with 0.016, and nothing is compared that shares no band.
 3. Within components, exact Jaccard similarity of the sets is verified; the links'
    components are clusters, of which the first paragraph stays and the others go,
    except those that overlap with the first in the same text.
@@ -55,10 +55,10 @@ SHINGLE = 5
 PER_CENT = 80
 MIN_WORDS = 10
 SENTENCE = 4  # words from one mark to the next; shorter ones go with what follows
-ROWS = 3
-BANDS = 8
+ROWS = 4
+BANDS = 10
 #: Paragraphs of a tile: a task compares pairs of them.
-TILE_SETS = 1 << 10
+TILE_SETS = 1 << 13
 #: Bytes of a key that are sent: all where equal keys mean equal paragraphs, fewer for bands,
 #: whose paragraphs are compared (the bucket stands for some bits more).
 WHOLE_KEY, BAND_KEY = 8, 5
