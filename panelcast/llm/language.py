@@ -75,11 +75,12 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for first, last, data, offsets in text_slices(batch.column("text")):
             names, index = np.unique(np.array(langs[first:last], dtype=object).astype(str), return_inverse=True)
             row, bucket = trigrams(data, offsets)
-            order = np.argsort(index[row], kind="stable")
-            bounds = np.searchsorted(index[row][order], np.arange(len(names) + 1))
-            for k, name in enumerate(names.tolist()):
-                own = np.bincount(bucket[order[bounds[k] : bounds[k + 1]]], minlength=BUCKETS)
-                totals[name] = totals.get(name, 0) + own
+            for low in range(0, len(names), FLUSHED):
+                own, chunk = index[row] - low, names[low : low + FLUSHED].tolist()
+                inside = (own >= 0) & (own < len(chunk))
+                counts = np.bincount(own[inside] * BUCKETS + bucket[inside], minlength=len(chunk) * BUCKETS)
+                for name, line in zip(chunk, counts.reshape(len(chunk), BUCKETS), strict=True):
+                    totals[name] = totals.get(name, 0) + line
                 if len(totals) >= FLUSHED:
                     yield from counted(totals)
                     totals.clear()
