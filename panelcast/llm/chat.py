@@ -34,7 +34,7 @@ FIRST = -(2**62)  # the part of turns without a number
 
 def escaped(text: Column) -> Column:
     """Without markers of turns."""
-    return F.replace(F.replace(text, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("\\|>"))
+    return F.replace(F.replace(text, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("|\\>"))
 
 
 def rotate(conversations: DataFrame, part: int = PART) -> DataFrame:

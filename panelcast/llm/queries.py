@@ -122,7 +122,7 @@ ORACLES: dict[str, str] = {
     "op2_chat_rotation": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
-                replace(replace(coalesce(text, ''), '<|', '<\\|'), '|>', '\\|>') AS text,
+                replace(replace(coalesce(text, ''), '<|', '<\\|'), '|>', '|\\>') AS text,
                 CAST(floor(turn / 64) AS BIGINT) AS part
             FROM conversations
         ), speakers AS (
@@ -130,7 +130,7 @@ ORACLES: dict[str, str] = {
         ), said AS (
             SELECT t.*, s.speaker, t.role = s.speaker AS mine,
                 CASE WHEN t.role = s.speaker THEN '<|assistant|>' || chr(10)
-                    ELSE '<|user name=' || replace(replace(t.role, '<|', '<\\|'), '|>', '\\|>') || '|>' || chr(10) END AS head
+                    ELSE '<|user name=' || replace(replace(t.role, '<|', '<\\|'), '|>', '|\\>') || '|>' || chr(10) END AS head
             FROM turns t JOIN speakers s USING (conv_id)
         ), placed AS (
             SELECT *, sum(length(head) + length(text) + 1) OVER (

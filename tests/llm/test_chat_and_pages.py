@@ -47,7 +47,7 @@ def test_nobody_can_write_a_marker(spark):
         assert r.rendered.count("<|") == 3 == r.rendered.count("|>")
         heads = [x for x in r.rendered.split("\n") if x.startswith("<|")]
         assert heads.count("<|assistant|>") == (2 if r.speaker == "a" else 1)
-        spoken = [x.replace("<|", "<\\|").replace("|>", "\\|>") for _, _, role, x in rows if role == r.speaker]
+        spoken = [x.replace("<|", "<\\|").replace("|>", "|\\>") for _, _, role, x in rows if role == r.speaker]
         cut = [r.rendered[slice(*map(int, span.split("-")))] for span in r.mask.split(",")]
         assert cut == spoken
 
