@@ -61,6 +61,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession, rows: int) -> None:
+    """Rows that go to Python at once in this session: ``rows``, or fewer if that is set.
+
+    A batch of long texts takes memory in the JVM and in Python at the same time.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(spark.conf.get(name))
+    if not 0 < given <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def _file_system(spark: SparkSession, path: str):
     """The file system of a path, and the path as it knows it."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
