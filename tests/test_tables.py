@@ -162,6 +162,39 @@ def test_imputer_deals_a_block_over_many_tasks(spark):
     assert plan.count("hashpartitioning(group") and "row_tile" in plan.split("FlatMapCoGroupsInArrow")[1]
 
 
+def test_imputer_compares_near_tiles_only(spark, monkeypatch):
+    """Of twice as many rows and tiles, twice as many pairs of tiles are compared, not four
+    times; equal open rows are one question."""
+    met, plain = [], impute.meetings
+
+    def kept(questions, donors, *rest):
+        met.append((questions.count(), donors.count(), plain(questions, donors, *rest)))
+        return met[-1][2]
+
+    monkeypatch.setattr(impute, "meetings", kept)
+    rng = np.random.default_rng(6)
+    for n in (600, 1200):
+        x = np.stack([rng.normal(0, 9, n), np.repeat(rng.permutation(n // 2), 2).astype(float)], axis=1)
+        x[rng.permutation(n)[: n // 3], 0] = np.nan
+        rows = [(i, *[None if np.isnan(v) else float(v) for v in line]) for i, line in enumerate(x)]
+        table = spark.createDataFrame(rows, "id long, u double, v double")
+        got = impute.knn_impute(table, ["u", "v"], k=3, keys=["id"], block=[], donor_rows=20, open_rows=10)
+        np.testing.assert_allclose(got.toPandas().sort_values("id")[["u", "v"]].to_numpy(), impute_by_hand(x, 3))
+        assert met[-1][0] == len({v for u, v in x if np.isnan(u)}) and met[-1][1] <= (~np.isnan(x[:, 0])).sum()
+    small, large = (out.count() for _, _, out in met)
+    assert large < 3 * small and large < 60 * 30 / 4
+
+
+def test_imputer_infinite_values(spark):
+    """Infinite values have no distance from each other and are far from all others."""
+    inf = float("inf")
+    rows = [(0, None, inf, 1.0), (1, 5.0, inf, 2.0), (2, 7.0, 0.0, 1.0), (3, None, 0.5, None), (4, 9.0, -inf, 1.0)]
+    table = spark.createDataFrame(rows, "id long, u double, v double, w double")
+    got = impute.knn_impute(table, ["u", "v", "w"], k=2, keys=["id"], block=[])
+    filled = {r["id"]: (r["u"], r["w"]) for r in got.collect()}
+    assert filled[0] == (5.0, 1.0) and filled[3] == (7.0, 1.0)
+
+
 def test_imputer_odd_cases(spark):
     rows = [(1, "a", None, None, None), (2, "a", 1.0, float("nan"), 4.0), (3, "b", None, 2.0, None), (4, None, 7.0, 8.0, None)]
     table = spark.createDataFrame(rows, "id long, seg string, u double, v double, w double")
