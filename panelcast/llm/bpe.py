@@ -44,6 +44,7 @@ from panelcast.session import scratch_path
 LEXICON_WORDS = 50_000
 REMEMBERED = 300_000
 SHORT = 48
+NO_MERGE = 1 << 62
 
 
 def byte_letters() -> list[str]:
@@ -76,9 +77,12 @@ class Rules:
         self.inner = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.suffix] for c in letters]
         self.merges = {}
+        #: the same, the rank above the id: the least of some is what merges first
+        self.order: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
+            self.order[self.vocab[left], self.vocab[right]] = rank << 32 | self.vocab[left + right]
 
     def symbols(self, word: bytes) -> list[int]:
         return [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
@@ -88,16 +92,17 @@ class Rules:
         ids = self.symbols(word)
         if len(ids) > SHORT:
             return self.merge_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best, where, made = None, 0, 0
-            for j in range(len(ids) - 1):
-                found = merges.get((ids[j], ids[j + 1]))
-                if found and (best is None or found[0] < best):
-                    best, made, where = found[0], found[1], j
-            if best is None:
-                break
-            ids[where : where + 2] = [made]
+        # only the pairs beside a merge are looked up again
+        look = self.order.get
+        pairs = [look(pair, NO_MERGE) for pair in zip(ids, ids[1:])]
+        while pairs and (best := min(pairs)) != NO_MERGE:
+            j = pairs.index(best)
+            ids[j : j + 2] = [best & 0xFFFFFFFF]
+            del pairs[j]
+            if j:
+                pairs[j - 1] = look((ids[j - 1], ids[j]), NO_MERGE)
+            if j < len(pairs):
+                pairs[j] = look((ids[j], ids[j + 1]), NO_MERGE)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
