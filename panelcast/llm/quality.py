@@ -209,21 +209,23 @@ def moments(rows: DataFrame) -> DataFrame:
     )
 
 
-def factor(estimates: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l00.. of each covariance, with no deviation under ``FLOOR``."""
+def factor(estimates: DataFrame, more: list[str] = ()) -> DataFrame:
+    """The means, the Cholesky factor l00.. of each covariance, with no deviation under
+    ``FLOOR``, and further columns."""
     for i, j in PAIRS:
         done = [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)]
         rest = F.col(f"c{i}{j}") - reduce(add, done) if done else F.col(f"c{i}{j}")
         value = F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}")
         estimates = estimates.withColumn(f"l{i}{j}", value)
     keys = [c for c in RUN if c in estimates.columns]
-    return estimates.select(*keys, *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{j}" for i, j in PAIRS])
+    kept = dict.fromkeys([*[f"m{i}" for i in range(DIMENSIONS)], *more])
+    return estimates.select(*keys, *kept, *[f"l{i}{j}" for i, j in PAIRS])
 
 
 def log_determinants(estimates: DataFrame) -> DataFrame:
-    """Per group and start the logarithm of the covariance's determinant."""
+    """Adds ``size``, the logarithm of each covariance's determinant."""
     size = reduce(add, [2 * F.log(f"l{i}{i}") for i in range(DIMENSIONS)])
-    return factor(estimates).select(*RUN, size.alias("size"))
+    return factor(estimates, ESTIMATE).select(*RUN, *ESTIMATE, size.alias("size"))
 
 
 def standardised(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
@@ -290,18 +292,16 @@ def inner(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
 
 def smallest(rows: DataFrame, middle: DataFrame, steps: int = STEPS) -> DataFrame:
     """Per group the estimate of the smallest determinant that the starts lead to."""
-    estimates = materialize(starts(rows, middle))
-    sizes = materialize(log_determinants(estimates))
+    # one small table per step, so the driver keeps few plans and jobs
+    estimates = materialize(log_determinants(starts(rows, middle)))
     for _ in range(steps):
-        estimates = materialize(moments(inner(distances(rows, estimates))))
-        now = materialize(log_determinants(estimates))
-        change = F.abs(F.col("size") - F.col("before"))
-        before = sizes.withColumnRenamed("size", "before")
-        moved, sizes = now.join(before, RUN).agg(F.max(change)).first()[0], now
+        before = estimates.select(*RUN, F.col("size").alias("before"))
+        now = log_determinants(moments(inner(distances(rows, estimates))))
+        estimates = materialize(now.join(before, RUN, "left"))
+        moved = estimates.agg(F.max(F.abs(F.col("size") - F.col("before")))).first()[0]
         if moved is None or moved < SETTLED:
             break
-    ranked = estimates.join(sizes, RUN).groupBy(*GROUP)
-    best = ranked.agg(F.min_by(F.struct(*ESTIMATE), F.struct(F.round("size", 9), "start")).alias("best"))
+    best = estimates.groupBy(*GROUP).agg(F.min_by(F.struct(*ESTIMATE), F.struct(F.round("size", 9), "start")).alias("best"))
     return best.select(*GROUP, "best.*")
 
 
