@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,12 +54,24 @@ def materialize(df: DataFrame) -> DataFrame:
     """Run ``df`` once and keep it as a reliable checkpoint.
 
     The copy lives in the shared folder, so a lost executor does not lose it and
-    nothing before it runs again.
+    nothing before it runs again. What earlier steps left on disk goes.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    release(spark)
+    return kept
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files and checkpoints that nothing refers to any more.
+
+    Its cleaner waits for the driver's garbage collection, which comes late in jobs of
+    many short steps: until then the files of all steps lie on disk together.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession, rows: int) -> None:

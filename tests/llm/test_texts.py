@@ -5,7 +5,9 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -24,6 +26,7 @@ from panelcast.llm import (
     suffix_dedup,
 )
 from panelcast.llm.queries import tokenizer_path
+from panelcast.session import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, id long, tag string, n long"
 
@@ -580,3 +583,57 @@ def test_band_recall_is_what_the_docstring_says(spark):
     assert all(got[i] == 0 for i in range(0, 800, 2))
     found = sum(got[i] > 0 for i in range(1, 800, 2))
     assert found >= 0.985 * 400
+
+
+def test_merging_looks_up_only_pairs_beside_a_merge():
+    class Counted(dict):
+        n = 0
+
+        def get(self, *args):
+            self.n += 1
+            return super().get(*args)
+
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        rules = bpe.Rules(file.read())
+    rules.order = Counted(rules.order)
+    rng = random.Random(4)
+    for n in (1, 2, 9, 20, bpe.SHORT):
+        for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "aeinst"):
+            word = "".join(rng.choice(letters) for _ in range(n)).encode()
+            rules.order.n = 0
+            assert rules.merge(word) == rules.merge_long(rules.symbols(word))
+            assert (n < 2 or rules.order.n) and rules.order.n <= 3 * n
+
+
+def test_windows_of_a_leak_are_compared_once(spark):
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "a b c d e f g h i j")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(words[5:25]))], "item_id long, text string")
+    found = decontaminate.contaminated(docs, benchmark)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and ("zip_with" in line or "zipwith" in line or "lambda" in line)]
+    assert [(r.doc_id, r.item_id, r.first_word, r.similarity) for r in found.collect()] == [(1, 7, 5, 1.0)]
+
+
+def test_a_step_of_the_estimates_is_one_table(spark, monkeypatch):
+    made, plain = [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df: made.append(1) or plain(df))
+    rng = np.random.default_rng(3)
+    rows = [(0, "en", "s", i % quality.SALT, *map(float, line)) for i, line in enumerate(rng.normal(size=(60, 4)))]
+    table = spark.createDataFrame(rows, "level int, lang string, source string, salt int, x0 double, x1 double, x2 double, x3 double")
+    assert quality.smallest(table, quality.medians(table), steps=3).count() == 1
+    assert 2 <= len(made) <= 4
+
+
+def test_what_steps_leave_behind_goes(spark):
+    """Checkpoints (and shuffle files) that nothing refers to go as further steps are done."""
+    first = materialize(spark.range(100).repartition(3))
+    root = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    own = max(root.glob("rdd-*"), key=lambda p: p.stat().st_mtime_ns)
+    del first
+    for _ in range(40):
+        materialize(spark.range(1))
+        if not own.exists():
+            break
+        time.sleep(0.25)
+    assert not own.exists()
