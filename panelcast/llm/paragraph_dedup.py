@@ -159,10 +159,23 @@ class Paragraphs:
         return of[fresh], total[fresh]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: the upper ones of
+    small numbers are equal, which a shuffle packs into almost nothing."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unplanes(data: bytes, kind: type) -> np.ndarray:
+    """The numbers that ``planes`` gave."""
+    rows = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T
+    return np.ascontiguousarray(rows).view(kind).ravel()
+
+
 def blobs(
     keys: np.ndarray, rows: np.ndarray, numbers: np.ndarray, ids: np.ndarray, tags: np.ndarray, buckets: int, width: int
 ):
-    """A batch with a row per bucket: documents, entries of each, places and keys."""
+    """A batch with a row per bucket: documents, entries of each, places and keys, all but
+    the keys as ``planes``."""
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((rows, bucket))
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -170,8 +183,8 @@ def blobs(
     for b in np.flatnonzero(np.diff(bounds)):
         own = order[bounds[b] : bounds[b + 1]]
         docs, counts = np.unique(rows[own], return_counts=True)
-        parts = (b, ids[docs].tobytes(), tags[docs].tobytes(), counts.astype(np.uint32).tobytes(),
-                 (numbers[own] >> 32).astype(np.uint32).tobytes(), numbers[own].astype(np.uint32).tobytes(),
+        parts = (b, planes(ids[docs]), planes(tags[docs]), planes(counts.astype(np.uint32)),
+                 planes((numbers[own] >> 32).astype(np.uint32)), planes(numbers[own].astype(np.uint32)),
                  (keys[own] >> np.uint64(64 - 8 * width)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
         for column, part in zip(columns, parts, strict=True):
             column.append(part)
@@ -186,7 +199,7 @@ BLOB = "bucket int, ids binary, tags binary, counts binary, numbers binary, piec
 def unblob(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, id, tag, number) of all entries of a bucket, sorted."""
     kinds = {"ids": np.int64, "tags": np.int64, "counts": np.uint32, "numbers": np.uint32, "pieces": np.uint32, "keys": np.uint8}
-    read = {c: [np.frombuffer(x.as_py(), kind) for x in table.column(c)] for c, kind in kinds.items()}
+    read = {c: [unplanes(x.as_py(), kind) for x in table.column(c)] for c, kind in kinds.items()}
     counts = np.concatenate(read["counts"])
     ids = np.repeat(np.concatenate(read["ids"]), counts)
     tags = np.repeat(np.concatenate(read["tags"]), counts)
@@ -239,7 +252,7 @@ def send_bands(buckets: int, least: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
         for batch in batches:
-            ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
+            ids, tags = batch.column("id").to_numpy(), batch.column("sent").to_numpy()
             for low, high, data, offsets in text_slices(batch.column("text")):
                 p = Paragraphs(data, offsets, table)
                 first, after = left_over(batch, low, high, p, least)
@@ -356,8 +369,14 @@ def remove_similar(docs: DataFrame, per_cent: int = PER_CENT, least: int = MIN_W
 
     equal = own.select("id", "tag", "text").mapInArrow(announce(buckets, least), BLOB)
     equal = equal.groupBy("bucket").applyInArrow(equal_paragraphs, "id long, tag long, number long")
-    gone = materialize(equal.groupBy("id", "tag").agg(F.collect_set("number").alias("gone")))
-    texts = own.join(gone, ["id", "tag"], "left")
+    # an id that has one text names it alone: its bands, dealt to ever more buckets, go without the tag
+    alone = own.groupBy("id").agg(F.min("tag").alias("tag"), F.max("tag").alias("last"))
+    alone = materialize(alone.where((F.col("tag") == F.col("last")) & (F.col("id") != LAST)).select("id", "tag"))
+    known = equal.unionByName(alone, allowMissingColumns=True).withColumn("sent", F.when(F.col("number").isNull(), 0))
+    gone = materialize(
+        known.groupBy("id", "tag").agg(F.collect_set("number").alias("gone"), F.min("sent").cast("long").alias("sent"))
+    )
+    texts = own.join(gone, ["id", "tag"], "left").withColumn("sent", F.coalesce("sent", "tag"))
 
     banded = texts.mapInArrow(send_bands(buckets, least, bands, rows), BLOB)
     edges = banded.groupBy("bucket").applyInArrow(
@@ -367,7 +386,9 @@ def remove_similar(docs: DataFrame, per_cent: int = PER_CENT, least: int = MIN_W
     place = lambda side: F.xxhash64(f"{side}_id", f"{side}_tag", f"{side}_number")
     edges = edges.select("*", place("a").alias("a"), place("b").alias("b"))
     ends = [edges.select(*[F.col(f"{s}_{c}").alias(c) for c in ("id", "tag", "number")], F.col(s).alias("node")) for s in "ab"]
-    nodes = materialize(ends[0].unionAll(ends[1]).distinct())
+    whole_tag = alone.select("id", F.lit(0).cast("long").alias("tag"), F.col("tag").alias("whole"))
+    nodes = ends[0].unionAll(ends[1]).distinct().join(whole_tag, ["id", "tag"], "left")
+    nodes = materialize(nodes.select("id", F.coalesce("whole", "tag").alias("tag"), "number", "node"))
     found = components(edges.select("a", "b"))
     # tiles by number of pieces, of about 32 shingles
     pieces = F.col("number").bitwiseAND(0xFFFFFFFF)

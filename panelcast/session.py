@@ -54,12 +54,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Run ``df`` once and keep it as a reliable checkpoint.
 
     The copy lives in the shared folder, so a lost executor does not lose it and
-    nothing before it runs again. What earlier steps left on disk goes.
+    nothing before it runs again. What this step and earlier ones left on disk goes.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     kept = df.checkpoint(eager=True)
+    del df  # or this step's own shuffle files would lie until the next one has run
     release(spark)
     return kept
 

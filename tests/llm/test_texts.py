@@ -1,19 +1,23 @@
 """Operators on texts against brute force, on small tables with every odd case."""
 
+import gc
 import hashlib
 import itertools
 import math
 import random
 import re
 import time
+import weakref
 from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from panelcast import session
 from panelcast.llm import (
     bpe,
     components,
@@ -637,3 +641,72 @@ def test_what_steps_leave_behind_goes(spark):
             break
         time.sleep(0.25)
     assert not own.exists()
+
+
+def test_a_step_is_let_go_before_files_are_removed(spark, monkeypatch):
+    """While something holds the step just done, its own shuffle files stay."""
+    step, seen = [spark.range(9).groupBy("id").count()], []
+    held = weakref.ref(step[0])
+    monkeypatch.setattr(session, "release", lambda _: seen.append((gc.collect(), held())[1]))
+    assert materialize(step.pop()).count() == 9 and seen == [None]
+
+
+def test_entries_of_bands_come_back_and_pack():
+    """Ids, tags and places of any size come back; of usual ones little but the keys is left."""
+    rng = np.random.default_rng(5)
+
+    def packed_bytes(n, ids, tags, numbers):
+        rows = np.sort(rng.integers(0, len(ids), n))
+        keys = rng.integers(0, 2**64, n, np.uint64)
+        sent = paragraph_dedup.blobs(keys, rows, numbers, ids, tags, 12, 5)
+        kept, codec = [], pa.Codec("lz4_raw")
+        for i in range(sent.num_rows):
+            one = pa.Table.from_batches([sent.slice(i, 1)])
+            kept.append(np.stack(paragraph_dedup.unblob(one, 5)[1:], axis=1))
+            assert (sent.column("bucket")[i].as_py() == np.unique(keys % 12))[i]
+        expected = np.stack([ids[rows], tags[rows], numbers], axis=1)
+        assert sorted(map(tuple, np.concatenate(kept).tolist())) == sorted(map(tuple, expected.tolist()))
+        return sum(len(codec.compress(x.as_py())) for c in sent.columns[1:] for x in c) / n
+
+    top = 2**63 - 1
+    odd = np.array([-(2**63), -1, 0, 1, top])
+    packed_bytes(300, odd, odd[::-1].copy(), rng.integers(0, 2**30, 300) << 32 | rng.integers(0, 2**32, 300))
+    numbers = rng.integers(0, 90, 40_000) << 32 | rng.integers(1, 6, 40_000)
+    assert packed_bytes(40_000, np.arange(400) + 70_000, np.zeros(400, np.int64), numbers) < 8
+
+
+def test_bands_of_ids_with_one_text_go_without_its_hash(spark):
+    """And ids with several texts, null ones and repeated rows are told apart as before."""
+    rng = random.Random(23)
+    word = iter(f"w{rng.randrange(10**9)}x{i}" for i in range(10**6))
+    base = [next(word) for _ in range(160)]
+
+    def near(i):
+        return " ".join([*base[:i], next(word), *base[i + 1 :]]) + "."
+
+    other = " ".join(next(word) for _ in range(80)) + "."
+    texts = [(1, near(30)), (1, near(40)), (2, near(50)), (None, near(33)), (None, near(44)), (3, other), (3, other), (4, None)]
+    seen, plain = [], paragraph_dedup.send_bands
+
+    def watched(*given):
+        run = plain(*given)
+
+        def kept(batches):
+            for batch in batches:
+                order = zip(batch.column("id").to_pylist(), batch.column("sent").to_pylist(), strict=True)
+                assert all((sent == 0) == (i in (2, 3, 4)) for i, sent in order)
+                yield from run(iter([batch]))
+
+        seen.append(1)
+        return kept
+
+    paragraph_dedup.send_bands = watched
+    try:
+        out = paragraph_dedup.remove_similar(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    finally:
+        paragraph_dedup.send_bands = plain
+    assert seen and len(out) == len(texts)
+    removed = {(r.doc_id, r.text): r.n_removed for r in out}
+    # of the near ones one text of id 1 stays, of the equal rows both
+    assert sorted(removed[t] for t in texts[:2]) == [0, 1] and removed[texts[5]] == 0
+    assert all(removed[t] == 1 for t in texts[2:5])
