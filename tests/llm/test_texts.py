@@ -648,7 +648,8 @@ def test_a_step_is_let_go_before_files_are_removed(spark, monkeypatch):
     step, seen = [spark.range(9).groupBy("id").count()], []
     held = weakref.ref(step[0])
     monkeypatch.setattr(session, "release", lambda _: seen.append((gc.collect(), held())[1]))
-    assert materialize(step.pop()).count() == 9 and seen == [None]
+    kept = materialize(step.pop())
+    assert kept.count() == 9 and seen == [None]
 
 
 def test_entries_of_bands_come_back_and_pack():
