@@ -10,9 +10,11 @@ them and nothing approximate, are found in three steps:
    passages that texts of a bounded sample share, and sends a key for each other one, for
    its own range of sizes and the next. Two linked sets still share a key, whatever they
    leave out; sets that share a key are candidates.
-2. Candidates are grouped by connected components. A component with more than
-   ``TILE`` shingles is dealt into tiles, and every pair of tiles is a task of its
-   own, so no task holds more than two tiles.
+2. Candidates are grouped by connected components. A component with more than ``TILE``
+   shingles or ``TILE_SETS`` sets is taken apart: its sets meet by their edges, each at the
+   smaller end, so whatever shares a key still meets and the work grows with the edges.
+   A smaller end with more than that around it is dealt into tiles, and every pair of tiles
+   is a task of its own, so no task holds more than two tiles.
 3. In a task the sets are leaves of a signature tree: its nodes hold the OR of their
    sets' bitmaps and the range of sizes. Two nodes are walked together unless their
    maximum possible overlap, common bits plus the shingles that fell on taken bits,
@@ -58,6 +60,7 @@ BITS = 2048
 #: Candidates are broadcast while they take no more.
 BROADCAST_BYTES = 32 << 20
 CANDIDATE_BYTES = 64
+GROUP_BYTES = 32
 #: Documents with one key of which every pair is an edge of its own.
 PAIRED = 16
 #: Texts among which frequent shingles are looked for, bits of their filter, and the share
@@ -336,9 +339,9 @@ def send_sets(size: int):
             for first, last, data, offsets in text_slices(batch.column("text")):
                 row, value = shingle_sets(data, offsets, table, size)
                 counts = np.bincount(row, minlength=last - first)
-                own = [batch.column(c).slice(first, last - first) for c in ("id", "component", "tiles")]
+                own = [batch.column(c).slice(first, last - first) for c in ("id", "groups")]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, list_array(value.view(np.int64), counts)], names=["id", "component", "tiles", "set"]
+                    [*own, list_array(value.view(np.int64), counts)], names=["id", "groups", "set"]
                 )
 
     return run
@@ -483,8 +486,22 @@ def dealt(candidates: DataFrame, tile_sets: int = TILE_SETS) -> DataFrame:
     return candidates.join(weight, "root")
 
 
+def meeting(candidates: DataFrame, edges: DataFrame, tile_sets: int = TILE_SETS) -> DataFrame:
+    """(node, component, tiles): where the sets (node, root, n) meet. A component of one tile is
+    a group; in a larger one every smaller end of edges (a, b) is, with what it has edges to.
+
+    Sets meet if an edge or a third set, smaller than both, connects them.
+    """
+    weighed = materialize(dealt(candidates.select("node", "root", "n"), tile_sets))
+    large = weighed.where("tiles > 1").select("node", "n")
+    ends = edges.select(F.col("a").alias("root"), F.col("b").alias("node"))
+    ends = ends.unionAll(edges.select(F.col("a").alias("root"), F.col("a").alias("node"))).distinct()
+    groups = weighed.where("tiles = 1").unionByName(dealt(ends.join(large, "node"), tile_sets))
+    return groups.select("node", F.col("root").alias("component"), "tiles")
+
+
 def link_candidates(sets: DataFrame, per_cent: int, buckets: int) -> DataFrame:
-    """Links (a, b) between the sets (id, component, tiles, set) of each component."""
+    """Links (a, b) between the sets (id, component, tiles, set) of each group."""
     # with several tiles, a set goes to each pair that its own tile is part of
     own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     pairs = F.transform(
@@ -509,34 +526,43 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_
     described = materialize(rows.mapInArrow(describe(size), "id long, tag long, n long, one long, two long, bits binary"))
     classes = described.where("n > 0").groupBy("one", "two", "n")
     classes = classes.agg(F.min(F.struct("id", "tag")).alias("best"), F.min("bits").alias("bits"))
-    classes = materialize(classes.select("one", "two", "n", "best.id", "best.tag", "bits"))
+    classes = classes.select("one", "two", "n", "best.id", "best.tag", "bits")
+    # a set is a node by itself, with a name of its own where its id has several
+    several = classes.groupBy("id").agg(F.count("*").alias("sets")).where("sets > 1")
+    named = F.when(F.col("sets").isNull(), F.col("id")).otherwise(F.xxhash64("id", "tag"))
+    classes = materialize(classes.join(several, "id", "left").withColumn("node", named).drop("sets"))
 
     drawn = classes.orderBy(F.xxhash64("id", "tag"), "id", "tag").limit(SAMPLE).select("id", "tag")
     frequent = frequent_shingles(rows.join(F.broadcast(drawn), ["id", "tag"]).dropDuplicates(["id", "tag"]).select("text"), size)
 
     # one text for each class
-    chosen = rows.join(classes.select("id", "tag").distinct(), ["id", "tag"])
-    keys = chosen.select("id", "tag", "text").mapInArrow(
+    chosen = rows.join(classes.select("id", "tag", "node").distinct(), ["id", "tag"])
+    keys = chosen.select(F.col("node").alias("id"), "text").mapInArrow(
         send_keys(buckets, size, share, frequent), "bucket int, ids binary, counts binary, keys binary"
     )
     edges = keys.groupBy("bucket").applyInArrow(shared_keys, "a long, b long, star boolean")
     edges = edges.groupBy("a", "b").agg(F.max("star").alias("star"))
-    single = classes.groupBy("id").agg(F.count("*").alias("sets"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+    single = classes.groupBy("node").agg(F.count("*").alias("sets"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     single = single.where("sets = 1")
     pairs = edges = materialize(edges)
     for side in "ab":
-        known = single.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+        known = single.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
         pairs = (pairs if side == "b" else pairs.where(~F.col("star"))).join(known, side, "left")
     pairs = pairs.select("a", "b", "star", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(may_link(per_cent), "a long, b long")
-    candidates = components(materialize(edges.where("star").select("a", "b").unionAll(pairs)))
-    candidates = candidates.join(classes.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node")
-    candidates = dealt(candidates).select(F.col("node").alias("id"), F.col("root").alias("component"), "tiles")
-    candidates = materialize(candidates.join(classes.select("id", "tag").distinct(), "id"))
-    if candidates.count() * CANDIDATE_BYTES <= BROADCAST_BYTES:
+    edges = materialize(edges.where("star").select("a", "b").unionAll(pairs))
+    candidates = components(edges).join(classes.groupBy("node").agg(F.sum("n").alias("n")), "node")
+    groups = meeting(candidates, edges).groupBy("node").agg(F.collect_list(F.struct("component", "tiles")).alias("groups"))
+    candidates = materialize(groups.join(classes.select("id", "tag", "node").distinct(), "node"))
+    size_of = candidates.agg(F.coalesce(F.sum(CANDIDATE_BYTES + GROUP_BYTES * F.size("groups")), F.lit(0))).first()[0]
+    if size_of <= BROADCAST_BYTES:
         candidates = F.broadcast(candidates)  # their texts then need no second shuffle
-    sets = rows.join(candidates, ["id", "tag"]).select("id", "component", "tiles", "text")
-    sets = sets.mapInArrow(send_sets(size), "id long, component long, tiles int, set array<long>")
-    links = materialize(link_candidates(sets, per_cent, buckets))
+    sets = rows.join(candidates, ["id", "tag"]).select(F.col("node").alias("id"), "groups", "text")
+    sets = sets.mapInArrow(send_sets(size), "id long, groups array<struct<component: long, tiles: int>>, set array<long>")
+    sets = sets.withColumn("group", F.explode("groups")).select("id", "group.component", "group.tiles", "set")
+    links = link_candidates(sets, per_cent, buckets)
+    for side in "ab":
+        links = links.join(classes.select(F.col("node").alias(side), F.col("id").alias(f"{side}_id")).distinct(), side)
+    links = materialize(links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
 
     # a document with several texts connects their classes
     member = described.join(

@@ -15,6 +15,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelcast import session
@@ -212,6 +213,20 @@ def test_many_near_copies_in_tiles(spark, monkeypatch):
         assert component == min(seen)
 
 
+def test_sets_of_a_large_component_meet_by_their_edges(spark, monkeypatch):
+    """A long chain of near copies: a set is sent as often as it has edges, not to every tile."""
+    monkeypatch.setattr(jaccard_join, "TILE", 2000)
+    sent, plain = [], jaccard_join.link_candidates
+    copies = F.sum(F.greatest(F.col("tiles") - 1, F.lit(1)))
+    monkeypatch.setattr(jaccard_join, "link_candidates", lambda sets, *a: sent.append(sets.agg(copies).first()[0]) or plain(sets, *a))
+    words = [f"w{i}" for i in range(1200)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 120])) for i in range(300)]
+    rows += [(None, " ".join(words[500:620])), (None, " ".join(words[700:820])), (7, "a b c d")]
+    found, _ = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.component_id for r in found.collect()} == {0}
+    assert 300 < sent[0] < 2500
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 9), (7, 8), (8, 8), (1, 1), *((100 + i, 101 + i) for i in range(30))]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
