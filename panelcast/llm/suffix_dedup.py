@@ -15,7 +15,8 @@ equal owners at the same place, so only pieces with the same owner can share one
 2. What is left, the first pieces of each wording of an owner with several wordings,
    sends its bytes. Their windows are sorted as suffixes: merge sort, where two
    suffixes are compared by their common extension, found by binary search over
-   prefix polynomial hashes, and the byte after it. Neighbours that agree in
+   prefix polynomial hashes, and the byte after it. Windows whose own hash no other one
+   has equal none and are not sorted. Neighbours that agree in
    ``LENGTH`` bytes are compared byte by byte before they count as equal; should
    hashes ever collide, the table is sorted by its bytes instead.
 3. Repeats go back to their documents, which drop the bytes they cover.
@@ -51,6 +52,8 @@ LAST = 2**63 - 1
 #: Room for a position next to its hash while the smallest hash is looked for.
 PLACE_BITS = 30
 RESULTS = ("kept", "n_bytes", "n_removed", "n_spans")
+#: Entries that a task holds before it deals them to buckets.
+HELD = 1 << 19
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -153,38 +156,58 @@ def unpack_bucket(blob: bytes) -> dict[str, np.ndarray]:
     return {k: np.repeat(v, count) if k in ("id", "tag") else v for k, v in out.items()}
 
 
+def bucketed(held: list[tuple], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket: its entries out of some slices, each of them (ids, tags, row and
+    bucket of an entry, fields)."""
+    before = np.cumsum([0] + [len(h[0]) for h in held])
+    ids, tags = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    bucket = np.concatenate([h[3] for h in held])
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    row = np.concatenate([h[2] + at for h, at in zip(held, before, strict=False)])[order]
+    fields = {name: np.concatenate([h[4][name] for h in held])[order] for name, _ in FIELDS}
+    names, blobs = [], []
+    for b in np.flatnonzero(np.diff(bounds)):
+        own = slice(bounds[b], bounds[b + 1])
+        first = starts_of(row[own])
+        rows = row[own][first]
+        counts = np.diff(np.append(first, bounds[b + 1] - bounds[b]))
+        names.append(b)
+        blobs.append(pack_bucket({"id": ids[rows], "tag": tags[rows], "count": counts}, {k: v[own] for k, v in fields.items()}))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
 def announce(buckets: int, length: int, seed: int):
-    """Step 1, at the texts: entries for each bucket, a row for each slice."""
+    """Step 1, at the texts: entries for each bucket, in rows of about ``HELD`` entries together,
+    as a row for each slice and bucket costs more the more buckets there are."""
+    number = np.min_scalar_type(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Powers()
+        table, held, entries = Powers(), [], 0
         for batch in batches:
             ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
             for first, last, data, offsets in text_slices(batch.column("text")):
                 p = Pieces(data, offsets, table, length, seed)
-                bucket = ((p.key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                names, blobs = [], []
-                for b in np.flatnonzero(np.diff(bounds)):
-                    own = order[bounds[b] : bounds[b + 1]]
-                    rows, counts = np.unique(p.row[own], return_counts=True)
-                    docs = {"id": ids[first:last][rows], "tag": tags[first:last][rows], "count": counts}
-                    entries = {
-                        "key": p.key[own] & np.uint64(0xFFFFFFFF),
-                        "high": p.print[own] >> np.uint64(32),
-                        "low": p.print[own] & np.uint64(0xFFFF),
-                        "left": p.left[own] & np.uint64(0xFF),
-                        "right": p.right[own] & np.uint64(0xFF),
-                        "first": p.first[own] - offsets[p.row[own]],
-                        "owner": p.owner[own] - p.first[own],
-                        "span": p.last[own] - p.first[own],
-                    }
-                    names.append(b)
-                    blobs.append(pack_bucket(docs, entries))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"]
-                )
+                found = {
+                    "key": p.key & np.uint64(0xFFFFFFFF),
+                    "high": p.print >> np.uint64(32),
+                    "low": p.print & np.uint64(0xFFFF),
+                    "left": p.left & np.uint64(0xFF),
+                    "right": p.right & np.uint64(0xFF),
+                    "first": p.first - offsets[p.row],
+                    "owner": p.owner - p.first,
+                    "span": p.last - p.first,
+                }
+                found = {name: found[name].astype(kind) for name, kind in FIELDS}
+                bucket = ((p.key >> np.uint64(32)) % np.uint64(buckets)).astype(number)
+                # copies, as a view would keep the whole batch
+                held.append((ids[first:last].copy(), tags[first:last].copy(), p.row, bucket, found))
+                entries += len(bucket)
+                if entries >= HELD:
+                    yield bucketed(held, buckets)
+                    held, entries = [], 0
+        if held:
+            yield bucketed(held, buckets)
 
     return run
 
@@ -363,6 +386,18 @@ def equal_neighbours(text: Suffixes, at: np.ndarray, group: np.ndarray) -> tuple
     return sorted_at, same, np.bool_(true)
 
 
+def shared_hashes(text: Suffixes, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The windows whose hash another one of their group has; the others are equal to none."""
+    hashes = mix((text.prefix[at + text.length] - text.prefix[at]) * text.down[at] + mix(group.astype(np.uint64)))
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    equal = hashes[1:] == hashes[:-1]
+    shared = np.zeros(len(at), bool)
+    shared[order[1:][equal]] = True
+    shared[order[:-1][equal]] = True
+    return np.flatnonzero(shared)
+
+
 def compare_windows(length: int):
     """Step 2, in a bucket: windows that a smaller document has too, as byte ranges."""
 
@@ -382,15 +417,17 @@ def compare_windows(length: int):
         keys = np.unique(table.column("key").to_numpy(), return_inverse=True)[1]
         group = keys[row] << 8 | (table.column("owner").to_numpy()[row] - step + 64)
         text = Suffixes(data, length)
-        sorted_at, same, true = equal_neighbours(text, at, group)
+        some = shared_hashes(text, at, group)
+        sorted_at, same, true = equal_neighbours(text, at[some], group[some])
         back = np.empty(len(data), np.int64)
         back[at] = np.arange(len(at))
         if true:
             order = back[sorted_at]
         else:
-            view = np.lib.stride_tricks.sliding_window_view(data, length)[at]
-            order = np.lexsort([*view.T[::-1], group])
+            view = np.lib.stride_tricks.sliding_window_view(data, length)[at[some]]
+            order = np.lexsort([*view.T[::-1], group[some]])
             same = np.concatenate([[False], (view[order[1:]] == view[order[:-1]]).all(axis=1)])
+            order = some[order]
             same[1:] &= group[order[1:]] == group[order[:-1]]
         runs = np.flatnonzero(~same)
         smallest = np.minimum.reduceat(ids[row[order]], runs) if len(runs) else ids[:0]

@@ -29,6 +29,7 @@ from panelcast.llm import (
     paragraph_dedup,
     quality,
     suffix_dedup,
+    textbytes,
 )
 from panelcast.llm.queries import tokenizer_path
 from panelcast.session import materialize
@@ -667,6 +668,49 @@ def test_a_step_is_let_go_before_files_are_removed(spark, monkeypatch):
     assert kept.count() == 9 and seen == [None]
 
 
+def batch_of_texts(n, seed):
+    """Texts of several slices, in two batches."""
+    rng = random.Random(seed)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(2000)) + "." for _ in range(n)]
+    none = pa.array([None] * n, pa.list_(pa.int64()))
+    columns = {"id": np.arange(n), "tag": np.arange(n) * 7, "sent": np.zeros(n, np.int64), "text": texts, "gone": none}
+    whole = pa.RecordBatch.from_pydict(columns)
+    return [whole.slice(0, n // 2), whole.slice(n // 2)]
+
+
+def test_entries_of_many_slices_go_in_one_row_of_a_bucket():
+    batches = batch_of_texts(300, 3)
+    assert sum(b.column("text").nbytes for b in batches) > 3 * textbytes.SLICE_BYTES
+    sent = pa.Table.from_batches(suffix_dedup.announce(40, 50, 16)(iter(batches)))
+    assert sorted(sent.column("bucket").to_pylist()) == list(range(40))
+    got = [suffix_dedup.unpack_bucket(b.as_py()) for b in sent.column("blob")]
+    found = sorted(x for g in got for x in zip(g["id"].tolist(), g["tag"].tolist(), g["first"].tolist(), g["low"].tolist(), strict=True))
+    one = []
+    for batch in batches:
+        for low, _, data, offsets in textbytes.text_slices(batch.column("text")):
+            p = suffix_dedup.Pieces(data, offsets, textbytes.Powers(), 50, 16)
+            ids = batch.column("id").to_numpy()[low:][p.row]
+            one += zip(ids.tolist(), (7 * ids).tolist(), (p.first - offsets[p.row]).tolist(), (p.print & np.uint64(0xFFFF)).tolist(), strict=True)
+    assert found == sorted(one)
+
+
+def test_only_windows_that_may_be_equal_are_sorted(monkeypatch):
+    sizes, plain = [], suffix_dedup.Suffixes.sort
+    monkeypatch.setattr(suffix_dedup.Suffixes, "sort", lambda self, at, groups: sizes.append(len(at)) or plain(self, at, groups))
+    rng = np.random.default_rng(4)
+    seed, shared = rng.bytes(16), rng.bytes(30)
+    pieces = [rng.bytes(20) + seed + (shared if i in (7, 30) else rng.bytes(30)) for i in range(60)]
+    table = pa.table({
+        "bucket": pa.array([0] * 60, pa.int32()), "key": pa.array([5] * 60, pa.int64()), "id": pa.array(range(60), pa.int64()),
+        "tag": pa.array(range(60), pa.int64()), "first": pa.array([100] * 60, pa.int64()),
+        "owner": pa.array([20] * 60, pa.int32()), "bytes": pa.array(pieces, pa.binary()),
+    })
+    out = suffix_dedup.compare_windows(40)(table).to_pylist()
+    # of 27 windows a piece, those from byte 20 on are whole copies
+    assert out == [{"id": 30, "tag": 30, "start": 120, "stop": 166}]
+    assert sizes == [14]
+
+
 def test_entries_of_bands_come_back_and_pack():
     """Ids, tags and places of any size come back; of usual ones little but the keys is left."""
     rng = np.random.default_rng(5)
