@@ -25,7 +25,8 @@ The pieces of the paragraphs that go are removed. Whatever goes has its like at
 earlier place, in the one order of all steps, so the first of all stays.
 
 Texts are shuffled once; the steps that need them read the same exchange. Components
-with very many paragraphs are dealt over tasks in tiles.
+with very many paragraphs are taken apart: those meet that have one of their rarest shingles
+in common, without which they can't be similar enough.
 
 Defined cases: texts of any length are compared whole; null and empty texts have no paragraphs and nothing removed; a text of
 fewer than ``MIN_WORDS`` words always stays; a null id comes after all others; rows with the same id and
@@ -46,8 +47,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.llm.components import components
-from panelcast.llm.jaccard_join import dealt, link_candidates
-from panelcast.llm.suffix_dedup import flat_lists
+from panelcast.llm.jaccard_join import dealt, link_candidates, meeting_by_rarest
+from panelcast.llm.suffix_dedup import flat_lists, starts_of
 from panelcast.llm.textbytes import BASE, LOWER, VISIBLE, Powers, Words, byte_class, mix, text_slices
 from panelcast.session import materialize
 
@@ -62,6 +63,8 @@ TILE_SETS = 1 << 13
 #: Bytes of a key that are sent: all where equal keys mean equal paragraphs, fewer for bands,
 #: whose paragraphs are compared (the bucket stands for some bits more).
 WHOLE_KEY, BAND_KEY = 8, 5
+#: Entries that a task holds before it deals them to buckets.
+HELD = 1 << 20
 LAST = 2**63 - 1
 RESULTS = ("kept", "n_paragraphs", "n_removed", "n_removed_words")
 
@@ -176,16 +179,20 @@ def blobs(
 ):
     """A batch with a row per bucket: documents, entries of each, places and keys, all but
     the keys as ``planes``."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((rows, bucket))
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    place = (keys % np.uint64(buckets)).astype(np.int64) << 32 | rows
+    order = np.argsort(place)
+    place, numbers = place[order], numbers[order]
+    bounds = np.searchsorted(place, np.arange(buckets + 1) << 32)
+    runs = starts_of(place)
+    docs, counts = place[runs] & 0xFFFFFFFF, np.diff(np.append(runs, len(place))).astype(np.uint32)
+    at = np.searchsorted(runs, bounds)
+    by_doc = (ids[docs], tags[docs], counts)
+    by_entry = ((numbers >> 32).astype(np.uint32), numbers.astype(np.uint32))
+    low = np.ascontiguousarray((keys[order] >> np.uint64(64 - 8 * width)).view(np.uint8).reshape(-1, 8)[:, :width])
     columns: list[list] = [[] for _ in range(7)]
     for b in np.flatnonzero(np.diff(bounds)):
-        own = order[bounds[b] : bounds[b + 1]]
-        docs, counts = np.unique(rows[own], return_counts=True)
-        parts = (b, planes(ids[docs]), planes(tags[docs]), planes(counts.astype(np.uint32)),
-                 planes((numbers[own] >> 32).astype(np.uint32)), planes(numbers[own].astype(np.uint32)),
-                 (keys[own] >> np.uint64(64 - 8 * width)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+        own, doc = slice(bounds[b], bounds[b + 1]), slice(at[b], at[b + 1])
+        parts = (b, *(planes(x[doc]) for x in by_doc), *(planes(x[own]) for x in by_entry), low[own].tobytes())
         for column, part in zip(columns, parts, strict=True):
             column.append(part)
     kinds = [pa.int32()] + [pa.binary()] * 6
@@ -193,6 +200,27 @@ def blobs(
     return pa.RecordBatch.from_arrays(arrays, ["bucket", "ids", "tags", "counts", "numbers", "pieces", "keys"])
 
 
+def held_blobs(slices: Iterator[tuple], buckets: int, width: int) -> Iterator[pa.RecordBatch]:
+    """``blobs`` of (keys, rows, numbers, ids, tags) of some slices together, of about ``HELD``
+    entries: a row for each slice and bucket costs more the more buckets there are."""
+    held: list[tuple] = []
+    for part in slices:
+        # copies, as a view would keep the whole batch
+        held.append((*part[:3], part[3].copy(), part[4].copy()))
+        if sum(len(h[0]) for h in held) >= HELD:
+            yield joined_blobs(held, buckets, width)
+            held = []
+    if held:
+        yield joined_blobs(held, buckets, width)
+
+
+def joined_blobs(held: list[tuple], buckets: int, width: int) -> pa.RecordBatch:
+    before = np.cumsum([0] + [len(h[3]) for h in held])
+    rows = np.concatenate([h[1] + at for h, at in zip(held, before, strict=False)])
+    keys, numbers, ids, tags = (np.concatenate([h[k] for h in held]) for k in (0, 2, 3, 4))
+    return blobs(keys, rows, numbers, ids, tags, buckets, width)
+
+
 BLOB = "bucket int, ids binary, tags binary, counts binary, numbers binary, pieces binary, keys binary"
 
 
@@ -207,14 +235,18 @@ def unblob(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     wide = np.zeros((len(numbers), 8), np.uint8)
     wide[:, :width] = np.concatenate(read["keys"]).reshape(-1, width)
     keys = wide.view(np.uint64).ravel()
-    order = np.lexsort((numbers, tags, ids, keys))
+    order = np.argsort(keys)
+    equal = keys[order[1:]] == keys[order[:-1]]
+    several = np.flatnonzero(np.append(equal, False) | np.concatenate([[False], equal]))
+    own = order[several]
+    order[several] = own[np.lexsort((numbers[own], tags[own], ids[own], keys[own]))]
     return keys[order], ids[order], tags[order], numbers[order]
 
 
 def announce(buckets: int, least: int):
     """Hashes of all paragraphs to be compared."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         table = Powers()
         for batch in batches:
             ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
@@ -222,9 +254,9 @@ def announce(buckets: int, least: int):
                 p = Paragraphs(data, offsets, table)
                 first, after = p.paragraphs(least)
                 keys, numbers = p.hashes(first, after), p.names(first, after)
-                yield blobs(keys, p.row[first], numbers, ids[low:high], tags[low:high], buckets, WHOLE_KEY)
+                yield keys, p.row[first], numbers, ids[low:high], tags[low:high]
 
-    return run
+    return lambda batches: held_blobs(slices(batches), buckets, WHOLE_KEY)
 
 
 def equal_paragraphs(table: pa.Table) -> pa.Table:
@@ -249,7 +281,7 @@ def left_over(batch: pa.RecordBatch, low: int, high: int, p: Paragraphs, least:
 
 
 def send_bands(buckets: int, least: int, bands: int, rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         table = Powers()
         for batch in batches:
             ids, tags = batch.column("id").to_numpy(), batch.column("sent").to_numpy()
@@ -270,12 +302,9 @@ def send_bands(buckets: int, least: int, bands: int, rows: int):
                         total = mix(total * np.uint64(BASE) + np.minimum.reduceat(grams * odd, spans)[::2])
                     keys.append(total)
                 numbers = p.names(first, after)
-                yield blobs(
-                    np.concatenate(keys), np.tile(p.row[first], bands), np.tile(numbers, bands),
-                    ids[low:high], tags[low:high], buckets, BAND_KEY,
-                )
+                yield np.concatenate(keys), np.tile(p.row[first], bands), np.tile(numbers, bands), ids[low:high], tags[low:high]
 
-    return run
+    return lambda batches: held_blobs(slices(batches), buckets, BAND_KEY)
 
 
 def band_edges(table: pa.Table) -> pa.Table:
@@ -399,6 +428,8 @@ def remove_similar(docs: DataFrame, per_cent: int = PER_CENT, least: int = MIN_W
     sets = texts.join(wanted, ["id", "tag"]).mapInArrow(
         send_sets(), "id long, component long, tiles int, set array<long>"
     )
+    if (candidates.agg(F.max("tiles")).first()[0] or 0) > 1:
+        sets = meeting_by_rarest(materialize(sets), per_cent, TILE_SETS)
     links = materialize(link_candidates(sets, per_cent, buckets))
     clusters = nodes.join(components(links), "node")
     first = clusters.groupBy("root").agg(F.min(F.struct("id", "tag", "number")).alias("head"))

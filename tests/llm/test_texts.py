@@ -711,6 +711,38 @@ def test_only_windows_that_may_be_equal_are_sorted(monkeypatch):
     assert sizes == [14]
 
 
+def test_entries_of_paragraphs_of_many_slices_go_in_one_row_of_a_bucket():
+    batches = batch_of_texts(300, 3)
+    for run, width in ((paragraph_dedup.announce(40, 10), 8), (paragraph_dedup.send_bands(40, 10, 2, 4), 5)):
+        sent = pa.Table.from_batches(run(iter(batches)))
+        assert sorted(sent.column("bucket").to_pylist()) == list(range(40))
+        got = [x for b in range(40) for x in zip(*(c.tolist() for c in paragraph_dedup.unblob(sent.slice(b, 1), width)), strict=True)]
+        assert {i for _, i, _, _ in got} == set(range(300))
+        one = []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                alone = pa.Table.from_batches(run(iter([batch.slice(row, 1)])))
+                one += [x for b in range(alone.num_rows) for x in zip(*(c.tolist() for c in paragraph_dedup.unblob(alone.slice(b, 1), width)), strict=True)]
+        assert sorted(got) == sorted(one)
+
+
+def test_paragraphs_of_a_large_component_meet_by_their_rarest_shingles(spark, monkeypatch):
+    """Many fillings of one template, below the similarity, and some near copies of them."""
+    monkeypatch.setattr(paragraph_dedup, "TILE_SETS", 10)
+    sent, plain = [], paragraph_dedup.link_candidates
+    copies = F.sum(F.greatest(F.col("tiles") - 1, F.lit(1)))
+    monkeypatch.setattr(paragraph_dedup, "link_candidates", lambda sets, *a: sent.append(sets.agg(copies).first()[0]) or plain(sets, *a))
+    rng = random.Random(9)
+    fill = lambda n: " ".join(f"v{rng.randrange(10**9)}" for _ in range(n))
+    template = " ".join(f"t{i}" for i in range(24))
+    texts = [f"{template} {fill(8)}." for _ in range(200)]
+    texts += [texts[i][:-1] + " more." for i in (3, 50, 77, 120, 199)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r.doc_id for r in paragraph_dedup.remove_similar(docs).where("n_removed > 0").collect()}
+    assert gone == set(range(200, 205))
+    assert 0 < sent[0] < 400
+
+
 def test_entries_of_bands_come_back_and_pack():
     """Ids, tags and places of any size come back; of usual ones little but the keys is left."""
     rng = np.random.default_rng(5)
