@@ -502,26 +502,33 @@ def meeting(candidates: DataFrame, edges: DataFrame, tile_sets: int = TILE_SETS)
 
 def meeting_by_rarest(sets: DataFrame, per_cent: int, tile_sets: int = TILE_SETS) -> DataFrame:
     """The sets (id, component, tiles, set); those of a component of several tiles once for each
-    group of theirs instead.
+    group of theirs instead, if that sends them less often than its tiles.
 
     A group is the sets that have an element among their rarest, in one order of the component's
     elements by the sets that have them. Two sets that may be linked overlap in ``per_cent`` of
     the elements of either, so they have one in common among as many rarest as are left and one
     more. Elements that no other set has take their places there, but are no group.
     """
-    large = sets.where("tiles > 1").select("id", "component", "set", F.size("set").alias("n"))
+    large = sets.where("tiles > 1").select("id", "component", "tiles", "set", F.size("set").alias("n"))
     elements = large.select("id", "component", "n", F.explode("set").alias("element"))
     counted = elements.groupBy("component", "element").agg(F.count("*").alias("many")).where("many > 1")
     shared = elements.join(counted, ["component", "element"]).groupBy("id", "component", "n")
     shared = shared.agg(F.sort_array(F.collect_list(F.struct("many", "element"))).alias("shared"))
     places = F.expr(f"CAST(n - (n * {per_cent} + 99) DIV 100 + 1 - (n - size(shared)) AS INT)")
     rarest = shared.withColumn("places", places).where("places > 0")
-    rarest = rarest.select("id", "n", "component", F.explode(F.slice("shared", F.lit(1), F.col("places"))).alias("rare"))
-    groups = materialize(rarest.select("id", "n", F.xxhash64("component", "rare.element").alias("root")))
+    rarest = materialize(rarest.select("id", "n", "component", F.slice("shared.element", F.lit(1), F.col("places")).alias("rarest")))
+    # near copies have all their rarest in common: tiles send them less often
+    copies = rarest.groupBy("component").agg(F.sum(F.size("rarest")).alias("copies"))
+    tiled = large.groupBy("component").agg((F.count("*") * (F.max("tiles") - 1)).alias("tiled"))
+    apart = tiled.join(copies, "component", "left").where("coalesce(copies, 0) < tiled").select("component")
+    apart = F.broadcast(materialize(apart))  # at most a row for ``tile_sets`` sets
+    groups = rarest.join(apart, "component").select("id", "n", "component", F.explode("rarest").alias("element"))
+    groups = materialize(groups.select("id", "n", F.xxhash64("component", "element").alias("root")))
     several = groups.groupBy("root").count().where("count > 1").select("root")
     groups = dealt(groups.join(several, "root"), tile_sets).select("id", F.col("root").alias("component"), "tiles")
     sent = large.select("id", "set").join(groups, "id")
-    return sets.where("tiles = 1").select("id", "component", "tiles", "set").unionByName(sent)
+    whole = sets.where("tiles = 1").unionByName(large.join(apart, "component", "left_anti").drop("n"))
+    return whole.select("id", "component", "tiles", "set").unionByName(sent)
 
 
 def link_candidates(sets: DataFrame, per_cent: int, buckets: int) -> DataFrame:

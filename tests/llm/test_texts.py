@@ -741,6 +741,13 @@ def test_paragraphs_of_a_large_component_meet_by_their_rarest_shingles(spark, mo
     gone = {r.doc_id for r in paragraph_dedup.remove_similar(docs).where("n_removed > 0").collect()}
     assert gone == set(range(200, 205))
     assert 0 < sent[0] < 400
+    # near copies share their rarest shingles: they stay in tiles, fewer of them than shingles
+    words = [f"n{i}" for i in range(120)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) + "." for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r.doc_id for r in paragraph_dedup.remove_similar(docs).where("n_removed > 0").collect()}
+    assert gone == set(range(1, 40))
+    assert sent[1] <= 40 * 4
 
 
 def test_entries_of_bands_come_back_and_pack():
